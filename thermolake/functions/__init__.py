@@ -1,5 +1,5 @@
 from .quality import is_valid, reject_reason
-from .text import buffer_summary, describe_reading
+from .text import buffer_summary, describe_reading, one_decimal
 from .times import (
     as_instant,
     end_of_given_day,
@@ -20,6 +20,7 @@ __all__ = [
     "end_of_given_day",
     "instant_literal",
     "is_valid",
+    "one_decimal",
     "parse_date_argument",
     "parse_instant",
     "parse_rfc3339",

@@ -19,7 +19,8 @@ def buffer_contents(df: DataFrame, capacity: int = BUFFER_CAPACITY, drop_oldest:
     if not drop_oldest:
         return oldest_arrivals(rows, capacity, "position")
     kept = newest_arrivals(rows, capacity, "_rank").drop("_rank")
-    return kept.withColumn("position", F.row_number().over(Window.partitionBy("sensor_id").orderBy("seq")))
+    position = F.row_number().over(Window.partitionBy("sensor_id").orderBy("seq"))
+    return kept.withColumn("position", position.cast("long"))
 
 
 def buffer_peek(df: DataFrame, n: int, capacity: int = BUFFER_CAPACITY, drop_oldest: bool = True) -> DataFrame:

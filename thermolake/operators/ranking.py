@@ -29,7 +29,7 @@ def first_n_per_key(
     """
     laned = df.withColumn("_lane", F.pmod(F.xxhash64("seq"), F.lit(lanes)))
     survivors = _first_n(laned, [key, "_lane"], order, n, "_lane_rank").drop("_lane", "_lane_rank")
-    return _first_n(survivors, [key], order, n, rank)
+    return _first_n(survivors, [key], order, n, rank).withColumn(rank, F.col(rank).cast("long"))
 
 
 def newest_arrivals(df: DataFrame, n: int, rank: str = "rank") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import is_valid
@@ -51,6 +51,15 @@ class HistoryPage:
             _echo(self.window_start).alias("window_start"), _echo(self.window_end).alias("window_end"),
             F.lit(self.source).alias("source"))
 
+    def with_metadata(self) -> DataFrame:
+        """The page's rows, each with the metadata beside it (a page is at most the request limit long)."""
+        page = Window.partitionBy()
+        counted = self.readings.withColumn("count", F.count(F.lit(1)).over(page))
+        full = F.col("count") >= self.limit if self.source == "database" else F.lit(False)
+        return counted.withColumns({
+            "has_more": full, "window_start": _echo(self.window_start), "window_end": _echo(self.window_end),
+            "source": F.lit(self.source)})
+
     def has_more_exactly(self) -> DataFrame:
         """One row: whether a further reading exists, found by asking for one more than the limit."""
         probe = self.exact_more if self.exact_more is not None else self.readings
