@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import as_instant, uptime_seconds
+from ..functions.times import instant_literal, uptime_seconds
 from ..schema import SENSORS
 
 
@@ -31,12 +31,11 @@ def sensor_info(
     spark: SparkSession, sensor_id: str, location: str, sensor_type: str, version: str, start_time: datetime | str
 ) -> DataFrame:
     """One row of the sensor dimension."""
-    start = as_instant(start_time).isoformat(sep=" ")
     return (
         spark.range(1)
         .select(F.lit(sensor_id).alias("sensor_id"), F.lit(location).alias("location"),
                 F.lit(sensor_type).alias("sensor_type"), F.lit(version).alias("version"),
-                F.lit(start).cast("timestamp").alias("start_time"))
+                instant_literal(start_time).alias("start_time"))
         .to(SENSORS)
     )
 

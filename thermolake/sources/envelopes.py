@@ -106,8 +106,8 @@ def _null_if_absent(element: Column) -> Column:
 
 def _is_batch(payload: Column) -> Column:
     readings = _readings_array(payload)
-    elements = readings.isNull() & (_kind(payload, "$.readings") == "VOID") | F.forall(
-        F.coalesce(readings, F.array()), lambda e: _is_reading(_null_if_absent(e)))
+    elements = F.when(readings.isNull(), _kind(payload, "$.readings") == "VOID").otherwise(
+        F.forall(readings, lambda e: _is_reading(_null_if_absent(e))))
     return _is_object(payload) & _is_whole(payload, "$.count") & elements
 
 
