@@ -155,3 +155,19 @@ def test_broker_records(spark):
                                     "value binary, offset long, timestamp timestamp")
     row = env.decode_readings(env.parse_envelopes(from_broker(records))).first()
     assert (row.message_seq, row.sensor_id) == (41, "s")
+
+
+def test_fast_and_exact_reading_agree(log):
+    texts = [message("reading", p) for p, _ in SINGLE] + [message("batch", p) for p, _ in BATCHES] + [t for t, _ in BAD]
+    texts += [message("reading", GOOD).replace("22.5", v) for v in ("1e400", "NaN", '"NaN"', "-1E-3", "1E-7", "007")]
+    texts += ["[" + message("reading", GOOD) + "]", message("reading", GOOD).replace('"', "'"), " " + message("reading", GOOD),
+              message("reading", {**GOOD, "count": "x", "uptime": [], "readings": 5}),
+              message("reading", {**GOOD, "sensor_id": "5"}), message("reading", {**GOOD, "sensor_id": "true"}),
+              message("heartbeat", {"sensor_id": 5}), message("heartbeat", {"sensor_id": "5", "uptime": 1, "humidity": "x"}),
+              message("heartbeat", {"uptime": 2**63}), message("ack", None), message("reading", GOOD, timestamp=None)]
+    found = [
+        {r.seq: str(r) for r in env.parse_envelopes(log(texts), exact).drop("value").withColumn(
+            "readings", F.col("readings").cast("string")).collect()}
+        for exact in (False, True)]
+    for i, text in enumerate(texts):
+        assert found[0][i + 1] == found[1][i + 1], text

@@ -1,7 +1,8 @@
 """JSON message codec: envelope parsing, routing, payload decoding and encoding.
 
-Payloads are read as VARIANT, so the JSON type of every field is known: a wrong type rejects the payload,
-an absent or null field takes its zero value. Keys are matched exactly.
+A wrong JSON type rejects the payload; an absent or null field takes its zero value; keys are matched exactly.
+Clean messages are read by one ``from_json``. Whatever that cannot vouch for (a corrupt record, an unknown
+type, a null payload) is read again as VARIANT, where the JSON type of every field is known.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import parse_rfc3339, rfc3339, truncate_second, zero_time
-from ..schema import CLIENT_TYPES, SEQ_STRIDE, SERVER_TYPES
+from ..schema import CLIENT_TYPES, MESSAGE_TYPES, SEQ_STRIDE, SERVER_TYPES
 
 # ---- encoding ---------------------------------------------------------------
 
@@ -90,25 +91,34 @@ def _time(v: Column, path: str) -> Column:
     return F.coalesce(truncate_second(parse_rfc3339(_field(v, path, "string"))), zero_time())
 
 
-def _is_reading(v: Column) -> Column:
-    fields = (_is_object(v) & _is_text(v, "$.sensor_id") & _is_time(v, "$.timestamp")
-              & _is_number(v, "$.humidity") & _is_number(v, "$.temperature"))
-    return F.is_variant_null(v) | F.coalesce(fields, F.lit(False))
+# ---- exact reading of doubtful messages -------------------------------------
 
 
-def _readings_array(payload: Column) -> Column:
-    return _field(payload, "$.readings", "array<variant>")
+def _decoded(v: Column) -> Column:
+    """One reading with ``ok``: an object whose fields have the right types, or null for an all-zero reading."""
+    fields = (_is_object(v) & _is_text(v, "$.sensor_id") & _is_time(v, "$.timestamp")
+              & _is_number(v, "$.humidity") & _is_number(v, "$.temperature"))
+    return F.struct(
+        (F.is_variant_null(v) | F.coalesce(fields, F.lit(False))).alias("ok"),
+        _text(v, "$.sensor_id").alias("sensor_id"),
+        _time(v, "$.timestamp").alias("recorded_at"),
+        _number(v, "$.humidity").alias("humidity"),
+        _number(v, "$.temperature").alias("temperature"),
+    )
 
 
 def _null_if_absent(element: Column) -> Column:
     return F.coalesce(element, F.parse_json(F.lit("null")))
 
 
+def _readings_array(payload: Column) -> Column:
+    return _field(payload, "$.readings", "array<variant>")
+
+
 def _is_batch(payload: Column) -> Column:
-    readings = _readings_array(payload)
-    elements = F.when(readings.isNull(), _kind(payload, "$.readings") == "VOID").otherwise(
-        F.forall(readings, lambda e: _is_reading(_null_if_absent(e))))
-    return _is_object(payload) & _is_whole(payload, "$.count") & elements
+    """The frame of a batch; its elements are judged by ``_decoded``."""
+    has_array = _readings_array(payload).isNotNull() | (_kind(payload, "$.readings") == "VOID")
+    return _is_object(payload) & _is_whole(payload, "$.count") & has_array
 
 
 def _is_heartbeat(payload: Column) -> Column:
@@ -116,86 +126,125 @@ def _is_heartbeat(payload: Column) -> Column:
             & _is_whole(payload, "$.buffer_size"))
 
 
+def _read_exactly(doubtful: DataFrame) -> DataFrame:
+    """Adds ``_exact`` for the rows with a ``_message``."""
+    message, payload, kind = F.col("_message"), F.col("_payload"), F.col("_type")
+    envelope_ok = F.is_variant_null(message) | F.coalesce(
+        _is_object(message) & _is_text(message, "$.type") & _is_time(message, "$.timestamp"), F.lit(False))
+    elements = (
+        F.when(kind == "reading", F.array(payload))
+        .when((kind == "batch") & ~F.is_variant_null(payload), _readings_array(payload))
+    )
+    all_ok = F.forall(F.coalesce("_readings", F.array()), lambda r: r["ok"])
+    frame_ok = F.when(kind == "heartbeat", _is_heartbeat(payload)).when(kind == "batch", _is_batch(payload)).otherwise(
+        F.lit(True))
+    problem = (
+        F.when(~F.col("_envelope_ok"), F.lit("bad_envelope"))
+        .when(~kind.isin(*SERVER_TYPES), F.lit("unknown_type"))
+        .when(payload.isNull(), F.lit("undecodable_payload"))
+        .when(~F.is_variant_null(payload) & ~F.coalesce(frame_ok & all_ok, F.lit(False)), F.lit("undecodable_payload"))
+    )
+    return (
+        doubtful.withColumns({
+            "_envelope_ok": envelope_ok, "_type": _text(message, "$.type"),
+            "_payload": _field(message, "$.payload", "variant")})
+        .withColumn("_readings", F.transform(elements, lambda e: _decoded(_null_if_absent(e))))
+        .withColumn("_exact", F.when(F.col("_doubtful"), _outcome(
+            kind, F.col("_readings"), _whole(payload, "$.count"), _text(payload, "$.sensor_id"),
+            _whole(payload, "$.uptime"), _whole(payload, "$.buffer_size"), problem)))
+    )
+
+
 # ---- decoding ---------------------------------------------------------------
 
+_READING = "sensor_id VARIANT, timestamp STRING, humidity DOUBLE, temperature DOUBLE"
+_ENVELOPE = (
+    f"type STRING, payload STRUCT<{_READING}, readings ARRAY<STRUCT<{_READING}>>, count BIGINT, uptime BIGINT, "
+    "buffer_size BIGINT>, timestamp STRING, _corrupt STRING")
+_STRICT = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
-def parse_envelopes(log: DataFrame) -> DataFrame:
-    """Message log (seq, received_at, value) to (seq, received_at, value, route, payload, problem).
 
-    ``route`` is reading, batch, heartbeat, or unknown for every other type. ``problem`` says why nothing
-    can be taken from the message; such messages belong in quarantine, the rest of the log goes on.
-    """
-    message = F.col("_message")
-    parsed = log.withColumn("_message", F.try_parse_json("value"))
-    envelope_ok = F.is_variant_null(message) | F.coalesce(
-        _is_object(message) & _is_text(message, "$.type") & _is_time(message, "$.timestamp"), F.lit(False))
-    typed = parsed.select(
-        "seq", "received_at", "value",
-        envelope_ok.alias("_envelope_ok"),
-        _text(message, "$.type").alias("type"),
-        _field(message, "$.payload", "variant").alias("payload"),
+def _outcome(kind, readings, count, sensor_id, uptime, buffer_size, problem) -> Column:
+    zero = F.lit(0).cast("long")
+    too_long = F.coalesce(F.size(readings) > SEQ_STRIDE, F.lit(False))
+    return F.struct(
+        kind.alias("type"),
+        F.when(kind.isin(*SERVER_TYPES), kind).otherwise(F.lit("unknown")).alias("route"),
+        readings.alias("readings"),
+        F.coalesce(count, zero).alias("declared_count"),
+        F.struct(F.coalesce(sensor_id, F.lit("")).alias("sensor_id"), F.coalesce(uptime, zero).alias("uptime"),
+                 F.coalesce(buffer_size, zero).alias("buffer_size")).alias("heartbeat"),
+        F.coalesce(problem, F.when(too_long, F.lit("batch_too_long"))).alias("problem"),
     )
-    route = F.when(F.col("type").isin(*SERVER_TYPES), F.col("type")).otherwise(F.lit("unknown"))
-    payload = F.col("payload")
-    decodable = (
-        F.when(F.is_variant_null(payload), F.lit(True))
-        .when(F.col("type") == "reading", _is_reading(payload))
-        .when(F.col("type") == "batch", _is_batch(payload))
-        .when(F.col("type") == "heartbeat", _is_heartbeat(payload))
+
+
+def _clean_reading(r: Column) -> Column:
+    """One typed reading with ``ok``; an absent element is an all-zero reading."""
+    time = parse_rfc3339(r["timestamp"])
+    finite = [F.abs(F.coalesce(r[c], F.lit(0.0))) < F.lit(float("inf")) for c in ("humidity", "temperature")]
+    return F.struct(
+        (_kind(r["sensor_id"]).isin("VOID", "STRING") & (r["timestamp"].isNull() | time.isNotNull())
+         & finite[0] & finite[1]).alias("ok"),
+        F.coalesce(_field(r["sensor_id"], "$", "string"), F.lit("")).alias("sensor_id"),
+        F.coalesce(truncate_second(time), zero_time()).alias("recorded_at"),
+        F.coalesce(r["humidity"], F.lit(0.0)).alias("humidity"),
+        F.coalesce(r["temperature"], F.lit(0.0)).alias("temperature"),
     )
-    too_long = (F.col("type") == "batch") & (F.size(_readings_array(payload)) > SEQ_STRIDE)
-    return typed.select(
-        "seq", "received_at", "value", "type", route.alias("route"), "payload",
-        F.when(~F.col("_envelope_ok"), F.lit("bad_envelope"))
-        .when(route == "unknown", F.lit("unknown_type"))
-        .when(~F.coalesce(decodable, F.lit(False)), F.lit("undecodable_payload"))
-        .when(F.coalesce(too_long, F.lit(False)), F.lit("batch_too_long"))
-        .alias("problem"),
+
+
+def parse_envelopes(log: DataFrame, exact: bool = False) -> DataFrame:
+    """Message log (seq, received_at, value) to (seq, received_at, value, type, route, readings, declared_count,
+    heartbeat, problem).
+
+    ``route`` is reading, batch, heartbeat, or unknown for every other type. ``readings`` holds the decoded
+    readings of reading and batch messages. ``problem`` says why nothing can be taken from the message; such
+    messages belong in quarantine, the rest of the log goes on. ``exact`` reads every message as VARIANT.
+    """
+    kind, payload = F.col("_fast.type"), F.col("_fast.payload")
+    single = F.struct(*[payload[c].alias(c) for c in ("sensor_id", "timestamp", "humidity", "temperature")])
+    elements = F.when(kind == "reading", F.array(single)).when(kind == "batch", payload["readings"])
+    readable = (
+        F.lit(not exact) & F.col("_fast._corrupt").isNull() & F.ltrim("value").startswith("{")
+        & kind.isin(*MESSAGE_TYPES) & payload.isNotNull()
+        & (F.col("_fast.timestamp").isNull() | parse_rfc3339("_fast.timestamp").isNotNull())
+        & F.forall(F.coalesce("_clean", F.array()), lambda r: r["ok"])
+        & ((kind != "heartbeat") | _kind(payload["sensor_id"]).isin("VOID", "STRING"))
+    )
+    typed = (
+        log.withColumn("_fast", F.from_json("value", _ENVELOPE, _STRICT))
+        .withColumn("_clean", F.transform(elements, _clean_reading))
+        .withColumn("_doubtful", ~F.coalesce(readable, F.lit(False)))
+        .withColumn("_message", F.when(F.col("_doubtful"), F.try_parse_json("value")))
     )
+    plain = _outcome(
+        kind, F.col("_clean"), payload["count"], _field(payload["sensor_id"], "$", "string"), payload["uptime"],
+        payload["buffer_size"], F.when(~kind.isin(*SERVER_TYPES), F.lit("unknown_type")))
+    # a generator of one row keeps later filters from being moved before it, where they would parse again
+    return _read_exactly(typed).select(
+        "seq", "received_at", "value", F.inline(F.array(F.coalesce("_exact", plain))))
 
 
 def decode_readings(messages: DataFrame) -> DataFrame:
-    """Readings of all reading and batch messages, one row each, in one pass.
+    """Readings of all reading and batch messages, one row each.
 
     ``count_matches`` compares a batch's declared count with what it holds; the count is never trusted.
     """
-    payload = F.col("payload")
-    single = F.col("route") == "reading"
-    elements = (
-        F.when(single, F.array(payload))
-        .when(~F.is_variant_null(payload), F.coalesce(_readings_array(payload), F.array()))
-    )
-    rows = messages.filter(F.col("problem").isNull() & F.col("route").isin("reading", "batch"))
-    held = rows.select(
-        "seq", "received_at",
-        F.when(~single, _whole(payload, "$.count")).alias("_declared"),
-        elements.alias("_elements"),
-    )
-    each = held.select(
-        F.col("seq").alias("message_seq"), "received_at",
-        (F.col("_declared").isNull() | (F.col("_declared") == F.size("_elements"))).alias("count_matches"),
-        F.posexplode("_elements").alias("pos", "_raw"),
-    ).withColumn("_reading", _null_if_absent(F.col("_raw")))
-    reading = F.col("_reading")
-    return each.select(
-        (F.col("message_seq") * SEQ_STRIDE + F.col("pos")).alias("seq"),
-        "message_seq", "pos", "received_at", "count_matches",
-        _text(reading, "$.sensor_id").alias("sensor_id"),
-        _time(reading, "$.timestamp").alias("recorded_at"),
-        _number(reading, "$.humidity").alias("humidity"),
-        _number(reading, "$.temperature").alias("temperature"),
+    count_matches = (F.col("route") != "batch") | (F.col("declared_count") == F.size("readings"))
+    return (
+        messages.filter(F.col("problem").isNull())
+        .select(
+            F.col("seq").alias("message_seq"), "received_at", count_matches.alias("count_matches"),
+            F.posexplode("readings").alias("pos", "_reading"))
+        .select(
+            (F.col("message_seq") * SEQ_STRIDE + F.col("pos")).alias("seq"),
+            "message_seq", "pos", "received_at", "count_matches",
+            *[F.col(f"_reading.{c}").alias(c) for c in ("sensor_id", "recorded_at", "humidity", "temperature")])
     )
 
 
 def decode_heartbeats(messages: DataFrame) -> DataFrame:
-    payload = F.col("payload")
     return messages.filter(F.col("problem").isNull() & (F.col("route") == "heartbeat")).select(
-        "seq",
-        _text(payload, "$.sensor_id").alias("sensor_id"),
-        _whole(payload, "$.uptime").alias("uptime"),
-        _whole(payload, "$.buffer_size").alias("buffer_size"),
-        truncate_second("received_at").alias("received_at"),
-    )
+        "seq", "heartbeat.*", truncate_second("received_at").alias("received_at"))
 
 
 def quarantined(messages: DataFrame) -> DataFrame:
@@ -205,7 +254,9 @@ def quarantined(messages: DataFrame) -> DataFrame:
 
 def decode_control(messages: DataFrame) -> dict[str, DataFrame]:
     """Client side of the log: typed ack, error and config messages."""
-    payload = F.col("payload")
+    payload = F.col("_payload")
+    logged = messages.filter(F.col("problem") == "unknown_type").withColumn(
+        "_payload", _field(F.try_parse_json("value"), "$.payload", "variant"))
     fields = {
         "ack": [(n, _is_text, _text) for n in ("message_id", "status")],
         "error": [(n, _is_text, _text) for n in ("code", "message")],
@@ -214,7 +265,7 @@ def decode_control(messages: DataFrame) -> dict[str, DataFrame]:
     }
     decoded = {}
     for kind in CLIENT_TYPES:
-        rows = messages.filter((F.col("type") == kind) & (F.col("problem") == "unknown_type"))
+        rows = logged.filter(F.col("type") == kind)
         good = _is_object(payload)
         for name, check, _ in fields[kind]:
             good = good & check(payload, f"$.{name}")
