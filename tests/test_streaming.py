@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from conftest import SF_DIR, AS_OF, minutes_ago
 from thermolake.operators import aggregates, views
-from thermolake.session import work_dir
+from thermolake.session import child_names, delete_path, work_dir
 from thermolake.sources.events import heartbeat_times, load_readings, message_log
 from thermolake.streaming import ingest, live
+from thermolake.streaming.recent import RecentViewTable
 
 READING = "seq long, sensor_id string, recorded_at timestamp, temperature double, humidity double, received_at timestamp"
 
@@ -60,9 +61,28 @@ def test_daily_stats_stream_equals_batch_in_any_file_order(spark, thirds, revers
 def test_recent_view_stream_equals_batch(spark, thirds, reverse):
     rows, parts = thirds
     path = write_files(spark, parts[::-1] if reverse else parts)
-    found = drain(spark, live.live_recent_view(stream(spark, path), 8), ["sensor_id"])
+    view = RecentViewTable(spark, work_dir(spark, "recent"), 8)
+    view.start(stream(spark, path), work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
     columns = ["seq", "sensor_id", "recorded_at", "humidity", "temperature"]
-    assert rows_of(found.select(*columns)) == rows_of(views.recent_view(rows, 8).select(*columns))
+    assert rows_of(view.read().select(*columns)) == rows_of(views.recent_view(rows, 8).select(*columns))
+
+
+def test_recent_view_versions(spark, make):
+    view = RecentViewTable(spark, work_dir(spark, "recent"), 3, keep_versions=2)
+    assert view.read().count() == 0
+    batches = [make([("s", 10 * n + i, minutes_ago(0), 20, 50) for i in range(2)]) for n in range(5)]
+    for n, batch in enumerate(batches):
+        view.merge(batch, n)
+        view.merge(batch, n)
+    assert sorted(r.seq for r in view.read().collect()) == [31, 40, 41]
+    assert sorted(child_names(spark, view.path)) == ["version-3", "version-4"]
+    # a version without its success mark is not read, and is written again
+    delete_path(spark, f"{view.path}/version-4/_SUCCESS")
+    assert sorted(r.seq for r in view.read().collect()) == [21, 30, 31]
+    view.merge(batches[4], 4)
+    assert sorted(r.seq for r in view.read().collect()) == [31, 40, 41]
+    view.clear()
+    assert view.read().count() == 0
 
 
 def test_last_seen_stream(spark, thirds):
@@ -95,10 +115,10 @@ def test_ingest_end_to_end(spark):
     extra = spark.createDataFrame([(10**6, AS_OF, "{broken"), (10**6 + 1, AS_OF, '{"type":"config","payload":{}}')], log.schema)
     path = split_log(spark, log.union(extra), 3)
     tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"))
-    accepted = []
+    view = RecentViewTable(spark, work_dir(spark, "recent"), 4)
     query = ingest.start_ingest(
         ingest.read_log_files(spark, path, 1), tables, work_dir(spark, "checkpoint"), available_now=True,
-        on_valid=lambda df, batch_id: accepted.append(df.count()))
+        on_valid=view.merge)
     query.awaitTermination()
     rows = load_readings(spark, SF_DIR)
     decoded = rows.filter(F.col("event_type").isin("click", "purchase", "view"))
@@ -110,7 +130,9 @@ def test_ingest_end_to_end(spark):
     stats = ingest.write_stats(tables.ledger()).first()
     assert (stats.total_written, stats.total_batches, stats.total_errors) == (decoded.count(), 3, 0)
     assert stats.last_write_time is not None
-    assert sum(accepted) == aggregates.raw_vs_valid_counts(decoded).agg(F.sum("valid_count")).first()[0]
+    # arrival order in the history is that of the messages
+    wanted = views.recent_view(tables.history.read(), 4)
+    assert rows_of(view.read().select("seq", *columns)) == rows_of(wanted.select("seq", *columns))
 
 
 def envelope(seq, t):

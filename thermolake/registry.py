@@ -25,6 +25,7 @@ from .sources.events import (
 )
 from .sources.history import HistoryTable
 from .streaming import ingest, live
+from .streaming.recent import RecentViewTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -638,8 +639,9 @@ def stream_daily_stats(spark, sf_dir):
 @_register("stream_recent_view", f"""{READINGS_SQL} SELECT seq, {_READING} FROM v
   {_NEWEST.format(order='seq DESC', n=CAPACITY)}""")
 def stream_recent_view(spark, sf_dir):
-    view = live.live_recent_view(stream_readings(spark, sf_dir), CAPACITY)
-    return _drain_view(spark, view, ["sensor_id"]).select("seq", *READING_COLUMNS)
+    view = RecentViewTable(spark, work_dir(spark, "recent"), CAPACITY)
+    view.start(stream_readings(spark, sf_dir), work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
+    return view.read()
 
 
 @_register("stream_last_seen", f"""{READINGS_SQL}, {_BEATS_SQL}

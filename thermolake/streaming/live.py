@@ -1,26 +1,19 @@
-"""Streaming forms of the per-sensor views.
+"""Streaming aggregates per sensor.
 
 Each job writes, per micro-batch, the new state of the keys it touched; ``read_newest`` gives the current state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.quality import is_valid
 from ..operators.aggregates import daily_measures
-from ..schema import DEFAULT_BOUNDS, RECENT_CAPACITY, RETENTION_DAYS, ValidityBounds
+from ..schema import RETENTION_DAYS
 from ..session import path_exists
 from ..sources.history import write_loads
 
-RING = "seq long, recorded_at timestamp, humidity double, temperature double"
-RING_COLUMNS = ["seq", "recorded_at", "humidity", "temperature"]
-
 
 def live_daily_stats(
     readings: DataFrame, retention_days: int = RETENTION_DAYS, clock_tolerance_seconds: int | None = None
@@ -46,69 +39,6 @@ def live_last_seen(heartbeats: DataFrame) -> DataFrame:
     return heartbeats.groupBy("sensor_id").agg(F.max("received_at").alias("last_seen"))
 
 
-class _RecentRing(StatefulProcessor):
-    """Keeps the newest arrivals of one sensor."""
-
-    def __init__(self, capacity: int):
-        self.capacity = capacity
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getListState("ring", RING)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.ring.get()), columns=RING_COLUMNS)
-        for frame in rows:
-            arrived = frame[RING_COLUMNS]
-            held = arrived if held.empty else pd.concat([held, arrived], ignore_index=True)
-            held = held.nlargest(self.capacity, "seq")
-        held = held.sort_values("seq")
-        self.ring.put([
-            (int(seq), pd.Timestamp(at).to_pydatetime(), float(humidity), float(temperature))
-            for seq, at, humidity, temperature in held.itertuples(index=False, name=None)])
-        out = held.copy()
-        out.insert(0, "sensor_id", key[0])
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-def _trim(capacity: int):
-    """Per task, only the newest ``capacity`` rows of each sensor go on to its state."""
-
-    def trim(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for frame in frames:
-            kept = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
-            kept = kept.sort_values("seq").groupby("sensor_id").tail(capacity)
-        if kept is not None:
-            yield kept
-
-    return trim
-
-
-def live_recent_view(
-    readings: DataFrame, capacity: int = RECENT_CAPACITY, bounds: ValidityBounds = DEFAULT_BOUNDS
-) -> DataFrame:
-    """The recent view of every sensor touched by a micro-batch, from at most ``capacity`` rows of state.
-
-    Rows are cut to the newest per sensor in each task before the shuffle, so a hot sensor sends
-    ``capacity`` rows per task to its state, not its whole share of the batch.
-    """
-    spark = readings.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    fields = f"sensor_id string, {RING}"
-    return (
-        readings.filter(is_valid(bounds)).select("sensor_id", *RING_COLUMNS)
-        .mapInPandas(_trim(capacity), fields)
-        .groupBy("sensor_id")
-        .transformWithStateInPandas(
-            statefulProcessor=_RecentRing(capacity), outputStructType=fields,
-            outputMode="update", timeMode="none")
-    )
-
-
 def start_view(
     view: DataFrame, path: str, checkpoint: str, available_now: bool = False, seconds: int = 5
 ) -> StreamingQuery:
