@@ -1,4 +1,4 @@
-"""Latest and current reading of every sensor in one hash aggregation."""
+"""Latest and current reading of every sensor in one aggregation, combined before the shuffle."""
 
 from __future__ import annotations
 
@@ -11,24 +11,23 @@ from ..schema import DEFAULT_BOUNDS, READING_COLUMNS, ValidityBounds
 _VALUES = ["recorded_at", "humidity", "temperature", "seq"]
 
 
-def _event_order() -> Column:
-    """(recorded_at, seq) as one number: fixed-width keys keep the aggregation hash-based, where a struct
-    key would force a sort of the whole input."""
-    seconds = F.unix_seconds("recorded_at").cast("decimal(18,0)")
-    return (seconds * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col("seq").cast("decimal(19,0)")).cast(
-        "decimal(38,0)")
+def _by_event_time() -> Column:
+    """A reading as a struct that sorts by (recorded_at, seq)."""
+    return F.struct("recorded_at", "seq", "humidity", "temperature")
+
+
+def _by_arrival() -> Column:
+    return F.struct("seq", "recorded_at", "humidity", "temperature")
 
 
 def latest_per_sensor(df: DataFrame) -> DataFrame:
     """Per sensor the reading with the greatest (recorded_at, seq)."""
-    keyed = df.withColumn("_order", _event_order())
-    return keyed.groupBy("sensor_id").agg(
-        *[F.max_by(c, "_order").alias(c) for c in _VALUES]
-    ).select("seq", *READING_COLUMNS)
+    newest = df.groupBy("sensor_id").agg(F.max(_by_event_time()).alias("_newest"))
+    return newest.select("sensor_id", "_newest.*").select("seq", *READING_COLUMNS)
 
 
 def current_per_sensor(df: DataFrame, bounds: ValidityBounds = DEFAULT_BOUNDS) -> DataFrame:
-    """Per sensor the valid reading that arrived last."""
+    """Per sensor the valid reading that arrived last. Fixed-width keys and values keep it a hash aggregation."""
     return df.filter(is_valid(bounds)).groupBy("sensor_id").agg(
         *[F.max_by(c, "seq").alias(c) for c in _VALUES if c != "seq"], F.max("seq").alias("seq")
     ).select("seq", *READING_COLUMNS)
@@ -36,16 +35,11 @@ def current_per_sensor(df: DataFrame, bounds: ValidityBounds = DEFAULT_BOUNDS) -
 
 def current_with_fallback(df: DataFrame, bounds: ValidityBounds = DEFAULT_BOUNDS) -> DataFrame:
     """Per sensor the valid reading that arrived last, else the latest reading of any kind, in one pass."""
-    valid = is_valid(bounds)
-    keyed = df.withColumn("_order", _event_order()).withColumn("_accepted", F.when(valid, F.col("seq")))
-    found = keyed.groupBy("sensor_id").agg(
-        F.max("_accepted").alias("_accepted"),
-        *[F.max_by(c, "_accepted").alias(f"_cur_{c}") for c in _VALUES],
-        *[F.max_by(c, "_order").alias(f"_any_{c}") for c in _VALUES],
-    )
-    has_current = F.col("_accepted").isNotNull()
+    found = df.groupBy("sensor_id").agg(
+        F.max(F.when(is_valid(bounds), _by_arrival())).alias("_current"), F.max(_by_event_time()).alias("_any"))
+    has_current = F.col("_current").isNotNull()
     return found.select(
-        *[F.when(has_current, F.col(f"_cur_{c}")).otherwise(F.col(f"_any_{c}")).alias(c) for c in _VALUES],
+        *[F.when(has_current, F.col(f"_current.{c}")).otherwise(F.col(f"_any.{c}")).alias(c) for c in _VALUES],
         "sensor_id",
         F.when(has_current, F.lit("memory")).otherwise(F.lit("database")).alias("source"),
     ).select("seq", *READING_COLUMNS, "source")
