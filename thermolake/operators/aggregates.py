@@ -92,13 +92,29 @@ def reject_counts(df: DataFrame, reason: Column) -> DataFrame:
 
 def recent_totals(df: DataFrame, capacity: int = RECENT_CAPACITY, bounds: ValidityBounds = DEFAULT_BOUNDS) -> DataFrame:
     """One row: accepted readings so far, sensors seen, readings held now by a view of ``capacity`` per sensor."""
-    return (
-        df.filter(is_valid(bounds)).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"))
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total_readings"),
-            F.count(F.lit(1)).alias("unique_sensors"),
-            F.coalesce(F.sum(F.least("n", F.lit(capacity))), F.lit(0)).alias("current_readings"),
-        )
+    per_sensor = df.filter(is_valid(bounds)).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("accepted"))
+    return per_sensor.agg(*_recent_measures(capacity))
+
+
+def _recent_measures(capacity: int) -> list[Column]:
+    return [
+        F.coalesce(F.sum("accepted"), F.lit(0)).alias("total_readings"),
+        F.count_if(F.col("accepted") > 0).alias("unique_sensors"),
+        F.coalesce(F.sum(F.least("accepted", F.lit(capacity))), F.lit(0)).alias("current_readings"),
+    ]
+
+
+def fleet_totals(df: DataFrame, capacity: int = RECENT_CAPACITY, bounds: ValidityBounds = DEFAULT_BOUNDS) -> DataFrame:
+    """``recent_totals`` and, under ``database_`` names, ``storage_stats``, in one pass over the readings."""
+    per_sensor = df.groupBy("sensor_id").agg(
+        F.count_if(is_valid(bounds)).alias("accepted"), F.count(F.lit(1)).alias("n"),
+        F.min("recorded_at").alias("lo"), F.max("recorded_at").alias("hi"))
+    return per_sensor.agg(
+        *_recent_measures(capacity),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("database_total_readings"),
+        F.min("lo").alias("database_oldest_reading"),
+        F.max("hi").alias("database_newest_reading"),
+        F.count(F.lit(1)).alias("database_unique_sensors"),
     )
 
 

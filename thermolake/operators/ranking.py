@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..schema import SEQ_STRIDE
 
 LANES = 32
+# without the cut before the shuffle (Spark applies it up to 1,000 rows per group) a hot key needs more tasks
+WIDE_LANES = 1024
+GROUP_LIMIT = 1000
 BLOCK = 1_000_000
 # for readings numbered by message (see SEQ_STRIDE): blocks of 20,000 messages
 MESSAGE_BLOCK = 20_000 * SEQ_STRIDE
@@ -19,7 +22,7 @@ def _first_n(df: DataFrame, partition: list[str], order: list[Column], n: int, r
 
 
 def first_n_per_key(
-    df: DataFrame, key: str, order: list[Column], n: int, rank: str = "rank", lanes: int = LANES
+    df: DataFrame, key: str, order: list[Column], n: int, rank: str = "rank", lanes: int | None = None
 ) -> DataFrame:
     """The first ``n`` rows of every key by ``order`` (a total order that includes ``seq``), ranked from 1.
 
@@ -27,6 +30,7 @@ def first_n_per_key(
     map task to ``n`` rows per group before the shuffle (WindowGroupLimit), and a hot key is ranked by
     ``lanes`` tasks before its survivors meet.
     """
+    lanes = lanes or (LANES if n <= GROUP_LIMIT else WIDE_LANES)
     laned = df.withColumn("_lane", F.pmod(F.xxhash64("seq"), F.lit(lanes)))
     survivors = _first_n(laned, [key, "_lane"], order, n, "_lane_rank").drop("_lane", "_lane_rank")
     return _first_n(survivors, [key], order, n, rank).withColumn(rank, F.col(rank).cast("long"))

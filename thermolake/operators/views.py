@@ -45,11 +45,13 @@ def recent_sensor_ids(df: DataFrame, bounds: ValidityBounds = DEFAULT_BOUNDS) ->
     return df.filter(is_valid(bounds)).select("sensor_id").distinct().orderBy("sensor_id")
 
 
+def held_bounds(view: DataFrame) -> DataFrame:
+    """One row: event times of the oldest and newest reading of a recent view."""
+    return view.agg(F.min("recorded_at").alias("oldest_reading"), F.max("recorded_at").alias("newest_reading"))
+
+
 def recent_view_stats(
     df: DataFrame, capacity: int = RECENT_CAPACITY, bounds: ValidityBounds = DEFAULT_BOUNDS
 ) -> DataFrame:
     """One row: accepted so far, sensors, held now, and the event-time bounds of the held readings."""
-    held = recent_view(df, capacity, bounds).agg(
-        F.min("recorded_at").alias("oldest_reading"), F.max("recorded_at").alias("newest_reading"),
-    )
-    return one_row(recent_totals(df, capacity, bounds), held)
+    return one_row(recent_totals(df, capacity, bounds), held_bounds(recent_view(df, capacity, bounds)))

@@ -155,10 +155,13 @@ class TelemetryApi:
 
     def stats(self) -> DataFrame:
         """One row: recent-view totals at the top level, the history's under ``database_`` names."""
-        recent = views.recent_view_stats(self.readings, self.capacity, self.bounds)
-        database = aggregates.storage_stats(self.readings)
         return aggregates.one_row(
-            recent, database.select([F.col(c).alias(f"database_{c}") for c in database.columns]))
+            aggregates.fleet_totals(self.readings, self.capacity, self.bounds), views.held_bounds(self._view()))
+
+    def _view(self) -> DataFrame:
+        if self.recent is not None:
+            return self.recent
+        return views.recent_view(self.readings, self.capacity, self.bounds)
 
     def daily_stats(self, sensor_id: str | None = None, start: When = None, end: When = None) -> DataFrame:
         """Of all sensors when none is named. Default window: from midnight seven days ago. A given end is
@@ -209,4 +212,5 @@ class TelemetryApi:
             self._accepted(), sensor_id or LATEST_SENSOR, LATEST_COUNT, self.capacity, self.bounds)
 
     def recent_stats(self) -> DataFrame:
-        return views.recent_view_stats(self.readings, self.capacity, self.bounds)
+        return aggregates.one_row(
+            aggregates.recent_totals(self.readings, self.capacity, self.bounds), views.held_bounds(self._view()))
