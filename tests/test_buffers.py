@@ -3,7 +3,7 @@ from collections import deque
 
 import pytest
 
-from conftest import AS_OF, minutes_ago
+from conftest import minutes_ago
 from thermolake.operators import buffers, packing, replay
 from thermolake.operators.ranking import first_n_per_key, newest_arrivals, number_rows
 from pyspark.sql import functions as F

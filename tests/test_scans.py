@@ -140,6 +140,6 @@ def test_duplicates_count(make):
 
 
 def test_sensor_dimension(spark):
-    info = inventory.sensor_info(spark, "s", "hall", "DHT11", "1.0", "2024-01-30 23:00:00")
+    info = inventory.sensor_info(spark, "s", "hall", "hygrometer", "1.0", "2024-01-30 23:00:00")
     assert inventory.sensor_uptime(info, AS_OF).first().uptime_seconds == 3600
     assert info.first().location == "hall"

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.aggregates import daily_measures
@@ -52,9 +53,9 @@ def start_view(
     )
 
 
-def read_newest(spark: SparkSession, path: str, view_schema, keys: list[str]) -> DataFrame:
+def read_newest(spark: SparkSession, path: str, view_schema: T.StructType, keys: list[str]) -> DataFrame:
     """For every key the rows of the last micro-batch that touched it."""
-    schema = view_schema.add("batch_id", "long") if "batch_id" not in view_schema.names else view_schema
+    schema = T.StructType([*view_schema.fields, T.StructField("batch_id", T.LongType())])
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema).drop("batch_id")
     rows = spark.read.schema(schema).parquet(path)
