@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from conftest import AS_OF
+from thermolake.operators.views import recent_view
 from thermolake.plans import retention
 from thermolake.plans.api import TelemetryApi
 from thermolake.session import child_names, delete_path, path_exists, work_dir
@@ -69,6 +70,15 @@ def test_scan_prunes_days_and_pushes_filters(make, table):
     assert "created_at" not in plan.split("ReadSchema")[1]
 
 
+def test_validity_reaches_the_scan(capsys, make, table):
+    table.append(aged(make, 1))
+    view = recent_view(table.read(), 3)
+    view.explain("formatted")
+    pushed = capsys.readouterr().out.split("PushedFilters: [")[1].split("ReadSchema")[0]
+    assert "LessThanOrEqual(temperature,60.0)" in pushed and "GreaterThanOrEqual(humidity,0.0)" in pushed
+    assert view.count() == 3
+
+
 @pytest.mark.parametrize("keep, age, deleted", [(30, 35, True), (30, 25, False), (7, 10, True), (1, 2, True)])
 def test_retention_pairs(make, table, keep, age, deleted):
     table.append(aged(make, 0).union(aged(make, age, first_seq=10)))

@@ -1,4 +1,4 @@
-from .quality import is_valid, reject_reason
+from .quality import is_valid, reject_reason, valid_filter
 from .text import buffer_summary, describe_reading, one_decimal
 from .times import (
     as_instant,
@@ -29,4 +29,5 @@ __all__ = [
     "rfc3339",
     "truncate_second",
     "uptime_seconds",
+    "valid_filter",
 ]

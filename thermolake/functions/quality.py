@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,12 +21,15 @@ def _checks(bounds: ValidityBounds) -> list[tuple[str, Column]]:
     ]
 
 
+def valid_filter(bounds: ValidityBounds = DEFAULT_BOUNDS) -> Column:
+    """Every check holds, as a plain conjunction for ``filter``, so that its parts can reach the scan. A NULL
+    field makes it NULL, which a filter drops."""
+    return reduce(Column.__and__, [passes for _, passes in _checks(bounds)])
+
+
 def is_valid(bounds: ValidityBounds = DEFAULT_BOUNDS) -> Column:
-    """True only where every check holds; NULL in any field is invalid."""
-    ok = F.lit(True)
-    for _, passes in _checks(bounds):
-        ok = ok & passes
-    return F.coalesce(ok, F.lit(False))
+    """True only where every check holds; a NULL in any field is invalid."""
+    return F.coalesce(valid_filter(bounds), F.lit(False))
 
 
 def reject_reason(bounds: ValidityBounds = DEFAULT_BOUNDS) -> Column:

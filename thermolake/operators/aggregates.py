@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quality import is_valid
+from ..functions.quality import is_valid, valid_filter
 from ..schema import DEFAULT_BOUNDS, RECENT_CAPACITY, ValidityBounds
 from .scans import Instant, between, for_sensor
 
@@ -26,7 +26,7 @@ def daily_stats(
     if start is not None and end is not None:
         rows = between(rows, start, end)
     if valid_only:
-        rows = rows.filter(is_valid(bounds))
+        rows = rows.filter(valid_filter(bounds))
     return (
         rows.groupBy(F.to_date("recorded_at").alias("date"), "sensor_id")
         .agg(*daily_measures())
@@ -92,7 +92,7 @@ def reject_counts(df: DataFrame, reason: Column) -> DataFrame:
 
 def recent_totals(df: DataFrame, capacity: int = RECENT_CAPACITY, bounds: ValidityBounds = DEFAULT_BOUNDS) -> DataFrame:
     """One row: accepted readings so far, sensors seen, readings held now by a view of ``capacity`` per sensor."""
-    per_sensor = df.filter(is_valid(bounds)).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("accepted"))
+    per_sensor = df.filter(valid_filter(bounds)).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("accepted"))
     return per_sensor.agg(*_recent_measures(capacity))
 
 

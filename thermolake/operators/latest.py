@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quality import is_valid
+from ..functions.quality import is_valid, valid_filter
 from ..schema import DEFAULT_BOUNDS, READING_COLUMNS, ValidityBounds
 
 _VALUES = ["recorded_at", "humidity", "temperature", "seq"]
@@ -28,7 +28,7 @@ def latest_per_sensor(df: DataFrame) -> DataFrame:
 
 def current_per_sensor(df: DataFrame, bounds: ValidityBounds = DEFAULT_BOUNDS) -> DataFrame:
     """Per sensor the valid reading that arrived last. Fixed-width keys and values keep it a hash aggregation."""
-    return df.filter(is_valid(bounds)).groupBy("sensor_id").agg(
+    return df.filter(valid_filter(bounds)).groupBy("sensor_id").agg(
         *[F.max_by(c, "seq").alias(c) for c in _VALUES if c != "seq"], F.max("seq").alias("seq")
     ).select("seq", *READING_COLUMNS)
 

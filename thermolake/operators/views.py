@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quality import is_valid
+from ..functions.quality import valid_filter
 from ..schema import DEFAULT_BOUNDS, LATEST_COUNT, READING_COLUMNS, RECENT_CAPACITY, ValidityBounds
 from .aggregates import one_row, recent_totals
 from .ranking import newest_arrivals
@@ -15,7 +15,7 @@ def recent_view(
     df: DataFrame, capacity: int = RECENT_CAPACITY, bounds: ValidityBounds = DEFAULT_BOUNDS
 ) -> DataFrame:
     """Everything the view holds; ``arrival_rank`` 1 is the sensor's current reading."""
-    valid = df.filter(is_valid(bounds)).select("seq", *READING_COLUMNS)
+    valid = df.filter(valid_filter(bounds)).select("seq", *READING_COLUMNS)
     return newest_arrivals(valid, capacity, "arrival_rank")
 
 
@@ -35,14 +35,14 @@ def recent_of_sensor(
 ) -> DataFrame:
     """The newest ``n`` of one sensor by arrival, newest first."""
     return (
-        df.filter((F.col("sensor_id") == sensor_id) & is_valid(bounds))
+        df.filter((F.col("sensor_id") == sensor_id) & valid_filter(bounds))
         .select("seq", *READING_COLUMNS)
         .orderBy(F.desc("seq")).limit(min(n, capacity))
     )
 
 
 def recent_sensor_ids(df: DataFrame, bounds: ValidityBounds = DEFAULT_BOUNDS) -> DataFrame:
-    return df.filter(is_valid(bounds)).select("sensor_id").distinct().orderBy("sensor_id")
+    return df.filter(valid_filter(bounds)).select("sensor_id").distinct().orderBy("sensor_id")
 
 
 def held_bounds(view: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quality import is_valid
+from ..functions.quality import valid_filter
 from ..functions.times import (
     as_instant,
     end_of_given_day,
@@ -97,7 +97,7 @@ class TelemetryApi:
 
     def _accepted(self) -> DataFrame:
         source = self.recent if self.recent is not None else self.readings
-        return source.filter(is_valid(self.bounds))
+        return source.filter(valid_filter(self.bounds))
 
     def default_sensor(self) -> DataFrame:
         """One row: the sensor meant when a request names none."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.quality import is_valid, reject_reason
+from .functions.quality import reject_reason, valid_filter
 from .functions.text import describe_reading
 from .operators import aggregates, buffers, inventory, latest, liveness, packing, replay, scans, views
 from .operators.ranking import number_rows
@@ -127,7 +127,7 @@ def daily_stats_valid_only(spark, sf_dir):
 
 @_register("valid_readings", f"{READINGS_SQL} SELECT seq, {_READING} FROM v")
 def valid_readings(spark, sf_dir):
-    return load_readings(spark, sf_dir).filter(is_valid()).select("seq", *READING_COLUMNS)
+    return load_readings(spark, sf_dir).filter(valid_filter()).select("seq", *READING_COLUMNS)
 
 
 @_register("reject_reasons", f"""{READINGS_SQL}
@@ -302,7 +302,7 @@ def sensor_ids(spark, sf_dir):
 @_register("sensors_union", f"{READINGS_SQL} SELECT sensor_id FROM v UNION SELECT sensor_id FROM r")
 def sensors_union(spark, sf_dir):
     rows = load_readings(spark, sf_dir)
-    return inventory.sensors_union(rows.filter(is_valid()), rows)
+    return inventory.sensors_union(rows.filter(valid_filter()), rows)
 
 
 @_register("default_sensor", f"{READINGS_SQL} SELECT min(sensor_id) AS sensor_id FROM r")

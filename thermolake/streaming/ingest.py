@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.quality import is_valid
+from ..functions.quality import valid_filter
 from ..schema import FLUSH_SECONDS, HEARTBEATS, MESSAGE_LOG, QUARANTINE, WRITE_LEDGER
 from ..session import path_exists, use_utc
 from ..sources.envelopes import decode_heartbeats, decode_readings, parse_envelopes, quarantined
@@ -79,7 +79,7 @@ def write_batch(tables: TelemetryTables, log: DataFrame, batch_id: int, on_valid
         ):
             write_loads(rows.withColumn("load_id", F.lit(load_id)), path, "load_id")
         if on_valid is not None:
-            on_valid(readings.filter(is_valid()), batch_id)
+            on_valid(readings.filter(valid_filter()), batch_id)
         _record(spark, tables.ledger_path, batch_id, readings.count(), "ok")
     except Exception:
         _record(spark, tables.ledger_path, batch_id, 0, "error")

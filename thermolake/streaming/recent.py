@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.quality import is_valid
+from ..functions.quality import valid_filter
 from ..operators.ranking import newest_arrivals
 from ..schema import DEFAULT_BOUNDS, FLUSH_SECONDS, READING_COLUMNS, READINGS, RECENT_CAPACITY, ValidityBounds
 from ..session import child_names, delete_path, path_exists, use_utc
@@ -48,7 +48,7 @@ class RecentViewTable:
 
     def merge(self, arrived: DataFrame, batch_id: int) -> None:
         """Adds the valid readings of a micro-batch. Each task passes on at most ``capacity`` rows per sensor."""
-        rows = arrived.filter(is_valid(self.bounds)).select(*_COLUMNS)
+        rows = arrived.filter(valid_filter(self.bounds)).select(*_COLUMNS)
         older = [n for n in self._versions() if n < batch_id]
         if older:
             rows = rows.unionByName(self._read(arrived.sparkSession, older[-1]))
