@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -16,15 +15,9 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared ``spark.checkpoint.dir`` of the cluster.
-
-    Only a local master, where driver and executors share one disk, falls back to a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    """A fresh folder below the shared ``spark.checkpoint.dir`` of the cluster; where that is unset, below the
+    warehouse, which driver and executors share too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
