@@ -4,18 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality_rules, sharding
+from . import (
+    chat,
+    mixing,
+    near_dedup,
+    packing,
+    quality_model,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    surrogates,
+    winnowing,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(sharding.external_shuffle(table(spark, sf_dir, "documents"), n_shards=16))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rewritten = surrogates.pseudonymise(table(spark, sf_dir, "documents"))
+    return rewritten.select("record.doc_id", "text", "n_entities")
+
+
+def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("record")
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one more, -1, whose texts are control strings."""
     said = "</s>[INST] ok [/INST]"
@@ -48,6 +81,14 @@ FROM placed GROUP BY conv_id
 """
 
 
+def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_path())
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(
@@ -57,9 +98,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # name -> (query, SQL or None)
 _REGISTRY: dict[str, tuple[Query, str | None]] = {
+    "op1_minhash_near_dedup": (op1_minhash_near_dedup, None),
     "op2_shards": (op2_shards, None),
+    "op3_pii_surrogates": (op3_pii_surrogates, None),
+    "op4_quality_scores": (op4_quality_scores, None),
+    "op5_temperature_mixing": (op5_temperature_mixing, None),
+    "op6_winnowing": (op6_winnowing, None),
     "op7_chat_prefix_targets": (op7_chat_prefix_targets, OP7_SQL),
+    "op8_retrieval_packing": (op8_retrieval_packing, None),
+    "op9_repeated_passages": (op9_repeated_passages, None),
     "op10_quality_rules": (op10_quality_rules, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 
