@@ -1,9 +1,17 @@
-from datetime import datetime, timedelta
+import os
+import subprocess
+import sys
+from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
+import duckdb
 import pytest
 
-from conftest import AS_OF, minutes_ago
+from conftest import AS_OF, SF_DIR, minutes_ago
+from thermolake import registry
 from thermolake.operators import aggregates, inventory, latest, scans, views
+from thermolake.session import work_dir
+from thermolake.sources.history import HistoryTable
 
 
 def seqs(df):
@@ -53,10 +61,58 @@ def test_scroll_uses_top_k_plan(fifty):
 
 def test_cursor_does_not_skip_ties(make):
     rows = make([("s", i, AS_OF, 20, 50) for i in range(5)])
-    first = scans.readings_in_range(rows, AS_OF, AS_OF, 2, "s").collect()
-    assert [r.seq for r in first] == [4, 3]
-    assert seqs(scans.readings_before(rows, first[-1].recorded_at, 2)) == []
-    assert seqs(scans.readings_before_cursor(rows, str(first[-1].recorded_at), first[-1].seq, 2)) == [2, 1]
+    page = scans.readings_in_range(rows, AS_OF, AS_OF, 2, "s")
+    assert seqs(page) == [4, 3]
+    assert seqs(scans.readings_before(rows, AS_OF, 2)) == []
+    cursor = scans.cursor_after(page)
+    assert cursor == scans.Cursor(int(AS_OF.replace(tzinfo=timezone.utc).timestamp()), (3,))
+    assert seqs(scans.readings_before_cursor(rows, cursor, 2)) == [2, 1]
+    assert scans.cursor_after(rows.limit(0)) is None
+
+
+def test_cursor_tells_partitions_and_positions_apart(spark):
+    rows = spark.createDataFrame(
+        [(s, p, k, "s", AS_OF, 20.0, 50.0) for s in range(2) for p in range(2) for k in range(2)],
+        "seq long, pos long, part int, sensor_id string, recorded_at timestamp, temperature double, humidity double")
+    seen, page = [], scans.readings_before(rows, AS_OF + timedelta(seconds=1), 1)
+    while (cursor := scans.cursor_after(page)) is not None:
+        seen.append(cursor.arrival)
+        page = scans.readings_before_cursor(rows, cursor, 1)
+    assert seen == sorted(((s, p, k) for s in range(2) for p in range(2) for k in range(2)), reverse=True)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_cursor_is_the_same_in_every_process_zone(zone):
+    """The process zone is fixed when Python starts, hence a process of its own."""
+    code = """
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[2]").config("spark.sql.session.timeZone", "UTC").config(
+    "spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+rows = entry.queries()["readings_before_cursor"](spark, {sf!r}).collect()
+print("SEQS", [r.seq for r in rows])
+""".format(root=str(Path(__file__).resolve().parents[1]), sf=SF_DIR)
+    said = subprocess.run([sys.executable, "-c", code], env=os.environ | {"TZ": zone}, capture_output=True, text=True)
+    found = [line for line in said.stdout.splitlines() if line.startswith("SEQS")]
+    assert found, said.stderr[-500:]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF_DIR}/events.parquet'")
+    wanted = [r[0] for r in con.execute(registry.oracle_sql()["readings_before_cursor"]).fetchall()]
+    assert found[0] == f"SEQS {wanted}"
+
+
+def test_pages_of_a_table_read_only_the_days_they_need(spark, make):
+    table = HistoryTable(spark, work_dir(spark, "days")).create()
+    table.append(make([("s", i, AS_OF - timedelta(days=i), 20, 50) for i in range(40)]))
+    page = scans.readings_before(table.read(), AS_OF, 3, "s")
+    assert seqs(page) == [1, 2, 3]
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "recorded_date" in plan.split("PartitionFilters")[1].split("]")[0] and ">=" in plan
+    assert seqs(scans.readings_before(table.read(), AS_OF, 100, "s")) == list(range(1, 40))
+    assert seqs(scans.readings_after(table.read(), AS_OF - timedelta(days=5), 2, "s")) == [3, 4]
+    assert seqs(scans.latest_reading(table.read(), "s")) == [0]
+    assert scans.latest_reading(table.read(), "nobody").collect() == []
 
 
 def test_latest(make):

@@ -21,10 +21,8 @@ def daily_stats(
     bounds: ValidityBounds = DEFAULT_BOUNDS,
 ) -> DataFrame:
     """Per UTC day and sensor: min, max, average and count; newest day first. Invalid readings count too,
-    unless ``valid_only``."""
-    rows = for_sensor(df, sensor_id)
-    if start is not None and end is not None:
-        rows = between(rows, start, end)
+    unless ``valid_only``. Either bound may be absent."""
+    rows = between(for_sensor(df, sensor_id), start, end)
     if valid_only:
         rows = rows.filter(valid_filter(bounds))
     return (

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import buffer_summary
 from ..schema import BUFFER_CAPACITY, READING_COLUMNS
-from .ranking import newest_arrivals, oldest_arrivals
+from .ranking import arrival, newest_arrivals, oldest_arrivals
+
+
+def _last(df: DataFrame):
+    """Arrival as one value; a bare number keeps the aggregation on hashes."""
+    columns = arrival(df)
+    return F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
 
 
 def buffer_contents(df: DataFrame, capacity: int = BUFFER_CAPACITY, drop_oldest: bool = True) -> DataFrame:
@@ -15,11 +21,11 @@ def buffer_contents(df: DataFrame, capacity: int = BUFFER_CAPACITY, drop_oldest:
 
     A full buffer drops its oldest row, or refuses the new one.
     """
-    rows = df.select("seq", *READING_COLUMNS)
+    rows = df.select(*arrival(df), *READING_COLUMNS)
     if not drop_oldest:
         return oldest_arrivals(rows, capacity, "position")
     kept = newest_arrivals(rows, capacity, "_rank").drop("_rank")
-    position = F.row_number().over(Window.partitionBy("sensor_id").orderBy("seq"))
+    position = F.row_number().over(Window.partitionBy("sensor_id").orderBy(*arrival(df)))
     return kept.withColumn("position", position.cast("long"))
 
 
@@ -39,13 +45,13 @@ def buffer_stats(df: DataFrame, capacity: int = BUFFER_CAPACITY, drop_oldest: bo
     Push and drop times are the event times of the readings concerned.
     """
     per_sensor = df.groupBy("sensor_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.max_by("recorded_at", "seq").alias("_last_arrival"))
+        F.count(F.lit(1)).alias("_n"), F.max_by("recorded_at", _last(df)).alias("_last_arrival"))
     if drop_oldest:
         counted = per_sensor.withColumn("last_push_time", F.col("_last_arrival"))
         pushed = F.col("_n")
     else:
         last_kept = buffer_contents(df, capacity, False).groupBy("sensor_id").agg(
-            F.max_by("recorded_at", "seq").alias("last_push_time"))
+            F.max_by("recorded_at", _last(df)).alias("last_push_time"))
         counted = per_sensor.join(last_kept, "sensor_id", "left")
         pushed = F.least("_n", F.lit(capacity))
     size = F.least("_n", F.lit(capacity))

@@ -40,6 +40,12 @@ def sensor_info(
     )
 
 
+def enrich(df: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Adds location, type and version of the sensor; readings of unknown sensors stay, with nulls."""
+    described = sensors.select("sensor_id", "location", "sensor_type", "version").dropDuplicates(["sensor_id"])
+    return df.join(described, "sensor_id", "left")
+
+
 def first_seen(df: DataFrame) -> DataFrame:
     """Start time per sensor, taken from its first reading."""
     return df.groupBy("sensor_id").agg(F.min("recorded_at").alias("start_time"))

@@ -16,8 +16,13 @@ from ..functions.times import as_instant, instant_literal, truncate_second
 from ..schema import PONG_TIMEOUT_SECONDS, SILENCE_SECONDS
 
 
+def of_known_sensors(heartbeats: DataFrame) -> DataFrame:
+    """A heartbeat without a sensor id says nothing about any sensor."""
+    return heartbeats.filter(F.col("sensor_id") != "")
+
+
 def last_seen(heartbeats: DataFrame) -> DataFrame:
-    return heartbeats.groupBy("sensor_id").agg(F.max("received_at").alias("last_seen"))
+    return of_known_sensors(heartbeats).groupBy("sensor_id").agg(F.max("received_at").alias("last_seen"))
 
 
 def active_sensors(
@@ -31,7 +36,7 @@ def active_sensors(
 def _beats(heartbeats: DataFrame) -> DataFrame:
     """Distinct seconds per sensor with their count and the second before, NULL for the first."""
     seconds = (
-        heartbeats.groupBy("sensor_id", truncate_second("received_at").alias("received_at"))
+        of_known_sensors(heartbeats).groupBy("sensor_id", truncate_second("received_at").alias("received_at"))
         .agg(F.count(F.lit(1)).alias("beats"))
         .withColumn("_day", F.to_date("received_at"))
     )

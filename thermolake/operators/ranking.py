@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import SEQ_STRIDE
+from ..schema import ARRIVAL
 
-LANES = 32
-# without the cut before the shuffle (Spark applies it up to 1,000 rows per group) a hot key needs more tasks
-WIDE_LANES = 1024
-GROUP_LIMIT = 1000
-BLOCK = 1_000_000
-# for readings numbered by message (see SEQ_STRIDE): blocks of 20,000 messages
-MESSAGE_BLOCK = 20_000 * SEQ_STRIDE
+# a hot key is ranked by so many tasks before its survivors meet
+LANES = 256
+# readings of so many successive message numbers are ordered together
+BLOCK = 20_000
+
+
+def arrival(df: DataFrame) -> list[str]:
+    """The columns of the arrival order that ``df`` has."""
+    return [c for c in ARRIVAL if c in df.columns]
+
+
+def with_arrival(df: DataFrame) -> DataFrame:
+    """Adds what is missing: readings numbered one by one have position 0 of partition 0."""
+    missing = {"pos": F.lit(0).cast("long"), "part": F.lit(0)}
+    return df.withColumns({c: v for c, v in missing.items() if c not in df.columns})
 
 
 def _first_n(df: DataFrame, partition: list[str], order: list[Column], n: int, rank: str) -> DataFrame:
@@ -22,47 +30,51 @@ def _first_n(df: DataFrame, partition: list[str], order: list[Column], n: int, r
 
 
 def first_n_per_key(
-    df: DataFrame, key: str, order: list[Column], n: int, rank: str = "rank", lanes: int | None = None
+    df: DataFrame, key: str, order: list[Column], n: int, rank: str = "rank", lanes: int = LANES
 ) -> DataFrame:
-    """The first ``n`` rows of every key by ``order`` (a total order that includes ``seq``), ranked from 1.
+    """The first ``n`` rows of every key by ``order`` (a total order that includes the arrival), ranked from 1.
 
     Two levels: first within (key, lane), then within key over at most ``lanes * n`` rows. Spark cuts every
     map task to ``n`` rows per group before the shuffle (WindowGroupLimit), and a hot key is ranked by
     ``lanes`` tasks before its survivors meet.
     """
-    lanes = lanes or (LANES if n <= GROUP_LIMIT else WIDE_LANES)
-    laned = df.withColumn("_lane", F.pmod(F.xxhash64("seq"), F.lit(lanes)))
+    laned = df.withColumn("_lane", F.pmod(F.xxhash64(*arrival(df)), F.lit(lanes)))
     survivors = _first_n(laned, [key, "_lane"], order, n, "_lane_rank").drop("_lane", "_lane_rank")
     return _first_n(survivors, [key], order, n, rank).withColumn(rank, F.col(rank).cast("long"))
 
 
 def newest_arrivals(df: DataFrame, n: int, rank: str = "rank") -> DataFrame:
-    return first_n_per_key(df, "sensor_id", [F.desc("seq")], n, rank)
+    return first_n_per_key(df, "sensor_id", [F.desc(c) for c in arrival(df)], n, rank)
 
 
 def oldest_arrivals(df: DataFrame, n: int, rank: str = "rank") -> DataFrame:
-    return first_n_per_key(df, "sensor_id", [F.asc("seq")], n, rank)
+    return first_n_per_key(df, "sensor_id", [F.asc(c) for c in arrival(df)], n, rank)
 
 
 def with_block(df: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds ``_block``: ``seq`` is unique per sensor, so a (sensor, block) group holds at most ``block`` rows."""
+    """Adds ``_block``: rows of ``block`` successive message numbers. Blocks follow each other in arrival order."""
     return df.withColumn("_block", F.floor(F.col("seq") / F.lit(block)).cast("long"))
 
 
 def number_rows(df: DataFrame, keys: list[str], name: str = "row_no", block: int = BLOCK) -> DataFrame:
-    """Adds the 1-based position of every row within ``keys`` by ``seq``.
+    """Adds the 1-based position of every row within ``keys`` by arrival.
 
-    Blocks of ``seq`` are counted first (partial aggregation, one row per key and block), running totals of
-    these counts give each block its offset, and rows are only ordered within their block.
+    Blocks are counted first (partial aggregation, one row per key and block), running totals of these counts give
+    each block its offset, and rows are only ordered within their block. The totals run over groups of blocks
+    before they run over the groups, so no task sees all blocks of a key.
     """
     group = [*keys, "_block"]
     blocked = with_block(df, block)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        .select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    in_block = F.row_number().over(Window.partitionBy(*group).orderBy("seq"))
+    counts = blocked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_super", F.floor(F.col("_block") / F.lit(4096)))
+    earlier = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_super").orderBy("_block").rowsBetween(*earlier)
+    over = Window.partitionBy(*keys).orderBy("_super").rowsBetween(*earlier)
+    supers = counts.groupBy(*keys, "_super").agg(F.sum("_n").alias("_total")).select(
+        *keys, "_super", F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_start"))
+    offsets = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
+        supers, [*keys, "_super"]).select(*group, (F.col("_start") + F.col("_inside")).alias("_offset"))
+    in_block = F.row_number().over(Window.partitionBy(*group).orderBy(*arrival(df)))
     return (
         blocked.withColumn("_in_block", in_block)
         .join(offsets, group)

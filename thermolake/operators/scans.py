@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import as_instant, instant_literal
 from ..schema import HISTORY_LIMIT, HISTORY_LIMIT_MAX, READING_COLUMNS
+from .ranking import arrival
 
 Instant = datetime | str
 
 
-def _newest_first() -> list[Column]:
-    return [F.desc("recorded_at"), F.desc("seq")]
+def _newest_first(df: DataFrame) -> list[Column]:
+    return [F.desc(c) for c in ("recorded_at", *arrival(df))]
 
 
-def _oldest_first() -> list[Column]:
-    return [F.asc("recorded_at"), F.asc("seq")]
+def _oldest_first(df: DataFrame) -> list[Column]:
+    return [F.asc(c) for c in ("recorded_at", *arrival(df))]
 
 
 def clamp_limit(limit: int | str | None) -> int:
@@ -45,10 +47,14 @@ def _on_days(df: DataFrame, first: Instant | None, last: Instant | None) -> Data
     return df
 
 
-def between(df: DataFrame, start: Instant, end: Instant) -> DataFrame:
-    """Closed range on ``recorded_at``."""
-    return _on_days(df, start, end).filter(
-        F.col("recorded_at").between(instant_literal(start), instant_literal(end)))
+def between(df: DataFrame, start: Instant | None, end: Instant | None) -> DataFrame:
+    """Closed range on ``recorded_at``; an absent bound leaves that side open."""
+    rows = _on_days(df, start, end)
+    if start is not None:
+        rows = rows.filter(F.col("recorded_at") >= instant_literal(start))
+    if end is not None:
+        rows = rows.filter(F.col("recorded_at") <= instant_literal(end))
+    return rows
 
 
 def before(df: DataFrame, instant: Instant) -> DataFrame:
@@ -60,36 +66,74 @@ def after(df: DataFrame, instant: Instant) -> DataFrame:
 
 
 def _page(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    return df.select("seq", *READING_COLUMNS).orderBy(*order).limit(limit)
+    return df.select(*arrival(df), *READING_COLUMNS).orderBy(*order).limit(limit)
+
+
+def _near(rows: DataFrame, limit: int, newest: bool) -> DataFrame:
+    """On a table with days: only the days nearest to the cut that hold ``limit`` of the rows, so that a page does not
+    read every day beyond it. The span widens fourfold until the page is full or no day is left."""
+    if "recorded_date" not in rows.columns:
+        return rows
+    # only the days of the table's folders are needed here
+    ends = rows.agg(F.min("recorded_date"), F.max("recorded_date")).first()
+    if ends[0] is None:
+        return rows
+    span = 1
+    while True:
+        day = ends[1] - timedelta(days=span - 1) if newest else ends[0] + timedelta(days=span - 1)
+        edge = F.col("recorded_date") >= F.lit(day) if newest else F.col("recorded_date") <= F.lit(day)
+        limits = F.col("recorded_date").between(F.lit(ends[0]), F.lit(ends[1]))
+        found = rows.filter(edge & limits)
+        if (newest and day <= ends[0]) or (not newest and day >= ends[1]) or found.limit(limit).count() >= limit:
+            return found
+        span *= 4
 
 
 def readings_in_range(
     df: DataFrame, start: Instant, end: Instant, limit: int, sensor_id: str | None = None
 ) -> DataFrame:
     """Newest ``limit`` readings of the closed range, newest first."""
-    return _page(between(for_sensor(df, sensor_id), start, end), _newest_first(), limit)
+    return _page(between(for_sensor(df, sensor_id), start, end), _newest_first(df), limit)
 
 
 def readings_before(df: DataFrame, instant: Instant, limit: int, sensor_id: str | None = None) -> DataFrame:
     """Newest ``limit`` readings strictly before the instant, newest first."""
-    return _page(before(for_sensor(df, sensor_id), instant), _newest_first(), limit)
+    return _page(_near(before(for_sensor(df, sensor_id), instant), limit, True), _newest_first(df), limit)
 
 
 def readings_after(df: DataFrame, instant: Instant, limit: int, sensor_id: str | None = None) -> DataFrame:
     """The ``limit`` readings closest after the instant, returned newest first."""
-    return _page(after(for_sensor(df, sensor_id), instant), _oldest_first(), limit).orderBy(*_newest_first())
+    rows = _near(after(for_sensor(df, sensor_id), instant), limit, False)
+    return _page(rows, _oldest_first(df), limit).orderBy(*_newest_first(df))
 
 
-def readings_before_cursor(
-    df: DataFrame, recorded_at: Instant, seq: int, limit: int, sensor_id: str | None = None
-) -> DataFrame:
+@dataclass(frozen=True)
+class Cursor:
+    """An exact place in the order newest first. Numbers only, so no time zone can move it."""
+
+    epoch_seconds: int
+    arrival: tuple[int, ...]
+
+
+def cursor_after(page: DataFrame) -> Cursor | None:
+    """The place of the last row of a page; None for an empty one."""
+    order = arrival(page)
+    last = page.agg(F.min(F.struct(F.unix_seconds("recorded_at").alias("at"), *order)).alias("last")).first().last
+    return None if last is None else Cursor(last.at, tuple(last[c] for c in order))
+
+
+def readings_before_cursor(df: DataFrame, cursor: Cursor, limit: int, sensor_id: str | None = None) -> DataFrame:
     """Scroll back from an exact row, so that rows sharing its second are not skipped."""
-    cut = instant_literal(recorded_at)
-    rows = _on_days(for_sensor(df, sensor_id), None, recorded_at).filter(
-        (F.col("recorded_at") <= cut) & ((F.col("recorded_at") < cut) | (F.col("seq") < seq)))
-    return _page(rows, _newest_first(), limit)
+    cut = F.timestamp_seconds(F.lit(cursor.epoch_seconds))
+    day = datetime(1970, 1, 1) + timedelta(seconds=cursor.epoch_seconds)
+    later = F.lit(False)
+    for name, value in reversed(list(zip(arrival(df), cursor.arrival, strict=True))):
+        later = (F.col(name) < value) | ((F.col(name) == value) & later)
+    rows = _on_days(for_sensor(df, sensor_id), None, day).filter(
+        (F.col("recorded_at") <= cut) & ((F.col("recorded_at") < cut) | later))
+    return _page(_near(rows, limit, True), _newest_first(df), limit)
 
 
 def latest_reading(df: DataFrame, sensor_id: str) -> DataFrame:
     """Reading of the sensor with the greatest event time; no row for an unknown sensor."""
-    return _page(df.filter(F.col("sensor_id") == sensor_id), _newest_first(), 1)
+    return _page(_near(df.filter(F.col("sensor_id") == sensor_id), 1, True), _newest_first(df), 1)

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.quality import valid_filter
 from ..schema import DEFAULT_BOUNDS, LATEST_COUNT, READING_COLUMNS, RECENT_CAPACITY, ValidityBounds
 from .aggregates import one_row, recent_totals
-from .ranking import newest_arrivals
+from .ranking import arrival, newest_arrivals
 
 
 def recent_view(
     df: DataFrame, capacity: int = RECENT_CAPACITY, bounds: ValidityBounds = DEFAULT_BOUNDS
 ) -> DataFrame:
     """Everything the view holds; ``arrival_rank`` 1 is the sensor's current reading."""
-    valid = df.filter(valid_filter(bounds)).select("seq", *READING_COLUMNS)
+    valid = df.filter(valid_filter(bounds)).select(*arrival(df), *READING_COLUMNS)
     return newest_arrivals(valid, capacity, "arrival_rank")
 
 
@@ -36,8 +36,8 @@ def recent_of_sensor(
     """The newest ``n`` of one sensor by arrival, newest first."""
     return (
         df.filter((F.col("sensor_id") == sensor_id) & valid_filter(bounds))
-        .select("seq", *READING_COLUMNS)
-        .orderBy(F.desc("seq")).limit(min(n, capacity))
+        .select(*arrival(df), *READING_COLUMNS)
+        .orderBy(*[F.desc(c) for c in arrival(df)]).limit(min(n, capacity))
     )
 
 

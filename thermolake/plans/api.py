@@ -17,6 +17,7 @@ from ..functions.times import (
     parse_rfc3339_argument,
 )
 from ..operators import aggregates, inventory, latest, scans, views
+from ..operators.ranking import arrival
 from ..schema import (
     DAILY_WINDOW_DAYS,
     DEFAULT_BOUNDS,
@@ -27,6 +28,7 @@ from ..schema import (
     RECENT_CAPACITY,
     ValidityBounds,
 )
+from ..sources.history import HistoryTable
 
 When = datetime | str | None
 
@@ -78,7 +80,9 @@ class TelemetryApi:
     """Queries over a readings history; the recent view is derived from it unless one is given.
 
     ``readings`` are raw rows in any order with ``seq`` as arrival order. ``recent`` is a materialised recent
-    view, for example the one the streaming job keeps.
+    view, for example the one the streaming job keeps. ``table`` is the history table the readings come from, which
+    adds its size to the statistics. ``sensors`` lists the known sensor ids, so that a request without one reads that
+    list instead of the history.
     """
 
     def __init__(
@@ -88,7 +92,11 @@ class TelemetryApi:
         recent: DataFrame | None = None,
         capacity: int = RECENT_CAPACITY,
         bounds: ValidityBounds = DEFAULT_BOUNDS,
+        table: HistoryTable | None = None,
+        sensors: DataFrame | None = None,
     ):
+        self.table = table
+        self.known_sensors = sensors
         self.readings = readings
         self.as_of = as_instant(as_of)
         self.recent = recent
@@ -101,6 +109,8 @@ class TelemetryApi:
 
     def default_sensor(self) -> DataFrame:
         """One row: the sensor meant when a request names none."""
+        if self.known_sensors is not None:
+            return inventory.default_sensor(self.known_sensors)
         return inventory.default_sensor(*([] if self.recent is None else [self.recent]), self.readings)
 
     def _of(self, df: DataFrame, sensor_id: str | None) -> DataFrame:
@@ -150,13 +160,17 @@ class TelemetryApi:
             pages = [scans.readings_in_range(rows, first, last, k) for k in (n, n + 1)]
             return HistoryPage(pages[0], n, "database", first, last, exact_more=pages[1])
         recent = self._of(self._accepted(), sensor_id)
-        newest = recent.select("seq", *READING_COLUMNS).orderBy(F.desc("seq")).limit(min(n, self.capacity))
+        order = arrival(recent)
+        newest = recent.select(*order, *READING_COLUMNS).orderBy(*[F.desc(c) for c in order]).limit(
+            min(n, self.capacity))
         return HistoryPage(newest, n, "memory")
 
     def stats(self) -> DataFrame:
-        """One row: recent-view totals at the top level, the history's under ``database_`` names."""
+        """One row: recent-view totals at the top level, the history's under ``database_`` names, with
+        ``database_size_mb`` where the history table is known."""
+        size = [] if self.table is None else [self.table.size_mb()]
         return aggregates.one_row(
-            aggregates.fleet_totals(self.readings, self.capacity, self.bounds), views.held_bounds(self._view()))
+            aggregates.fleet_totals(self.readings, self.capacity, self.bounds), views.held_bounds(self._view()), *size)
 
     def _view(self) -> DataFrame:
         if self.recent is not None:
@@ -184,24 +198,20 @@ class TelemetryApi:
 
     def dashboard(self, sensor_id: str | None = None) -> DataFrame:
         """One row: the current reading of the asked (else the smallest) sensor from the recent view without
-        fallback, the view's totals, ``last_update`` and ``has_history``. The list of ids, which grows with
-        the fleet, is ``dashboard_sensor_ids``."""
-        per_sensor = (
-            self._accepted().groupBy("sensor_id").agg(
-                F.count(F.lit(1)).alias("n"), F.max("seq").alias("seq"),
-                *[F.max_by(c, "seq").alias(c) for c in READING_COLUMNS if c != "sensor_id"])
-        )
+        fallback, the totals since the beginning, the bounds of what the view holds, ``last_update`` and
+        ``has_history``. The list of ids, which grows with the fleet, is ``dashboard_sensor_ids``."""
+        view = self._view()
         shown = F.col("sensor_id") == sensor_id if sensor_id else F.lit(True)
         wanted = F.when(shown, F.col("sensor_id"))
-        return per_sensor.agg(
+        newest = latest.current_per_sensor(view, self.bounds)
+        current = newest.agg(
             F.min(wanted).alias("current_sensor_id"),
             *[F.min_by(c, wanted).alias(f"current_{c}") for c in READING_COLUMNS if c != "sensor_id"],
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total_readings"),
-            F.count(F.lit(1)).alias("unique_sensors"),
-            F.coalesce(F.sum(F.least("n", F.lit(self.capacity))), F.lit(0)).alias("current_readings"),
             instant_literal(self.as_of).alias("last_update"),
             F.lit(True).alias("has_history"),
         )
+        return aggregates.one_row(
+            current, aggregates.recent_totals(self.readings, self.capacity, self.bounds), views.held_bounds(view))
 
     def dashboard_sensor_ids(self) -> DataFrame:
         return self._accepted().select("sensor_id").distinct().orderBy("sensor_id")

@@ -33,8 +33,11 @@ LATEST_SENSOR = "pi-sensor-01"
 ZERO_TIME = "0001-01-01 00:00:00"
 # -----------------------------------------------------------------------------
 
-# Every decoded reading is numbered message_seq * SEQ_STRIDE + position in the message.
-SEQ_STRIDE = 1 << 20
+# Arrival order: message number, position in the message, broker partition. A frame may hold only the first of them.
+ARRIVAL = ("seq", "pos", "part")
+
+# how far ahead of its arrival a reading may be dated before a live view leaves it out
+CLOCK_TOLERANCE_SECONDS = 3600
 
 
 @dataclass(frozen=True)
@@ -53,12 +56,15 @@ READING_COLUMNS = ["sensor_id", "recorded_at", "humidity", "temperature"]
 
 MESSAGE_LOG = T.StructType([
     T.StructField("seq", T.LongType(), False),
+    T.StructField("part", T.IntegerType(), True),
     T.StructField("received_at", T.TimestampType(), False),
     T.StructField("value", T.StringType(), True),
 ])
 
 READINGS = T.StructType([
     T.StructField("seq", T.LongType(), False),
+    T.StructField("pos", T.LongType(), False),
+    T.StructField("part", T.IntegerType(), False),
     T.StructField("sensor_id", T.StringType(), False),
     T.StructField("temperature", T.DoubleType(), False),
     T.StructField("humidity", T.DoubleType(), False),
@@ -74,6 +80,7 @@ READINGS_STORED = T.StructType(READINGS.fields + [
 
 HEARTBEATS = T.StructType([
     T.StructField("seq", T.LongType(), False),
+    T.StructField("part", T.IntegerType(), False),
     T.StructField("sensor_id", T.StringType(), False),
     T.StructField("uptime", T.LongType(), False),
     T.StructField("buffer_size", T.LongType(), False),
@@ -82,12 +89,14 @@ HEARTBEATS = T.StructType([
 
 QUARANTINE = T.StructType([
     T.StructField("seq", T.LongType(), False),
+    T.StructField("part", T.IntegerType(), False),
     T.StructField("value", T.StringType(), True),
     T.StructField("reason", T.StringType(), False),
     T.StructField("received_at", T.TimestampType(), False),
 ])
 
 WRITE_LEDGER = T.StructType([
+    T.StructField("job", T.StringType(), False),
     T.StructField("batch_id", T.LongType(), False),
     T.StructField("rows_written", T.LongType(), False),
     T.StructField("status", T.StringType(), False),

@@ -1,6 +1,7 @@
 """JSON message codec: envelope parsing, routing, payload decoding and encoding.
 
-A wrong JSON type rejects the payload; an absent or null field takes its zero value; keys are matched exactly.
+A wrong JSON type rejects the payload; an absent or null field takes its zero value; keys are matched in any letter
+case.
 Clean messages are read by one ``from_json``. Whatever that cannot vouch for (a corrupt record, an unknown
 type, a null payload) is read again as VARIANT, where the JSON type of every field is known.
 """
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import parse_rfc3339, rfc3339, truncate_second, zero_time
-from ..schema import CLIENT_TYPES, MESSAGE_TYPES, SEQ_STRIDE, SERVER_TYPES
+from ..schema import CLIENT_TYPES, MESSAGE_TYPES, SERVER_TYPES
 
 # ---- encoding ---------------------------------------------------------------
 
@@ -40,6 +41,24 @@ def encode_message(message_type: str, payload: Column, sent_at: Column) -> Colum
         F.lit(message_type).alias("type"), payload.alias("payload"), rfc3339(sent_at).alias("timestamp")))
 
 
+# ---- keys -------------------------------------------------------------------
+
+# fixed values: the keys of all messages
+KEYS = ("type", "payload", "timestamp", "sensor_id", "humidity", "temperature", "readings", "count", "uptime",
+        "buffer_size", "message_id", "status", "code", "message", "read_interval")
+# an unescaped quote opens no string inside a string, so such a match is a key
+_KEY = r'(?<!\\)"(?i:{})"(?=\s*:)'
+_MISCASED = r'(?<!\\)"(?=[^"]*[A-Z])(?i:' + "|".join(KEYS) + r')"\s*:'
+
+
+def with_plain_keys(value: Column) -> Column:
+    """The text with all known keys in lower case."""
+    plain = value
+    for key in KEYS:
+        plain = F.regexp_replace(plain, _KEY.format(key), f'"{key}"')
+    return F.when(value.rlike(_MISCASED), plain).otherwise(value)
+
+
 # ---- field access -----------------------------------------------------------
 
 
@@ -166,7 +185,6 @@ _STRICT = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"
 
 def _outcome(kind, readings, count, sensor_id, uptime, buffer_size, problem) -> Column:
     zero = F.lit(0).cast("long")
-    too_long = F.coalesce(F.size(readings) > SEQ_STRIDE, F.lit(False))
     return F.struct(
         kind.alias("type"),
         F.when(kind.isin(*SERVER_TYPES), kind).otherwise(F.lit("unknown")).alias("route"),
@@ -174,7 +192,7 @@ def _outcome(kind, readings, count, sensor_id, uptime, buffer_size, problem) ->
         F.coalesce(count, zero).alias("declared_count"),
         F.struct(F.coalesce(sensor_id, F.lit("")).alias("sensor_id"), F.coalesce(uptime, zero).alias("uptime"),
                  F.coalesce(buffer_size, zero).alias("buffer_size")).alias("heartbeat"),
-        F.coalesce(problem, F.when(too_long, F.lit("batch_too_long"))).alias("problem"),
+        problem.alias("problem"),
     )
 
 
@@ -193,8 +211,8 @@ def _clean_reading(r: Column) -> Column:
 
 
 def parse_envelopes(log: DataFrame, exact: bool = False) -> DataFrame:
-    """Message log (seq, received_at, value) to (seq, received_at, value, type, route, readings, declared_count,
-    heartbeat, problem).
+    """Message log (seq, received_at, value, and part where the log has partitions) to (seq, part, received_at,
+    value, type, route, readings, declared_count, heartbeat, problem).
 
     ``route`` is reading, batch, heartbeat, or unknown for every other type. ``readings`` holds the decoded
     readings of reading and batch messages. ``problem`` says why nothing can be taken from the message; such
@@ -204,28 +222,34 @@ def parse_envelopes(log: DataFrame, exact: bool = False) -> DataFrame:
     single = F.struct(*[payload[c].alias(c) for c in ("sensor_id", "timestamp", "humidity", "temperature")])
     elements = F.when(kind == "reading", F.array(single)).when(kind == "batch", payload["readings"])
     readable = (
-        F.lit(not exact) & F.col("_fast._corrupt").isNull() & F.ltrim("value").startswith("{")
+        F.lit(not exact) & F.col("_fast._corrupt").isNull() & F.ltrim("_json").startswith("{")
         & kind.isin(*MESSAGE_TYPES) & payload.isNotNull()
         & (F.col("_fast.timestamp").isNull() | parse_rfc3339("_fast.timestamp").isNotNull())
         & F.forall(F.coalesce("_clean", F.array()), lambda r: r["ok"])
         & ((kind != "heartbeat") | _kind(payload["sensor_id"]).isin("VOID", "STRING"))
     )
     typed = (
-        log.withColumn("_fast", F.from_json("value", _ENVELOPE, _STRICT))
+        log.withColumn("_json", with_plain_keys(F.col("value")))
+        .withColumn("_fast", F.from_json("_json", _ENVELOPE, _STRICT))
         .withColumn("_clean", F.transform(elements, _clean_reading))
         .withColumn("_doubtful", ~F.coalesce(readable, F.lit(False)))
-        .withColumn("_message", F.when(F.col("_doubtful"), F.try_parse_json("value")))
+        .withColumn("_message", F.when(F.col("_doubtful"), F.try_parse_json("_json")))
     )
     plain = _outcome(
         kind, F.col("_clean"), payload["count"], _field(payload["sensor_id"], "$", "string"), payload["uptime"],
         payload["buffer_size"], F.when(~kind.isin(*SERVER_TYPES), F.lit("unknown_type")))
     # a generator of one row keeps later filters from being moved before it, where they would parse again
     return _read_exactly(typed).select(
-        "seq", "received_at", "value", F.inline(F.array(F.coalesce("_exact", plain))))
+        "seq", _part(log).alias("part"), "received_at", "value", F.inline(F.array(F.coalesce("_exact", plain))))
+
+
+def _part(log: DataFrame) -> Column:
+    return F.coalesce("part", F.lit(0)) if "part" in log.columns else F.lit(0)
 
 
 def decode_readings(messages: DataFrame) -> DataFrame:
-    """Readings of all reading and batch messages, one row each.
+    """Readings of all reading and batch messages, one row each, with their arrival: message number, position in
+    the message, partition.
 
     ``count_matches`` compares a batch's declared count with what it holds; the count is never trusted.
     """
@@ -233,30 +257,29 @@ def decode_readings(messages: DataFrame) -> DataFrame:
     return (
         messages.filter(F.col("problem").isNull())
         .select(
-            F.col("seq").alias("message_seq"), "received_at", count_matches.alias("count_matches"),
+            "seq", "part", "received_at", count_matches.alias("count_matches"),
             F.posexplode("readings").alias("pos", "_reading"))
         .select(
-            (F.col("message_seq") * SEQ_STRIDE + F.col("pos")).alias("seq"),
-            "message_seq", "pos", "received_at", "count_matches",
+            "seq", F.col("pos").cast("long").alias("pos"), "part", "received_at", "count_matches",
             *[F.col(f"_reading.{c}").alias(c) for c in ("sensor_id", "recorded_at", "humidity", "temperature")])
     )
 
 
 def decode_heartbeats(messages: DataFrame) -> DataFrame:
     return messages.filter(F.col("problem").isNull() & (F.col("route") == "heartbeat")).select(
-        "seq", "heartbeat.*", truncate_second("received_at").alias("received_at"))
+        "seq", "part", "heartbeat.*", truncate_second("received_at").alias("received_at"))
 
 
 def quarantined(messages: DataFrame) -> DataFrame:
     return messages.filter(F.col("problem").isNotNull()).select(
-        "seq", "value", F.col("problem").alias("reason"), "received_at")
+        "seq", "part", "value", F.col("problem").alias("reason"), "received_at")
 
 
 def decode_control(messages: DataFrame) -> dict[str, DataFrame]:
     """Client side of the log: typed ack, error and config messages."""
     payload = F.col("_payload")
     logged = messages.filter(F.col("problem") == "unknown_type").withColumn(
-        "_payload", _field(F.try_parse_json("value"), "$.payload", "variant"))
+        "_payload", _field(F.try_parse_json(with_plain_keys(F.col("value"))), "$.payload", "variant"))
     fields = {
         "ack": [(n, _is_text, _text) for n in ("message_id", "status")],
         "error": [(n, _is_text, _text) for n in ("code", "message")],
@@ -271,5 +294,5 @@ def decode_control(messages: DataFrame) -> dict[str, DataFrame]:
             good = good & check(payload, f"$.{name}")
         rows = rows.filter(F.is_variant_null(payload) | F.coalesce(good, F.lit(False)))
         decoded[kind] = rows.select(
-            "seq", "received_at", *[get(payload, f"$.{name}").alias(name) for name, _, get in fields[kind]])
+            "seq", "part", "received_at", *[get(payload, f"$.{name}").alias(name) for name, _, get in fields[kind]])
     return decoded

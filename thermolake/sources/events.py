@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.times import as_instant, truncate_second
 from ..operators.inventory import first_seen
 from ..operators.packing import pack_batches
-from ..session import use_utc
+from ..session import use_utc, work_dir
 from .envelopes import batch_payload, encode_message, heartbeat_payload, reading_payload
 
 
@@ -62,10 +62,16 @@ def load_readings(
     return _readings(events)
 
 
-def stream_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same mapping over a file stream. The glob also matches a folder of part files."""
-    schema = use_utc(spark).read.parquet(_events_path(sf_dir)).schema
-    return _readings(spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/event[s].parquet"))
+def stream_readings(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
+    """The same mapping over a file stream: the table is dealt to ``files`` files, one for each micro-batch, so that
+    state and results cross batches. Each reading arrives at its own time."""
+    events = use_utc(spark).read.parquet(_events_path(sf_dir))
+    path = work_dir(spark, "event-files")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(files))
+    for i in range(files):  # a file each, in this order
+        events.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _readings(stream).withColumn("received_at", F.col("recorded_at"))
 
 
 def load_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +94,7 @@ def heartbeat_times(readings: DataFrame) -> DataFrame:
 
 def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelope strings: clicks and purchases as single readings, views packed into batches, signups as
-    heartbeats, errors as error messages."""
+    heartbeats, errors as error messages, and for every ninth error also an ack and a config message."""
     rows = load_readings(spark, sf_dir)
     single = rows.filter(F.col("event_type").isin("click", "purchase")).select(
         "seq", F.col("recorded_at").alias("received_at"),
@@ -101,9 +107,20 @@ def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     heartbeat = load_heartbeats(spark, sf_dir).select(
         "seq", "received_at",
         encode_message("heartbeat", heartbeat_payload(), F.col("received_at")).alias("value"))
-    error = rows.filter(F.col("event_type") == "error").select(
-        "seq", F.col("recorded_at").alias("received_at"),
-        encode_message(
-            "error", F.struct(F.concat(F.lit("E"), F.col("level")).alias("code"),
-                              F.col("sensor_id").alias("message")), F.col("recorded_at")).alias("value"))
-    return single.union(batch).union(heartbeat).union(error)
+    return single.union(batch).union(heartbeat).union(control_log(rows))
+
+
+def control_log(rows: DataFrame) -> DataFrame:
+    """Messages to the client: an error per error event; an ack where its level divides by 9, a config by 11."""
+    errors = rows.filter(F.col("event_type") == "error")
+    code = F.concat(F.lit("E"), F.col("level"))
+
+    def said(kind: str, payload: Column, chosen: DataFrame) -> DataFrame:
+        return chosen.select("seq", F.col("recorded_at").alias("received_at"),
+                             encode_message(kind, payload, F.col("recorded_at")).alias("value"))
+
+    return said("error", F.struct(code.alias("code"), F.col("sensor_id").alias("message")), errors).union(
+        said("ack", F.struct(F.concat(F.lit("m"), F.col("seq")).alias("message_id"), F.lit("ok").alias("status")),
+             errors.filter("level % 9 = 0"))).union(
+        said("config", F.struct(F.col("level").alias("read_interval"), F.lit(50).alias("buffer_size"), "sensor_id"),
+             errors.filter("level % 11 = 0")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import as_instant, instant_literal, truncate_second
 from ..operators.aggregates import one_row, storage_stats
+from ..operators.ranking import with_arrival
 from ..schema import READINGS_STORED
 from ..session import child_names, delete_path, path_exists, use_utc
 
@@ -29,6 +30,7 @@ class HistoryTable:
         self.spark = use_utc(spark)
         self.path = path.rstrip("/")
         self._staging = f"{self.path}__staging"
+        self._merged = f"{self.path}__merged"
         self._replaced = f"{self.path}__replaced"
 
     def create(self) -> HistoryTable:
@@ -41,23 +43,34 @@ class HistoryTable:
         return self.spark.read.schema(READINGS_STORED).parquet(self.path)
 
     def append(self, readings: DataFrame, load_id: str | None = None) -> str:
-        """Appends readings without validating them; ``recorded_at`` is cut to the second.
+        """Appends readings without validating them; ``recorded_at`` is cut to the second. Readings numbered one by
+        one may lack ``pos`` and ``part``.
 
-        Rows are gathered by day and sorted by sensor and time within files, which narrows the min/max
-        ranges of row groups. Rebalancing splits a day that is too large for one file and joins small ones.
+        Files hold ranges of days, sensors and times, so their min/max values prune. A load that is written again
+        replaces itself; days of it that were merged into another load meanwhile are left out.
         """
         load_id = load_id or uuid.uuid4().hex
         recorded_at = truncate_second("recorded_at")
-        rows = readings.select(
-            "seq", "sensor_id", "temperature", "humidity",
+        rows = with_arrival(readings).select(
+            "seq", "pos", "part", "sensor_id", "temperature", "humidity",
             recorded_at.alias("recorded_at"),
             F.current_timestamp().alias("created_at"),
             F.to_date(recorded_at).alias("recorded_date"),
             F.lit(load_id).alias("load_id"),
         )
+        held = self._merged_days(load_id)
+        if held:
+            rows = rows.filter(~F.col("recorded_date").isin(held))
         write_loads(_sorted(rows), self.path, "recorded_date", "load_id")
         return load_id
 
+    def _merged_days(self, load_id: str) -> list[date]:
+        """Days whose rows of this load already lie in a merged load."""
+        if not path_exists(self.spark, self._merged):
+            return []
+        known = self.spark.read.schema("day date, load_id string").parquet(self._merged)
+        return [r.day for r in known.filter(F.col("load_id") == load_id).select("day").distinct().collect()]
+
     def size_mb(self) -> DataFrame:
         """One row with the table's size. Only file names and lengths are read."""
         files = (
@@ -110,14 +123,19 @@ class HistoryTable:
     # ---- compaction ---------------------------------------------------------
 
     def compact_day(self, day: date | str) -> None:
-        """Merges the loads of a closed day into one. Loads that arrive meanwhile are left alone.
+        """Merges the loads of a closed day into one. Loads that arrive meanwhile are left alone. Which loads went
+        in is recorded first, so that a micro-batch run again after a failure adds nothing twice.
 
         Readers of that day must wait until it returns; an interrupted run is finished by the next one.
         """
         self._finish_rewrite()
         day_dir = f"{self.path}/{_day_dir(day)}"
-        dirs = [f"{day_dir}/{name}" for name in child_names(self.spark, day_dir) if name.startswith("load_id=")]
+        names = [n for n in child_names(self.spark, day_dir) if n.startswith("load_id=")]
+        dirs = [f"{day_dir}/{name}" for name in names]
         if len(dirs) > 1:
+            self.spark.createDataFrame([(str(day), n.removeprefix("load_id=")) for n in names], "day string, load_id string"
+                                       ).select(F.to_date("day").alias("day"), "load_id").coalesce(1).write.mode(
+                "append").parquet(self._merged)
             self._rewrite(self._read_dirs(dirs).withColumn("load_id", F.lit(f"merged-{uuid.uuid4().hex}")), dirs)
 
     # ---- rewriting ----------------------------------------------------------
@@ -149,9 +167,9 @@ def _day_dir(day: date | str) -> str:
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    """Gathered by load, with files cut to size, and sorted by sensor and time within them."""
+    """Each file holds a range of days, loads, sensors and times; a sensor with very many rows spans several."""
     return (
         rows.select(*READINGS_STORED.names)
-        .hint("rebalance", F.col("recorded_date"), F.col("load_id"))
+        .repartitionByRange("recorded_date", "load_id", "sensor_id", "recorded_at")
         .sortWithinPartitions("recorded_date", "load_id", "sensor_id", "recorded_at")
     )
