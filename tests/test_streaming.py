@@ -33,9 +33,9 @@ def stream(spark, path, schema=READING):
 
 
 def drain(spark, view, keys):
-    path = work_dir(spark, "view")
-    live.start_view(view, path, work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
-    return live.read_newest(spark, path, view.schema, keys)
+    table = live.view_table(spark, work_dir(spark, "view"), view.schema, keys)
+    live.start_view(view, table, work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
+    return table.read()
 
 
 def rows_of(df):
@@ -67,24 +67,45 @@ def test_recent_view_stream_equals_batch(spark, thirds, reverse):
     assert rows_of(view.read().select(*columns)) == rows_of(views.recent_view(rows, 8).select(*columns))
 
 
-def test_recent_view_versions(spark, make):
-    view = RecentViewTable(spark, work_dir(spark, "recent"), 3, keep_versions=2)
+def test_recent_view_batches(spark, make):
+    view = RecentViewTable(spark, work_dir(spark, "recent"), 3)
     assert view.read().count() == 0
     batches = [make([("s", 10 * n + i, minutes_ago(0), 20, 50) for i in range(2)]) for n in range(5)]
     for n, batch in enumerate(batches):
-        view.merge(batch, n)
-        view.merge(batch, n)
+        view.merge(batch, n, "job")
+        view.merge(batch, n, "job")
     assert sorted(r.seq for r in view.read().collect()) == [31, 40, 41]
-    assert sorted(child_names(spark, view.path)) == ["version-3", "version-4"]
-    # a version without its success mark is not read, and is written again
-    delete_path(spark, f"{view.path}/version-4/_SUCCESS")
+    # a merge whose manifest is incomplete is not seen, and is done again
+    newest = max(int(n.removeprefix("manifest-")) for n in child_names(spark, view.table.path) if n.startswith("manifest-"))
+    delete_path(spark, f"{view.table.path}/manifest-{newest}/_SUCCESS")
     assert sorted(r.seq for r in view.read().collect()) == [21, 30, 31]
-    view.merge(batches[4], 4)
+    view.merge(batches[4], 4, "job")
     assert sorted(r.seq for r in view.read().collect()) == [31, 40, 41]
     view.clear()
     assert view.read().count() == 0
 
 
+def test_fresh_checkpoint_does_not_make_the_view_stale(spark, make):
+    view = RecentViewTable(spark, work_dir(spark, "recent"), 3)
+    for n in range(8):
+        view.merge(make([("s", n, minutes_ago(0), 20, 50)]), n, "first")
+    view.merge(make([("s", 100, minutes_ago(0), 20, 50), ("t", 101, minutes_ago(0), 20, 50)]), 0, "second")
+    assert sorted(r.seq for r in view.read().collect()) == [6, 7, 100, 101]
+
+
+def test_only_touched_buckets_are_written_and_old_folders_go_by_age(spark, make):
+    view = RecentViewTable(spark, work_dir(spark, "recent"), 3, buckets=8, keep_seconds=0)
+    view.merge(make([(f"s{i}", i, minutes_ago(0), 20, 50) for i in range(40)]), 0, "job")
+    view.merge(make([("s1", 100, minutes_ago(0), 20, 50)]), 1, "job")
+    newest = f"{view.table.path}/version-2"
+    assert len([n for n in child_names(spark, newest) if n.startswith("_bucket")]) == 1
+    assert view.read().count() == 41
+    for n in range(2, 6):
+        view.merge(make([(f"s{i}", 100 * n + i, minutes_ago(0), 20, 50) for i in range(40)]), n, "job")
+    kept = sorted(child_names(spark, view.table.path))
+    assert kept == ["manifest-6", "version-6"], kept
+
+
 def test_last_seen_stream(spark, thirds):
     rows, parts = thirds
     schema = "event_type string, sensor_id string, recorded_at timestamp"
@@ -102,8 +123,35 @@ def test_one_wrong_clock_does_not_drop_good_rows(spark, make):
     count = lambda df: sum(r.reading_count for r in df.collect())
     guarded = live.live_daily_stats(stream(spark, path), 30, clock_tolerance_seconds=3600)
     assert count(drain(spark, guarded, ["date", "sensor_id"])) == 10
-    unguarded = live.live_daily_stats(stream(spark, path), 30)
-    assert count(drain(spark, unguarded, ["date", "sensor_id"])) < 11
+    by_default = live.live_daily_stats(stream(spark, path), 30)
+    assert count(drain(spark, by_default, ["date", "sensor_id"])) == 10
+
+
+def test_rows_ahead_of_the_clock_are_counted(spark, make):
+    rows = make([("s", 1, AS_OF + timedelta(days=365), 20, 50), ("s", 2, AS_OF, 20, 50)]).withColumn(
+        "received_at", F.lit(AS_OF))
+    view = live.live_daily_stats(stream(spark, write_files(spark, [rows])))
+    table = live.view_table(spark, work_dir(spark, "view"), view.schema, ["date", "sensor_id"])
+    query = live.start_view(view, table, work_dir(spark, "checkpoint"), available_now=True)
+    query.awaitTermination()
+    seen = [p["observedMetrics"].get("ahead_of_clock") for p in query.recentProgress]
+    assert sum(m["rows"] for m in seen if m) == 1
+
+
+def test_result_table_does_not_grow_with_batches(spark, thirds):
+    rows, parts = thirds
+    for frames in ([rows], parts):
+        view = live.live_last_seen(heartbeat_times(stream(spark, write_files(spark, frames),
+                                                          "event_type string, sensor_id string, recorded_at timestamp")))
+        found = drain(spark, view, ["sensor_id"])
+        assert found.count() == heartbeat_times(rows).select("sensor_id").distinct().count()
+
+
+def test_empty_sensor_id_is_nobody(spark, make):
+    rows = make([("", 1, AS_OF, 20, 50), ("s", 2, AS_OF, 20, 50)]).withColumn("event_type", F.lit("signup"))
+    view = live.live_last_seen(heartbeat_times(stream(
+        spark, write_files(spark, [rows]), "event_type string, sensor_id string, recorded_at timestamp")))
+    assert [r.sensor_id for r in drain(spark, view, ["sensor_id"]).collect()] == ["s"]
 
 
 def split_log(spark, log, n):
@@ -111,8 +159,8 @@ def split_log(spark, log, n):
 
 
 def test_ingest_end_to_end(spark):
-    log = message_log(spark, SF_DIR).cache()
-    extra = spark.createDataFrame([(10**6, AS_OF, "{broken"), (10**6 + 1, AS_OF, '{"type":"config","payload":{}}')], log.schema)
+    log = message_log(spark, SF_DIR).withColumn("part", F.lit(0)).select("seq", "part", "received_at", "value").cache()
+    extra = spark.createDataFrame([(10**6, 0, AS_OF, "{broken"), (10**6 + 1, 0, AS_OF, '{"type":"config","payload":{}}')], log.schema)
     path = split_log(spark, log.union(extra), 3)
     tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"))
     view = RecentViewTable(spark, work_dir(spark, "recent"), 4)
@@ -126,7 +174,8 @@ def test_ingest_end_to_end(spark):
     assert rows_of(tables.history.read().select(*columns)) == rows_of(decoded.select(*columns))
     assert tables.heartbeats().count() == rows.filter("event_type = 'signup'").count()
     reasons = {r.reason: r["count"] for r in tables.quarantine().groupBy("reason").count().collect()}
-    assert reasons == {"bad_envelope": 1, "unknown_type": rows.filter("event_type = 'error'").count() + 1}
+    control = [rows.filter(f"event_type = 'error' AND level % {n} = 0").count() for n in (1, 9, 11)]
+    assert reasons == {"bad_envelope": 1, "unknown_type": sum(control) + 1}
     stats = ingest.write_stats(tables.ledger()).first()
     assert (stats.total_written, stats.total_batches, stats.total_errors) == (decoded.count(), 3, 0)
     assert stats.last_write_time is not None
@@ -178,3 +227,50 @@ def test_failed_batch_is_counted_then_succeeds(spark, log):
 def test_fresh_tables_are_empty(spark):
     tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"))
     assert tables.heartbeats().count() == tables.quarantine().count() == tables.ledger().count() == 0
+
+
+def test_two_jobs_and_a_fresh_checkpoint_lose_nothing(spark, log):
+    tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"))
+    first = log([envelope(i, minutes_ago(i)) for i in range(5)]).coalesce(1)
+    second = log([envelope(100 + i, minutes_ago(i)) for i in range(3)]).coalesce(1)
+    for rows in (first, second):
+        path = work_dir(spark, "log")
+        rows.write.json(path)
+        ingest.start_ingest(ingest.read_log_files(spark, path), tables, work_dir(spark, "checkpoint"),
+                            available_now=True).awaitTermination()
+    assert tables.history.read().count() == 8
+    assert ingest.write_stats(tables.ledger()).first().total_batches == 2
+
+
+def test_compaction_survives_a_batch_run_again(spark, log):
+    tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"))
+    batches = [log([envelope(10 * b + i, AS_OF - timedelta(days=3 + i)) for i in range(3)]) for b in range(3)]
+    for n, batch in enumerate(batches):
+        ingest.write_batch(tables, batch, n, job="job")
+    for day in (28, 27, 26):
+        tables.history.compact_day(f"2024-01-{day}")
+    ingest.write_batch(tables, batches[2], 2, job="job")
+    assert tables.history.read().count() == 9
+
+
+def test_every_failure_is_counted(spark, log):
+    tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"))
+
+    def fail(df, batch_id):
+        raise RuntimeError("view is down")
+
+    for _ in range(2):
+        with pytest.raises(RuntimeError, match="view is down"):
+            ingest.write_batch(tables, log([envelope(1, minutes_ago(0))]), 0, fail)
+    assert ingest.write_stats(tables.ledger()).first().total_errors == 2
+
+
+def test_backlog_is_what_is_not_taken_yet():
+    class Query:
+        lastProgress = {"sources": [{"latestOffset": '{"t": {"0": 50, "1": 7}}', "endOffset": {"t": {"0": 40, "1": 7}}}]}
+
+    assert ingest.queue_length(Query()) == 10
+    Query.lastProgress = {"sources": [{"latestOffset": None, "endOffset": {"logOffset": 3}}]}
+    assert ingest.queue_length(Query()) is None
+    Query.lastProgress = None
+    assert ingest.queue_length(Query()) == 0

@@ -66,27 +66,6 @@ def _record(spark, path, run_id, as_of, days, deleted, status) -> None:
     write_loads(row, path, "run_id")
 
 
-def planned_runs(df: DataFrame, first_run: datetime | str, runs: int, every_seconds: int, days: int) -> DataFrame:
-    """The ledger that ``runs`` cleanups at fixed times would write for data that is already there: each
-    reading is deleted by the first run whose cutoff lies after it."""
-    first = as_instant(first_run)
-    first_cutoff = instant_literal(first - timedelta(days=days))
-    behind = F.unix_seconds("recorded_at") - F.unix_seconds(first_cutoff)
-    run_no = F.greatest(F.floor(behind / F.lit(every_seconds)) + 1, F.lit(0)).cast("long")
-    deleted = (
-        df.select(run_no.alias("run_no")).filter(F.col("run_no") < runs)
-        .groupBy("run_no").agg(F.count(F.lit(1)).alias("deleted"))
-    )
-    schedule = df.sparkSession.range(runs).select(F.col("id").alias("run_no"))
-    return schedule.join(deleted, "run_no", "left").select(
-        F.col("run_no").cast("string").alias("run_id"),
-        F.timestamp_seconds(F.unix_seconds(instant_literal(first)) + F.col("run_no") * every_seconds).alias("run_at"),
-        F.lit(days).alias("retention_days"),
-        F.coalesce("deleted", F.lit(0)).alias("deleted"),
-        F.lit("ok").alias("status"),
-    )
-
-
 def retention_stats(ledger: DataFrame, days: int = RETENTION_DAYS) -> DataFrame:
     """One row of totals. A failed run counts as a cleanup but leaves the last delete count."""
     succeeded = F.when(F.col("status") == "ok", F.col("run_at"))

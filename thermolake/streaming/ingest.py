@@ -1,11 +1,14 @@
 """Micro-batched ingest: message log in, history, heartbeats, quarantine and write ledger out.
 
-Every table is partitioned by load, and a micro-batch always writes the same load, so a batch that is run
-again after a failure replaces its own rows.
+Every table is partitioned by load. A load is named after the job (the id that its checkpoint gives the streaming
+query) and the micro-batch: a batch that is run again after a failure replaces its own rows, and another job, or the
+same one with a fresh checkpoint, replaces nothing.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,7 @@ from ..schema import FLUSH_SECONDS, HEARTBEATS, MESSAGE_LOG, QUARANTINE, WRITE_L
 from ..session import path_exists, use_utc
 from ..sources.envelopes import decode_heartbeats, decode_readings, parse_envelopes, quarantined
 from ..sources.history import HistoryTable, write_loads
+from .tables import job_of
 
 OnValid = Callable[[DataFrame, int], None]
 
@@ -30,10 +34,14 @@ def read_log_files(spark: SparkSession, path: str, max_files_per_trigger: int |
 
 
 def from_broker(records: DataFrame) -> DataFrame:
-    """Broker records (value, offset, timestamp) to the message log. Records keyed by sensor share a
-    partition, so offsets follow each sensor's arrival order."""
+    """Broker records (value, partition, offset, timestamp) to the message log. Records keyed by sensor share a
+    partition, so offsets follow each sensor's arrival order. Offsets repeat between partitions, hence ``part``.
+
+    Give the reader ``maxOffsetsPerTrigger``: it bounds a micro-batch as the writer's queue bounds its own.
+    """
+    part = F.col("partition") if "partition" in records.columns else F.lit(0)
     return records.select(
-        F.col("offset").alias("seq"), F.col("timestamp").alias("received_at"),
+        F.col("offset").alias("seq"), part.cast("int").alias("part"), F.col("timestamp").alias("received_at"),
         F.col("value").cast("string").alias("value"))
 
 
@@ -64,10 +72,12 @@ class TelemetryTables:
         return self._read(self.ledger_path, WRITE_LEDGER)
 
 
-def write_batch(tables: TelemetryTables, log: DataFrame, batch_id: int, on_valid: OnValid | None = None) -> None:
+def write_batch(tables: TelemetryTables, log: DataFrame, batch_id: int, on_valid: OnValid | None = None,
+                job: str | None = None) -> None:
     """One micro-batch: all decoded readings go to the history, the valid ones also to ``on_valid``."""
     spark = log.sparkSession
-    load_id = f"batch-{batch_id}"
+    job = job or job_of(log)
+    load_id = f"{job}-{batch_id}"
     history = HistoryTable(spark, tables.history.path)
     parsed = parse_envelopes(log).persist()
     try:
@@ -80,19 +90,22 @@ def write_batch(tables: TelemetryTables, log: DataFrame, batch_id: int, on_valid
             write_loads(rows.withColumn("load_id", F.lit(load_id)), path, "load_id")
         if on_valid is not None:
             on_valid(readings.filter(valid_filter()), batch_id)
-        _record(spark, tables.ledger_path, batch_id, readings.count(), "ok")
-    except Exception:
-        _record(spark, tables.ledger_path, batch_id, 0, "error")
+        _record(spark, tables.ledger_path, job, batch_id, readings.count(), "ok", load_id)
+    except Exception as failure:
+        try:  # every failure is an entry of its own
+            _record(spark, tables.ledger_path, job, batch_id, 0, "error", f"{load_id}-{uuid.uuid4().hex}")
+        except Exception as second:
+            failure.add_note(f"the failure could not be recorded: {second}")
         raise
     finally:
         parsed.unpersist()
 
 
-def _record(spark: SparkSession, path: str, batch_id: int, rows: int, status: str) -> None:
+def _record(spark: SparkSession, path: str, job: str, batch_id: int, rows: int, status: str, entry: str) -> None:
     row = spark.range(1).select(
-        F.lit(batch_id).cast("long").alias("batch_id"), F.lit(rows).cast("long").alias("rows_written"),
+        F.lit(entry).alias("entry"), F.lit(job).alias("job"), F.lit(batch_id).cast("long").alias("batch_id"), F.lit(rows).cast("long").alias("rows_written"),
         F.lit(status).alias("status"), F.current_timestamp().alias("written_at"))
-    write_loads(row, path, "batch_id", "status")
+    write_loads(row, path, "entry")
 
 
 def start_ingest(
@@ -124,7 +137,27 @@ def write_stats(ledger: DataFrame) -> DataFrame:
     )
 
 
-def queue_length(query: StreamingQuery) -> int:
-    """Input rows of the trigger in progress or last finished: the job's view of its backlog."""
+def _offset_sum(offsets) -> int | None:
+    """Sum of a source's offsets: {topic: {partition: offset}} or a single number; None for anything else."""
+    offsets = json.loads(offsets) if isinstance(offsets, str) else offsets
+    if isinstance(offsets, int):
+        return offsets
+    if isinstance(offsets, dict):
+        parts = [_offset_sum(v) for v in offsets.values()]
+        return None if any(p is None for p in parts) else sum(parts)
+    return None
+
+
+def queue_length(query: StreamingQuery) -> int | None:
+    """Records that have arrived and are not taken yet: latest less processed offsets over all sources. None where a
+    source doesn't report its latest offset, as file sources don't."""
     progress = query.lastProgress
-    return int(progress["numInputRows"]) if progress else 0
+    if not progress:
+        return 0
+    total = 0
+    for source in progress["sources"]:
+        latest, done = _offset_sum(source.get("latestOffset")), _offset_sum(source.get("endOffset"))
+        if latest is None or done is None:
+            return None
+        total += max(latest - done, 0)
+    return total

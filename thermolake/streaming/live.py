@@ -1,33 +1,39 @@
-"""Streaming aggregates per sensor.
-
-Each job writes, per micro-batch, the new state of the keys it touched; ``read_newest`` gives the current state.
-"""
+"""Streaming aggregates per sensor, merged into tables whose size follows the keys, not the batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.aggregates import daily_measures
-from ..schema import RETENTION_DAYS
-from ..session import path_exists
-from ..sources.history import write_loads
+from ..operators.liveness import of_known_sensors
+from ..schema import CLOCK_TOLERANCE_SECONDS, RETENTION_DAYS
+from .tables import BucketedTable, replace_by
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ahead_of_clock(tolerance_seconds: int = CLOCK_TOLERANCE_SECONDS) -> Column:
+    """Whether a reading is dated further ahead of its arrival than a clock may be wrong."""
+    return F.unix_seconds("recorded_at") - F.unix_seconds("received_at") > tolerance_seconds
 
 
 def live_daily_stats(
-    readings: DataFrame, retention_days: int = RETENTION_DAYS, clock_tolerance_seconds: int | None = None
+    readings: DataFrame, retention_days: int = RETENTION_DAYS,
+    clock_tolerance_seconds: int | None = CLOCK_TOLERANCE_SECONDS,
 ) -> DataFrame:
     """Daily statistics that update as readings arrive.
 
-    The watermark is the retention period, so only rows that retention would delete are late. With a
-    tolerance, rows dated further ahead of their ``received_at`` are left out: one wrong clock must not
-    advance the watermark.
+    The watermark is the retention period, so only rows that retention would delete are late. One wrong clock must not
+    advance it: rows dated ahead of their ``received_at`` are left out here (the history still has them), and the
+    query's progress counts them as ``ahead_of_clock``. None, or a stream without ``received_at``, lets all in.
     """
-    if clock_tolerance_seconds is not None:
-        ahead = F.unix_seconds("recorded_at") - F.unix_seconds("received_at")
-        readings = readings.filter(ahead <= clock_tolerance_seconds)
+    if clock_tolerance_seconds is not None and "received_at" in readings.columns:
+        ahead = ahead_of_clock(clock_tolerance_seconds)
+        readings = readings.observe("ahead_of_clock", F.count_if(ahead).alias("rows")).filter(~ahead)
     day = F.window("recorded_at", "1 day")
     return (
         readings.withWatermark("recorded_at", f"{retention_days} days")
@@ -37,27 +43,27 @@ def live_daily_stats(
 
 
 def live_last_seen(heartbeats: DataFrame) -> DataFrame:
-    return heartbeats.groupBy("sensor_id").agg(F.max("received_at").alias("last_seen"))
+    return of_known_sensors(heartbeats).groupBy("sensor_id").agg(F.max("received_at").alias("last_seen"))
+
+
+def view_table(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> BucketedTable:
+    """The table of a live view: by day where it has days, else by a hash of the keys."""
+    bucket = F.date_format("date", "yyyy-MM-dd") if "date" in keys else F.pmod(F.xxhash64(*keys), F.lit(64))
+    return BucketedTable(spark, path, schema, bucket, replace_by(keys))
 
 
 def start_view(
-    view: DataFrame, path: str, checkpoint: str, available_now: bool = False, seconds: int = 5
+    view: DataFrame, table: BucketedTable, checkpoint: str, available_now: bool = False, seconds: int = 5
 ) -> StreamingQuery:
-    """Writes the changed rows of every micro-batch below ``path``."""
+    """Merges the changed rows of every micro-batch into the table. State lives on disk, not in the heap."""
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{seconds} seconds"}
-    return (
-        view.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**trigger)
-        .foreachBatch(lambda df, batch_id: write_loads(
-            df.withColumn("batch_id", F.lit(batch_id).cast("long")), path, "batch_id"))
-        .start()
-    )
-
-
-def read_newest(spark: SparkSession, path: str, view_schema: T.StructType, keys: list[str]) -> DataFrame:
-    """For every key the rows of the last micro-batch that touched it."""
-    schema = T.StructType([*view_schema.fields, T.StructField("batch_id", T.LongType())])
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema).drop("batch_id")
-    rows = spark.read.schema(schema).parquet(path)
-    newest = rows.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(newest, [*keys, "batch_id"]).drop("batch_id")
+    conf = view.sparkSession.conf
+    before = conf.get(_STORE)
+    conf.set(_STORE, _ROCKS)
+    try:
+        return (
+            view.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**trigger)
+            .foreachBatch(lambda df, batch_id: table.merge(df, batch_id)).start()
+        )
+    finally:
+        conf.set(_STORE, before)

@@ -1,63 +1,50 @@
-"""The recent view as a table that every micro-batch replaces with its successor.
-
-Version N is the newest ``capacity`` arrivals per sensor of version N-1 and micro-batch N. A batch that is run
-again starts from the same older version, so it writes the same rows; an unfinished version is never read.
-"""
+"""The recent view as a bucketed table that micro-batches update."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.quality import valid_filter
-from ..operators.ranking import newest_arrivals
-from ..schema import DEFAULT_BOUNDS, FLUSH_SECONDS, READING_COLUMNS, READINGS, RECENT_CAPACITY, ValidityBounds
-from ..session import child_names, delete_path, path_exists, use_utc
+from ..operators.ranking import newest_arrivals, with_arrival
+from ..schema import ARRIVAL, DEFAULT_BOUNDS, FLUSH_SECONDS, READING_COLUMNS, READINGS, RECENT_CAPACITY, ValidityBounds
+from .tables import BucketedTable
 
-_COLUMNS = ["seq", *READING_COLUMNS]
-_PREFIX = "version-"
+_COLUMNS = [*ARRIVAL, *READING_COLUMNS]
+_SCHEMA = T.StructType([READINGS[c] for c in _COLUMNS])
+BUCKETS = 64
 
 
 class RecentViewTable:
+    """Per sensor the newest ``capacity`` valid readings by arrival. A micro-batch rewrites only the buckets of the
+    sensors it holds."""
+
     def __init__(
-        self, spark: SparkSession, path: str, capacity: int = RECENT_CAPACITY, keep_versions: int = 3,
-        bounds: ValidityBounds = DEFAULT_BOUNDS,
+        self, spark: SparkSession, path: str, capacity: int = RECENT_CAPACITY,
+        bounds: ValidityBounds = DEFAULT_BOUNDS, buckets: int = BUCKETS, keep_seconds: int = 900,
     ):
-        self.spark = use_utc(spark)
-        self.path = path.rstrip("/")
-        self.capacity = capacity
-        self.keep_versions = max(keep_versions, 2)
         self.bounds = bounds
+        bucket = F.pmod(F.xxhash64("sensor_id"), F.lit(buckets))
 
-    def _versions(self) -> list[int]:
-        """Complete versions, oldest first."""
-        numbers = sorted(int(n.removeprefix(_PREFIX)) for n in child_names(self.spark, self.path) if n.startswith(_PREFIX))
-        return [n for n in numbers if path_exists(self.spark, f"{self._dir(n)}/_SUCCESS")]
-
-    def _dir(self, version: int) -> str:
-        return f"{self.path}/{_PREFIX}{version}"
+        def newest(old: DataFrame | None, new: DataFrame) -> DataFrame:
+            # rows that come twice, as from two jobs over one log, count once
+            rows = new if old is None else old.unionByName(new).dropDuplicates([*ARRIVAL, "sensor_id"])
+            return newest_arrivals(rows, capacity, "_rank").drop("_rank")
 
-    def _read(self, spark: SparkSession, version: int) -> DataFrame:
-        return spark.read.schema(READINGS).parquet(self._dir(version)).select(*_COLUMNS)
+        self.table = BucketedTable(spark, path, _SCHEMA, bucket, newest, keep_seconds)
 
     def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], READINGS).select(*_COLUMNS)
-        return self._read(self.spark, versions[-1])
+        return self.table.read().select(*_COLUMNS)
 
-    def merge(self, arrived: DataFrame, batch_id: int) -> None:
-        """Adds the valid readings of a micro-batch. Each task passes on at most ``capacity`` rows per sensor."""
-        rows = arrived.filter(valid_filter(self.bounds)).select(*_COLUMNS)
-        older = [n for n in self._versions() if n < batch_id]
-        if older:
-            rows = rows.unionByName(self._read(arrived.sparkSession, older[-1]))
-        newest_arrivals(rows, self.capacity, "_rank").drop("_rank").write.mode("overwrite").parquet(self._dir(batch_id))
-        for version in [n for n in older if n != batch_id][: -(self.keep_versions - 1)]:
-            delete_path(self.spark, self._dir(version))
+    def merge(self, arrived: DataFrame, batch_id: int, job: str | None = None) -> None:
+        """Adds the valid readings of a micro-batch."""
+        rows = with_arrival(arrived).filter(valid_filter(self.bounds)).select(*_COLUMNS)
+        self.table.merge(rows, batch_id, job)
 
     def clear(self) -> None:
-        delete_path(self.spark, self.path)
+        self.table.clear()
 
     def start(
         self, readings: DataFrame, checkpoint: str, available_now: bool = False, seconds: int = FLUSH_SECONDS
@@ -66,5 +53,5 @@ class RecentViewTable:
         trigger = {"availableNow": True} if available_now else {"processingTime": f"{seconds} seconds"}
         return (
             readings.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger)
-            .foreachBatch(self.merge).start()
+            .foreachBatch(lambda df, batch_id: self.merge(df, batch_id)).start()
         )
