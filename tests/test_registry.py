@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_file
 from conftest import SF_DIR
+from thermolake import registry
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
@@ -26,7 +27,7 @@ def canonical(columns, rows):
     return sorted(columns), sorted(tuple(cell(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry_file.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_sql(spark, duck, name):
     df = entry_file.queries()[name](spark, SF_DIR)
     cursor = duck.execute(entry_file.oracle_sql()[name])
@@ -42,8 +43,9 @@ def test_entry(spark):
 
 
 def test_no_cartesian_products_or_forced_broadcasts(spark):
-    for name, query in entry_file.queries().items():
-        if not name.startswith(("stream_", "retention_job")):
+    writing = ("stream_", "retention_", "write_", "ingest_", "scroll_", "table_", "combined_stats_of")
+    for name, query in registry.queries().items():
+        if not name.startswith(writing):
             plan = query(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
             assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 

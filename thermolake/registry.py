@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.quality import reject_reason, valid_filter
 from .functions.text import describe_reading
+from .functions.times import as_instant, parse_instant, rfc3339
 from .operators import aggregates, buffers, inventory, latest, liveness, packing, replay, scans, views
-from .operators.ranking import number_rows
 from .plans import retention
 from .plans.api import TelemetryApi
-from .schema import READING_COLUMNS, WRITE_BATCH
+from .schema import DAILY_WINDOW_DAYS, HISTORY_LIMIT, HISTORY_LIMIT_MAX, READING_COLUMNS
 from .session import work_dir
 from .sources import envelopes
 from .sources.events import (
+    control_log,
     heartbeat_times,
     load_heartbeats,
     load_readings,
@@ -39,6 +41,7 @@ CAPACITY = 20
 BUFFER = 50
 REPLAY_CAPACITY, REPLAY_POP = 10, 5
 KEEP_DAYS = 7
+KEPT_FROM = as_instant(AS_OF) - timedelta(days=KEEP_DAYS)
 SILENCE = 12 * 3600
 GAP = 5 * 86400
 
@@ -113,10 +116,27 @@ def daily_stats(spark, sf_dir):
 @_register("daily_stats_default_window", f"""{READINGS_SQL} {_DAILY_SQL} FROM r
   WHERE recorded_at BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND TIMESTAMP '{AS_OF}' GROUP BY 1, 2""")
 def daily_stats_default_window(spark, sf_dir):
-    rows = load_readings(spark, sf_dir, start="2024-01-24 00:00:00", end=AS_OF)
+    rows = load_readings(spark, sf_dir, start=as_instant(AS_OF) - timedelta(days=DAILY_WINDOW_DAYS), end=AS_OF)
     return _daily(TelemetryApi(rows, AS_OF).daily_stats())
 
 
+@_register("daily_stats_given_dates", f"""{READINGS_SQL} {_DAILY_SQL} FROM r
+  WHERE recorded_at BETWEEN '2024-01-10 00:00:00' AND '2024-01-12 23:59:59' GROUP BY 1, 2""")
+def daily_stats_given_dates(spark, sf_dir):
+    """Dates as a request gives them; the end means the whole of its day."""
+    return _daily(TelemetryApi(load_readings(spark, sf_dir), AS_OF).daily_stats(start="2024-01-10", end="2024-01-12"))
+
+
+@_register("daily_stats_from", f"{READINGS_SQL} {_DAILY_SQL} FROM r WHERE recorded_at >= '{CUT}' GROUP BY 1, 2")
+def daily_stats_from(spark, sf_dir):
+    return _daily(aggregates.daily_stats(load_readings(spark, sf_dir), start=CUT))
+
+
+@_register("daily_stats_until", f"{READINGS_SQL} {_DAILY_SQL} FROM r WHERE recorded_at <= '{CUT}' GROUP BY 1, 2")
+def daily_stats_until(spark, sf_dir):
+    return _daily(aggregates.daily_stats(load_readings(spark, sf_dir), end=CUT))
+
+
 @_register("daily_stats_valid_only", f"{READINGS_SQL} {_DAILY_SQL} FROM v GROUP BY 1, 2")
 def daily_stats_valid_only(spark, sf_dir):
     return _daily(aggregates.daily_stats(load_readings(spark, sf_dir), valid_only=True))
@@ -190,8 +210,57 @@ def readings_after(spark, sf_dir):
   ORDER BY recorded_at DESC, seq DESC LIMIT {PAGE}""")
 def readings_before_cursor(spark, sf_dir):
     rows = load_readings(spark, sf_dir, end=CUT)
-    last = scans.readings_before(rows, CUT, 1).first()
-    return scans.readings_before_cursor(rows, str(last.recorded_at), last.seq, PAGE)
+    cursor = scans.cursor_after(scans.readings_before(rows, CUT, 1))
+    return scans.readings_before_cursor(rows, cursor, PAGE)
+
+
+@_register("scroll_two_partitions", f"""{READINGS_SQL}
+  SELECT seq // 2 AS seq, CAST(0 AS BIGINT) AS pos, CAST(seq % 2 AS INTEGER) AS part, sensor_id,
+    date_trunc('hour', recorded_at) AS recorded_at, humidity, temperature FROM r""")
+def scroll_two_partitions(spark, sf_dir):
+    """Every reading once, page by page, from a table of two partitions whose numbers repeat and whose times tie."""
+    rows = load_readings(spark, sf_dir).select(
+        F.floor(F.col("seq") / 2).alias("seq"), F.lit(0).cast("long").alias("pos"),
+        (F.col("seq") % 2).cast("int").alias("part"), "sensor_id",
+        F.date_trunc("hour", "recorded_at").alias("recorded_at"), "temperature", "humidity")
+    table = HistoryTable(spark, work_dir(spark, "scroll")).create()
+    table.append(rows, "all")
+    size = table.read().count() // 5 + 1
+    pages = [scans.readings_before(table.read(), "9999-01-01 00:00:00", size)]
+    while (cursor := scans.cursor_after(pages[-1])) is not None:
+        pages.append(scans.readings_before_cursor(table.read(), cursor, size))
+    every = pages[0]
+    for page in pages[1:]:
+        every = every.unionByName(page)
+    return every
+
+
+def _written(spark, sf_dir, label: str) -> HistoryTable:
+    """The readings as a history table of two loads."""
+    table = HistoryTable(spark, work_dir(spark, label)).create()
+    rows = load_readings(spark, sf_dir)
+    table.append(rows.filter("seq % 3 = 0"), "one")
+    table.append(rows.filter("seq % 3 <> 0"), "two")
+    return table
+
+
+@_register("table_pages", f"""{READINGS_SQL}, p AS (
+    (SELECT 'before' AS page, * FROM r WHERE sensor_id = '{SENSOR}' AND recorded_at < '{CUT}'
+      ORDER BY recorded_at DESC, seq DESC LIMIT {PAGE})
+    UNION ALL (SELECT 'after', * FROM r WHERE sensor_id = '{SENSOR}' AND recorded_at > '{CUT}'
+      ORDER BY recorded_at, seq LIMIT {PAGE})
+    UNION ALL (SELECT 'latest', * FROM r WHERE sensor_id = '{SENSOR}' ORDER BY recorded_at DESC, seq DESC LIMIT 1))
+  SELECT page, seq, {_READING} FROM p""")
+def table_pages(spark, sf_dir):
+    """Scrolling and the latest reading on a written table, which widen by days."""
+    rows = _written(spark, sf_dir, "pages").read()
+    pages = {
+        "before": scans.readings_before(rows, CUT, PAGE, SENSOR),
+        "after": scans.readings_after(rows, CUT, PAGE, SENSOR),
+        "latest": scans.latest_reading(rows, SENSOR),
+    }
+    named = [page.select(F.lit(name).alias("page"), "seq", *READING_COLUMNS) for name, page in pages.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
 
 
 @_register("latest_reading", f"""{READINGS_SQL} SELECT seq, {_READING} FROM r
@@ -226,6 +295,27 @@ def current_with_fallback(spark, sf_dir):
     return TelemetryApi(load_readings(spark, sf_dir), AS_OF).current_all()
 
 
+# a view that lost the sensors whose number divides by 3, and knows one more
+_VIEW_SQL = f"""c AS (SELECT * FROM v WHERE CAST(right(sensor_id, 4) AS INTEGER) % 3 <> 0
+    {_NEWEST.format(order='seq DESC', n=1)}),
+  l AS (SELECT * FROM r {_NEWEST.format(order='recorded_at DESC, seq DESC', n=1)})"""
+
+
+def _other_view(spark, sf_dir) -> DataFrame:
+    rows = views.recent_view(load_readings(spark, sf_dir), CAPACITY).drop("arrival_rank")
+    return rows.filter(F.right("sensor_id", F.lit(4)).cast("int") % 3 != 0)
+
+
+@_register("current_from_view", f"""{READINGS_SQL}, {_VIEW_SQL}
+  SELECT coalesce(c.seq, l.seq) AS seq, sensor_id, coalesce(c.recorded_at, l.recorded_at) AS recorded_at,
+    coalesce(c.humidity, l.humidity) AS humidity, coalesce(c.temperature, l.temperature) AS temperature,
+    CASE WHEN c.seq IS NULL THEN 'database' ELSE 'memory' END AS source
+  FROM c FULL JOIN l USING (sensor_id)""")
+def current_from_view(spark, sf_dir):
+    """Both sides occur: sensors in the view, and sensors that only the history has."""
+    return TelemetryApi(load_readings(spark, sf_dir), AS_OF, recent=_other_view(spark, sf_dir)).current_all()
+
+
 # ---- recent view ------------------------------------------------------------
 
 
@@ -305,6 +395,29 @@ def sensors_union(spark, sf_dir):
     return inventory.sensors_union(rows.filter(valid_filter()), rows)
 
 
+@_register("sensors_of_either", f"""{READINGS_SQL}
+  SELECT DISTINCT 'view-' || sensor_id AS sensor_id FROM v WHERE CAST(right(sensor_id, 4) AS INTEGER) % 3 <> 0
+  UNION SELECT sensor_id FROM r""")
+def sensors_of_either(spark, sf_dir):
+    """A view with sensors that the history has never stored."""
+    view = _other_view(spark, sf_dir).withColumn("sensor_id", F.concat(F.lit("view-"), "sensor_id"))
+    return TelemetryApi(load_readings(spark, sf_dir), AS_OF, recent=view).sensors()
+
+
+@_register("readings_with_sensor", f"""{READINGS_SQL}
+  SELECT seq, sensor_id, CASE WHEN n % 2 = 0 THEN 'room ' || n END AS location,
+    CASE WHEN n % 2 = 0 THEN 'DHT22' END AS sensor_type, CASE WHEN n % 2 = 0 THEN '1.0' END AS version
+  FROM (SELECT *, CAST(right(sensor_id, 4) AS INTEGER) AS n FROM r)""")
+def readings_with_sensor(spark, sf_dir):
+    """Readings with the sensor dimension, which describes every second sensor."""
+    rows = load_readings(spark, sf_dir)
+    n = F.right("sensor_id", F.lit(4)).cast("int")
+    sensors = inventory.first_seen(rows).filter(n % 2 == 0).select(
+        "sensor_id", F.concat(F.lit("room "), n).alias("location"), F.lit("DHT22").alias("sensor_type"),
+        F.lit("1.0").alias("version"), "start_time")
+    return inventory.enrich(rows.select("seq", "sensor_id"), sensors)
+
+
 @_register("default_sensor", f"{READINGS_SQL} SELECT min(sensor_id) AS sensor_id FROM r")
 def default_sensor(spark, sf_dir):
     return TelemetryApi(load_readings(spark, sf_dir), AS_OF).default_sensor()
@@ -317,15 +430,65 @@ def combined_stats(spark, sf_dir):
     return TelemetryApi(load_readings(spark, sf_dir), AS_OF, capacity=CAPACITY).stats()
 
 
+@_register("combined_stats_of_table", f"""{READINGS_SQL}, {_RECENT_STATS_SQL}, s AS ({_STORAGE_SQL})
+  SELECT recent.*, s.total_readings AS database_total_readings, s.oldest_reading AS database_oldest_reading,
+    s.newest_reading AS database_newest_reading, s.unique_sensors AS database_unique_sensors, true AS has_size
+  FROM recent, s""")
+def combined_stats_of_table(spark, sf_dir):
+    """With a materialised view and a written table, whose size in megabytes SQL can't know."""
+    table = _written(spark, sf_dir, "stats")
+    view = views.recent_view(table.read(), CAPACITY).drop("arrival_rank")
+    stats = TelemetryApi(table.read(), AS_OF, view, CAPACITY, table=table).stats()
+    return stats.withColumn("has_size", F.col("database_size_mb") > 0).drop("database_size_mb")
+
+
 @_register("dashboard_snapshot", f"""{READINGS_SQL}, {_RECENT_STATS_SQL},
   c AS (SELECT * FROM v WHERE sensor_id = (SELECT min(sensor_id) FROM v) ORDER BY seq DESC LIMIT 1)
   SELECT c.sensor_id AS current_sensor_id, c.recorded_at AS current_recorded_at, c.humidity AS current_humidity,
-    c.temperature AS current_temperature, total_readings, unique_sensors, current_readings,
-    TIMESTAMP '{AS_OF}' AS last_update, true AS has_history FROM c, recent""")
+    c.temperature AS current_temperature, total_readings, unique_sensors, current_readings, oldest_reading,
+    newest_reading, TIMESTAMP '{AS_OF}' AS last_update, true AS has_history FROM c, recent""")
 def dashboard_snapshot(spark, sf_dir):
     return TelemetryApi(load_readings(spark, sf_dir), AS_OF, capacity=CAPACITY).dashboard()
 
 
+@_register("dashboard_with_view", _REGISTRY["dashboard_snapshot"][1])
+def dashboard_with_view(spark, sf_dir):
+    """The same answer from a materialised view: its totals count all accepted readings, not those it holds."""
+    rows = load_readings(spark, sf_dir)
+    view = views.recent_view(rows, CAPACITY).drop("arrival_rank")
+    return TelemetryApi(rows, AS_OF, view, CAPACITY).dashboard()
+
+
+@_register("history_limits", f"""{READINGS_SQL}, asked(asked, served) AS (VALUES ('5000', {HISTORY_LIMIT_MAX}),
+    ('1000', {HISTORY_LIMIT_MAX}), ('7', 7), ('0', {HISTORY_LIMIT}), ('-3', {HISTORY_LIMIT}), ('many', {HISTORY_LIMIT})),
+  n AS (SELECT count(*) AS n FROM r WHERE recorded_at < '{CUT}' AND sensor_id = (SELECT min(sensor_id) FROM r))
+  SELECT asked, least(n, served) AS count, n >= served AS has_more FROM asked, n""")
+def history_limits(spark, sf_dir):
+    """Limits as requests give them: too large, zero, negative and no number."""
+    api = TelemetryApi(load_readings(spark, sf_dir), AS_OF)
+    pages = [
+        api.history(before=CUT.replace(" ", "T") + "Z", limit=asked).metadata().select(
+            F.lit(asked).alias("asked"), "count", "has_more")
+        for asked in ("5000", "1000", "7", "0", "-3", "many")]
+    every = pages[0]
+    for page in pages[1:]:
+        every = every.unionByName(page)
+    return every
+
+
+@_register("parse_timestamps", f"""{READINGS_SQL}
+  SELECT seq, CASE WHEN seq % 5 = 4 THEN NULL ELSE recorded_at END AS parsed FROM r""")
+def parse_timestamps(spark, sf_dir):
+    """Stored texts, with and without fractions, and RFC 3339 texts in two zones; every fifth text is no timestamp."""
+    at = F.col("recorded_at")
+    plain = F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+    east = F.concat(F.date_format(at + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    kind = F.col("seq") % 5
+    text = F.when(kind == 0, plain).when(kind == 1, F.concat(plain, F.lit(".75"))).when(kind == 2, rfc3339(at)).when(
+        kind == 3, east).otherwise(F.concat(F.lit("at "), plain))
+    return load_readings(spark, sf_dir).select("seq", F.date_trunc("second", parse_instant(text)).alias("parsed"))
+
+
 # ---- buffers ----------------------------------------------------------------
 
 _PUSHED_SQL = """pushed AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY seq) AS nth,
@@ -466,7 +629,9 @@ _BATCHED_SQL = """b AS (
   messages AS (
     SELECT CASE event_type WHEN 'signup' THEN 'heartbeat' WHEN 'error' THEN 'unknown' ELSE 'reading' END AS route
     FROM r WHERE event_type <> 'view'
-    UNION ALL SELECT 'batch' FROM (SELECT DISTINCT sensor_id, chunk FROM b))
+    UNION ALL SELECT 'batch' FROM (SELECT DISTINCT sensor_id, chunk FROM b)
+    UNION ALL SELECT 'unknown' FROM r WHERE event_type = 'error' AND level % 9 = 0
+    UNION ALL SELECT 'unknown' FROM r WHERE event_type = 'error' AND level % 11 = 0)
   SELECT route, count(*) AS message_count,
     count(*) FILTER (WHERE route = 'unknown') AS quarantined_count FROM messages GROUP BY 1""")
 def envelope_routing(spark, sf_dir):
@@ -482,7 +647,7 @@ def batch_unpack(spark, sf_dir):
     log = message_log(spark, sf_dir)
     messages = envelopes.parse_envelopes(log).filter(F.col("route") == "batch")
     return envelopes.decode_readings(messages).select(
-        "message_seq", F.col("pos").cast("long").alias("pos"), *READING_COLUMNS, "count_matches")
+        F.col("seq").alias("message_seq"), "pos", *READING_COLUMNS, "count_matches")
 
 
 @_register("decode_readings", f"""{READINGS_SQL}
@@ -501,17 +666,46 @@ def heartbeat_decode(spark, sf_dir):
     beats = load_heartbeats(spark, sf_dir).select(
         "seq", "received_at",
         envelopes.encode_message("heartbeat", envelopes.heartbeat_payload(), F.col("received_at")).alias("value"))
-    return envelopes.decode_heartbeats(envelopes.parse_envelopes(beats))
+    return envelopes.decode_heartbeats(envelopes.parse_envelopes(beats)).drop("part")
+
+
+@_register("control_messages", f"""{READINGS_SQL}, e AS (SELECT * FROM r WHERE event_type = 'error')
+  SELECT 'ack' AS type, seq, 'm' || seq AS a, 'ok' AS b, CAST(NULL AS VARCHAR) AS c FROM e WHERE level % 9 = 0
+  UNION ALL SELECT 'config', seq, CAST(level AS VARCHAR), '50', sensor_id FROM e WHERE level % 11 = 0
+  UNION ALL SELECT 'error', seq, 'E' || level, sensor_id, NULL FROM e""")
+def control_messages(spark, sf_dir):
+    """All three kinds of control messages, typed."""
+    found = envelopes.decode_control(envelopes.parse_envelopes(control_log(load_readings(spark, sf_dir))))
+    fields = {"ack": ("message_id", "status", None), "config": ("read_interval", "buffer_size", "sensor_id"),
+              "error": ("code", "message", None)}
+    parts = [
+        found[kind].select(F.lit(kind).alias("type"), "seq", *[
+            (F.col(c) if c else F.lit(None)).cast("string").alias(n) for n, c in zip("abc", columns, strict=True)])
+        for kind, columns in fields.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_register("decode_any_case", f"""{READINGS_SQL}
+  SELECT seq, {_READING} FROM r WHERE event_type IN ('click', 'purchase')""")
+def decode_any_case(spark, sf_dir):
+    """A log of single readings whose keys come in three spellings."""
+    rows = load_readings(spark, sf_dir).filter(F.col("event_type").isin("click", "purchase"))
+    text = envelopes.encode_message("reading", envelopes.reading_payload(), F.col("recorded_at"))
+    upper, mixed = text, text
+    for key, other in (("type", "Type"), ("payload", "PayLoad"), ("sensor_id", "Sensor_ID"),
+                       ("humidity", "Humidity"), ("temperature", "tempERATURE"), ("timestamp", "TimeStamp")):
+        upper = F.replace(upper, F.lit(f'"{key}"'), F.lit(f'"{key.upper()}"'))
+        mixed = F.replace(mixed, F.lit(f'"{key}"'), F.lit(f'"{other}"'))
+    spelled = F.when(F.col("seq") % 3 == 0, text).when(F.col("seq") % 3 == 1, upper).otherwise(mixed)
+    log = rows.select("seq", F.col("recorded_at").alias("received_at"), spelled.alias("value"))
+    return envelopes.decode_readings(envelopes.parse_envelopes(log)).select("seq", *READING_COLUMNS)
 
 
 @_register("control_log_counts", f"""{READINGS_SQL}
   SELECT 'error' AS type, 'E' || level AS code, count(*) AS message_count
   FROM r WHERE event_type = 'error' GROUP BY 2""")
 def control_log_counts(spark, sf_dir):
-    rows = load_readings(spark, sf_dir).filter(F.col("event_type") == "error")
-    payload = F.struct(F.concat(F.lit("E"), F.col("level")).alias("code"), F.col("sensor_id").alias("message"))
-    log = rows.select("seq", F.col("recorded_at").alias("received_at"),
-                      envelopes.encode_message("error", payload, F.col("recorded_at")).alias("value"))
+    log = control_log(load_readings(spark, sf_dir))
     errors = envelopes.decode_control(envelopes.parse_envelopes(log))["error"]
     return errors.groupBy(F.lit("error").alias("type"), "code").agg(F.count(F.lit(1)).alias("message_count"))
 
@@ -522,21 +716,20 @@ def control_log_counts(spark, sf_dir):
 @_register("retention_kept", f"""{READINGS_SQL} SELECT seq, {_READING} FROM r
   WHERE recorded_at >= TIMESTAMP '{AS_OF}' - INTERVAL {KEEP_DAYS} DAY""")
 def retention_kept(spark, sf_dir):
-    rows = load_readings(spark, sf_dir, start="2024-01-24 00:00:00")
+    rows = load_readings(spark, sf_dir, start=KEPT_FROM)
     return retention.retention_kept(rows, AS_OF, KEEP_DAYS).select("seq", *READING_COLUMNS)
 
 
 @_register("retention_deleted", f"""{READINGS_SQL} SELECT {_DAY} AS date, count(*) AS deleted FROM r
   WHERE recorded_at < TIMESTAMP '{AS_OF}' - INTERVAL {KEEP_DAYS} DAY GROUP BY 1""")
 def retention_deleted(spark, sf_dir):
-    rows = load_readings(spark, sf_dir, end="2024-01-24 00:00:00")
+    rows = load_readings(spark, sf_dir, end=KEPT_FROM)
     return retention.retention_deleted(rows, AS_OF, KEEP_DAYS).withColumn(
         "date", F.date_format("date", "yyyy-MM-dd"))
 
 
-# twelve cleanups, one a day from 2024-01-20 06:00
-_RUNS_SQL = f"""runs AS (
-    SELECT i, TIMESTAMP '2024-01-20 06:00:00' + INTERVAL 1 DAY * i AS run_at FROM range(12) t(i)),
+# three cleanups, each a day after the one before
+_RUNS_SQL = f"""runs AS (SELECT i, TIMESTAMP '2024-01-20 06:00:00' + INTERVAL 1 DAY * i AS run_at FROM range(3) t(i)),
   ledger AS (
     SELECT run_at, (SELECT count(*) FROM r WHERE recorded_at < run_at - INTERVAL {KEEP_DAYS} DAY
         AND (i = 0 OR recorded_at >= run_at - INTERVAL {KEEP_DAYS + 1} DAY)) AS deleted FROM runs)"""
@@ -546,9 +739,12 @@ _RUNS_SQL = f"""runs AS (
   SELECT CAST(sum(deleted) AS BIGINT) AS total_deleted, count(*) AS total_cleanups, max(run_at) AS last_cleanup,
     arg_max(deleted, run_at) AS last_delete_count, {KEEP_DAYS} AS retention_days FROM ledger""")
 def retention_stats(spark, sf_dir):
-    rows = load_readings(spark, sf_dir)
-    ledger = retention.planned_runs(rows, "2024-01-20 06:00:00", 12, 86400, KEEP_DAYS)
-    return retention.retention_stats(ledger, KEEP_DAYS)
+    """From the ledger that three cleanups of a written table leave."""
+    table = _written(spark, sf_dir, "retention")
+    ledger = work_dir(spark, "retention-ledger")
+    for day in (20, 21, 22):
+        retention.run_retention(table, ledger, f"2024-01-{day} 06:00:00", KEEP_DAYS)
+    return retention.retention_stats(retention.read_retention_ledger(spark, ledger), KEEP_DAYS)
 
 
 @_register("retention_job", f"""{READINGS_SQL} SELECT seq, {_READING} FROM r
@@ -561,18 +757,39 @@ def retention_job(spark, sf_dir):
     return table.read().select("seq", *READING_COLUMNS)
 
 
-@_register("write_ledger_stats", f"""{READINGS_SQL}, ledger AS (
-    SELECT (row_number() OVER (ORDER BY seq) - 1) // {WRITE_BATCH} AS batch_id, recorded_at FROM r)
-  SELECT count(*) AS total_written, count(DISTINCT batch_id) AS total_batches, CAST(0 AS BIGINT) AS total_errors,
-    max(recorded_at) AS last_write_time FROM ledger""")
+def _staged_log(spark, sf_dir, files: int = 3) -> DataFrame:
+    """The message log as a stream of files, one for each micro-batch."""
+    log_dir = work_dir(spark, "log")
+    log = message_log(spark, sf_dir)
+    for i in range(files):
+        log.filter(F.pmod(F.xxhash64("seq"), F.lit(files)) == i).coalesce(1).write.mode("append").json(log_dir)
+    return ingest.read_log_files(spark, log_dir, 1)
+
+
+def _ingested(spark, sf_dir, jobs: int = 1) -> ingest.TelemetryTables:
+    tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"))
+    for _ in range(jobs):
+        ingest.start_ingest(_staged_log(spark, sf_dir), tables, work_dir(spark, "checkpoint"),
+                            available_now=True).awaitTermination()
+    return tables
+
+
+@_register("write_ledger_stats", f"""{READINGS_SQL}
+  SELECT count(*) AS total_written, CAST(3 AS BIGINT) AS total_batches, CAST(0 AS BIGINT) AS total_errors,
+    true AS has_write_time FROM r WHERE event_type IN ('click', 'purchase', 'view')""")
 def write_ledger_stats(spark, sf_dir):
-    """The ledger of a writer that flushes every 100 rows of the arrival order."""
-    numbered = number_rows(load_readings(spark, sf_dir).select("seq", "recorded_at"), [])
-    batch = F.floor((F.col("row_no") - 1) / F.lit(WRITE_BATCH)).cast("long")
-    ledger = numbered.groupBy(batch.alias("batch_id")).agg(
-        F.count(F.lit(1)).alias("rows_written"), F.lit("ok").alias("status"),
-        F.max("recorded_at").alias("written_at"))
-    return ingest.write_stats(ledger)
+    """From the ledger that an ingest run of three micro-batches leaves; SQL can't know the time of its last write."""
+    stats = ingest.write_stats(_ingested(spark, sf_dir).ledger())
+    return stats.withColumn("has_write_time", F.col("last_write_time").isNotNull()).drop("last_write_time")
+
+
+@_register("ingest_two_jobs", f"""{READINGS_SQL}
+  SELECT sensor_id, 2 * count(*) FILTER (WHERE event_type IN ('click', 'purchase', 'view')) AS readings FROM r
+  GROUP BY 1 HAVING count(*) FILTER (WHERE event_type IN ('click', 'purchase', 'view')) > 0""")
+def ingest_two_jobs(spark, sf_dir):
+    """Two jobs, each with its own checkpoint, write one log into the same tables: nothing is replaced."""
+    return _ingested(spark, sf_dir, jobs=2).history.read().groupBy("sensor_id").agg(
+        F.count(F.lit(1)).alias("readings"))
 
 
 # ---- liveness ---------------------------------------------------------------
@@ -595,10 +812,20 @@ def last_seen(spark, sf_dir):
   SELECT sensor_id, max(received_at) AS last_seen FROM h GROUP BY 1
   HAVING max(received_at) >= TIMESTAMP '{AS_OF}' - INTERVAL 2 DAY""")
 def active_sensors(spark, sf_dir):
-    rows = load_readings(spark, sf_dir, start="2024-01-29 00:00:00", end=AS_OF)
+    rows = load_readings(spark, sf_dir, start=as_instant(AS_OF) - timedelta(days=2), end=AS_OF)
     return liveness.active_sensors(heartbeat_times(rows), AS_OF, 2 * 86400)
 
 
+@_register("active_sensors_with_empty_ids", f"""{READINGS_SQL}, {_BEATS_SQL}
+  SELECT sensor_id, max(received_at) AS last_seen FROM h WHERE CAST(right(sensor_id, 4) AS INTEGER) % 4 <> 0
+  GROUP BY 1""")
+def active_sensors_with_empty_ids(spark, sf_dir):
+    """Heartbeats of every fourth sensor lost their id; they make no sensor active."""
+    lost = F.right("sensor_id", F.lit(4)).cast("int") % 4 == 0
+    beats = _beat_times(spark, sf_dir).withColumn("sensor_id", F.when(lost, "").otherwise(F.col("sensor_id")))
+    return liveness.active_sensors(beats, AS_OF, 40 * 86400)
+
+
 @_register("heartbeat_sessions", f"""{READINGS_SQL}, {_BEATS_SQL},
   s AS (SELECT *, CAST(sum(CASE WHEN {_SILENCE_SQL} <= {SILENCE} THEN 0 ELSE 1 END)
     OVER (PARTITION BY sensor_id ORDER BY received_at, seq) AS BIGINT) AS session_no FROM g)
@@ -625,9 +852,9 @@ def sensor_uptime(spark, sf_dir):
 
 
 def _drain_view(spark: SparkSession, view: DataFrame, keys: list[str]) -> DataFrame:
-    path = work_dir(spark, "view")
-    live.start_view(view, path, work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
-    return live.read_newest(spark, path, view.schema, keys)
+    table = live.view_table(spark, work_dir(spark, "view"), view.schema, keys)
+    live.start_view(view, table, work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
+    return table.read()
 
 
 @_register("stream_daily_stats", f"{READINGS_SQL} {_DAILY_SQL} FROM r GROUP BY 1, 2")
@@ -641,7 +868,7 @@ def stream_daily_stats(spark, sf_dir):
 def stream_recent_view(spark, sf_dir):
     view = RecentViewTable(spark, work_dir(spark, "recent"), CAPACITY)
     view.start(stream_readings(spark, sf_dir), work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
-    return view.read()
+    return view.read().drop("pos", "part")
 
 
 @_register("stream_last_seen", f"""{READINGS_SQL}, {_BEATS_SQL}
@@ -654,10 +881,5 @@ def stream_last_seen(spark, sf_dir):
 @_register("stream_ingest", f"""{READINGS_SQL}
   SELECT {_READING} FROM r WHERE event_type IN ('click', 'purchase', 'view')""")
 def stream_ingest(spark, sf_dir):
-    """The ingest job end to end: message files in, history table out."""
-    log_dir = work_dir(spark, "log")
-    message_log(spark, sf_dir).write.json(log_dir)
-    tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"))
-    ingest.start_ingest(ingest.read_log_files(spark, log_dir), tables, work_dir(spark, "checkpoint"),
-                        available_now=True).awaitTermination()
-    return tables.history.read().select(*READING_COLUMNS)
+    """The ingest job end to end over three micro-batches: message files in, history table out."""
+    return _ingested(spark, sf_dir).history.read().select(*READING_COLUMNS)
