@@ -2,7 +2,9 @@
 
 Word statistics of whole texts feed a fixed base rule and a set of cutoff rules. The cutoff of a rule is chosen per
 stratum on labelled documents: cutoffs are tried from the most lenient to the strictest, and a cutoff is accepted
-while the exact binomial upper bound on the share of good documents it rejects stays within the rule's budget.
+while the exact binomial upper bound on the share of good documents it rejects stays within the rule's budget. Of the
+accepted cutoffs the one is taken that rejects most of the documents labelled bad which earlier rules let pass, the
+most lenient among equals; a rule that rejects none of them isn't used in that stratum.
 
 Guarantee: with probability 1 - ``confidence_error``, in every stratum the rules together reject at most ``max_risk``
 of the good documents. ``max_risk`` is divided over the rules (union bound); ``confidence_error`` is divided over
@@ -118,27 +120,45 @@ def log_binomial_cdf(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(steps, F.struct(first.alias("term"), first.alias("total")), step, lambda s: s["total"])
 
 
-def choose_cutoffs(good: DataFrame, max_risk: float = MAX_RISK, confidence_error: float = CONFIDENCE_ERROR,
-                   ) -> DataFrame:
-    """Rows (stratum, one column per rule) from the statistics of documents labelled good. A null cutoff means
-    that the rule doesn't apply in that stratum."""
+def _choose_cutoff(labelled: DataFrame, rule: str, max_risk: float, confidence_error: float) -> DataFrame:
+    """(stratum, max_<rule>) where a cutoff is proven and of use."""
+    measure = measures()[rule]
     counts = [
-        F.count_if(measure > cutoff).alias(f"{rule}@{i}")
-        for rule, measure in measures().items() for i, cutoff in enumerate(RULES[rule])]
-    per_stratum = good.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
+        count for i, cutoff in enumerate(RULES[rule]) for count in (
+            F.count_if((measure > cutoff) & F.col("good")).alias(f"k{i}"),
+            F.count_if((measure > cutoff) & ~F.col("good") & ~F.col("rejected")).alias(f"caught{i}"))]
+    per_stratum = labelled.groupBy("stratum").agg(F.count_if("good").alias("n"), *counts).filter("n > 0")
     tests = F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(float(cutoff)).alias("cutoff"),
-                 F.col(f"`{rule}@{i}`").alias("k"))
-        for rule in RULES for i, cutoff in enumerate(RULES[rule])])
-    rows = per_stratum.select("stratum", "n", F.inline(tests))
-    n_strata = F.count(F.lit(1)).over(Window.partitionBy("rule", "i"))
+        F.struct(F.lit(i).alias("i"), F.lit(float(cutoff)).alias("cutoff"), F.col(f"k{i}").alias("k"),
+                 F.col(f"caught{i}").alias("caught")) for i, cutoff in enumerate(RULES[rule])])
+    n_strata = F.count(F.lit(1)).over(Window.partitionBy("i"))
     limit = F.log(F.lit(confidence_error) / (n_strata * len(RULES)))
-    proven = rows.withColumn("limit", limit).withColumn(
+    proven = per_stratum.select("stratum", "n", F.inline(tests)).withColumn("limit", limit).withColumn(
         "ok", log_binomial_cdf(F.col("n"), F.col("k"), max_risk / len(RULES)) <= F.col("limit"))
-    so_far = Window.partitionBy("stratum", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    accepted = proven.withColumn("held", F.min("ok").over(so_far)).filter("held")
-    return accepted.groupBy("stratum").agg(*[
-        F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"max_{rule}") for rule in RULES])
+    so_far = Window.partitionBy("stratum").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    accepted = proven.withColumn("held", F.min("ok").over(so_far)).filter("held AND caught > 0")
+    # most caught first, then the most lenient
+    return accepted.groupBy("stratum").agg(
+        F.max_by("cutoff", F.struct("caught", -F.col("i"))).alias(f"max_{rule}"))
+
+
+def with_cutoffs(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    limits = cutoffs.withColumnRenamed("stratum", "__stratum")
+    return rows.join(limits, F.col("stratum").eqNullSafe(F.col("__stratum")), "left").drop("__stratum")
+
+
+def choose_cutoffs(labelled: DataFrame, max_risk: float = MAX_RISK, confidence_error: float = CONFIDENCE_ERROR,
+                   ) -> DataFrame:
+    """Rows (stratum, one column per rule) from the statistics of labelled documents with a boolean ``good``. A null
+    cutoff means that the rule doesn't apply in that stratum."""
+    chosen = labelled.select("stratum").distinct()
+    left = labelled.withColumn("rejected", F.lit(False))
+    for rule in RULES:
+        cutoff = stored(_choose_cutoff(left, rule, max_risk, confidence_error), f"cutoff-{rule}")
+        chosen = with_cutoffs(chosen, cutoff)
+        left = with_cutoffs(left, cutoff).withColumn("rejected", F.col("rejected") | F.coalesce(
+            measures()[rule] > F.col(f"max_{rule}"), F.lit(False))).drop(f"max_{rule}")
+    return chosen
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -146,15 +166,15 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           max_risk: float = MAX_RISK, confidence_error: float = CONFIDENCE_ERROR) -> DataFrame:
     """Statistics of every row with base_failed, the verdict ``kept`` and the first broken rule as ``reason``.
 
-    Labels of 1 mark good documents; other or null labels and labels without a document are not used. Without
-    labels only the base rule acts.
+    Labels of 1 mark good documents, labels of 0 bad ones; a document with both counts as good. Null labels and labels
+    without a document are not used. Without labels only the base rule acts.
     """
     stats = stored(word_statistics(docs, id_col, text_col, stratum_col), "rule-stats")
-    good = labels.filter(F.col(label_col) == 1).select(F.col(label_id_col).alias("doc_id")).distinct()
-    cutoffs = stored(choose_cutoffs(stats.filter(~base_failed()).join(good, "doc_id", "left_semi"), max_risk,
-                                    confidence_error), "rule-cutoffs")
-    limits = cutoffs.withColumnRenamed("stratum", "__stratum")
-    joined = stats.join(limits, F.col("stratum").eqNullSafe(F.col("__stratum")), "left")
+    known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(label_id_col).alias("doc_id")).agg(
+        (F.max(label_col) == 1).alias("good"))
+    labelled = stored(stats.filter(~base_failed()).join(known, "doc_id"), "labelled-stats")
+    cutoffs = stored(choose_cutoffs(labelled, max_risk, confidence_error), "rule-cutoffs")
+    joined = with_cutoffs(stats, cutoffs)
     broken = F.coalesce(
         F.when(base_failed(), F.lit("base")),
         *[F.when(measure > F.col(f"max_{rule}"), F.lit(rule)) for rule, measure in measures().items()])
