@@ -1,0 +1,218 @@
+"""Near-duplicates, suffix dedup and winnowing against brute force."""
+
+import hashlib
+import itertools
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from llm.conftest import ODD_ROWS, SF
+from thermolake.llm import near_dedup, suffix_dedup, winnowing
+from thermolake.llm.common import table
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return {tuple(words)} if 0 < len(words) < 5 else {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+
+def brute_components(texts, percent):
+    sets = {d: shingles(t) for d, t in texts.items()}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders = defaultdict(list)
+    for d, s in sets.items():
+        for g in s:
+            holders[g].append(d)
+    common = Counter(p for ds in holders.values() for p in itertools.combinations(ds, 2))
+    for (a, b), n in common.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def near_copies(seed, n, words=60, changes=1):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(changes):
+            copy[rng.randrange(words)] = f"n{rng.randrange(10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_equal_brute_force(spark, percent):
+    docs = table(spark, SF, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, text in enumerate(near_copies(1, 30) + near_copies(2, 30, 80, 2) + near_copies(3, 30, 40, 2)):
+        texts[10_000 + i] = text
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(
+        rows, threshold_percent=percent).collect()}
+    assert found == brute_components(texts, percent)
+
+
+def test_large_group_of_near_copies_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    texts = dict(enumerate(near_copies(5, 150, 60, 2)))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(rows).collect()}
+    assert found == brute_components(texts, 85)
+
+
+def test_near_duplicates_odd_rows(odd, empty):
+    rows = near_dedup.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD_ROWS)
+    by_id = {r.doc_id: r for r in rows}
+    assert [by_id[i].n_shingles for i in (1, 2, 3)] == [0, 0, 0]
+    assert all(by_id[i].component_id == i and by_id[i].kept for i in (1, 2, 3, 4, 5, 7))
+    assert (by_id[6].component_id, by_id[6].kept) == (5, False)
+    assert by_id[None].component_id is None and by_id[None].kept
+    assert near_dedup.near_duplicates(empty).collect() == []
+
+
+def test_estimate_is_close():
+    rng = np.random.default_rng(0)
+    for share in (0.5, 0.85, 0.95):
+        errors = []
+        for _ in range(40):
+            both = rng.integers(0, 2**63, 600).astype(np.uint64)
+            own = int(600 * (1 - share) / (2 * share))
+            a = np.concatenate([both, rng.integers(0, 2**63, own).astype(np.uint64)])
+            b = np.concatenate([both, rng.integers(0, 2**63, own).astype(np.uint64)])
+            x, y = (near_dedup.pack_low_bits(near_dedup.minima(s)).view(np.uint64) for s in (a, b))
+            d = x ^ y
+            unequal = np.bitwise_count(d[0] | d[2]) + np.bitwise_count(d[1] | d[3])
+            estimate = ((1 - unequal / 128) - 0.25) / 0.75
+            errors.append(estimate - 600 / (600 + 2 * own))
+        assert abs(np.mean(errors)) < 0.03 and np.max(np.abs(errors)) < near_dedup.MARGIN
+
+
+def brute_removal(texts, length):
+    raw = {d: (t or "").encode() for d, t in texts}
+    seen = Counter(b[i:i + length] for b in raw.values() for i in range(len(b) - length + 1))
+    out = {}
+    for d, b in raw.items():
+        covered = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i:i + length]] > 1:
+                covered[i:i + length] = True
+        spans = int((covered[1:] & ~covered[:-1]).sum() + covered[:1].sum())
+        kept = bytes(np.frombuffer(b, np.uint8)[~covered])
+        out[d] = (len(b), int(covered.sum()), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def removed(df, **args):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+            for r in suffix_dedup.remove_repeats(df, **args).collect()}
+
+
+def test_suffix_dedup_equals_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    assert removed(docs) == brute_removal([(r.doc_id, r.text) for r in docs.collect()], 200)
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_suffix_dedup_on_tangled_repeats(spark, monkeypatch, most):
+    """Few letters, shifted copies, repeats inside one text; the second run counts crowded classes by hash."""
+    monkeypatch.setattr(suffix_dedup, "MAX_SURROUNDINGS", most)
+    rng = random.Random(4)
+    parts = ["".join(rng.choice("ab ") for _ in range(rng.randrange(5, 60))) for _ in range(12)]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(0, 14)))) for i in range(60)]
+    texts += [(100, "a" * 300), (101, "a" * 90), (102, "é" * 70), (103, None), (104, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert removed(df, length=40, k=8) == brute_removal(texts, 40)
+
+
+def test_suffix_dedup_rows_that_share_an_id(odd, empty, documents):
+    rows = suffix_dedup.remove_repeats(odd, length=30, k=8).collect()
+    assert len(rows) == len(ODD_ROWS)
+    assert sorted(r.n_removed for r in rows if r.doc_id == 9) == [42, 42]
+    assert [r.n_removed for r in rows if r.doc_id == 7] == [150_000]
+    assert suffix_dedup.remove_repeats(empty).collect() == []
+
+
+def test_suffix_array_is_the_order_of_suffixes():
+    rng = np.random.default_rng(1)
+    for n in [0, 1, 2, 3, 4, 5, 6, 7, 30, 31, 32, 200]:
+        for letters in (1, 2, 4, 200):
+            s = rng.integers(1, letters + 1, n)
+            assert suffix_dedup.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+
+
+def brute_winnow(text, k=winnowing.K, window=winnowing.WINDOW):
+    """Positions chosen window by window, over the hashes of the operator."""
+    whole = winnowing.winnow(text, k, 1)  # a window of one keeps every hash
+    n = len(whole)
+    width = min(window, max(1, n // winnowing.LEAST_WINDOWS))
+    hashes = [int(x) >> 32 for x in whole]
+    chosen = []
+    for i in range(n - width + 1 if n else 0):
+        part = hashes[i:i + width]
+        at = i + max(j for j, h in enumerate(part) if h == min(part))
+        if not chosen or chosen[-1] != at:
+            chosen.append(at)
+    return [(hashes[i], i) for i in chosen]
+
+
+def test_winnow_equals_its_definition():
+    rng = random.Random(2)
+    texts = ["", "a", "short", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "漢字" * 40]
+    texts += ["".join(rng.choice("abc de") for _ in range(n)) for n in (11, 12, 13, 80, 300, 2000)]
+    for text in texts:
+        found = [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in winnowing.winnow(text)]
+        assert found == brute_winnow(text), text
+
+
+def test_winnow_finds_every_long_match():
+    rng = random.Random(3)
+    letters = "abcdefghij "
+    for _ in range(50):
+        common = "".join(rng.choice(letters) for _ in range(winnowing.K + winnowing.WINDOW - 1))
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(0, 900))) + common
+                + "".join(rng.choice(letters) for _ in range(rng.randrange(0, 900))) for _ in range(2))
+        x, y = ({int(v) >> 32 for v in winnowing.winnow(t)} for t in (a, b))
+        assert x & y
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 30, 20_000])
+def test_edits_follow_descending_ids(spark, block_bytes):
+    docs = table(spark, SF, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts, reverse=True)
+    rows = winnowing.with_edits(docs, block_bytes=block_bytes).collect()
+    assert len(rows) == len(texts)
+    by_id = {r.doc_id: r for r in rows}
+    for a, b in zip(ids, ids[1:] + ids[:1], strict=True):
+        cut = len(texts[a]) // 3
+        edited = texts[a][:len(texts[a]) - cut] + texts[b][:cut]
+        assert by_id[a].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert by_id[a].fingerprint == winnowing.as_text(winnowing.winnow(texts[a]))
+        assert by_id[a].edited_fingerprint == winnowing.as_text(winnowing.winnow(edited))
+        assert by_id[a].near_next == winnowing.likeness(winnowing.winnow(texts[a]), winnowing.winnow(texts[b]))
+
+
+def test_winnowing_odd_rows(odd, empty, documents):
+    rows = winnowing.with_edits(odd).collect()
+    assert len(rows) == len(ODD_ROWS)
+    assert len({r.fingerprint for r in rows if r.doc_id == 9}) == 1
+    assert winnowing.with_edits(empty).collect() == []
+    only = winnowing.with_edits(documents([(5, "alone in the table")])).collect()
+    assert [r.near_next for r in only] == [1.0]

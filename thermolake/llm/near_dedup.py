@@ -3,10 +3,12 @@
 1. Each text becomes its set of five-word shingles; texts with the same words share one representative.
 2. 128 minima per representative. Bands of four minima give candidate groups; the low two bits of every minimum are
    packed into four words, whose bit counts estimate the similarity, corrected for chance agreement.
-3. Candidates that the estimate leaves standing are confirmed on the full shingle sets.
-4. First every member of a band group is compared with the group's smallest id. Members that this leaves in
-   different components are then compared with each other, in chunks, so nothing inside a large group of copies is
-   compared pair by pair and no link between components is lost. Links become components by alternating stars.
+3. Every member of a band group is compared with the group's centre: the member that shares most groups with most
+   others, as the original of many copies does. What the estimate leaves standing is confirmed on the full sets.
+4. Members that this leaves in different components are compared with each other in blocks: chunks of the group meet
+   pairwise, the estimate picks pairs of different components, their full sets are intersected there, and only links
+   that join components come out. So a large group is never written out pair by pair, and no link between components
+   is lost. Links become components by alternating stars.
 
 A pair of similarity 0.85 shares no band with probability 6e-11, one of 0.8 with 5e-8.
 """
@@ -27,7 +29,10 @@ N_MINIMA, BAND_ROWS = 128, 4
 LOW_BITS = 2
 # how far below the threshold an estimate from 128 minima may fall: more than five standard deviations
 MARGIN = 0.2
+# a chunk of a group holds about so many members, and about so many shingles at most
 CHUNK = 256
+CHUNK_SHINGLES = 1 << 20
+COLUMNS = 8192
 
 _FEATURES = "doc_id long, key binary, n_shingles long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
@@ -118,29 +123,33 @@ def estimated_similarity(left: str, right: str) -> Column:
     return ((1 - unequal / N_MINIMA) - chance) / (1 - chance)
 
 
+def _shingle_rows(batches):
+    known: dict[bytes, int] = {}
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            if len(known) > 500_000:
+                known.clear()
+            sets = [shingle_set(words_of(t), known).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+
 def _confirmer(threshold_percent: int):
     def confirm(batches):
-        known: dict[bytes, int] = {}
         for batch in batches:
             keep = []
-            last, sets = None, None
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(),
-                               strict=True):
-                if len(known) > 500_000:
-                    known.clear()
-                if last != (a, len(x)):
-                    last, sets = (a, len(x)), shingle_set(words_of(x), known)
-                other = shingle_set(words_of(y), known)
-                common = len(np.intersect1d(sets, other, assume_unique=True))
-                keep.append(100 * common >= threshold_percent * (len(sets) + len(other) - common))
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                one, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(100 * common >= threshold_percent * (len(one) + len(other) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
     return confirm
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, threshold_percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough."""
-    first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+    first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     rows = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
     return rows.mapInArrow(_confirmer(threshold_percent), "a long, b long")
 
@@ -152,64 +161,120 @@ def _plausible(pairs: DataFrame, feats: DataFrame, least: float) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").filter(estimated_similarity("p", "q") >= least).select("a", "b")
 
 
-def _chunk_pairs(least: float):
-    """Within runs of rows (band, i, j, side, doc_id, component, s0..s3): pairs of different components that the
-    packed bits leave standing."""
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets: a product of their 0/1 tables, some columns at a time."""
+    sizes = [len(x) for x in left + right]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    column = np.unique(np.concatenate(left + right), return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    seen = np.bincount(column)
+    shared = np.cumsum(seen > 1) - 1  # members of one set only don't count
+    keep = seen[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    total = np.zeros((len(left), len(right)), np.float64)
+    n_columns = int(column[-1]) + 1 if len(column) else 0
+    for first in range(0, n_columns, COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        table = np.zeros((len(sizes), min(COLUMNS, n_columns - first)), np.float32)
+        table[row[lo:hi], column[lo:hi] - first] = 1
+        total += table[:len(left)] @ table[len(left):].T
+    return total.round().astype(np.int64)
+
+
+def joining_links(ids: np.ndarray, component: np.ndarray, near: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the links given by row numbers, those that join components still apart."""
+    parent: dict[int, int] = {}
+
+    def root(c):
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in near:
+        x, y = root(int(component[i])), root(int(component[j]))
+        if x != y:
+            parent[x] = y
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def links_between(rows: list[dict], least: float, threshold_percent: int) -> list[tuple[int, int]]:
+    """Links that join different components between side 0 and side 1 of a block, or within side 0 if the block is a
+    chunk with itself."""
     need = int(np.ceil(N_MINIMA * (1 - (least * (1 - 2.0 ** -LOW_BITS) + 2.0 ** -LOW_BITS))))
-
-    def compare(rows: np.ndarray):
-        side, ids, comp, sig = rows[:, 3], rows[:, 4], rows[:, 5], rows[:, 6:10].view(np.uint64)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if rows[0, 1] == rows[0, 2]:
-            right = left
-        if not len(left) or not len(right):
-            return np.empty((0, 2), np.int64)
-        d = sig[left][:, None, :] ^ sig[right][None, :, :]
-        unequal = np.bitwise_count(d[..., 0] | d[..., 2]) + np.bitwise_count(d[..., 1] | d[..., 3]).astype(np.int64)
-        near = (unequal <= need) & (comp[left][:, None] != comp[right][None, :])
-        i, j = np.nonzero(near)
-        a, b = ids[left][i], ids[right][j]
-        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-
+    ids = np.array([r["doc_id"] for r in rows])
+    component = np.array([r["component"] for r in rows])
+    packed = np.array([[r[f"s{k}"] for k in range(4)] for r in rows], np.int64).view(np.uint64)
+    side = np.array([r["side"] for r in rows])
+    left = np.flatnonzero(side == 0)
+    right = left if rows[0]["i"] == rows[0]["j"] else np.flatnonzero(side == 1)
+    if not len(left) or not len(right):
+        return []
+    d = packed[left][:, None, :] ^ packed[right][None, :, :]
+    unequal = np.bitwise_count(d[..., 0] | d[..., 2]) + np.bitwise_count(d[..., 1] | d[..., 3]).astype(np.int64)
+    plausible = (unequal <= need) & (component[left][:, None] != component[right][None, :])
+    if not plausible.any():
+        return []
+    left, right, plausible = left[plausible.any(1)], right[plausible.any(0)], plausible[plausible.any(1)][
+        :, plausible.any(0)]
+    sets = {i: np.frombuffer(rows[i]["shingles"], np.uint64) for i in {*left.tolist(), *right.tolist()}}
+    common = intersections([sets[i] for i in left], [sets[j] for j in right])
+    size = lambda side: np.array([len(sets[i]) for i in side])
+    whole = size(left)[:, None] + size(right)[None, :] - common
+    i, j = np.nonzero(plausible & (100 * common >= threshold_percent * whole))
+    return joining_links(ids, component, list(zip(left[i].tolist(), right[j].tolist(), strict=True)))
+
+
+def _block_links(least: float, threshold_percent: int):
+    """Rows sorted by block (g, i, j) to the links that join components within each."""
     def run(batches):
-        rest = np.empty((0, 10), np.int64)
-        for batch in batches:
-            rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)])
-            cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-            groups = np.split(rows, cuts)
-            rest = groups.pop()
-            yield from out(groups)
-        if len(rest):
-            yield from out([rest])
-
-    def out(groups):
-        found = [compare(g) for g in groups if len(g)]
-        if found:
-            pairs = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        held, last = [], None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                found = []
+                for row in whole.slice(at, 500).to_pylist():
+                    block = (row["g"], row["i"], row["j"])
+                    if held and block != last:
+                        found += links_between(held, least, threshold_percent)
+                        held = []
+                    held.append(row)
+                    last = block
+                yield made(found)
+        if held:
+            yield made(links_between(held, least, threshold_percent))
+
+    def made(links):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _across(members: DataFrame, components: DataFrame, feats: DataFrame, least: float) -> DataFrame:
-    """Plausible pairs between members of one band group that are in different components."""
+def _across(members: DataFrame, components: DataFrame, feats: DataFrame, sets: DataFrame, least: float,
+            threshold_percent: int) -> DataFrame:
+    """Links between members of one band group that the centre left in different components."""
     labelled = members.join(components, "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id"))
-    split = labelled.groupBy("band").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    rows = labelled.join(split.select("band", "n"), "band").join(
-        feats.select("doc_id", "s0", "s1", "s2", "s3"), "doc_id")
-    # chunks of about CHUNK members; every pair of chunks is one small piece of work
-    n_chunks = F.ceil(F.col("n") / CHUNK)
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), n_chunks))
-    other = F.sequence(F.lit(0).cast("long"), n_chunks - 1)
+        "component", F.coalesce("component", "doc_id")).join(feats.select("doc_id", "n_shingles"), "doc_id")
+    labelled = stored(labelled, "labelled-members")
+    groups = labelled.groupBy("band").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
+        F.sum("n_shingles").alias("weight"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("h")).filter(
+        "lo < hi")
+    # bands often repeat the same group; one of them is enough
+    groups = stored(groups.groupBy("n", "weight", "h").agg(F.min("band").alias("band")).select(
+        "band", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("weight") / CHUNK_SHINGLES)).alias("n_chunks")),
+        "open-groups")
+    chunked = labelled.join(groups, "band").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("n_chunks")))
+    other = F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)
     placed = chunked.select("*", F.explode(other).alias("other")).select(
-        "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-        F.when(F.col("chunk") <= F.col("other"), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("side"),
-        "doc_id", "component", "s0", "s1", "s2", "s3")
+        F.col("band").alias("g"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
+        F.when(F.col("chunk") <= F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side"), "doc_id", "component")
+    rows = placed.join(feats.select("doc_id", "s0", "s1", "s2", "s3"), "doc_id").join(sets, "doc_id")
     return (
-        placed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-        .mapInArrow(_chunk_pairs(least), "a long, b long").distinct())
+        rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+        .mapInArrow(_block_links(least, threshold_percent), "a long, b long"))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -252,16 +317,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                   .dropDuplicates(["doc_id"]), "representatives")
 
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    groups = banded.groupBy("band").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).filter("n > 1")
-    members = stored(banded.join(groups.select("band", "center"), "band"), "band-members")
-    involved = members.select("doc_id").distinct()
-    texts = stored(base.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
-
-    stars = members.filter("doc_id != center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star_links = stored(_confirmed(_plausible(stars, reps, least), texts, threshold_percent), "star-links")
+    groups = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(banded.join(stored(groups, "band-groups"), "band"), "band-members")
+    involved = stored(members.groupBy("doc_id").agg(F.sum("n").alias("met")), "candidates")
+    sets = stored(base.join(involved.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
+        _shingle_rows, "doc_id long, shingles binary"), "candidate-sets")
+
+    ranked = members.select("doc_id", "band").join(involved, "doc_id")
+    centres = ranked.groupBy("band").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("least"))).alias("best"))
+    centres = stored(centres.select("band", (-F.col("best.least")).alias("centre")), "centres")
+    stars = members.join(centres, "band").filter("doc_id != centre").select(
+        F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
+    star_links = stored(_confirmed(_plausible(stars, reps, least), sets, threshold_percent), "star-links")
     first = stored(connected_components(star_links), "star-components")
-    across = _across(members.select("doc_id", "band"), first, reps, least)
-    more_links = stored(_confirmed(across, texts, threshold_percent), "cross-links")
+    more_links = stored(_across(members.select("doc_id", "band"), first, reps, sets, least, threshold_percent).distinct(),
+                        "cross-links")
     components = connected_components(star_links.union(more_links))
 
     of_class = classes.join(components.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
