@@ -225,7 +225,7 @@ def test_chat_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
     found = registry.op7_chat_prefix_targets(spark, SF)
-    wanted = con.execute(registry.OP7_SQL).fetch_arrow_table().select(found.columns).to_pylist()
+    wanted = con.execute(registry.OP7_SQL).to_arrow_table().select(found.columns).to_pylist()
     assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r.values()) for r in wanted)
 
 
