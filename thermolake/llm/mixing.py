@@ -8,6 +8,8 @@ is a permutation of its blocks and of the documents within them, and the last pa
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +26,7 @@ def source_totals(docs: DataFrame) -> DataFrame:
     return docs.groupBy("key").agg(F.sum("tokens").alias("total"), F.count("*").alias("n_docs"))
 
 
-def _measures(exponent: float, share: Column, budget_share: float | None, want_entropy: bool) -> dict[str, Column]:
+def _measures(exponent: float, share: Column, want_entropy: bool) -> dict[str, Column]:
     power = F.pow(share, F.lit(exponent))
     if want_entropy:
         return {"z": F.sum(power), "x": F.sum(power * F.log(share))}
@@ -50,12 +52,11 @@ def choose_exponent(totals: DataFrame, max_repetition: float = MAX_REPETITION, t
         grid = [low + (high - low) * i / GRID for i in range(GRID + 1)]
         found = rows.agg(*[
             m.alias(f"{n}{i}") for i, e in enumerate(grid)
-            for n, m in _measures(e, share, None, target_entropy is not None).items()]).first().asDict()
+            for n, m in _measures(e, share, target_entropy is not None).items()]).first().asDict()
         good = []
         for i, e in enumerate(grid):
             z, x = found[f"z{i}"], found[f"x{i}"]
             if target_entropy is not None:
-                from math import log
                 good.append(log(z) - e * x / z >= target_entropy - 1e-12)
             else:
                 repeated = x / found[f"y{i}"] if budget is None else x / z * budget / whole

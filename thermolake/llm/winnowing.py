@@ -123,15 +123,16 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         block = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0))
     placed = rows.select(block.alias("block"), "doc_id", "text")
-    # one id per block
-    firsts = sorted(tuple(r) for r in placed.groupBy("block").agg(F.max("doc_id")).collect())
-    spread = F.array(F.struct("block", F.lit(False).alias("extra")))
-    for i, (own, first) in enumerate(firsts):
-        before = firsts[i - 1][0]
-        spread = F.when(
-            (F.col("block") == own) & F.col("doc_id").eqNullSafe(F.lit(first).cast("long")),
-            F.array(F.struct("block", F.lit(False).alias("extra")),
-                    F.struct(F.lit(before).alias("block"), F.lit(True).alias("extra")))).otherwise(spread)
+    # one id per block: where a block's first row goes besides
+    firsts = placed.groupBy("block").agg(F.max("doc_id").alias("first")).orderBy("block").collect()
+    before = {firsts[i].first: firsts[i - 1].block for i in range(len(firsts))}
+    of_id = F.create_map(*[F.lit(x).cast(t) for k, b in before.items() if k is not None
+                           for x, t in ((k, "long"), (b, "int"))]).cast("map<bigint,int>")
+    earlier = F.when(F.col("doc_id").isNull(), F.lit(before.get(None)).cast("int")).otherwise(
+        F.element_at(of_id, F.col("doc_id")))
+    own = F.struct("block", F.lit(False).alias("extra"))
+    spread = F.when(earlier.isNotNull(), F.array(own, F.struct(earlier.alias("block"), F.lit(True).alias("extra")))
+                    ).otherwise(F.array(own))
     moved = placed.select(F.explode(spread).alias("to"), "doc_id", "text").select("to.block", "to.extra", "doc_id",
                                                                                   "text")
     return (
