@@ -26,7 +26,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared work folder and reads it back: later steps neither compute it again nor lose
     it with an executor."""
     path = work_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

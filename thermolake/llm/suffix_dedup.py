@@ -304,16 +304,16 @@ def covered_ranges(texts: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     """(uid, ranges: array of (low, high)) of the documents that hold a repeated string. ``texts`` has unique uid
     and text."""
     found = stored(texts.mapInArrow(_anchor_rows(length, k), "hash long, around long, uid long, at int"), "anchors")
-    twice = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias(
-        "hi")).filter("n > 1").select("hash", (F.col("lo") != F.col("hi")).alias("mixed"))
-    candidates = stored(found.join(twice, "hash"), "anchor-classes")
+    # written first, so that the join can split a class that holds a large part of all anchors
+    twice = stored(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "repeated-anchors")
+    candidates = stored(found.join(twice, "hash", "left_semi"), "anchor-classes")
     # a surrounding seen twice settles its occurrences
     seen = candidates.groupBy("hash", "around").agg(
-        F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"), F.first("mixed").alias("mixed"))
+        F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"))
     seen = stored(seen, "surroundings")
-    crowds = seen.filter("mixed").groupBy("hash").agg(F.count("*").alias("m")).select(
+    crowds = seen.groupBy("hash").agg(F.count("*").alias("m")).filter("m > 1").select(
         "hash", (F.col("m") > MAX_SURROUNDINGS).alias("crowded"))
-    ones = seen.filter("mixed").join(crowds, "hash").select(
+    ones = seen.join(crowds, "hash").select(
         "one.uid", F.struct("hash", F.col("one.at").alias("at"), "crowded").alias("place"))
     hot = candidates.select("uid").distinct()
     hot_texts = stored(texts.join(hot, "uid", "left_semi"), "repeating-texts")
@@ -352,8 +352,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = rows.withColumn("uid", F.col("doc_id"))
     else:  # ids don't tell rows apart: number them once
         rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()), "numbered-texts")
-    removed = stored(covered_ranges(rows.select("uid", "text"), length, k).mapInArrow(
-        _removal, "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"), "removed")
+    removed = covered_ranges(rows.select("uid", "text"), length, k).mapInArrow(
+        _removal, "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     text = F.coalesce("text", F.lit(""))
     whole = rows.select(
         "doc_id", "uid", F.octet_length(text).cast("long").alias("all_bytes"),
