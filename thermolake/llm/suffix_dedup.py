@@ -29,8 +29,8 @@ from .common import stored
 
 LENGTH = 200
 K = 48
-# suffixes of about so many bytes are sorted at once
-BATCH_BYTES = 1 << 20
+# suffixes of about so many bytes are sorted at once, which fits a core's cache
+BATCH_BYTES = 1 << 17
 # classes with more surroundings are counted by hash
 MAX_SURROUNDINGS = 4096
 
