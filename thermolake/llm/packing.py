@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -28,50 +29,128 @@ SHARD_DOCS = 1024
 END_ID = 0
 K1, B = 1.2, 0.75
 SEED = 11
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
+# white space other than plain spaces and line ends
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 # a single space between two characters that aren't white space never falls inside a token's run
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+# letters, then ASCII punctuation without the apostrophe: a pre-tokenizer always parts them
+_LETTERS_THEN_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+# may be encoded with others, one a line
+_ONE_RUN = re.compile(r" ?\S+")
+LINES = 2000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
+def _plain(text: str) -> bool:
+    """Whether every space stands between two characters that aren't white space."""
+    return not ("  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " "
+                or _OTHER_SPACE.search(text))
+
+
+def _parts(word: str) -> list[str]:
+    """Pieces of a word that are encoded by themselves: a line end between two other characters stands alone, and so do
+    punctuation marks after letters."""
+    if "\n" in word and word[0] != "\n" and word[-1] != "\n" and "\n\n" not in word and not _OTHER_SPACE.search(word):
+        lines = word.split("\n")
+        return _parts(lines[0]) + [p for line in lines[1:] for p in ["\n", *_parts(line)]]
+    found = _LETTERS_THEN_MARKS.fullmatch(word)
+    return list(found.groups()) if found else [word]
+
+
+class Memory:
+    """Two generations of known ids: what is asked for again moves on, the rest is forgotten with its generation."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def grow(self) -> None:
+        if len(self.now) > REMEMBERED:
+            self.before, self.now = self.now, {}
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """Those of the words that neither generation knows; the others are in ``now`` afterwards."""
+        new, now, before = [], self.now, self.before
+        for w in words.difference(now):
+            ids = before.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                now[w] = ids
+        return new
+
+
 class Encoder:
-    """Ids of whole texts. Texts are cut at single spaces, and words met before aren't encoded again."""
+    """Ids of whole texts, for byte-level BPE. Texts are cut at single spaces, and what was met before isn't encoded
+    again. New words are encoded many at a time, one a line."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.first, self.later = Memory(), Memory()  # words at the beginning of a text, and after a space
+        self.parts = Memory()  # what words consist of
+
+    @classmethod
+    def of_worker(cls, path: str) -> Encoder:
+        """The one of this Python worker: it serves many tasks, each of which gets its functions anew."""
+        kept = sys.__dict__.setdefault("_corpus_encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [self._words(t) for t in texts]
-        new = list({w for words in cut for w in words if w not in self.known})
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        if not text:
-            return []
-        parts = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            parts = _INNER_SPACE.split(text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        for known in (self.first, self.later, self.parts):
+            known.grow()
+        cut = [t.split(" ") if _plain(t) else _INNER_SPACE.split(t) for t in texts]
+        self._learn(self.first, "", {words[0] for words in cut})
+        later = set()
+        for words in cut:
+            later.update(words[1:])
+        self._learn(self.later, " ", later)
+        first, after = self.first.now, self.later.now.__getitem__
+        return [first[words[0]] + b"".join(map(after, words[1:])) for words in cut]
+
+    def _learn(self, known: Memory, before: str, words: set[str]) -> None:
+        new = known.unknown(words)
+        consists = [_parts(before + w) for w in new]
+        self._encode_parts(self.parts.unknown({p for ps in consists for p in ps}))
+        known, ids = known.now, self.parts.now
+        for word, ps in zip(new, consists, strict=True):
+            known[word] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        alone, lines = [], []
+        for p in parts:
+            (lines if _ONE_RUN.fullmatch(p) and "<|" not in p and len(self.newline) == 1 else alone).append(p)
+        pages = [lines[i:i + LINES] for i in range(0, len(lines), LINES)]
+        found = self.tokenizer.encode_batch_fast(["\n".join(page) for page in pages], add_special_tokens=False)
+        for page, encoded in zip(pages, found, strict=True):
+            ids = np.array(encoded.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.newline[0]).tolist(), len(ids)]
+            if len(ends) != len(page):  # a line that holds the newline's id
+                alone += page
+                continue
+            raw, start = ids.tobytes(), 0
+            for part, end in zip(page, ends, strict=True):
+                self.parts.now[part] = raw[4 * start:4 * end]
+                start = end + 1
+        for part, encoded in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.parts.now[part] = np.array(encoded.ids, "<u4").tobytes()
 
 
 def _tokenise(path: str, window: int):
     def run(batches):
-        encoder = Encoder(path)
+        encoder = Encoder.of_worker(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                yield tokens_of(encoder, whole.slice(at, 500))
+            for at in range(0, whole.num_rows, 1000):
+                yield tokens_of(encoder, whole.slice(at, 1000))
 
     def tokens_of(encoder, batch):
         texts = [t or "" for t in batch.column(1).to_pylist()]
