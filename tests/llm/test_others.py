@@ -129,6 +129,30 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len(set(texts)) == 16 and set(texts) == {f"met Herr {r.drawn.split(' ')[1].capitalize()} today" for r in rows}
 
 
+def test_many_names_stay_distinct(spark):
+    """More names of a title and script than there are fixed ones."""
+    def written(n, letters):
+        return "".join(letters[n // 12 ** k % 12] for k in range(4)).capitalize()
+
+    scripts = [("Mr", "abcdefghijkl"), ("госпожа", "абвгдежзиклм"), ("κύριος", "αβγδεζηθικλμ")]
+    said = [f"{title} {written(n, letters)}" + f" {written(n * 7 + 1, letters)}" * (n % 2)
+            for title, letters in scripts for n in range(3000)]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    rows = surrogates.draw_surrogates(surrogates.entities(df)).collect()
+    drawn = {r.drawn for r in rows}
+    assert len(drawn) == len(rows) == len(set(said)) == 9000 and not drawn & {r.canon for r in rows}
+    texts = [r.text for r in surrogates.pseudonymise(df).collect()]
+    assert len(set(texts)) == 9000 and {t.lower() for t in texts} == drawn
+
+
+def test_short_addresses_and_masked_secrets_find_free_surrogates(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    said = [f"{a}@{b}.com" for a in letters for b in letters] + ['password = "********"']
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    texts = {r.text for r in surrogates.pseudonymise(df).collect()}
+    assert len(texts) == len(said) and not texts & set(said)
+
+
 def test_surrogates_odd_rows(odd, empty):
     rows = surrogates.pseudonymise(odd).collect()
     assert sorted((str(r.record.doc_id), str(r.text)) for r in rows) == sorted((str(d), str(t)) for d, t in ODD_ROWS)

@@ -6,8 +6,10 @@ letters keep case and script, punctuation stays, card numbers keep their Luhn va
 script and number of words, addresses stay addresses.
 
 Collision check: all distinct entities of the corpus are drawn first. Where two of one type get the same surrogate,
-or a surrogate equals an entity of the corpus, all but the smallest draw again, until none collide. Only documents
-with redrawn entities need a lookup; all others are rewritten in place, without a shuffle of texts.
+or a surrogate equals an entity of the corpus, all but the smallest draw again, until none collide. Each further draw
+lengthens names by a syllable and addresses and secrets by a letter, so their surrogates never run out; numbers keep
+their length, and a corpus that leaves too few free numbers of a form is refused. Only documents with redrawn entities
+need a lookup; all others are rewritten in place, without a shuffle of texts.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 KEY = "replace-this-key"
-MAX_DRAWS = 40
+# draws in a row that settle no entity: its form has no free surrogate left
+IDLE_DRAWS = 40
 
 # fixed values: titles with the gender they show, and given and family names by script
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Signor", "господин", "κύριος"]
@@ -37,6 +40,12 @@ NAMES = {
     ("greek", "female"): ["Άννα", "Ελένη", "Μαρία", "Σοφία"],
     ("greek", "family"): ["Βλάχος", "Δήμου", "Κωστής", "Μάνος", "Παππάς", "Ρήγας"],
 }
+# consonants and vowels of the syllables that further draws append to a family name
+SYLLABLES = {
+    "latin": ("bcdfghjklmnprstvwz", "aeiou"),
+    "cyrillic": ("бвгджзклмнпрстфхцч", "аеиоу"),
+    "greek": ("βγδζθκλμνξπρτφχψ", "αειου"),
+}
 # alphabets letters are drawn from: an input character in the class gives a character of the same class
 ALPHABETS = [
     ("[0-9]", "0123456789"),
@@ -124,17 +133,30 @@ def _card(canon: Column, seed: Column) -> Column:
     return F.when(F.pmod(_luhn_sum(canon), F.lit(10)) == 0, F.concat(body, check.cast("string"))).otherwise(drawn)
 
 
-def _email(canon: Column, seed: Column) -> Column:
+def _longer(text: Column, draw: Column) -> Column:
+    """A letter more per further draw."""
+    return F.concat(text, F.repeat(F.lit("a"), draw))
+
+
+def _email(canon: Column, seed: Column, draw: Column) -> Column:
     """The last label of the domain stays."""
     ending = F.regexp_extract(canon, r"(\.[^.]+)$", 1)
-    return F.concat(_recode(F.regexp_replace(canon, r"\.[^.]+$", ""), seed), ending)
+    return F.concat(_recode(_longer(F.regexp_replace(canon, r"\.[^.]+$", ""), draw), seed), ending)
 
 
 def _phone(canon: Column, seed: Column) -> Column:
     return _recode(canon, seed)
 
 
-def _name(canon: Column, seed: Column) -> Column:
+def _syllables(script: str, seed: Column, draw: Column) -> Column:
+    """Nothing at the first draw, two syllables at the second, one more at each further one."""
+    consonants, vowels = SYLLABLES[script]
+    return F.when(draw > 0, F.array_join(F.transform(F.sequence(F.lit(0), draw), lambda i: F.concat(
+        _pick(list(consonants), _draw(seed, F.lit("consonant"), i)),
+        _pick(list(vowels), _draw(seed, F.lit("vowel"), i)))), "")).otherwise(F.lit(""))
+
+
+def _name(canon: Column, seed: Column, draw: Column) -> Column:
     title = F.substring_index(canon, " ", 1)
     words = F.slice(F.split(canon, " "), F.lit(2), F.size(F.split(canon, " ")))
     female = title.isin(*[t.lower() for t in FEMALE_TITLES])
@@ -143,7 +165,8 @@ def _name(canon: Column, seed: Column) -> Column:
     def of(script: str, i: Column) -> Column:
         at = _draw(seed, i)
         given = F.when(female, _pick(NAMES[script, "female"], at)).otherwise(_pick(NAMES[script, "male"], at))
-        return F.when((i == 0) & (F.size(words) > 1), given).otherwise(_pick(NAMES[script, "family"], at))
+        return F.when((i == 0) & (F.size(words) > 1), given).otherwise(
+            F.concat(_pick(NAMES[script, "family"], at), _syllables(script, seed, draw)))
 
     drawn = F.transform(words, lambda w, i: F.lower(
         F.when(rest.rlike(r"\p{IsCyrillic}"), of("cyrillic", i)).when(rest.rlike(r"\p{IsGreek}"), of("greek", i))
@@ -157,11 +180,12 @@ def surrogate(kind: Column, canon: Column, draw: Column, key: str = KEY) -> Colu
     seed = F.sha2(F.concat(F.lit(key), inner), 256)
     octets = [F.pmod(_draw(seed, F.lit(i)), F.lit(254)) + 1 for i in range(4)]
     return (
-        F.when(kind == "email", _email(canon, seed))
+        F.when(kind == "email", _email(canon, seed, draw))
         .when(kind == "card", _card(canon, seed))
         .when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
         .when(kind == "phone", _phone(canon, seed))
-        .when(kind == "name", _name(canon, seed))
+        .when(kind == "name", _name(canon, seed, draw))
+        .when(kind.isin("assigned", "secret"), _recode(_longer(canon, draw), seed))
         .otherwise(_recode(canon, seed)))
 
 
@@ -210,14 +234,14 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def draw_surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, draw int, drawn): distinct surrogates, none of which is an entity of the corpus.
 
-    A kind with fewer possible surrogates than entities cannot be kept distinct; after ``MAX_DRAWS`` draws its last
-    ones stand.
+    Raises ValueError where that cannot be: only numbers have a fixed length, so only they can run out of surrogates.
     """
     def with_draw(rows):
         return rows.withColumn("drawn", surrogate(F.col("kind"), F.col("canon"), F.col("draw"), key))
 
     current = stored(with_draw(found.withColumn("draw", F.lit(0))), "surrogates")
-    for _ in range(MAX_DRAWS):
+    left, idle = None, 0
+    while True:
         shared = current.groupBy("kind", "drawn").agg(F.min("canon").alias("first"), F.count("*").alias("n")).filter(
             "n > 1")
         second = current.join(shared.select("kind", "drawn", "first"), ["kind", "drawn"]).filter(
@@ -225,12 +249,16 @@ def draw_surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
         real = current.join(found.select("kind", F.col("canon").alias("drawn")), ["kind", "drawn"], "left_semi").select(
             "kind", "canon")
         clash = stored(second.union(real).distinct(), "surrogate-clashes")
-        if clash.isEmpty():
-            break
+        before, left = left, clash.count()
+        if left == 0:
+            return current
+        idle = idle + 1 if before is not None and left >= before else 0
+        if idle == IDLE_DRAWS:
+            kinds = sorted(r.kind for r in clash.select("kind").distinct().collect())
+            raise ValueError(f"{left} entities of {', '.join(kinds)} have no free surrogate")
         again = with_draw(current.join(clash, ["kind", "canon"], "left_semi").select(
             "kind", "canon", (F.col("draw") + 1).alias("draw")))
         current = stored(current.join(clash, ["kind", "canon"], "left_anti").unionByName(again), "surrogates")
-    return current
 
 
 def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
