@@ -153,6 +153,20 @@ def test_short_addresses_and_masked_secrets_find_free_surrogates(spark):
     assert len(texts) == len(said) and not texts & set(said)
 
 
+def test_titles_in_any_case(spark):
+    titles = ["Господин", "ГОСПОДИН", "Госпожа", "ГОСПОЖА", "Κύριος", "ΚΎΡΙΟΣ", "ΚΥΡΙΟΣ", "Κυρία", "ΚΥΡΊΑ", "ΚΥΡΙΑ",
+              "SEÑOR", "SEÑORA"]
+    names = {"Γ": "Ιωάννης Παππάκης", "Г": "Семён Рыжков", "S": "Pedro Lopez"}
+    said = [f"{t} {names['Г' if 'А' <= t[0] <= 'Я' else 'S' if t[0] == 'S' else 'Γ']}" for t in titles]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    for row in surrogates.pseudonymise(df).collect():
+        was, now = said[row.record.doc_id].split(), row.text.split()
+        assert row.n_entities == 1 and now[0] == was[0] and not set(now[1:]) & set(was[1:]), row
+        script = {"Г": "cyrillic", "S": "latin"}.get(was[0][0], "greek")
+        gender = "female" if was[0][-1] in "аАαΑaA" else "male"
+        assert now[1] in surrogates.NAMES[script, gender], row
+
+
 def test_surrogates_odd_rows(odd, empty):
     rows = surrogates.pseudonymise(odd).collect()
     assert sorted((str(r.record.doc_id), str(r.text)) for r in rows) == sorted((str(d), str(t)) for d, t in ODD_ROWS)

@@ -23,9 +23,9 @@ KEY = "replace-this-key"
 # draws in a row that settle no entity: its form has no free surrogate left
 IDLE_DRAWS = 40
 
-# fixed values: titles with the gender they show, and given and family names by script
-MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Signor", "господин", "κύριος"]
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Signora", "госпожа", "κυρία"]
+# fixed values: titles with the gender they show (Greek capitals drop the accent), and given and family names by script
+MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Signor", "господин", "κύριος", "κυριος"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Signora", "госпожа", "κυρία", "κυρια"]
 NAMES = {
     ("latin", "male"): ["Adam", "Boris", "Carl", "David", "Emil", "Frank", "Georg", "Hugo", "Ivan", "Jonas", "Karl",
                         "Leon", "Martin", "Nils", "Oscar", "Paul"],
@@ -69,7 +69,7 @@ PATTERNS = {
     "ssn": r"(?<![\p{L}\d.\-])\d{3}-\d{2}-\d{4}(?![\p{L}\d\-])",
     "phone": r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|(?<![\p{L}\d.\-])\d{3})[ .\-]?\d{3}[ .\-]\d{4}(?!\d)"
              r"|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\p{L}\d.\-])\d{3}-\d{4}(?![\d\-])",
-    "name": _WORD_BEFORE + rf"(?i:{_TITLES})\.?\s\p{{Lu}}[\p{{L}}'\-]+(?:\s\p{{Lu}}[\p{{L}}'\-]+)?",
+    "name": _WORD_BEFORE + rf"(?iu:{_TITLES})\.?\s\p{{Lu}}[\p{{L}}'\-]+(?:\s\p{{Lu}}[\p{{L}}'\-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # what every entity holds: a cheap search that spares most texts the full pattern
@@ -159,7 +159,7 @@ def _syllables(script: str, seed: Column, draw: Column) -> Column:
 def _name(canon: Column, seed: Column, draw: Column) -> Column:
     title = F.substring_index(canon, " ", 1)
     words = F.slice(F.split(canon, " "), F.lit(2), F.size(F.split(canon, " ")))
-    female = title.isin(*[t.lower() for t in FEMALE_TITLES])
+    female = title.isin(*[F.lower(F.lit(t)) for t in FEMALE_TITLES])
     rest = F.array_join(words, " ")
 
     def of(script: str, i: Column) -> Column:
