@@ -190,6 +190,22 @@ def test_scores_on_held_out_labels(spark):
     assert np.mean([(s >= 0.3) == q for s, q in held]) > 0.9
 
 
+def test_threshold_is_the_rank_among_all_training_documents(spark, monkeypatch):
+    """A small sample, and bad labels without a document or repeated, leave the threshold where all labels put it."""
+    monkeypatch.setattr(quality_model, "FEW", 20)
+    monkeypatch.setattr(quality_model, "BINS", 8)
+    rng = np.random.default_rng(2)
+    texts = [" ".join("w" * int(n) for n in rng.integers(1, 12, int(rng.integers(5, 60)))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    quality = {i: int(len(t) > 150) for i, t in enumerate(texts)}
+    said = [*quality.items(), *[(i, 0) for i in range(1000, 2000)], *[(i, q) for i, q in quality.items() if q == 0] * 3]
+    labels = spark.createDataFrame(said, "doc_id long, quality int")
+    scores = {r.doc_id: r.score for r in quality_model.quality_scores(docs, labels, sample=20).collect()}
+    training = [i for i in quality if zlib.crc32(str(i).encode()) % 5]
+    bad = sum(quality[i] == 0 for i in training)
+    assert sorted(scores[i] for i in training)[bad - 1] == pytest.approx(0.3, abs=1e-9)
+
+
 def test_scores_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (5, 1), (4, 1), (99, 0), (None, 1), (2, None)], "doc_id long, quality int")
     assert len(quality_model.quality_scores(odd, labels).collect()) == len(ODD_ROWS)

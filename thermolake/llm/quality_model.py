@@ -2,10 +2,11 @@
 
 A document's strength is linear in features of its whole text. Pairs of a good and a bad labelled document give the
 logistic loss of the feature differences, which Newton steps minimise. The threshold is a quantile of the strengths
-of the training documents: the share labelled bad. Scores are the logistic function of the strength, shifted so that
+of all training documents: the share labelled bad. Scores are the logistic function of the strength, shifted so that
 the threshold scores 0.3.
 
-Labelled documents for training are bounded (``SAMPLE`` per label, taken by a hash of the id), as are pairs.
+Only the weights come from bounded data: ``SAMPLE`` labelled documents per label, taken by a hash of the id, and pairs
+of them.
 """
 
 from __future__ import annotations
@@ -18,11 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 FOLDS, HELD_OUT = 5, 0
 CUTOFF = 0.3
 SAMPLE = 3000
 N_PAIRS = 60_000
 PENALTY = 1e-3
+# ranks are found by counting in so many equal ranges, until so few values are left
+BINS, FEW = 4096, 10_000
 
 FEATURES = [
     "log_words", "log_chars", "word_length", "distinct_words", "top_word", "repeated_next", "symbols", "digits",
@@ -74,11 +79,16 @@ def text_features(text: str | None) -> list[float]:
     return [own[f] for f in FEATURES]
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> pd.DataFrame:
-    """At most ``sample`` labelled documents of each label outside the held-out fold, with their features."""
+def _training(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """(doc_id, quality) of the labelled documents outside the held-out fold, one row an id."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).filter(
         F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != HELD_OUT)).dropDuplicates(["doc_id"])
+    return known.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
+
+
+def _sampled(docs: DataFrame, known: DataFrame, sample: int, id_col: str, text_col: str) -> pd.DataFrame:
+    """At most ``sample`` training documents of each label, with their features."""
     taken = None
     for value in (0, 1):
         part = known.filter(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -95,20 +105,41 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_
     return rows.dropDuplicates(["doc_id"]).mapInPandas(features, schema).toPandas().sort_values("doc_id")
 
 
-def _share_of_bad(labels: DataFrame) -> float:
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
-    bad, good = labels.filter(fold != HELD_OUT).agg(
-        F.count_if(F.col("quality") == 0), F.count_if(F.col("quality") == 1)).first()
-    return bad / max(bad + good, 1)
-
-
-def fit(sample: pd.DataFrame, share_of_bad: float, n_pairs: int = N_PAIRS) -> dict:
-    """Weights of the strength and the threshold. With one label only, all documents score the same."""
+def _at_rank(values: DataFrame, rank: int) -> float:
+    """The ``rank``-th smallest, from 0, of a single column ``strength``. At most ``FEW`` values reach the driver."""
+    while True:
+        low, high, n = values.agg(F.min("strength"), F.max("strength"), F.count("*")).first()
+        if low == high:
+            return low
+        if n <= FEW:
+            return sorted(r.strength for r in values.collect())[rank]
+        # a low, a middle and a high range at least, so each pass leaves values out
+        place = F.least(F.floor((F.col("strength") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        counts = sorted(values.groupBy(place.alias("place")).count().collect())
+        for at, size in counts:
+            if rank < size:
+                break
+            rank -= size
+        values = values.filter(place == at)
+
+
+def _threshold(strengths: DataFrame, known: DataFrame) -> float:
+    """The smallest strength that the share labelled bad of all training documents doesn't exceed."""
+    # rows that repeat an id count once
+    rows = stored(known.join(strengths, "doc_id").groupBy("doc_id").agg(
+        F.min("quality").alias("quality"), F.min("strength").alias("strength")), "quality-training")
+    bad, n = rows.agg(F.count_if(F.col("quality") == 0), F.count("*")).first()
+    if bad in (0, n):  # nothing to tell apart: all strengths are 0
+        return 1.0 if bad else 0.0
+    return _at_rank(rows.select("strength"), bad - 1)
+
+
+def fit(sample: pd.DataFrame, n_pairs: int = N_PAIRS) -> dict:
+    """Weights of the strength. With one label only, all documents score the same."""
     x = sample[FEATURES].to_numpy()
     good, bad = x[sample["quality"] == 1], x[sample["quality"] == 0]
     if not len(good) or not len(bad):
-        return {"mean": [0.0] * len(FEATURES), "scale": [1.0] * len(FEATURES), "weights": [0.0] * len(FEATURES),
-                "threshold": 0.0 if len(good) or not len(bad) else 1.0}
+        return {"mean": [0.0] * len(FEATURES), "scale": [1.0] * len(FEATURES), "weights": [0.0] * len(FEATURES)}
     mean, scale = x.mean(0), x.std(0) + 1e-9
     rng = np.random.default_rng(17)
     i, j = rng.integers(0, len(good), n_pairs), rng.integers(0, len(bad), n_pairs)
@@ -122,36 +153,33 @@ def fit(sample: pd.DataFrame, share_of_bad: float, n_pairs: int = N_PAIRS) -> di
         weights -= step
         if np.abs(step).max() < 1e-6:
             break
-    # quantile of the training strengths in the labels' proportions, whatever the sample's
-    strength = ((x - mean) / scale) @ weights
-    mass = np.where(sample["quality"] == 1, (1 - share_of_bad) / len(good), share_of_bad / len(bad))
-    order = np.argsort(strength)
-    at = min(np.searchsorted(np.cumsum(mass[order]), share_of_bad), len(order) - 1)
-    return {"mean": mean.tolist(), "scale": scale.tolist(), "weights": weights.tolist(),
-            "threshold": float(strength[order][at])}
-
-
-def score_texts(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score double) of every row; null and empty texts get the score of an empty text."""
-    def score(frames):
+    return {"mean": mean.tolist(), "scale": scale.tolist(), "weights": weights.tolist()}
+
+
+def strengths_of(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, strength double) of every row; null and empty texts get the strength of an empty text."""
+    def strength(frames):
         mean, scale, weights = (np.array(model[k]) for k in ("mean", "scale", "weights"))
-        shift = math.log(CUTOFF / (1 - CUTOFF)) - model["threshold"]
         for frame in frames:
             if len(frame):
                 x = np.array([text_features(t) for t in frame["text"]])
-                z = np.clip(((x - mean) / scale) @ weights + shift, -35, 35)
-                yield pd.DataFrame({"doc_id": frame["doc_id"], "score": 1 / (1 + np.exp(-z))})
+                yield pd.DataFrame({"doc_id": frame["doc_id"], "strength": ((x - mean) / scale) @ weights})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(score, "doc_id long, score double")
+    return rows.mapInPandas(strength, "doc_id long, strength double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Labels without a document, repeated labels of an id after
     the first, and labels other than 0 and 1 aren't used."""
-    model = fit(_sampled(docs, labels, sample, id_col, text_col), _share_of_bad(labels))
+    known = stored(_training(docs, labels, id_col), "quality-labels")
+    model = fit(_sampled(docs, known, sample, id_col, text_col))
+    strengths = stored(strengths_of(docs, model, id_col, text_col), "quality-strengths")
+    threshold = _threshold(strengths, known)
+    shifted = F.col("strength") - threshold + math.log(CUTOFF / (1 - CUTOFF))
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
-    return score_texts(docs, model, id_col, text_col).select(
+    bounded = F.greatest(F.least(shifted, F.lit(35.0)), F.lit(-35.0))
+    return strengths.withColumn("score", 1 / (1 + F.exp(-bounded))).select(
         "doc_id", (fold == HELD_OUT).alias("held_out"), "score",
         F.when(F.col("score") >= CUTOFF, 1).otherwise(0).alias("predicted"))
