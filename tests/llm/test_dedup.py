@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -87,6 +88,16 @@ def test_near_duplicates_odd_rows(odd, empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
+@pytest.mark.parametrize("threshold, lost", [(0.85, 6e-11), (0.8, 5e-8)])
+def test_bands_and_estimate_lose_no_more_than_stated(threshold, lost):
+    n, chance = near_dedup.N_MINIMA, 2.0 ** -near_dedup.LOW_BITS
+    agree = threshold + (1 - threshold) * chance
+    least = math.ceil(n * (chance + (1 - chance) * (threshold - near_dedup.MARGIN)))
+    dropped = sum(math.comb(n, i) * agree ** i * (1 - agree) ** (n - i) for i in range(least))
+    no_band = (1 - threshold ** near_dedup.BAND_ROWS) ** (n // near_dedup.BAND_ROWS)
+    assert dropped + no_band < lost
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.85, 0.95):

@@ -7,10 +7,11 @@
    others, as the original of many copies does. What the estimate leaves standing is confirmed on the full sets.
 4. Members that this leaves in different components are compared with each other in blocks: chunks of the group meet
    pairwise, the estimate picks pairs of different components, their full sets are intersected there, and only links
-   that join components come out. So a large group is never written out pair by pair, and no link between components
-   is lost. Links become components by alternating stars.
+   that join components come out. So a large group is never written out pair by pair. Links become components by
+   alternating stars.
 
-A pair of similarity 0.85 shares no band with probability 6e-11, one of 0.8 with 5e-8.
+A pair of similarity 0.85 shares no band or is dropped by the estimate with probability 6e-11, one of 0.8 (where that
+is the threshold) with 5e-8.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .common import stored
 SHINGLE = 5
 N_MINIMA, BAND_ROWS = 128, 4
 LOW_BITS = 2
-# how far below the threshold an estimate from 128 minima may fall: more than five standard deviations
-MARGIN = 0.2
+# how far below the threshold an estimate from 128 minima may fall: seven standard deviations
+MARGIN = 0.3
 # a chunk of a group holds about so many members, and about so many shingles at most
 CHUNK = 256
 CHUNK_SHINGLES = 1 << 20
