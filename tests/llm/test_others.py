@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -416,7 +417,10 @@ def brute_statistics(text):
 
 
 def test_word_statistics_equal_brute_force(spark, odd):
-    docs = table(spark, SF, "documents").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    lines = spark.createDataFrame([
+        (1, "a\n\n\n\nb\n \n \t\n \nc"), (2, "\n\n\n"), (3, "x\ny\nx\n \nx"), (4, "a \na\na \n\v\n\v"), (5, "\u00a0\n\u00a0\n"),
+    ], "doc_id long, text string")
+    docs = table(spark, SF, "documents").select("doc_id", "text").union(odd.select("doc_id", "text")).union(lines)
     rows = quality_rules.word_statistics(docs).collect()
     found = Counter((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows)
     assert found == Counter(brute_statistics(r.text) for r in docs.collect())
@@ -453,6 +457,58 @@ def test_rules_act_only_where_labels_prove_them(spark):
     assert all(r.kept for r in quality_rules.judge(few, few_labels).collect())
 
 
+def brute_cutoffs(rows, max_risk, error):
+    """{stratum: {rule: cutoff}} from (stratum, good, measures) rows, with the bound summed up exactly."""
+    strata, chosen, gone = sorted({r[0] for r in rows}), defaultdict(dict), set()
+    p = max_risk / len(quality_rules.RULES)
+    limit = error / (len(strata) * len(quality_rules.RULES))
+    for rule, cutoffs in quality_rules.RULES.items():
+        for stratum in strata:
+            mine = [(i, good, m[rule]) for i, (s, good, m) in enumerate(rows) if s == stratum]
+            n, best = sum(good for _, good, _ in mine), None
+            for c in cutoffs:
+                k = sum(good and m > c for _, good, m in mine)
+                if sum(math.comb(n, i) * p**i * (1 - p)**(n - i) for i in range(k + 1)) > limit:
+                    break
+                caught = sum(not good and m > c and i not in gone for i, good, m in mine)
+                if caught and (best is None or caught > best[0]):
+                    best = (caught, c)
+            if best:
+                chosen[stratum][rule] = best[1]
+        gone |= {i for i, (s, _, m) in enumerate(rows) if m[rule] > chosen[s].get(rule, math.inf)}
+    return chosen
+
+
+def test_cutoffs_and_verdicts_equal_brute_force(spark):
+    """Two strata, each with documents that only one of three rules can reject."""
+    rng, docs, labels = random.Random(4), [], []
+    plain = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    kinds = [lambda: plain(30).replace("w", "#" * rng.randint(2, 5)), lambda: plain(30).translate(str.maketrans("0123456789w", "ABCDEFGHIJK")),
+             lambda: "\n".join([plain(12), *["same line"] * rng.randint(1, 5), plain(12)])]
+    for lang, n in (("en", 700), ("de", 800)):
+        for i in range(n + 60):
+            good = i < n
+            odd_one = not good or i == 5
+            docs.append((len(docs), rng.choice(kinds[:2] if lang == "en" else kinds)() if odd_one else plain(40), lang))
+            labels.append((len(labels), int(good)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    judged = {r.doc_id: r for r in quality_rules.judge(
+        frame, spark.createDataFrame(labels, "doc_id long, quality int"), max_risk=0.06).collect()}
+
+    def measured(r):
+        return {"symbols_per_word": r.n_symbols / max(r.n_words, 1), "repeated_word_share": r.n_repeat_words / max(r.n_words, 1),
+                "repeated_line_share": r.n_dup_lines / max(r.n_lines, 1), "mean_word_length": r.word_chars / max(r.n_words, 1),
+                "upper_share": r.n_upper / max(r.word_chars, 1)}
+
+    rows = [(judged[d].stratum, labels[d][1] == 1, measured(judged[d])) for d, *_ in docs if not judged[d].base_failed]
+    cutoffs = brute_cutoffs(rows, 0.06, quality_rules.CONFIDENCE_ERROR)
+    assert sorted(cutoffs) == ["de", "en"] and all(len(c) >= 2 for c in cutoffs.values()), cutoffs
+    for r in judged.values():
+        broken = [rule for rule, m in measured(r).items() if m > cutoffs[r.stratum].get(rule, math.inf)]
+        assert r.kept == (not broken and not r.base_failed)
+        assert r.reason == ("base" if r.base_failed else broken[0] if broken else None)
+
+
 def test_false_rejections_stay_within_the_bound(spark):
     """Good documents of which 3 % look bad: no symbol rule may reject them, as its share of the risk is 1 %."""
     docs, labels = rule_input(spark, 970, 30)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_BREAK, stored, text_or_empty
+from .common import WORD, WORD_BREAK, stored, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
@@ -58,7 +58,7 @@ def word_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = base.select(
         "doc_id", "stratum",
         F.transform(F.array_remove(F.split("t", WORD_BREAK), ""), lambda w: F.xxhash64(w)).alias("h"),
-        F.filter(F.split("t", "\n"), lambda line: F.trim(F.lit(SPACES), line) != "").alias("lines"),
+        F.filter(F.split("t", "\n"), lambda line: line.rlike(WORD)).alias("lines"),
         F.char_length(_removed(F.col("t"), SPACES)).cast("long").alias("word_chars"),
         (F.char_length("t") - F.char_length(_removed(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
         F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
