@@ -91,25 +91,25 @@ def test_bounds_hold_and_skip():
     least, most = tree.bounds(queries)
 
     def below(node):
-        if tree.members[node] is not None:
-            return tree.members[node]
+        if tree.rows[node] is not None:
+            return tree.order[tree.rows[node]]
         return np.concatenate([below(c) for c in tree.children[node]])
 
     assert sorted(below(0)) == list(range(2000))
-    for node in range(len(tree.centre)):
+    for node in range(len(tree.rows)):
         scores = queries @ points[below(node)].T
         assert (scores <= most[:, node][:, None]).all() and (scores >= least[:, node][:, None]).all()
         for child in tree.children[node]:
-            assert tree.radius[child] <= tree.radius[node] * 2
+            assert tree.radii[child] <= tree.radii[node] * 2
     asked = []
 
-    def score(places):
-        asked.append(len(places))
-        return (points[places] @ queries[0]).astype(np.int64)
+    def score(rows):
+        asked.append(rows.stop - rows.start)
+        return (tree.points[rows] @ queries[0]).astype(np.int64)
 
-    wanted = [hn.Wanted(-(2**62), 2**62, 5, [])]
-    hn.search(tree, np.arange(2000), np.ones(2000, bool), score, least[0], most[0], wanted)
-    assert [-r[0] for r in wanted[0].rows] == sorted((points @ queries[0]).astype(int).tolist(), reverse=True)[:5]
+    ids = np.arange(2000)[tree.order]
+    (best,) = hn.search(tree, ids, np.ones(2000, bool), score, least[0], most[0], [(-(2**62), 2**62)], 5)
+    assert [-r[0] for r in best] == sorted((points @ queries[0]).astype(int).tolist(), reverse=True)[:5]
     assert sum(asked) < 1000  # near points lie together, so most are never looked at
 
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,8 +30,8 @@ POSITIVES, NEGATIVES = 5, 10
 LEAST_PERCENT, MOST_PERCENT = 30, 90
 SCALE = 256
 # candidates in a block, anchors in a group, most blocks' centres
-BLOCK, GROUP, CELLS = 4096, 8192, 64
-LEAF, FAN = 96, 32
+BLOCK, GROUP, CELLS = 16384, 8192, 64
+LEAF, FAN = 512, 32
 # floats hold sums of products exactly up to here
 EXACT = float(2**52)
 _NO_ID = np.iinfo(np.int64).max
@@ -40,49 +39,58 @@ _LOWEST, _HIGHEST = -(2**63), 2**63 - 1
 
 
 class CoverTree:
-    """Cover tree over the rows of ``points`` (whole numbers as floats)."""
+    """Cover tree over the rows of ``points`` (whole numbers as floats), which are put in the order of its leaves:
+    ``order`` says where each came from."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF, fan: int = FAN):
-        self.points = points
         norms = np.einsum("ij,ij->i", points, points)
         self.square = float(norms.max(initial=0.0))
         full = np.hstack([points, np.sqrt(np.maximum(self.square - norms, 0.0))[:, None]])
-        self.centre: list[int] = []
-        self.radius: list[float] = []
+        centres: list[int] = []
+        radii: list[float] = []
+        # of every node: its children's numbers, or the rows of a leaf
         self.children: list[range] = []
-        self.members: list[np.ndarray | None] = []
+        self.rows: list[slice | None] = []
+        spread: list[tuple[np.ndarray, np.ndarray] | None] = []
+
+        def add(members: np.ndarray, centre: int, distances: np.ndarray) -> None:
+            centres.append(centre)
+            radii.append(float(distances.max()))
+            self.children.append(range(0))
+            self.rows.append(None)
+            spread.append((members, distances))
+
         if len(points):
-            everyone, distances = np.arange(len(points)), np.linalg.norm(full - full[0], axis=1)
-            self._add(everyone, 0, distances)
-            at, spread = 0, {0: (everyone, distances)}
-            while at < len(self.centre):
-                members, distances = spread.pop(at)
-                if len(members) > leaf and self.radius[at] > 0:
-                    first = len(self.centre)
-                    for part, centre, near in self._cover(full, members, self.centre[at], distances, fan):
-                        spread[len(self.centre)] = (part, near)
-                        self._add(part, centre, near)
-                    self.children[at] = range(first, len(self.centre))
-                    self.members[at] = None
-                at += 1
-        self.radii = np.array(self.radius)
-        self.centres = points[self.centre] if self.centre else np.zeros((0, points.shape[1]))
-
-    def _add(self, members: np.ndarray, centre: int, distances: np.ndarray) -> None:
-        self.centre.append(centre)
-        self.radius.append(float(distances.max()))
-        self.children.append(range(0))
-        self.members.append(members)
+            add(np.arange(len(points)), 0, np.linalg.norm(full - full[0], axis=1))
+        order, placed, at = [], 0, 0
+        while at < len(centres):
+            members, distances = spread[at]
+            spread[at] = None
+            if len(members) > leaf and radii[at] > 0:
+                first = len(centres)
+                for ball in self._cover(full, members, centres[at], distances, min(fan, 1 + len(members) // leaf)):
+                    add(*ball)
+                self.children[at] = range(first, len(centres))
+            else:
+                self.rows[at] = slice(placed, placed + len(members))
+                order.append(members)
+                placed += len(members)
+            at += 1
+        self.order = np.concatenate(order) if order else np.zeros(0, np.int64)
+        self.points = points[self.order]
+        self.radii = np.array(radii)
+        self.centres = points[centres]
 
     @staticmethod
     def _cover(full, members, centre, distances, fan) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """Balls that cover ``members``: the next centre is always the point farthest from all so far, until half the
         radius is enough or ``fan`` balls are taken; scattered points keep larger balls."""
         goal = distances.max() / 2
+        own = full[members]
         centres, near, owner = [centre], distances.copy(), np.zeros(len(members), np.int64)
         while near.max() > goal and len(centres) < fan:
             farthest = members[int(near.argmax())]
-            gap = np.linalg.norm(full[members] - full[farthest], axis=1)
+            gap = np.linalg.norm(own - full[farthest], axis=1)
             closer = gap < near
             owner[closer], near[closer] = len(centres), gap[closer]
             centres.append(int(farthest))
@@ -100,51 +108,48 @@ class CoverTree:
             own - np.maximum(apart - self.radii, 0.0) ** 2) / 2 + room
 
 
-@dataclass
-class Wanted:
-    """The best ``k`` rows with a score from ``least`` to ``most``, found so far."""
-
-    least: int
-    most: int
-    k: int
-    rows: list[tuple]  # (-score, no id, id, place), ascending
-
-    def floor(self) -> int:
-        """A lower score than this can't get in any more."""
-        return -self.rows[-1][0] if len(self.rows) == self.k else self.least
-
-    def offer(self, scores, ids, places) -> None:
-        fits = (scores >= max(self.floor(), self.least)) & (scores <= self.most)
-        if fits.any():
-            found = zip(-scores[fits], ids[fits] == _NO_ID, ids[fits], places[fits], strict=True)
-            self.rows = heapq.nsmallest(self.k, [*self.rows, *[tuple(int(x) for x in row) for row in found]])
-
-
 def search(tree: CoverTree, ids: np.ndarray, allowed: np.ndarray, score, least: np.ndarray, most: np.ndarray,
-           wanted: list[Wanted]) -> None:
-    """Fills ``wanted`` from the allowed rows of a tree. ``least`` and ``most`` are the query's bounds of the nodes,
-    ``score(places)`` its exact inner products."""
-    wanted = [w for w in wanted if w.least <= w.most]
+           windows: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]]:
+    """For each window (lowest, highest score) the best ``k`` allowed rows as (-score, id), best first.
 
-    def needed(node: int) -> bool:
-        return any(most[node] >= w.floor() and least[node] <= w.most for w in wanted)
-
-    open_ = [(-most[0], 0)] if len(most) and needed(0) else []
+    ``ids`` and ``allowed`` are in the order of the tree, ``least`` and ``most`` the query's bounds of its nodes;
+    ``score(rows)`` gives exact inner products. Nodes are opened best bound first.
+    """
+    best: list[list[tuple[int, int]]] = [[] for _ in windows]
+    use = [j for j, (low, high) in enumerate(windows) if low <= high]
+    if not use or not len(most):
+        return best
+    kind = np.int64 if all(_LOWEST <= x <= _HIGHEST for w in windows for x in w) else object
+    highs = np.array([windows[j][1] for j in use], kind)
+    # a lower score than this can't get in any more
+    floors = np.array([windows[j][0] for j in use], kind)
+    most, least = most.tolist(), least.tolist()
+    lowest, ends = floors.tolist(), highs.tolist()
+    open_ = [(-most[0], 0)]
     while open_:
-        _, node = heapq.heappop(open_)
-        if not needed(node):
+        bound, node = heapq.heappop(open_)
+        if -bound < min(lowest):
+            break
+        if not any(-bound >= low and least[node] <= high for low, high in zip(lowest, ends, strict=True)):
             continue
-        members = tree.members[node]
-        if members is None:
+        rows = tree.rows[node]
+        if rows is None:
             for child in tree.children[node]:
-                if needed(child):
-                    heapq.heappush(open_, (-most[child], child))
+                heapq.heappush(open_, (-most[child], child))
             continue
-        places = members[allowed[members]]
-        if len(places):
-            scores = score(places)
-            for w in wanted:
-                w.offer(scores, ids[places], places)
+        scores = score(rows)
+        fits = (scores >= floors[:, None]) & (scores <= highs[:, None]) & allowed[rows]
+        for i in np.flatnonzero(fits.any(axis=1)):
+            at = np.flatnonzero(fits[i])
+            if len(at) > k:
+                at = at[np.lexsort((ids[rows][at], -scores[at]))[:k]]
+            mine = best[use[i]]
+            mine += zip((-scores[at]).tolist(), ids[rows][at].tolist(), strict=True)
+            mine.sort()
+            del mine[k:]
+            if len(mine) == k:
+                lowest[i] = floors[i] = max(floors[i], -mine[-1][0])
+    return best
 
 
 def _matrix(vectors: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, list | None]:
@@ -177,37 +182,36 @@ def _searcher(phase: str, dim: int, k: int, schema: pa.Schema):
             ids, labels = _ids(candidates["vec_id"]), candidates["label"].to_numpy()
             keys, copies = candidates["key"].to_numpy(), candidates["copy"].to_numpy()
             tree = CoverTree(points)
+            points, whole, ids, labels, keys, copies = [
+                x[tree.order] for x in (points, whole, ids, labels, keys, copies)]
             exact = max(abs(points).max(initial=0), 1) * max(abs(queries).max(initial=0), 1) * dim < EXACT
             if not exact:
                 whole, asked = whole.astype(object), asked.astype(object)
             own, own_key = anchors["vec_id"].to_pylist(), anchors["key"].to_pylist()
             label_of = anchors["label"].to_pylist()
-            positives = anchors["positives"].to_pylist() if phase == "negatives" else [None] * len(own)
-            for first in range(0, len(own), 256):
-                least, most = tree.bounds(queries[first:first + 256])
-                for i in range(first, min(first + 256, len(own))):
-                    if exact:
-                        score = lambda places, q=queries[i]: (points[places] @ q).astype(np.int64)
-                    else:
-                        score = lambda places, q=asked[i]: whole[places] @ q
-                    if phase == "positives":
-                        wanted = [Wanted(_LOWEST, _HIGHEST, k, [])]
-                        allowed = labels == label_of[i]
-                        same = (ids == own[i]) & (keys == own_key[i]) & (copies == 1)
-                        allowed &= ~(same & (whole == asked[i]).all(axis=1).astype(bool)) if same.any() else True
-                        ranks = [1]
-                    else:
-                        allowed = labels != label_of[i]
-                        ranks = [p["rank"] for p in positives[i]]
-                        # the lower end is rounded up
-                        wanted = [Wanted(-((-LEAST_PERCENT * p["score"]) // 100), MOST_PERCENT * p["score"] // 100, k, [])
-                                  for p in positives[i]]
-                    search(tree, ids, allowed, score, least[i - first], most[i - first], wanted)
-                    for rank, w in zip(ranks, wanted, strict=True):
-                        for negative, no_id, vec_id, _ in w.rows:
-                            values = (own[i], own_key[i], rank, None if no_id else vec_id, -negative)
-                            for name, value in zip(schema.names, values, strict=True):
-                                found[name].append(value)
+            positives = anchors["positives"].to_pylist() if phase == "negatives" else None
+            for i in range(len(own)):
+                if i % 256 == 0:
+                    least, most = tree.bounds(queries[i:i + 256])
+                if exact:
+                    score = lambda rows, q=queries[i]: (points[rows] @ q).astype(np.int64)
+                else:
+                    score = lambda rows, q=asked[i]: whole[rows] @ q
+                if positives is None:
+                    allowed = labels == label_of[i]
+                    for twin in np.flatnonzero((ids == own[i]) & (keys == own_key[i]) & (copies == 1)):
+                        allowed[twin] &= bool((whole[twin] != asked[i]).any())
+                    windows = [(_LOWEST, _HIGHEST)]
+                else:
+                    allowed = labels != label_of[i]
+                    # the lower end is rounded up
+                    windows = [(-((-LEAST_PERCENT * p["score"]) // 100), MOST_PERCENT * p["score"] // 100)
+                               for p in positives[i]]
+                for j, rows in enumerate(search(tree, ids, allowed, score, least[i % 256], most[i % 256], windows, k)):
+                    for negative, vec_id in rows:
+                        values = (own[i], own_key[i], j + 1, None if vec_id == _NO_ID else vec_id, -negative)
+                        for name, value in zip(schema.names, values, strict=True):
+                            found[name].append(value)
         return pa.Table.from_pydict(found, schema)
 
     return run
