@@ -1,13 +1,15 @@
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
 from conftest import AS_OF
+from thermolake.operators import scans
 from thermolake.operators.views import recent_view
 from thermolake.plans import retention
 from thermolake.plans.api import TelemetryApi
-from thermolake.session import child_names, delete_path, path_exists, work_dir
-from thermolake.sources.history import HistoryTable, write_loads
+from thermolake.session import child_names, delete_path, hadoop_path, path_exists, work_dir
+from thermolake.sources import loads
+from thermolake.sources.history import HistoryTable
 
 
 @pytest.fixture
@@ -95,45 +97,138 @@ def test_boundary_day_is_rewritten_exactly(make, table):
     assert table.delete_older_than(7, AS_OF.replace(hour=12)) == 4
     assert sorted(r.seq for r in table.read().collect()) == [2, 3, 11]
     assert [n for n in child_names(table.spark, table.path) if n.startswith("recorded")] == ["recorded_date=2024-01-24"]
-    assert not path_exists(table.spark, f"{table.path}__staging")
     assert table.delete_older_than(7, AS_OF.replace(hour=12)) == 0
 
 
-def test_interrupted_rewrite_is_finished(make, table):
-    """The staging copy is complete, the rows in place are gone: the next run restores them."""
-    table.append(aged(make, 7, first_seq=0), "a")
-    rows = table.read()
-    rows.write.partitionBy("recorded_date", "load_id").parquet(f"{table.path}__staging")
-    table.spark.createDataFrame([], "dir string").write.parquet(f"{table.path}__replaced")
-    write_loads(first_staged_row(table), table.path, "recorded_date", "load_id")
-    assert table.read().count() == 2
-    table.delete_older_than(30, AS_OF)
-    assert table.read().count() == 5
-
+def load_names(table, day):
+    return table.loads(f"recorded_date={day}")
 
-def first_staged_row(table):
-    """What a half-done move may leave: one row of the load."""
-    staged = table.spark.read.schema(table.read().schema).parquet(f"{table.path}__staging")
-    return staged.filter("seq = 1")
 
-
-def test_incomplete_staging_is_discarded(make, table):
-    table.append(aged(make, 7), "a")
-    table.read().filter("seq < 2").write.partitionBy("recorded_date", "load_id").parquet(f"{table.path}__staging")
-    delete_path(table.spark, f"{table.path}__staging/_SUCCESS")
-    table.delete_older_than(30, AS_OF)
-    assert table.read().count() == 5
+def rows_of(table):
+    return sorted(map(tuple, table.read().drop("load_id").collect()))
 
 
 def test_compaction_merges_loads_and_keeps_rows(make, table):
     for i in range(4):
         table.append(aged(make, 2, first_seq=10 * i), f"load-{i}")
-    before = sorted(map(tuple, table.read().drop("load_id").collect()))
+    before = rows_of(table)
     table.compact_day("2024-01-29")
     table.compact_day("2024-01-28")
-    assert sorted(map(tuple, table.read().drop("load_id").collect())) == before
-    loads = [n for n in child_names(table.spark, f"{table.path}/recorded_date=2024-01-28") if n.startswith("load")]
-    assert len(loads) == 1
+    # replaced loads stay for queries that run, but are not seen
+    assert len(load_names(table, "2024-01-28")) == 5 and rows_of(table) == before
+    table.compact_day("2024-01-28")
+    assert rows_of(table) == before
+    # the newest load of a job can be run again, so it is left alone
+    left = load_names(table, "2024-01-28")
+    assert len(left) == 2 and left[0] == "load-3" and left[1].startswith("once-")
+    table.append(aged(make, 2, first_seq=30), "load-3")
+    assert table.read().count() == 20
+
+
+def test_upkeep_takes_small_ended_loads_only(spark, make):
+    table = HistoryTable(spark, work_dir(spark, "readings"), merge_at=3).create()
+    for i in range(3):
+        table.append(aged(make, 2, first_seq=10 * i), f"a-{i}")
+        table.append(aged(make, 2, first_seq=100 + 10 * i))
+    table.append(aged(make, 2, first_seq=200), "named by hand")
+    before = rows_of(table)
+    table.small_bytes = 1
+    table.upkeep()
+    assert len(load_names(table, "2024-01-28")) == 7
+    table.small_bytes = loads.SMALL_BYTES
+    table.upkeep()
+    table.upkeep()
+    left = load_names(table, "2024-01-28")
+    assert sorted(n.split("-")[0] for n in left) == ["a", "named by hand", "once"] and rows_of(table) == before
+
+
+def test_two_upkeeps_do_not_meet(spark, make):
+    table = HistoryTable(spark, work_dir(spark, "readings"), merge_at=2).create()
+    for i in range(4):
+        table.append(aged(make, 2, first_seq=10 * i), f"load-{i}")
+    fs, lock = hadoop_path(spark, f"{table.path}__upkeep")
+    assert fs.createNewFile(lock)
+    table.upkeep()
+    assert len(load_names(table, "2024-01-28")) == 4
+    delete_path(spark, f"{table.path}__upkeep")
+    table.upkeep()
+    assert len(load_names(table, "2024-01-28")) == 5 and not path_exists(spark, f"{table.path}__upkeep")
+
+
+def test_interrupted_merges(spark, make, table):
+    """Before the merged load is in place nothing has changed; afterwards the replaced ones are not seen."""
+    for i in range(3):
+        table.append(aged(make, 2, first_seq=10 * i), f"load-{i}")
+    before = rows_of(table)
+    fs, note = hadoop_path(spark, f"{table.path}__replaced/once-x/recorded_date=2024-01-28/load-0")
+    fs.mkdirs(note)
+    assert rows_of(table) == before
+    table.upkeep()
+    assert rows_of(table) == before and len(load_names(table, "2024-01-28")) == 3
+    # a reader whose files were listed before the merge still finds them
+    seen = table.read()
+    table.compact_day("2024-01-28")
+    assert seen.count() == table.read().count() == 15
+
+
+def test_merge_between_notes_and_listing_is_noticed(spark, make, table):
+    for i in range(3):
+        table.append(aged(make, 2, first_seq=10 * i), f"load-{i}")
+
+    def scan():
+        table.compact_day("2024-01-28")
+        return spark.read.schema(table.schema).parquet(table.path)
+
+    assert table._without_replaced(scan).count() == 15
+
+
+def test_retention_twice_on_one_day(make, table):
+    cut = datetime(2024, 1, 24, 12)
+    table.append(make([("s", i, cut + timedelta(minutes=i), 20, 50) for i in range(6)]), "a")
+    assert table.delete_older_than(7, AS_OF + timedelta(hours=12, minutes=2)) == 2
+    assert table.delete_older_than(7, AS_OF + timedelta(hours=12, minutes=4)) == 2
+    assert sorted(r.seq for r in table.read().collect()) == [4, 5]
+    table.upkeep()
+    assert sorted(r.seq for r in table.read().collect()) == [4, 5] and len(load_names(table, "2024-01-24")) == 1
+
+
+def partition_filters(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("PartitionFilters: [")[1].split("], PushedFilters")[0]
+
+
+def test_pages_read_and_list_only_their_days(spark, make, table, monkeypatch):
+    for days in range(40):
+        table.append(aged(make, days, n=3, first_seq=10 * days))
+    cut = AS_OF - timedelta(days=20)
+    read = []
+    found = HistoryTable.read_days
+    monkeypatch.setattr(HistoryTable, "read_days", lambda self, days: (read.append(days), found(self, days))[1])
+    cursor = scans.Cursor(int(cut.replace(tzinfo=timezone.utc).timestamp()), (0, 0, 0))
+    pages = {
+        "before": lambda: scans.readings_before(table, cut, 4, "s"), "after": lambda: scans.readings_after(table, cut, 4),
+        "cursor": lambda: scans.readings_before_cursor(table, cursor, 4),
+        "latest": lambda: scans.latest_reading(table, "s"), "api": lambda: TelemetryApi(table, AS_OF).history(
+            "s", before=cut.strftime("%Y-%m-%dT%H:%M:%SZ"), limit=4).readings,
+        "range": lambda: scans.readings_in_range(table, cut - timedelta(days=9), cut, 4)}
+    plain = table.read()
+    wanted = {
+        "before": scans.readings_before(plain, cut, 4, "s"), "after": scans.readings_after(plain, cut, 4),
+        "cursor": scans.readings_before_cursor(plain, cursor, 4), "latest": scans.latest_reading(plain, "s"),
+        "api": scans.readings_before(plain, cut, 4, "s"),
+        "range": scans.readings_in_range(plain, cut - timedelta(days=9), cut, 4)}
+    for name, page in pages.items():
+        read.clear()
+        df = page()
+        assert "recorded_date#" in partition_filters(df) and partition_filters(df).count("recorded_date") >= 2, name
+        assert ">=" in partition_filters(df) and "<=" in partition_filters(df), name
+        assert df.collect() == wanted[name].collect(), name
+        days = sorted({d for asked in read for d in asked})
+        assert len(days) <= 5 and all(abs((d - cut.date()).days) <= 5 or name == "latest" for d in days), (name, days)
+    read.clear()
+    assert scans.latest_reading(table, "nobody").count() == 0
+    # every day once, each step only the days it adds; then the empty page itself
+    assert sum(map(len, read[:-1])) <= len(table.days())
 
 
 def test_retention_job_and_ledger(spark, make, table):

@@ -105,14 +105,14 @@ print("SEQS", [r.seq for r in rows])
 def test_pages_of_a_table_read_only_the_days_they_need(spark, make):
     table = HistoryTable(spark, work_dir(spark, "days")).create()
     table.append(make([("s", i, AS_OF - timedelta(days=i), 20, 50) for i in range(40)]))
-    page = scans.readings_before(table.read(), AS_OF, 3, "s")
+    page = scans.readings_before(table, AS_OF, 3, "s")
     assert seqs(page) == [1, 2, 3]
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "recorded_date" in plan.split("PartitionFilters")[1].split("]")[0] and ">=" in plan
-    assert seqs(scans.readings_before(table.read(), AS_OF, 100, "s")) == list(range(1, 40))
-    assert seqs(scans.readings_after(table.read(), AS_OF - timedelta(days=5), 2, "s")) == [3, 4]
-    assert seqs(scans.latest_reading(table.read(), "s")) == [0]
-    assert scans.latest_reading(table.read(), "nobody").collect() == []
+    assert seqs(scans.readings_before(table, AS_OF, 100, "s")) == list(range(1, 40))
+    assert seqs(scans.readings_after(table, AS_OF - timedelta(days=5), 2, "s")) == [3, 4]
+    assert seqs(scans.latest_reading(table, "s")) == [0]
+    assert scans.latest_reading(table, "nobody").collect() == []
 
 
 def test_latest(make):

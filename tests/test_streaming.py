@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from conftest import SF_DIR, AS_OF, minutes_ago
 from thermolake.operators import aggregates, views
-from thermolake.session import child_names, delete_path, work_dir
+from thermolake.schema import WRITE_LEDGER, stored_by_load
+from thermolake.session import work_dir
 from thermolake.sources.events import heartbeat_times, load_readings, message_log
+from thermolake.sources.loads import LoadTable
 from thermolake.streaming import ingest, live
 from thermolake.streaming.recent import RecentViewTable
+from thermolake.streaming.tables import LiveTable
 
 READING = "seq long, sensor_id string, recorded_at timestamp, temperature double, humidity double, received_at timestamp"
 
@@ -32,10 +35,15 @@ def stream(spark, path, schema=READING):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(path)
 
 
-def drain(spark, view, keys):
-    table = live.view_table(spark, work_dir(spark, "view"), view.schema, keys)
+def view_table(spark, schema, **options):
+    kind = live.daily_stats_table if "date" in schema.names else live.last_seen_table
+    return kind(spark, work_dir(spark, "view"), schema, **options)
+
+
+def drain(spark, view, **options):
+    table = view_table(spark, view.schema, **options)
     live.start_view(view, table, work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
-    return table.read()
+    return table.view()
 
 
 def rows_of(df):
@@ -52,7 +60,7 @@ def thirds(spark):
 def test_daily_stats_stream_equals_batch_in_any_file_order(spark, thirds, reverse):
     rows, parts = thirds
     path = write_files(spark, parts[::-1] if reverse else parts)
-    found = drain(spark, live.live_daily_stats(stream(spark, path)), ["date", "sensor_id"])
+    found = drain(spark, live.live_daily_stats(stream(spark, path)))
     columns = ["date", "sensor_id", "min_temperature", "max_temperature", "min_humidity", "max_humidity", "reading_count"]
     assert rows_of(found.select(*columns)) == rows_of(aggregates.daily_stats(rows).select(*columns))
 
@@ -68,21 +76,18 @@ def test_recent_view_stream_equals_batch(spark, thirds, reverse):
 
 
 def test_recent_view_batches(spark, make):
-    view = RecentViewTable(spark, work_dir(spark, "recent"), 3)
+    view = RecentViewTable(spark, work_dir(spark, "recent"), 3, upkeep_every=2, merge_at=2)
     assert view.read().count() == 0
-    batches = [make([("s", 10 * n + i, minutes_ago(0), 20, 50) for i in range(2)]) for n in range(5)]
+    batches = [make([("s", 10 * n + i, minutes_ago(0), 20, 50) for i in range(2)]) for n in range(6)]
     for n, batch in enumerate(batches):
         view.merge(batch, n, "job")
         view.merge(batch, n, "job")
-    assert sorted(r.seq for r in view.read().collect()) == [31, 40, 41]
-    # a merge whose manifest is incomplete is not seen, and is done again
-    newest = max(int(n.removeprefix("manifest-")) for n in child_names(spark, view.table.path) if n.startswith("manifest-"))
-    delete_path(spark, f"{view.table.path}/manifest-{newest}/_SUCCESS")
-    assert sorted(r.seq for r in view.read().collect()) == [21, 30, 31]
-    view.merge(batches[4], 4, "job")
-    assert sorted(r.seq for r in view.read().collect()) == [31, 40, 41]
+        assert sorted(r.seq for r in view.read().collect()) == [
+            s for m in range(n + 1) for s in (10 * m, 10 * m + 1)][-3:]
     view.clear()
     assert view.read().count() == 0
+    view.merge(batches[0], 6, "job")
+    assert sorted(r.seq for r in view.read().collect()) == [0, 1]
 
 
 def test_fresh_checkpoint_does_not_make_the_view_stale(spark, make):
@@ -93,24 +98,56 @@ def test_fresh_checkpoint_does_not_make_the_view_stale(spark, make):
     assert sorted(r.seq for r in view.read().collect()) == [6, 7, 100, 101]
 
 
-def test_only_touched_buckets_are_written_and_old_folders_go_by_age(spark, make):
-    view = RecentViewTable(spark, work_dir(spark, "recent"), 3, buckets=8, keep_seconds=0)
-    view.merge(make([(f"s{i}", i, minutes_ago(0), 20, 50) for i in range(40)]), 0, "job")
-    view.merge(make([("s1", 100, minutes_ago(0), 20, 50)]), 1, "job")
-    newest = f"{view.table.path}/version-2"
-    assert len([n for n in child_names(spark, newest) if n.startswith("_bucket")]) == 1
-    assert view.read().count() == 41
-    for n in range(2, 6):
-        view.merge(make([(f"s{i}", 100 * n + i, minutes_ago(0), 20, 50) for i in range(40)]), n, "job")
-    kept = sorted(child_names(spark, view.table.path))
-    assert kept == ["manifest-6", "version-6"], kept
+def test_live_tables_follow_the_keys_not_the_batches(spark, make):
+    view = RecentViewTable(spark, work_dir(spark, "recent"), 2, upkeep_every=4, merge_at=3)
+    most = 0
+    for n in range(24):
+        view.merge(make([("s", n, minutes_ago(0), 20, 50), ("t", 100 + n, minutes_ago(0), 20, 50)]), n, "job")
+        most = max(most, len(view.table.loads("")))
+    assert most <= 10 and sorted(r.seq for r in view.read().collect()) == [22, 23, 122, 123]
+    # of the folded batches only what the view still needs is stored
+    assert view.table.read().count() <= 4 + 2 * 4
+
+
+def test_two_jobs_that_merge_at_once_lose_nothing(spark, make):
+    """Steps of one job's merge between those of another's."""
+    view = RecentViewTable(spark, work_dir(spark, "recent"), 50, upkeep_every=2, merge_at=2)
+    write = LiveTable.write
+
+    def interleaved(self, rows, counted=None):
+        if not inside:
+            inside.append(1)
+            view.merge(make([("s", 1000 + n, minutes_ago(0), 20, 50)]), n, "other")
+            inside.clear()
+        write(self, rows, counted)
+
+    inside, n = [], 0
+    LiveTable.write = interleaved
+    try:
+        for n in range(6):
+            view.merge(make([("s", n, minutes_ago(0), 20, 50)]), n, "job")
+    finally:
+        LiveTable.write = write
+    assert sorted(r.seq for r in view.read().collect()) == [*range(6), *range(1000, 1006)]
+
+
+def test_two_streams_at_once(spark, thirds):
+    rows, parts = thirds
+    views_ = [live.live_daily_stats(stream(spark, write_files(spark, [p.filter(F.col("seq") % 2 == i) for p in parts])))
+              for i in (0, 1)]
+    table = view_table(spark, views_[0].schema, upkeep_every=2, merge_at=2)
+    jobs = [live.start_view(v, table, work_dir(spark, "checkpoint"), available_now=True) for v in views_]
+    for job in jobs:
+        job.awaitTermination()
+    columns = ["date", "sensor_id", "min_temperature", "max_humidity", "reading_count", F.round("avg_humidity", 6)]
+    assert rows_of(table.view().select(*columns)) == rows_of(aggregates.daily_stats(rows).select(*columns))
 
 
 def test_last_seen_stream(spark, thirds):
     rows, parts = thirds
     schema = "event_type string, sensor_id string, recorded_at timestamp"
     path = write_files(spark, parts[::-1])
-    found = drain(spark, live.live_last_seen(heartbeat_times(stream(spark, path, schema))), ["sensor_id"])
+    found = drain(spark, live.live_last_seen(heartbeat_times(stream(spark, path, schema))))
     wanted = heartbeat_times(rows).groupBy("sensor_id").agg(F.max("received_at"))
     assert rows_of(found.select("sensor_id", "last_seen")) == rows_of(wanted)
 
@@ -122,16 +159,16 @@ def test_one_wrong_clock_does_not_drop_good_rows(spark, make):
     path = write_files(spark, [ahead, *good])
     count = lambda df: sum(r.reading_count for r in df.collect())
     guarded = live.live_daily_stats(stream(spark, path), 30, clock_tolerance_seconds=3600)
-    assert count(drain(spark, guarded, ["date", "sensor_id"])) == 10
+    assert count(drain(spark, guarded)) == 10
     by_default = live.live_daily_stats(stream(spark, path), 30)
-    assert count(drain(spark, by_default, ["date", "sensor_id"])) == 10
+    assert count(drain(spark, by_default)) == 10
 
 
 def test_rows_ahead_of_the_clock_are_counted(spark, make):
     rows = make([("s", 1, AS_OF + timedelta(days=365), 20, 50), ("s", 2, AS_OF, 20, 50)]).withColumn(
         "received_at", F.lit(AS_OF))
     view = live.live_daily_stats(stream(spark, write_files(spark, [rows])))
-    table = live.view_table(spark, work_dir(spark, "view"), view.schema, ["date", "sensor_id"])
+    table = view_table(spark, view.schema)
     query = live.start_view(view, table, work_dir(spark, "checkpoint"), available_now=True)
     query.awaitTermination()
     seen = [p["observedMetrics"].get("ahead_of_clock") for p in query.recentProgress]
@@ -143,7 +180,7 @@ def test_result_table_does_not_grow_with_batches(spark, thirds):
     for frames in ([rows], parts):
         view = live.live_last_seen(heartbeat_times(stream(spark, write_files(spark, frames),
                                                           "event_type string, sensor_id string, recorded_at timestamp")))
-        found = drain(spark, view, ["sensor_id"])
+        found = drain(spark, view)
         assert found.count() == heartbeat_times(rows).select("sensor_id").distinct().count()
 
 
@@ -151,7 +188,7 @@ def test_empty_sensor_id_is_nobody(spark, make):
     rows = make([("", 1, AS_OF, 20, 50), ("s", 2, AS_OF, 20, 50)]).withColumn("event_type", F.lit("signup"))
     view = live.live_last_seen(heartbeat_times(stream(
         spark, write_files(spark, [rows]), "event_type string, sensor_id string, recorded_at timestamp")))
-    assert [r.sensor_id for r in drain(spark, view, ["sensor_id"]).collect()] == ["s"]
+    assert [r.sensor_id for r in drain(spark, view).collect()] == ["s"]
 
 
 def split_log(spark, log, n):
@@ -253,6 +290,40 @@ def test_compaction_survives_a_batch_run_again(spark, log):
     assert tables.history.read().count() == 9
 
 
+def test_upkeep_bounds_the_folders_of_a_long_job(spark, log):
+    """What is run again doubles nothing, in no table."""
+    tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"), merge_at=4)
+    beat = '{"type":"heartbeat","payload":{"sensor_id":"s"}}'
+    batch = log([envelope(1, AS_OF), envelope(2, AS_OF - timedelta(days=1)), beat, "{broken"]).cache()
+    all_tables = (tables.history, tables.heartbeat_table, tables.quarantine_table, tables.ledger_table)
+    most = 0
+    for n in range(30):
+        for _ in range(2 if n in (9, 10, 17) else 1):
+            ingest.write_batch(tables, batch, n, job="job", upkeep_every=5)
+        most = max([most, *[len(t.loads(f)) for t in all_tables for f in t.folders()]])
+    assert most <= 16, most
+    assert tables.history.read().count() == 60
+    assert tables.heartbeats().count() == tables.quarantine().count() == 30
+    stats = ingest.write_stats(tables.ledger()).first()
+    assert (stats.total_written, stats.total_batches) == (60, 30)
+
+
+def test_upkeep_over_200_loads(spark):
+    table = LoadTable(spark, work_dir(spark, "ledger"), stored_by_load(WRITE_LEDGER))
+    most = 0
+    for n in range(200):
+        row = spark.range(1).selectExpr(
+            "'job' AS job", f"{n}L AS batch_id", "1L AS rows_written", "'ok' AS status", "now() AS written_at",
+            f"'job-{n}' AS load_id")
+        table.write(row)
+        if n % 10 == 9:
+            table.write(row)
+            table.upkeep()
+        most = max(most, len(table.loads("")))
+    assert most <= 2 * (16 + 10) and table.read().count() == 200
+    assert table.read().select("batch_id").distinct().count() == 200
+
+
 def test_every_failure_is_counted(spark, log):
     tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"))
 

@@ -1,9 +1,11 @@
-"""Filters, range scans and scrolling over a readings DataFrame."""
+"""Filters, range scans and scrolling over a readings DataFrame or a table with a folder per day."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,42 +71,59 @@ def _page(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return df.select(*arrival(df), *READING_COLUMNS).orderBy(*order).limit(limit)
 
 
-def _near(rows: DataFrame, limit: int, newest: bool) -> DataFrame:
-    """On a table with days: only the days nearest to the cut that hold ``limit`` of the rows, so that a page does not
-    read every day beyond it. The span widens fourfold until the page is full or no day is left."""
-    if "recorded_date" not in rows.columns:
-        return rows
-    # only the days of the table's folders are needed here
-    ends = rows.agg(F.min("recorded_date"), F.max("recorded_date")).first()
-    if ends[0] is None:
-        return rows
-    span = 1
-    while True:
-        day = ends[1] - timedelta(days=span - 1) if newest else ends[0] + timedelta(days=span - 1)
-        edge = F.col("recorded_date") >= F.lit(day) if newest else F.col("recorded_date") <= F.lit(day)
-        limits = F.col("recorded_date").between(F.lit(ends[0]), F.lit(ends[1]))
-        found = rows.filter(edge & limits)
-        if (newest and day <= ends[0]) or (not newest and day >= ends[1]) or found.limit(limit).count() >= limit:
-            return found
-        span *= 4
+class DayTable(Protocol):
+    """A table with a folder per day, of which any days can be read alone."""
+
+    def days(self) -> list[date]: ...
+
+    def read_days(self, days: list[date]) -> DataFrame: ...
+
+
+Readings = DataFrame | DayTable
+
+
+def _nearest(
+    table: Readings, first: Instant | None, last: Instant | None, limit: int, newest: bool,
+    chosen: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """The ``chosen`` rows of a frame. Of a table: those of the days nearest to the cut that hold ``limit`` of them.
+
+    The span widens fourfold over the days that have a folder, until the page is full or no day is left. A step counts
+    only the days it adds, at most to ``limit``, and no other day is read or listed.
+    """
+    if isinstance(table, DataFrame):
+        return chosen(table)
+    days = [d for d in table.days() if (first is None or d >= as_instant(first).date())
+            and (last is None or d <= as_instant(last).date())]
+    if newest:
+        days.reverse()
+    seen, span, found = 0, 1, 0
+    while span < len(days):
+        found += chosen(table.read_days(sorted(days[seen:span]))).limit(limit - found).count()
+        if found >= limit:
+            break
+        seen, span = span, span * 4
+    return chosen(table.read_days(sorted(days[:span])))
 
 
 def readings_in_range(
-    df: DataFrame, start: Instant, end: Instant, limit: int, sensor_id: str | None = None
+    df: Readings, start: Instant, end: Instant, limit: int, sensor_id: str | None = None
 ) -> DataFrame:
     """Newest ``limit`` readings of the closed range, newest first."""
-    return _page(between(for_sensor(df, sensor_id), start, end), _newest_first(df), limit)
+    rows = _nearest(df, start, end, limit, True, lambda found: between(for_sensor(found, sensor_id), start, end))
+    return _page(rows, _newest_first(rows), limit)
 
 
-def readings_before(df: DataFrame, instant: Instant, limit: int, sensor_id: str | None = None) -> DataFrame:
+def readings_before(df: Readings, instant: Instant, limit: int, sensor_id: str | None = None) -> DataFrame:
     """Newest ``limit`` readings strictly before the instant, newest first."""
-    return _page(_near(before(for_sensor(df, sensor_id), instant), limit, True), _newest_first(df), limit)
+    rows = _nearest(df, None, instant, limit, True, lambda found: before(for_sensor(found, sensor_id), instant))
+    return _page(rows, _newest_first(rows), limit)
 
 
-def readings_after(df: DataFrame, instant: Instant, limit: int, sensor_id: str | None = None) -> DataFrame:
+def readings_after(df: Readings, instant: Instant, limit: int, sensor_id: str | None = None) -> DataFrame:
     """The ``limit`` readings closest after the instant, returned newest first."""
-    rows = _near(after(for_sensor(df, sensor_id), instant), limit, False)
-    return _page(rows, _oldest_first(df), limit).orderBy(*_newest_first(df))
+    rows = _nearest(df, instant, None, limit, False, lambda found: after(for_sensor(found, sensor_id), instant))
+    return _page(rows, _oldest_first(rows), limit).orderBy(*_newest_first(rows))
 
 
 @dataclass(frozen=True)
@@ -122,18 +141,23 @@ def cursor_after(page: DataFrame) -> Cursor | None:
     return None if last is None else Cursor(last.at, tuple(last[c] for c in order))
 
 
-def readings_before_cursor(df: DataFrame, cursor: Cursor, limit: int, sensor_id: str | None = None) -> DataFrame:
+def readings_before_cursor(df: Readings, cursor: Cursor, limit: int, sensor_id: str | None = None) -> DataFrame:
     """Scroll back from an exact row, so that rows sharing its second are not skipped."""
     cut = F.timestamp_seconds(F.lit(cursor.epoch_seconds))
     day = datetime(1970, 1, 1) + timedelta(seconds=cursor.epoch_seconds)
-    later = F.lit(False)
-    for name, value in reversed(list(zip(arrival(df), cursor.arrival, strict=True))):
-        later = (F.col(name) < value) | ((F.col(name) == value) & later)
-    rows = _on_days(for_sensor(df, sensor_id), None, day).filter(
-        (F.col("recorded_at") <= cut) & ((F.col("recorded_at") < cut) | later))
-    return _page(_near(rows, limit, True), _newest_first(df), limit)
+
+    def older(found: DataFrame) -> DataFrame:
+        later = F.lit(False)
+        for name, value in reversed(list(zip(arrival(found), cursor.arrival, strict=True))):
+            later = (F.col(name) < value) | ((F.col(name) == value) & later)
+        return _on_days(for_sensor(found, sensor_id), None, day).filter(
+            (F.col("recorded_at") <= cut) & ((F.col("recorded_at") < cut) | later))
+
+    rows = _nearest(df, None, day, limit, True, older)
+    return _page(rows, _newest_first(rows), limit)
 
 
-def latest_reading(df: DataFrame, sensor_id: str) -> DataFrame:
+def latest_reading(df: Readings, sensor_id: str) -> DataFrame:
     """Reading of the sensor with the greatest event time; no row for an unknown sensor."""
-    return _page(_near(df.filter(F.col("sensor_id") == sensor_id), 1, True), _newest_first(df), 1)
+    rows = _nearest(df, None, None, 1, True, lambda found: found.filter(F.col("sensor_id") == sensor_id))
+    return _page(rows, _newest_first(rows), 1)

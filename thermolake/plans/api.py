@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -42,7 +43,7 @@ class HistoryPage:
     source: str
     window_start: datetime | None = None
     window_end: datetime | None = None
-    exact_more: DataFrame | None = None
+    one_more: Callable[[], DataFrame] | None = None
 
     def metadata(self) -> DataFrame:
         """One row: count, has_more (the page is full), the echoed window and the source."""
@@ -64,7 +65,7 @@ class HistoryPage:
 
     def has_more_exactly(self) -> DataFrame:
         """One row: whether a further reading exists, found by asking for one more than the limit."""
-        probe = self.exact_more if self.exact_more is not None else self.readings
+        probe = self.one_more() if self.one_more is not None else self.readings
         return probe.agg((F.count(F.lit(1)) > self.limit).alias("has_more"))
 
 
@@ -79,15 +80,15 @@ def _instant(value: When) -> datetime:
 class TelemetryApi:
     """Queries over a readings history; the recent view is derived from it unless one is given.
 
-    ``readings`` are raw rows in any order with ``seq`` as arrival order. ``recent`` is a materialised recent
-    view, for example the one the streaming job keeps. ``table`` is the history table the readings come from, which
-    adds its size to the statistics. ``sensors`` lists the known sensor ids, so that a request without one reads that
-    list instead of the history.
+    ``readings`` are raw rows in any order with ``seq`` as arrival order, or the history table itself: then pages and
+    daily statistics read only the days they need, and the statistics give the table's size. ``recent`` is a
+    materialised recent view, for example the one the streaming job keeps. ``sensors`` lists the known sensor ids, so
+    that a request without one reads that list instead of the history.
     """
 
     def __init__(
         self,
-        readings: DataFrame,
+        readings: DataFrame | HistoryTable,
         as_of: datetime | str,
         recent: DataFrame | None = None,
         capacity: int = RECENT_CAPACITY,
@@ -95,9 +96,10 @@ class TelemetryApi:
         table: HistoryTable | None = None,
         sensors: DataFrame | None = None,
     ):
-        self.table = table
+        self.table = readings if isinstance(readings, HistoryTable) else table
         self.known_sensors = sensors
-        self.readings = readings
+        self.pages_of = readings
+        self.readings = readings.read() if isinstance(readings, HistoryTable) else readings
         self.as_of = as_instant(as_of)
         self.recent = recent
         self.capacity = capacity
@@ -118,10 +120,25 @@ class TelemetryApi:
             return scans.for_sensor(df, sensor_id)
         return df.filter(F.col("sensor_id") == self.default_sensor().scalar())
 
+    def _named(self, sensor_id: str | None) -> str | None:
+        """The sensor asked for; on a table the default one is looked up, as days are chosen by what it has there."""
+        if sensor_id or isinstance(self.pages_of, DataFrame):
+            return sensor_id
+        found = self.default_sensor().first()
+        return found[0] if found else None
+
     def current(self, sensor_id: str | None = None) -> DataFrame:
-        """Current reading of one sensor from the recent view, else its latest in the history."""
-        return self._current(*[self._of(df, sensor_id) if df is not None else None
-                               for df in (self.readings, self.recent)])
+        """Current reading of one sensor from the recent view, else its latest in the history. With a view, the
+        history is read only if the view lacks the sensor, and of a table only the days back to its latest reading."""
+        if self.recent is None:
+            return self._current(self._of(self.readings, sensor_id), None)
+        shown = latest.current_per_sensor(self._of(self.recent, sensor_id), self.bounds)
+        order = arrival(shown)
+        if shown.limit(1).count():
+            return shown.select(*order, *READING_COLUMNS, F.lit("memory").alias("source"))
+        asked = sensor_id or self.default_sensor().first()[0]
+        last = scans.latest_reading(self.pages_of, asked or "")
+        return last.select(*order, *READING_COLUMNS, F.lit("database").alias("source"))
 
     def current_all(self) -> DataFrame:
         """The same for every sensor, in one pass."""
@@ -130,8 +147,10 @@ class TelemetryApi:
     def _current(self, rows: DataFrame, recent: DataFrame | None) -> DataFrame:
         if recent is None:
             return latest.current_with_fallback(rows, self.bounds)
-        return latest.current_or_latest(
-            latest.current_per_sensor(recent, self.bounds), latest.latest_per_sensor(rows))
+        current = latest.current_per_sensor(recent, self.bounds)
+        # the history answers only for sensors that the view lacks
+        lacking = rows.join(current.select("sensor_id"), "sensor_id", "left_anti")
+        return latest.current_or_latest(current, latest.latest_per_sensor(lacking))
 
     def history(
         self,
@@ -145,20 +164,23 @@ class TelemetryApi:
         """One page. ``before`` wins over ``after``, which wins over a range; none of them reads the recent
         view. A range without start begins six hours before ``as_of``, without end it ends there."""
         n = scans.clamp_limit(limit)
-        rows = self._of(self.readings, sensor_id)
+        if before or after or start or end:
+            sensor_id = self._named(sensor_id)
+            rows = self.pages_of if isinstance(self.pages_of, HistoryTable) else self._of(self.readings, sensor_id)
+            sensor_id = sensor_id if isinstance(self.pages_of, HistoryTable) else None
         if before:
             cut = _instant(before)
-            pages = [scans.readings_before(rows, cut, k) for k in (n, n + 1)]
-            return HistoryPage(pages[0], n, "database", window_end=cut, exact_more=pages[1])
+            ask = lambda k: scans.readings_before(rows, cut, k, sensor_id)
+            return HistoryPage(ask(n), n, "database", window_end=cut, one_more=lambda: ask(n + 1))
         if after:
             cut = _instant(after)
-            pages = [scans.readings_after(rows, cut, k) for k in (n, n + 1)]
-            return HistoryPage(pages[0], n, "database", window_start=cut, exact_more=pages[1])
+            ask = lambda k: scans.readings_after(rows, cut, k, sensor_id)
+            return HistoryPage(ask(n), n, "database", window_start=cut, one_more=lambda: ask(n + 1))
         if start or end:
             first = _instant(start) if start else self.as_of - timedelta(hours=HISTORY_WINDOW_HOURS)
             last = _instant(end) if end else self.as_of
-            pages = [scans.readings_in_range(rows, first, last, k) for k in (n, n + 1)]
-            return HistoryPage(pages[0], n, "database", first, last, exact_more=pages[1])
+            ask = lambda k: scans.readings_in_range(rows, first, last, k, sensor_id)
+            return HistoryPage(ask(n), n, "database", first, last, one_more=lambda: ask(n + 1))
         recent = self._of(self._accepted(), sensor_id)
         order = arrival(recent)
         newest = recent.select(*order, *READING_COLUMNS).orderBy(*[F.desc(c) for c in order]).limit(
@@ -188,7 +210,11 @@ class TelemetryApi:
             last = end_of_given_day(parse_date_argument(end) if isinstance(end, str) else as_instant(end))
         else:
             last = self.as_of
-        return aggregates.daily_stats(self.readings, first, last, sensor_id)
+        rows = self.readings
+        if isinstance(self.pages_of, HistoryTable):
+            rows = self.pages_of.read_days(
+                [d for d in self.pages_of.days() if first.date() <= d <= last.date()])
+        return aggregates.daily_stats(rows, first, last, sensor_id)
 
     def sensors(self) -> DataFrame:
         """Ids known to the recent view or the history, sorted. Their number is the row count."""

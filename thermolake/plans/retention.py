@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import as_instant, instant_literal
-from ..schema import CLEANUP_SECONDS, RETENTION_DAYS, RETENTION_LEDGER
-from ..session import path_exists
-from ..sources.history import HistoryTable, write_loads
+from ..schema import CLEANUP_SECONDS, RETENTION_DAYS, RETENTION_LEDGER, stored_by_load
+from ..sources.history import HistoryTable
+from ..sources.loads import LoadTable, once
 
 
 def cutoff_literal(as_of: datetime | str, days: int = RETENTION_DAYS) -> Column:
@@ -36,21 +35,25 @@ def cleanup_period(seconds: int | None) -> int:
     return seconds if seconds and seconds > 0 else CLEANUP_SECONDS
 
 
+def _ledger(spark: SparkSession, path: str) -> LoadTable:
+    return LoadTable(spark, path, stored_by_load(RETENTION_LEDGER))
+
+
 def read_retention_ledger(spark: SparkSession, path: str) -> DataFrame:
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], RETENTION_LEDGER)
-    return spark.read.schema(RETENTION_LEDGER).parquet(path)
+    return _ledger(spark, path).read().select(*RETENTION_LEDGER.names)
 
 
 def run_retention(
     table: HistoryTable, ledger_path: str, as_of: datetime | str, days: int = RETENTION_DAYS, run_id: str | None = None
 ) -> int:
-    """One cleanup run. A failed run is recorded too, then raised."""
+    """One cleanup run, which also merges small loads of the history and of the ledger. A failed run is recorded too,
+    then raised. A run with the id of an earlier one takes its place in the ledger."""
     if days < 1:
         raise ValueError("retention must keep at least one day")
-    run_id = run_id or uuid.uuid4().hex
+    run_id = run_id or once()
     try:
         deleted = table.delete_older_than(days, as_of)
+        table.upkeep()
     except Exception:
         _record(table.spark, ledger_path, run_id, as_of, days, None, "error")
         raise
@@ -62,8 +65,10 @@ def _record(spark, path, run_id, as_of, days, deleted, status) -> None:
     row = spark.range(1).select(
         F.lit(run_id).alias("run_id"), instant_literal(as_of).alias("run_at"),
         F.lit(days).alias("retention_days"), F.lit(deleted).cast("long").alias("deleted"),
-        F.lit(status).alias("status"))
-    write_loads(row, path, "run_id")
+        F.lit(status).alias("status"), F.lit(run_id).alias("load_id"))
+    ledger = _ledger(spark, path)
+    ledger.write(row)
+    ledger.upkeep()
 
 
 def retention_stats(ledger: DataFrame, days: int = RETENTION_DAYS) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from .sources.events import (
 from .sources.history import HistoryTable
 from .streaming import ingest, live
 from .streaming.recent import RecentViewTable
+from .streaming.tables import LiveTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +67,10 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _REGISTRY.items() if sql is not None}
 
 
+def rfc3339_text(instant: str) -> str:
+    return instant.replace(" ", "T") + "Z"
+
+
 # the same readings in SQL
 READINGS_SQL = """
 WITH r AS (
@@ -226,9 +232,9 @@ def scroll_two_partitions(spark, sf_dir):
     table = HistoryTable(spark, work_dir(spark, "scroll")).create()
     table.append(rows, "all")
     size = table.read().count() // 5 + 1
-    pages = [scans.readings_before(table.read(), "9999-01-01 00:00:00", size)]
+    pages = [scans.readings_before(table, "9999-01-01 00:00:00", size)]
     while (cursor := scans.cursor_after(pages[-1])) is not None:
-        pages.append(scans.readings_before_cursor(table.read(), cursor, size))
+        pages.append(scans.readings_before_cursor(table, cursor, size))
     every = pages[0]
     for page in pages[1:]:
         every = every.unionByName(page)
@@ -249,18 +255,22 @@ def _written(spark, sf_dir, label: str) -> HistoryTable:
       ORDER BY recorded_at DESC, seq DESC LIMIT {PAGE})
     UNION ALL (SELECT 'after', * FROM r WHERE sensor_id = '{SENSOR}' AND recorded_at > '{CUT}'
       ORDER BY recorded_at, seq LIMIT {PAGE})
+    UNION ALL (SELECT 'range', * FROM r WHERE recorded_at BETWEEN '{START}' AND '{END}'
+      ORDER BY recorded_at DESC, seq DESC LIMIT {PAGE})
     UNION ALL (SELECT 'latest', * FROM r WHERE sensor_id = '{SENSOR}' ORDER BY recorded_at DESC, seq DESC LIMIT 1))
   SELECT page, seq, {_READING} FROM p""")
 def table_pages(spark, sf_dir):
-    """Scrolling and the latest reading on a written table, which widen by days."""
-    rows = _written(spark, sf_dir, "pages").read()
+    """Scrolling, ranges and the latest reading on a written table: each reads its own days only."""
+    table = _written(spark, sf_dir, "pages")
+    api = TelemetryApi(table, AS_OF)
     pages = {
-        "before": scans.readings_before(rows, CUT, PAGE, SENSOR),
-        "after": scans.readings_after(rows, CUT, PAGE, SENSOR),
-        "latest": scans.latest_reading(rows, SENSOR),
+        "before": api.history(SENSOR, before=rfc3339_text(CUT), limit=PAGE).readings,
+        "after": api.history(SENSOR, after=rfc3339_text(CUT), limit=PAGE).readings,
+        "range": scans.readings_in_range(table, START, END, PAGE),
+        "latest": scans.latest_reading(table, SENSOR),
     }
     named = [page.select(F.lit(name).alias("page"), "seq", *READING_COLUMNS) for name, page in pages.items()]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    return reduce(DataFrame.unionByName, named)
 
 
 @_register("latest_reading", f"""{READINGS_SQL} SELECT seq, {_READING} FROM r
@@ -792,6 +802,32 @@ def ingest_two_jobs(spark, sf_dir):
         F.count(F.lit(1)).alias("readings"))
 
 
+@_register("ingest_upkeep", f"""{READINGS_SQL}
+  SELECT 'readings' AS name, count(*) FILTER (WHERE event_type IN ('click', 'purchase', 'view')) AS row_count,
+    true AS few_folders FROM r
+  UNION ALL SELECT 'heartbeats', count(*) FILTER (WHERE event_type = 'signup'), true FROM r
+  UNION ALL SELECT 'quarantine', count(*) FILTER (WHERE event_type = 'error')
+    + count(*) FILTER (WHERE event_type = 'error' AND level % 9 = 0)
+    + count(*) FILTER (WHERE event_type = 'error' AND level % 11 = 0), true FROM r
+  UNION ALL SELECT 'write_ledger', 6, true""")
+def ingest_upkeep(spark, sf_dir):
+    """A job that merges its small loads after every second of six micro-batches. Without that there would be six
+    folders of each day and table, and a reader that missed a merge would count rows twice."""
+    tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"), merge_at=2)
+    ingest.start_ingest(_staged_log(spark, sf_dir, 6), tables, work_dir(spark, "checkpoint"), available_now=True,
+                        upkeep_every=2).awaitTermination()
+    kept = {"readings": tables.history, "heartbeats": tables.heartbeat_table, "quarantine": tables.quarantine_table,
+            "write_ledger": tables.ledger_table}
+    parts = []
+    for name, table in kept.items():
+        table.upkeep()
+        table.upkeep()  # deletes what the one before replaced
+        few = all(len(table.loads(folder)) <= 3 for folder in table.folders())
+        parts.append(table.read().agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("name"), "row_count", F.lit(few).alias("few_folders")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- liveness ---------------------------------------------------------------
 
 _BEATS_SQL = """h AS (SELECT sensor_id, seq, recorded_at AS received_at FROM r WHERE event_type = 'signup'),
@@ -851,16 +887,27 @@ def sensor_uptime(spark, sf_dir):
 # ---- streaming --------------------------------------------------------------
 
 
-def _drain_view(spark: SparkSession, view: DataFrame, keys: list[str]) -> DataFrame:
-    table = live.view_table(spark, work_dir(spark, "view"), view.schema, keys)
-    live.start_view(view, table, work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
-    return table.read()
+def _drained(spark: SparkSession, table: LiveTable, *parts: DataFrame) -> DataFrame:
+    """The view that jobs keep, one for each stream, all running at once."""
+    jobs = [live.start_view(part, table, work_dir(spark, "checkpoint"), available_now=True) for part in parts]
+    for job in jobs:
+        job.awaitTermination()
+    return table.view()
 
 
 @_register("stream_daily_stats", f"{READINGS_SQL} {_DAILY_SQL} FROM r GROUP BY 1, 2")
 def stream_daily_stats(spark, sf_dir):
     view = live.live_daily_stats(stream_readings(spark, sf_dir))
-    return _daily(_drain_view(spark, view, ["date", "sensor_id"]))
+    return _daily(_drained(spark, live.daily_stats_table(spark, work_dir(spark, "view"), view.schema), view))
+
+
+@_register("stream_two_jobs", f"{READINGS_SQL} {_DAILY_SQL} FROM r GROUP BY 1, 2")
+def stream_two_jobs(spark, sf_dir):
+    """Two jobs at once keep one view, each from its half of the readings, and fold it as they go."""
+    rows = stream_readings(spark, sf_dir)
+    halves = [live.live_daily_stats(rows.filter(F.col("seq") % 2 == i)) for i in (0, 1)]
+    table = live.daily_stats_table(spark, work_dir(spark, "view"), halves[0].schema, upkeep_every=2, merge_at=2)
+    return _daily(_drained(spark, table, *halves))
 
 
 @_register("stream_recent_view", f"""{READINGS_SQL} SELECT seq, {_READING} FROM v
@@ -875,7 +922,7 @@ def stream_recent_view(spark, sf_dir):
   SELECT sensor_id, max(received_at) AS last_seen FROM h GROUP BY 1""")
 def stream_last_seen(spark, sf_dir):
     view = live.live_last_seen(heartbeat_times(stream_readings(spark, sf_dir)))
-    return _drain_view(spark, view, ["sensor_id"])
+    return _drained(spark, live.last_seen_table(spark, work_dir(spark, "view"), view.schema), view)
 
 
 @_register("stream_ingest", f"""{READINGS_SQL}

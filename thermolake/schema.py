@@ -36,6 +36,10 @@ ZERO_TIME = "0001-01-01 00:00:00"
 # Arrival order: message number, position in the message, broker partition. A frame may hold only the first of them.
 ARRIVAL = ("seq", "pos", "part")
 
+# most bytes of log files that a micro-batch takes, and after how many micro-batches small loads are merged
+BATCH_BYTES = 1 << 30
+UPKEEP_BATCHES = 20
+
 # how far ahead of its arrival a reading may be dated before a live view leaves it out
 CLOCK_TOLERANCE_SECONDS = 3600
 
@@ -111,6 +115,12 @@ RETENTION_LEDGER = T.StructType([
     T.StructField("status", T.StringType(), False),
 ])
 
+
+def stored_by_load(schema: T.StructType) -> T.StructType:
+    """A table without days, partitioned by load."""
+    return T.StructType([*schema.fields, T.StructField("load_id", T.StringType(), False)])
+
+
 SENSORS = T.StructType([
     T.StructField("sensor_id", T.StringType(), False),
     T.StructField("location", T.StringType(), True),

@@ -21,6 +21,12 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def job_of(df, default: str = "manual") -> str:
+    """Id of the streaming query that runs this micro-batch. It belongs to the checkpoint, so it is the same after a
+    restart and another one for a fresh checkpoint."""
+    return df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or default
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) pair for metadata operations: exists, list, delete."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,75 +1,65 @@
-"""The append-only readings history: Parquet, one directory per (UTC day, load).
-
-Every load owns its directories, so writing it again after a failure replaces exactly what the first attempt
-left, and rewriting old rows never touches what another load appends meanwhile.
-"""
+"""The append-only readings history: Parquet, one directory per (UTC day, load)."""
 
 from __future__ import annotations
 
-import uuid
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import as_instant, instant_literal, truncate_second
 from ..operators.aggregates import one_row, storage_stats
 from ..operators.ranking import with_arrival
 from ..schema import READINGS_STORED
-from ..session import child_names, delete_path, path_exists, use_utc
-
-
-def write_loads(df: DataFrame, path: str, *partitions: str) -> None:
-    """Replaces only the partitions that ``df`` holds; an empty ``df`` changes nothing."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partitions).parquet(path))
+from ..session import delete_path, path_exists
+from .loads import MERGE_AT, SMALL_BYTES, LoadTable, once
 
 
-class HistoryTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = use_utc(spark)
-        self.path = path.rstrip("/")
-        self._staging = f"{self.path}__staging"
-        self._merged = f"{self.path}__merged"
-        self._replaced = f"{self.path}__replaced"
+class HistoryTable(LoadTable):
+    def __init__(self, spark: SparkSession, path: str, small_bytes: int = SMALL_BYTES, merge_at: int = MERGE_AT):
+        super().__init__(spark, path, READINGS_STORED, None, small_bytes, merge_at)
 
-    def create(self) -> HistoryTable:
-        """Creates the empty table; an existing one is left as it is."""
-        if not path_exists(self.spark, self.path):
-            write_loads(self.spark.createDataFrame([], READINGS_STORED), self.path, "recorded_date", "load_id")
-        return self
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(READINGS_STORED).parquet(self.path)
+    def arranged(self, rows: DataFrame) -> DataFrame:
+        """Each file holds a range of days, loads, sensors and times, so its min/max values prune; a sensor with very
+        many rows spans several."""
+        order = ("recorded_date", "load_id", "sensor_id", "recorded_at")
+        return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
-    def append(self, readings: DataFrame, load_id: str | None = None) -> str:
+    def append(self, readings: DataFrame, load_id: str | None = None, counted: Observation | None = None) -> str:
         """Appends readings without validating them; ``recorded_at`` is cut to the second. Readings numbered one by
-        one may lack ``pos`` and ``part``.
-
-        Files hold ranges of days, sensors and times, so their min/max values prune. A load that is written again
-        replaces itself; days of it that were merged into another load meanwhile are left out.
-        """
-        load_id = load_id or uuid.uuid4().hex
+        one may lack ``pos`` and ``part``. A load that is written again replaces itself."""
+        load_id = load_id or once()
         recorded_at = truncate_second("recorded_at")
-        rows = with_arrival(readings).select(
+        self.write(with_arrival(readings).select(
             "seq", "pos", "part", "sensor_id", "temperature", "humidity",
             recorded_at.alias("recorded_at"),
             F.current_timestamp().alias("created_at"),
             F.to_date(recorded_at).alias("recorded_date"),
             F.lit(load_id).alias("load_id"),
-        )
-        held = self._merged_days(load_id)
-        if held:
-            rows = rows.filter(~F.col("recorded_date").isin(held))
-        write_loads(_sorted(rows), self.path, "recorded_date", "load_id")
+        ), counted)
         return load_id
 
-    def _merged_days(self, load_id: str) -> list[date]:
-        """Days whose rows of this load already lie in a merged load."""
-        if not path_exists(self.spark, self._merged):
-            return []
-        known = self.spark.read.schema("day date, load_id string").parquet(self._merged)
-        return [r.day for r in known.filter(F.col("load_id") == load_id).select("day").distinct().collect()]
+    def compact_day(self, day: date | str) -> None:
+        """Merges the ended loads of one day, however few they are."""
+        self.upkeep([_day_dir(day)], merge_at=2)
+
+    # ---- days -----------------------------------------------------------------
+
+    def days(self) -> list[date]:
+        """The days that have a folder, in order: a listing of the table's folder, no data."""
+        return [date.fromisoformat(n.removeprefix("recorded_date=")) for n in self.folders()]
+
+    def read_days(self, days: list[date]) -> DataFrame:
+        """The readings of some successive days. Neither files nor folders of other days are even listed."""
+        if not days:
+            return self.spark.createDataFrame([], self.schema)
+        folders = [_day_dir(d) for d in days]
+        rows = self._without_replaced(
+            lambda: self.spark.read.schema(self.schema).option("basePath", self.path).parquet(
+                *[self._at(f) for f in folders]), set(folders))
+        return rows.filter(F.col("recorded_date").between(F.lit(days[0]), F.lit(days[-1])))
+
+    # ---- statistics -------------------------------------------------------------
 
     def size_mb(self) -> DataFrame:
         """One row with the table's size. Only file names and lengths are read."""
@@ -83,93 +73,39 @@ class HistoryTable:
     def stats(self) -> DataFrame:
         return one_row(storage_stats(self.read()), self.size_mb())
 
-    # ---- retention ----------------------------------------------------------
+    # ---- retention --------------------------------------------------------------
 
     def delete_older_than(self, days: int, as_of: datetime | str) -> int:
         """Deletes readings with ``recorded_at`` before ``as_of`` minus ``days`` and returns their number.
 
-        Whole days are dropped as directories. Only loads of the boundary day that hold an expired row are
-        rewritten, through a staging copy that a later run finishes if this one is interrupted.
+        Whole days are dropped as directories. Of the boundary day, loads that hold expired rows only are dropped, and
+        one new load takes the place of those that hold some.
         """
         if days < 1:
             raise ValueError("retention must keep at least one day")
+        if not path_exists(self.spark, self.path):
+            raise FileNotFoundError(self.path)
         cutoff = as_instant(as_of) - timedelta(days=days)
-        day = cutoff.date()
-        self._finish_rewrite()
-
+        past = [d for d in self.days() if d <= cutoff.date()]
+        rows = self.read_days(past)
         expired = F.col("recorded_at") < instant_literal(cutoff)
-        on_or_before = self.read().filter(F.col("recorded_date") <= F.lit(day))
-        deleted = on_or_before.filter(expired).count()
+        deleted = rows.filter(expired).count()
 
-        boundary = self.read().filter(F.col("recorded_date") == F.lit(day))
+        folder = _day_dir(cutoff.date())
         # one entry per load of one day: metadata, not rows
-        kept_by_load = {
-            row.load_id: row.kept
-            for row in boundary.groupBy("load_id")
-            .agg(F.count_if(~expired).alias("kept"), F.count_if(expired).alias("gone"))
-            .filter(F.col("gone") > 0).collect()
-        }
-        if kept_by_load:
-            dirs = {load: f"{self.path}/{_day_dir(day)}/load_id={load}" for load in kept_by_load}
-            shrunk = [dirs[load] for load, kept in kept_by_load.items() if kept]
-            emptied = [dirs[load] for load, kept in kept_by_load.items() if not kept]
-            kept_rows = self._read_dirs(shrunk).filter(~expired) if shrunk else boundary.limit(0)
-            self._rewrite(kept_rows, emptied)
-        for name in child_names(self.spark, self.path):
-            if name.startswith("recorded_date=") and name < _day_dir(day):
-                delete_path(self.spark, f"{self.path}/{name}")
+        touched = (
+            rows.filter(F.col("recorded_date") == F.lit(cutoff.date())).groupBy("load_id")
+            .agg(F.count_if(~expired).alias("kept"), F.count_if(expired).alias("gone")).filter("gone > 0").collect())
+        shrunk = [r.load_id for r in touched if r.kept]
+        if shrunk:
+            self._replace(folder, shrunk, lambda found: found.filter(~expired))
+        for load in (r.load_id for r in touched if not r.kept):
+            delete_path(self.spark, self._at(folder, load))
+        for day in past:
+            if day < cutoff.date():
+                delete_path(self.spark, self._at(_day_dir(day)))
         return deleted
 
-    # ---- compaction ---------------------------------------------------------
-
-    def compact_day(self, day: date | str) -> None:
-        """Merges the loads of a closed day into one. Loads that arrive meanwhile are left alone. Which loads went
-        in is recorded first, so that a micro-batch run again after a failure adds nothing twice.
-
-        Readers of that day must wait until it returns; an interrupted run is finished by the next one.
-        """
-        self._finish_rewrite()
-        day_dir = f"{self.path}/{_day_dir(day)}"
-        names = [n for n in child_names(self.spark, day_dir) if n.startswith("load_id=")]
-        dirs = [f"{day_dir}/{name}" for name in names]
-        if len(dirs) > 1:
-            self.spark.createDataFrame([(str(day), n.removeprefix("load_id=")) for n in names], "day string, load_id string"
-                                       ).select(F.to_date("day").alias("day"), "load_id").coalesce(1).write.mode(
-                "append").parquet(self._merged)
-            self._rewrite(self._read_dirs(dirs).withColumn("load_id", F.lit(f"merged-{uuid.uuid4().hex}")), dirs)
-
-    # ---- rewriting ----------------------------------------------------------
-
-    def _read_dirs(self, dirs: list[str]) -> DataFrame:
-        return self.spark.read.schema(READINGS_STORED).option("basePath", self.path).parquet(*dirs)
-
-    def _rewrite(self, rows: DataFrame, replaced: list[str]) -> None:
-        """Puts ``rows`` in place of the loads they name and removes the ``replaced`` directories. The staging
-        copy is the commit point: once it is complete, the rest can be repeated."""
-        self.spark.createDataFrame([(d,) for d in replaced], "dir string").write.mode("overwrite").parquet(
-            self._replaced)
-        _sorted(rows).write.mode("overwrite").partitionBy("recorded_date", "load_id").parquet(self._staging)
-        self._finish_rewrite()
-
-    def _finish_rewrite(self) -> None:
-        if path_exists(self.spark, f"{self._staging}/_SUCCESS"):
-            staged = self.spark.read.schema(READINGS_STORED).parquet(self._staging)
-            write_loads(_sorted(staged), self.path, "recorded_date", "load_id")
-            for row in self.spark.read.schema("dir string").parquet(self._replaced).collect():
-                delete_path(self.spark, row.dir)
-        for leftover in (self._staging, self._replaced):
-            if path_exists(self.spark, leftover):
-                delete_path(self.spark, leftover)
-
 
 def _day_dir(day: date | str) -> str:
     return f"recorded_date={day}"
-
-
-def _sorted(rows: DataFrame) -> DataFrame:
-    """Each file holds a range of days, loads, sensors and times; a sensor with very many rows spans several."""
-    return (
-        rows.select(*READINGS_STORED.names)
-        .repartitionByRange("recorded_date", "load_id", "sensor_id", "recorded_at")
-        .sortWithinPartitions("recorded_date", "load_id", "sensor_id", "recorded_at")
-    )

@@ -2,35 +2,45 @@
 
 Every table is partitioned by load. A load is named after the job (the id that its checkpoint gives the streaming
 query) and the micro-batch: a batch that is run again after a failure replaces its own rows, and another job, or the
-same one with a fresh checkpoint, replaces nothing.
+same one with a fresh checkpoint, replaces nothing. Every so many batches the job merges the small loads of all tables.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.quality import valid_filter
-from ..schema import FLUSH_SECONDS, HEARTBEATS, MESSAGE_LOG, QUARANTINE, WRITE_LEDGER
-from ..session import path_exists, use_utc
+from ..schema import (
+    BATCH_BYTES,
+    FLUSH_SECONDS,
+    HEARTBEATS,
+    MESSAGE_LOG,
+    QUARANTINE,
+    UPKEEP_BATCHES,
+    WRITE_LEDGER,
+    stored_by_load,
+)
+from ..session import job_of, use_utc
 from ..sources.envelopes import decode_heartbeats, decode_readings, parse_envelopes, quarantined
-from ..sources.history import HistoryTable, write_loads
-from .tables import job_of
+from ..sources.history import HistoryTable
+from ..sources.loads import MERGE_AT, LoadTable, once
 
 OnValid = Callable[[DataFrame, int], None]
 
 
-def read_log_files(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of JSON lines with seq, received_at and the envelope text in ``value``."""
+def read_log_files(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+                   max_bytes_per_trigger: int = BATCH_BYTES) -> DataFrame:
+    """Stream of JSON lines with seq, received_at and the envelope text in ``value``. A micro-batch is bounded by the
+    bytes of its files, or by their number if one is given."""
     reader = use_utc(spark).readStream.schema(MESSAGE_LOG)
     if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.json(path)
+        return reader.option("maxFilesPerTrigger", max_files_per_trigger).json(path)
+    return reader.option("maxBytesPerTrigger", max_bytes_per_trigger).json(path)
 
 
 def from_broker(records: DataFrame) -> DataFrame:
@@ -48,64 +58,75 @@ def from_broker(records: DataFrame) -> DataFrame:
 class TelemetryTables:
     """The tables an ingest job fills, below one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, merge_at: int = MERGE_AT):
         self.spark = use_utc(spark)
         self.root = root.rstrip("/")
-        self.history = HistoryTable(spark, f"{self.root}/readings").create()
-        self.heartbeats_path = f"{self.root}/heartbeats"
-        self.quarantine_path = f"{self.root}/quarantine"
-        self.ledger_path = f"{self.root}/write_ledger"
+        self.merge_at = merge_at
         self.retention_ledger_path = f"{self.root}/retention_ledger"
+        self.history = HistoryTable(spark, f"{self.root}/readings", merge_at=merge_at).create()
+        self.heartbeat_table = self._table("heartbeats", HEARTBEATS)
+        self.quarantine_table = self._table("quarantine", QUARANTINE)
+        self.ledger_table = self._table("write_ledger", WRITE_LEDGER)
 
-    def _read(self, path: str, schema) -> DataFrame:
-        if not path_exists(self.spark, path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+    def _table(self, name: str, schema) -> LoadTable:
+        return LoadTable(self.spark, f"{self.root}/{name}", stored_by_load(schema), merge_at=self.merge_at)
+
+    def on(self, spark: SparkSession) -> TelemetryTables:
+        """The same tables for another session, as a micro-batch has its own."""
+        return self if spark is self.spark else TelemetryTables(spark, self.root, self.merge_at)
 
     def heartbeats(self) -> DataFrame:
-        return self._read(self.heartbeats_path, HEARTBEATS)
+        return self.heartbeat_table.read().drop("load_id")
 
     def quarantine(self) -> DataFrame:
-        return self._read(self.quarantine_path, QUARANTINE)
+        return self.quarantine_table.read().drop("load_id")
 
     def ledger(self) -> DataFrame:
-        return self._read(self.ledger_path, WRITE_LEDGER)
+        return self.ledger_table.read().drop("load_id")
+
+    def upkeep(self) -> None:
+        """Merges the small loads of every table."""
+        for table in (self.history, self.heartbeat_table, self.quarantine_table, self.ledger_table):
+            table.upkeep()
 
 
 def write_batch(tables: TelemetryTables, log: DataFrame, batch_id: int, on_valid: OnValid | None = None,
-                job: str | None = None) -> None:
-    """One micro-batch: all decoded readings go to the history, the valid ones also to ``on_valid``."""
-    spark = log.sparkSession
+                job: str | None = None, upkeep_every: int = UPKEEP_BATCHES) -> None:
+    """One micro-batch: all decoded readings go to the history, the valid ones also to ``on_valid``. After every
+    ``upkeep_every`` batches small loads are merged."""
+    tables = tables.on(log.sparkSession)
     job = job or job_of(log)
     load_id = f"{job}-{batch_id}"
-    history = HistoryTable(spark, tables.history.path)
     parsed = parse_envelopes(log).persist()
     try:
         readings = decode_readings(parsed)
-        history.append(readings, load_id)
-        for rows, path in (
-            (decode_heartbeats(parsed), tables.heartbeats_path),
-            (quarantined(parsed), tables.quarantine_path),
+        written = Observation()
+        tables.history.append(readings, load_id, written)
+        for rows, table in (
+            (decode_heartbeats(parsed), tables.heartbeat_table), (quarantined(parsed), tables.quarantine_table),
         ):
-            write_loads(rows.withColumn("load_id", F.lit(load_id)), path, "load_id")
+            table.write(rows.withColumn("load_id", F.lit(load_id)))
         if on_valid is not None:
             on_valid(readings.filter(valid_filter()), batch_id)
-        _record(spark, tables.ledger_path, job, batch_id, readings.count(), "ok", load_id)
+        _record(tables, job, batch_id, written.get["rows"], "ok", load_id)
     except Exception as failure:
         try:  # every failure is an entry of its own
-            _record(spark, tables.ledger_path, job, batch_id, 0, "error", f"{load_id}-{uuid.uuid4().hex}")
+            _record(tables, job, batch_id, 0, "error", once())
         except Exception as second:
             failure.add_note(f"the failure could not be recorded: {second}")
         raise
     finally:
         parsed.unpersist()
+    if (batch_id + 1) % upkeep_every == 0:
+        tables.upkeep()
 
 
-def _record(spark: SparkSession, path: str, job: str, batch_id: int, rows: int, status: str, entry: str) -> None:
-    row = spark.range(1).select(
-        F.lit(entry).alias("entry"), F.lit(job).alias("job"), F.lit(batch_id).cast("long").alias("batch_id"), F.lit(rows).cast("long").alias("rows_written"),
-        F.lit(status).alias("status"), F.current_timestamp().alias("written_at"))
-    write_loads(row, path, "entry")
+def _record(tables: TelemetryTables, job: str, batch_id: int, rows: int, status: str, load_id: str) -> None:
+    row = tables.spark.range(1).select(
+        F.lit(job).alias("job"), F.lit(batch_id).cast("long").alias("batch_id"),
+        F.lit(rows).cast("long").alias("rows_written"), F.lit(status).alias("status"),
+        F.current_timestamp().alias("written_at"), F.lit(load_id).alias("load_id"))
+    tables.ledger_table.write(row)
 
 
 def start_ingest(
@@ -115,12 +136,14 @@ def start_ingest(
     available_now: bool = False,
     flush_seconds: int = FLUSH_SECONDS,
     on_valid: OnValid | None = None,
+    upkeep_every: int = UPKEEP_BATCHES,
 ) -> StreamingQuery:
-    """Starts the job. ``available_now`` drains what is there and stops."""
+    """Starts the job. ``available_now`` drains what is there and stops. An ``on_valid`` must not fail on rows it has
+    seen before, as a batch may be run again."""
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{flush_seconds} seconds"}
     return (
         log.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger)
-        .foreachBatch(lambda df, batch_id: write_batch(tables, df, batch_id, on_valid))
+        .foreachBatch(lambda df, batch_id: write_batch(tables, df, batch_id, on_valid, upkeep_every=upkeep_every))
         .start()
     )
 

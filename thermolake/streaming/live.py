@@ -1,4 +1,4 @@
-"""Streaming aggregates per sensor, merged into tables whose size follows the keys, not the batches."""
+"""Streaming aggregates per sensor, kept in tables whose size follows the keys, not the batches."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.aggregates import daily_measures
 from ..operators.liveness import of_known_sensors
-from ..schema import CLOCK_TOLERANCE_SECONDS, RETENTION_DAYS
-from .tables import BucketedTable, replace_by
+from ..schema import CLOCK_TOLERANCE_SECONDS, RETENTION_DAYS, UPKEEP_BATCHES
+from ..sources.loads import MERGE_AT
+from .tables import LiveTable, newest_by
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -46,14 +47,33 @@ def live_last_seen(heartbeats: DataFrame) -> DataFrame:
     return of_known_sensors(heartbeats).groupBy("sensor_id").agg(F.max("received_at").alias("last_seen"))
 
 
-def view_table(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> BucketedTable:
-    """The table of a live view: by day where it has days, else by a hash of the keys."""
-    bucket = F.date_format("date", "yyyy-MM-dd") if "date" in keys else F.pmod(F.xxhash64(*keys), F.lit(64))
-    return BucketedTable(spark, path, schema, bucket, replace_by(keys))
+def daily_stats_table(spark: SparkSession, path: str, schema: T.StructType, upkeep_every: int = UPKEEP_BATCHES,
+                      merge_at: int = MERGE_AT) -> LiveTable:
+    """The table of ``live_daily_stats``. Jobs count the readings of their own streams, which are added up."""
+    keys = ["date", "sensor_id"]
+    average = lambda c: F.sum(F.col(c) * F.col("reading_count")) / F.sum("reading_count")
+
+    def across(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            *[F.min(f"min_{m}").alias(f"min_{m}") for m in ("temperature", "humidity")],
+            *[F.max(f"max_{m}").alias(f"max_{m}") for m in ("temperature", "humidity")],
+            *[average(f"avg_{m}").alias(f"avg_{m}") for m in ("temperature", "humidity")],
+            F.sum("reading_count").alias("reading_count"))
+
+    return LiveTable(spark, path, schema, newest_by(keys), across, upkeep_every, merge_at=merge_at)
+
+
+def last_seen_table(spark: SparkSession, path: str, schema: T.StructType, upkeep_every: int = UPKEEP_BATCHES,
+                    merge_at: int = MERGE_AT) -> LiveTable:
+    """The table of ``live_last_seen``: a sensor was seen when any job saw it last."""
+    return LiveTable(
+        spark, path, schema, newest_by(["sensor_id"]),
+        lambda rows: rows.groupBy("sensor_id").agg(F.max("last_seen").alias("last_seen")), upkeep_every,
+        merge_at=merge_at)
 
 
 def start_view(
-    view: DataFrame, table: BucketedTable, checkpoint: str, available_now: bool = False, seconds: int = 5
+    view: DataFrame, table: LiveTable, checkpoint: str, available_now: bool = False, seconds: int = 5
 ) -> StreamingQuery:
     """Merges the changed rows of every micro-batch into the table. State lives on disk, not in the heap."""
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{seconds} seconds"}

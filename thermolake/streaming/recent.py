@@ -1,49 +1,58 @@
-"""The recent view as a bucketed table that micro-batches update."""
+"""The recent view as a table that micro-batches update."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.quality import valid_filter
 from ..operators.ranking import newest_arrivals, with_arrival
-from ..schema import ARRIVAL, DEFAULT_BOUNDS, FLUSH_SECONDS, READING_COLUMNS, READINGS, RECENT_CAPACITY, ValidityBounds
-from .tables import BucketedTable
+from ..schema import (
+    ARRIVAL,
+    DEFAULT_BOUNDS,
+    FLUSH_SECONDS,
+    READING_COLUMNS,
+    READINGS,
+    RECENT_CAPACITY,
+    UPKEEP_BATCHES,
+    ValidityBounds,
+)
+from ..sources.loads import MERGE_AT
+from .tables import LiveTable
 
 _COLUMNS = [*ARRIVAL, *READING_COLUMNS]
 _SCHEMA = T.StructType([READINGS[c] for c in _COLUMNS])
-BUCKETS = 64
 
 
 class RecentViewTable:
-    """Per sensor the newest ``capacity`` valid readings by arrival. A micro-batch rewrites only the buckets of the
-    sensors it holds."""
+    """Per sensor the newest ``capacity`` valid readings by arrival. A micro-batch writes the newest it holds itself and
+    reads nothing; what newer ones push out goes when loads are merged, and is left out of what is read."""
 
     def __init__(
         self, spark: SparkSession, path: str, capacity: int = RECENT_CAPACITY,
-        bounds: ValidityBounds = DEFAULT_BOUNDS, buckets: int = BUCKETS, keep_seconds: int = 900,
+        bounds: ValidityBounds = DEFAULT_BOUNDS, upkeep_every: int = UPKEEP_BATCHES, merge_at: int = MERGE_AT,
     ):
         self.bounds = bounds
-        bucket = F.pmod(F.xxhash64("sensor_id"), F.lit(buckets))
+        self.capacity = capacity
 
-        def newest(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        def newest(rows: DataFrame) -> DataFrame:
             # rows that come twice, as from two jobs over one log, count once
-            rows = new if old is None else old.unionByName(new).dropDuplicates([*ARRIVAL, "sensor_id"])
-            return newest_arrivals(rows, capacity, "_rank").drop("_rank")
+            return newest_arrivals(rows.dropDuplicates([*ARRIVAL, "sensor_id"]), capacity, "_rank").drop("_rank")
 
-        self.table = BucketedTable(spark, path, _SCHEMA, bucket, newest, keep_seconds)
+        self.table = LiveTable(
+            spark, path, _SCHEMA, newest, lambda rows: rows, upkeep_every=upkeep_every, merge_at=merge_at)
 
     def read(self) -> DataFrame:
-        return self.table.read().select(*_COLUMNS)
+        return self.table.view()
 
     def merge(self, arrived: DataFrame, batch_id: int, job: str | None = None) -> None:
         """Adds the valid readings of a micro-batch."""
         rows = with_arrival(arrived).filter(valid_filter(self.bounds)).select(*_COLUMNS)
-        self.table.merge(rows, batch_id, job)
+        self.table.merge(newest_arrivals(rows, self.capacity, "_rank"), batch_id, job)
 
     def clear(self) -> None:
+        """Forgets every reading. Jobs that go on begin again with the next batch."""
         self.table.clear()
 
     def start(

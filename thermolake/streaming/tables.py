@@ -1,106 +1,64 @@
-"""Keyed tables that micro-batches update in place, bucket by bucket.
+"""Keyed views that streaming jobs keep as a table of loads.
 
-A version is a folder with the buckets one merge rewrote, and a manifest says for every bucket which version holds it.
-The manifest is written last: until then nothing of the merge is seen, afterwards all of it. It also names the last
-batch of every job, so a batch that is run again changes nothing, and two jobs never take each other's place. Replaced
-folders stay for a while, as queries may still read them.
+Every micro-batch adds the rows it changed as one load, so jobs never write to each other's folders and a batch that is
+run again replaces its own rows. Readers take the newest row of a key, and what different jobs say about it is put
+together. Upkeep folds the small loads of many batches into one, keeping of each job and key the newest row: the table
+follows the keys, not the batches.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import child_names, delete_path, hadoop_path, path_exists, use_utc
+from ..schema import UPKEEP_BATCHES
+from ..session import job_of
+from ..sources.loads import MERGE_AT, SMALL_BYTES, LoadTable
 
-Combine = Callable[[DataFrame | None, DataFrame], DataFrame]
+Change = Callable[[DataFrame], DataFrame]
 
-_MANIFEST = "kind string, name string, version long, batch_id long"
 
+class LiveTable(LoadTable):
+    """``newest`` reduces rows (with their ``job`` and ``batch``) to those that still count, however often it is
+    applied; ``across`` puts the rows of different jobs together. ``files`` is how many files a batch's changes make."""
 
-def job_of(df: DataFrame, default: str = "manual") -> str:
-    """Id of the streaming query that runs this micro-batch. It belongs to the checkpoint, so it is the same after a
-    restart and another one for a fresh checkpoint."""
-    return df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or default
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, newest: Change, across: Change,
+                 upkeep_every: int = UPKEEP_BATCHES, files: int = 4, small_bytes: int = SMALL_BYTES,
+                 merge_at: int = MERGE_AT):
+        stored = T.StructType([
+            *schema.fields, T.StructField("job", T.StringType()), T.StructField("batch", T.LongType()),
+            T.StructField("load_id", T.StringType())])
+        super().__init__(spark, path, stored, newest, small_bytes, merge_at)
+        self.columns = schema.names
+        self.newest, self.across = newest, across
+        self.upkeep_every = upkeep_every
+        self.files = files
 
-
-class BucketedTable:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, bucket: Column, combine: Combine,
-                 keep_seconds: int = 900):
-        """``combine`` gets the rows of the touched buckets so far (None if there are none) and the new rows."""
-        self.spark = use_utc(spark)
-        self.path = path.rstrip("/")
-        self.schema = schema
-        self.bucket = bucket
-        self.combine = combine
-        self.keep_seconds = keep_seconds
-
-    def _numbers(self, prefix: str) -> list[int]:
-        names = child_names(self.spark, self.path)
-        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
-
-    def _manifest(self) -> tuple[int, list]:
-        """Number and rows of the newest complete manifest."""
-        for n in reversed(self._numbers("manifest-")):
-            at = f"{self.path}/manifest-{n}"
-            if path_exists(self.spark, f"{at}/_SUCCESS"):
-                # one row per bucket and job
-                return n, self.spark.read.schema(_MANIFEST).parquet(at).collect()
-        return 0, []
-
-    def _folder(self, row) -> str:
-        return f"{self.path}/version-{row.version}/_bucket={row.name}"
-
-    def _read(self, spark: SparkSession, rows: list) -> DataFrame | None:
-        return spark.read.schema(self.schema).parquet(*[self._folder(r) for r in rows]) if rows else None
-
-    def read(self) -> DataFrame:
-        found = self._read(self.spark, [r for r in self._manifest()[1] if r.kind == "bucket"])
-        return self.spark.createDataFrame([], self.schema) if found is None else found
+    def arranged(self, rows: DataFrame) -> DataFrame:
+        # no sampling: a micro-batch is computed only once
+        return rows.repartition(self.files)
 
     def merge(self, arrived: DataFrame, batch_id: int, job: str | None = None) -> None:
-        """Takes in a micro-batch; only the buckets it touches are read and written."""
-        spark = arrived.sparkSession
+        """Takes in the changed rows of a micro-batch. A job's batches come one after the other, as Spark runs them."""
         job = job or job_of(arrived)
-        number, rows = self._manifest()
-        if any(r.kind == "job" and r.name == job and r.batch_id >= batch_id for r in rows):
-            return
-        number += 1
-        keyed = arrived.withColumn("_bucket", self.bucket.cast("string"))
-        touched = {r[0] for r in keyed.select("_bucket").distinct().collect()}
-        old = self._read(spark, [r for r in rows if r.kind == "bucket" and r.name in touched])
-        if touched:
-            merged = self.combine(old, arrived.select(*self.schema.names)).withColumn(
-                "_bucket", self.bucket.cast("string"))
-            merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(
-                f"{self.path}/version-{number}")
-        kept = [tuple(r) for r in rows if not (r.kind == "bucket" and r.name in touched) and (r.kind, r.name) != ("job", job)]
-        new = [("bucket", b, number, 0) for b in touched] + [("job", job, number, batch_id)]
-        spark.createDataFrame(kept + new, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(
-            f"{self.path}/manifest-{number}")
-        self._clean({v for k, _, v, _ in kept + new if k == "bucket"}, number)
-
-    def _clean(self, used: set[int], newest: int) -> None:
-        """Deletes what no manifest in use names and is old enough that no query reads it any more."""
-        for prefix in ("version-", "manifest-"):
-            for n in self._numbers(prefix):
-                if n == newest or (prefix == "version-" and n in used):
-                    continue
-                fs, at = hadoop_path(self.spark, f"{self.path}/{prefix}{n}")
-                if time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > self.keep_seconds:
-                    delete_path(self.spark, f"{self.path}/{prefix}{n}")
+        table = type(self).__new__(type(self))
+        table.__dict__ = self.__dict__ | {"spark": arrived.sparkSession}
+        table.write(arrived.select(*self.columns).withColumns({
+            "job": F.lit(job), "batch": F.lit(batch_id).cast("long"), "load_id": F.lit(f"{job}-{batch_id}")}))
+        if (batch_id + 1) % self.upkeep_every == 0:
+            table.upkeep()
 
-    def clear(self) -> None:
-        delete_path(self.spark, self.path)
+    def view(self) -> DataFrame:
+        return self.across(self.newest(self.read())).select(*self.columns)
 
 
-def replace_by(keys: list[str]) -> Combine:
-    """New rows take the place of old ones with the same keys."""
-    def combine(old: DataFrame | None, new: DataFrame) -> DataFrame:
-        return new if old is None else old.join(new, keys, "left_anti").unionByName(new)
+def newest_by(keys: list[str]) -> Change:
+    """Of every job and key the row of the latest batch."""
+    def newest(rows: DataFrame) -> DataFrame:
+        latest = Window.partitionBy("job", *keys).orderBy(F.desc("batch"))
+        return rows.withColumn("_place", F.row_number().over(latest)).filter("_place = 1").drop("_place")
 
-    return combine
+    return newest
