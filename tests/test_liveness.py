@@ -47,3 +47,14 @@ def test_gaps_and_sessions_cross_midnight_and_empty_days(spark):
             for r in liveness.heartbeat_gaps(df, 60).collect()} == gaps
     assert {(r.sensor_id, r.session_no): (r.connected_at, r.last_seen, r.heartbeat_count)
             for r in liveness.heartbeat_sessions(df, 60).collect()} == sessions
+
+
+def test_silence_that_still_lasts(spark):
+    rows = [("a", AS_OF - timedelta(seconds=s)) for s in (300, 100)] + [("b", AS_OF - timedelta(seconds=60)), (
+        "c", AS_OF - timedelta(seconds=61)), ("c", AS_OF + timedelta(seconds=5)), ("", AS_OF - timedelta(days=1))]
+    found = {(r.sensor_id, r.received_at): r.gap_seconds
+             for r in liveness.heartbeat_gaps(beats(spark, rows), 60, AS_OF).collect()}
+    # exactly the timeout is no silence; what comes after as_of is not known yet
+    assert found == {("a", AS_OF - timedelta(seconds=100)): 200, ("a", None): 100, ("c", None): 61}
+    assert liveness.heartbeat_gaps(beats(spark, rows), 60).filter("received_at IS NULL").count() == 0
+    assert liveness.open_silences(beats(spark, rows[:0] + [("x", AS_OF)]), AS_OF, 60).count() == 0

@@ -1,12 +1,13 @@
 import json
 import os
-from datetime import timedelta
+import random
+from datetime import timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_DIR, AS_OF, minutes_ago
-from thermolake.operators import aggregates, views
+from thermolake.operators import aggregates, liveness, views
 from thermolake.schema import WRITE_LEDGER, stored_by_load
 from thermolake.session import work_dir
 from thermolake.sources.events import heartbeat_times, load_readings, message_log
@@ -345,3 +346,50 @@ def test_backlog_is_what_is_not_taken_yet():
     assert ingest.queue_length(Query()) is None
     Query.lastProgress = None
     assert ingest.queue_length(Query()) == 0
+
+
+BEAT = "sensor_id string, received_at timestamp"
+
+
+def beat_files(spark, batches):
+    frames = [spark.createDataFrame([(s, t.replace(tzinfo=timezone.utc)) for s, t in rows], BEAT) for rows in batches]
+    return stream(spark, write_files(spark, frames), BEAT)
+
+
+def logged(spark, rows, **options):
+    table = live.log_table(spark, work_dir(spark, "log"), rows.schema, merge_at=2)
+    live.start_log(rows, table, work_dir(spark, "checkpoint"), available_now=True, **options).awaitTermination()
+    return table
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_streamed_sessions_equal_batch(spark, reverse):
+    rng = random.Random(6)
+    times = sorted(AS_OF + timedelta(seconds=rng.choice([30, 60, 61, 600]) * i + rng.randrange(3)) for i in range(120))
+    rows = [(rng.choice("ab"), t) for t in times] + [("a", AS_OF), ("a", AS_OF + timedelta(seconds=60))]
+    parts = [rows[i::3] if reverse else sorted(rows, key=lambda r: r[1])[40 * i:40 * i + 50] for i in range(3)]
+    end = [("clock", AS_OF + timedelta(days=30))]
+    given = [r for p in parts for r in p]
+    table = logged(spark, live.live_sessions(beat_files(spark, [*(parts[::-1] if reverse else parts), end]), 60, 86400 * 2),
+                   upkeep_every=1)
+    batch = liveness.heartbeat_sessions(
+        spark.createDataFrame([(s, t.replace(tzinfo=timezone.utc)) for s, t in given], BEAT), 60)
+    assert rows_of(table.read().drop("load_id")) == rows_of(batch.drop("session_no"))
+
+
+def test_silence_is_reported_without_a_next_heartbeat(spark):
+    batches = [[("a", AS_OF), ("b", AS_OF)], [("b", AS_OF + timedelta(seconds=s)) for s in (8, 16, 24, 32)]]
+    found = logged(spark, live.live_silences(beat_files(spark, batches), 10, 0)).read()
+    # b goes on, so only a has fallen silent by the last heartbeat
+    assert [(r.sensor_id, r.silent_since, r.noticed_at) for r in found.collect()] == [
+        ("a", AS_OF, AS_OF + timedelta(seconds=10))]
+
+
+def test_rows_ahead_of_the_clock_go_to_a_table_of_their_own(spark, log):
+    tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"))
+    batch = log([envelope(1, AS_OF), envelope(2, AS_OF + timedelta(hours=1)), envelope(3, AS_OF + timedelta(seconds=3601))],
+                received_at=AS_OF.strftime("%Y-%m-%d %H:%M:%S"))
+    for _ in range(2):
+        ingest.write_batch(tables, batch, 0, job="job")
+    assert [(r.seq, r.ahead_seconds) for r in tables.ahead().collect()] == [(3, 3601)]
+    assert tables.history.read().count() == 3

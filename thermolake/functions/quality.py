@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import DEFAULT_BOUNDS, ValidityBounds
+from ..schema import CLOCK_TOLERANCE_SECONDS, DEFAULT_BOUNDS, ValidityBounds
 from .times import zero_time
 
 
@@ -37,3 +37,13 @@ def reject_reason(bounds: ValidityBounds = DEFAULT_BOUNDS) -> Column:
     return F.coalesce(*[
         F.when(~F.coalesce(passes, F.lit(False)), F.lit(reason)) for reason, passes in _checks(bounds)
     ])
+
+
+def ahead_seconds() -> Column:
+    """How far a reading is dated ahead of its arrival."""
+    return F.unix_seconds("recorded_at") - F.unix_seconds("received_at")
+
+
+def ahead_of_clock(tolerance_seconds: int = CLOCK_TOLERANCE_SECONDS) -> Column:
+    """Whether a reading is dated further ahead of its arrival than a clock may be wrong."""
+    return ahead_seconds() > tolerance_seconds

@@ -58,13 +58,35 @@ def _silence() -> Column:
     return F.unix_seconds("received_at") - F.unix_seconds("previous_at")
 
 
-def heartbeat_gaps(heartbeats: DataFrame, timeout_seconds: int = PONG_TIMEOUT_SECONDS) -> DataFrame:
-    """Heartbeats that came more than ``timeout_seconds`` after the one before."""
-    return (
+def heartbeat_gaps(
+    heartbeats: DataFrame, timeout_seconds: int = PONG_TIMEOUT_SECONDS, as_of: datetime | str | None = None
+) -> DataFrame:
+    """Heartbeats that came more than ``timeout_seconds`` after the one before: sensor_id, previous_at, received_at,
+    gap_seconds.
+
+    With ``as_of`` also the silences that still last then: their ``received_at`` is NULL and ``gap_seconds`` counts up to
+    ``as_of``. Later heartbeats are left out, as nobody knew of them yet.
+    """
+    if as_of is not None:
+        heartbeats = heartbeats.filter(F.col("received_at") <= instant_literal(as_of))
+    ended = (
         _beats(heartbeats)
         .select("sensor_id", "previous_at", "received_at", _silence().alias("gap_seconds"))
         .filter(F.col("gap_seconds") > timeout_seconds)
     )
+    return ended if as_of is None else ended.unionByName(open_silences(heartbeats, as_of, timeout_seconds))
+
+
+def open_silences(
+    heartbeats: DataFrame, as_of: datetime | str, timeout_seconds: int = PONG_TIMEOUT_SECONDS
+) -> DataFrame:
+    """Sensors whose last heartbeat is more than ``timeout_seconds`` before ``as_of``, in the columns of the gaps. One
+    aggregation, combined before the shuffle."""
+    known = heartbeats.filter(F.col("received_at") <= instant_literal(as_of))
+    silent = F.unix_seconds(instant_literal(as_of)) - F.unix_seconds("last_seen")
+    return last_seen(known).select(
+        "sensor_id", truncate_second("last_seen").alias("previous_at"), F.lit(None).cast("timestamp").alias("received_at"),
+        silent.alias("gap_seconds")).filter(F.col("gap_seconds") > timeout_seconds)
 
 
 def heartbeat_sessions(heartbeats: DataFrame, timeout_seconds: int = SILENCE_SECONDS) -> DataFrame:

@@ -877,6 +877,17 @@ def heartbeat_gaps(spark, sf_dir):
     return liveness.heartbeat_gaps(_beat_times(spark, sf_dir), GAP)
 
 
+@_register("heartbeat_gaps_open", f"""{READINGS_SQL}, {_BEATS_SQL},
+  known AS (SELECT * FROM g WHERE received_at <= '{CUT}'),
+  seen AS (SELECT sensor_id, max(received_at) AS last_seen FROM known GROUP BY 1)
+  SELECT sensor_id, previous_at, received_at, {_SILENCE_SQL} AS gap_seconds FROM known WHERE {_SILENCE_SQL} > {GAP}
+  UNION ALL SELECT sensor_id, last_seen, NULL, CAST(epoch(TIMESTAMP '{CUT}') - epoch(last_seen) AS BIGINT) FROM seen
+  WHERE epoch(TIMESTAMP '{CUT}') - epoch(last_seen) > {GAP}""")
+def heartbeat_gaps_open(spark, sf_dir):
+    """With the silences that still last at the given time: a sensor that fell silent has no next heartbeat."""
+    return liveness.heartbeat_gaps(_beat_times(spark, sf_dir), GAP, CUT)
+
+
 @_register("sensor_uptime", f"""{READINGS_SQL}
   SELECT sensor_id, min(recorded_at) AS start_time,
     CAST(epoch(TIMESTAMP '{AS_OF}') - epoch(min(recorded_at)) AS BIGINT) AS uptime_seconds FROM r GROUP BY 1""")
@@ -925,6 +936,92 @@ def stream_last_seen(spark, sf_dir):
     return _drained(spark, live.last_seen_table(spark, work_dir(spark, "view"), view.schema), view)
 
 
+def _closing_beat(spark, at: str) -> DataFrame:
+    """A heartbeat of another device that comes long after all others, so that their sessions end."""
+    return spark.range(1).select(F.lit("clock").alias("sensor_id"), F.lit(at).cast("timestamp").alias("received_at"))
+
+
+def _beat_stream(spark, sf_dir, reverse: bool) -> DataFrame:
+    """Heartbeats as a stream of files, a third of the time each, in order or newest first, and a closing one."""
+    path = work_dir(spark, "beats")
+    beats = _beat_times(spark, sf_dir)
+    parts = [beats.filter((F.dayofmonth("received_at") > 10 * i) & ((F.dayofmonth("received_at") <= 10 * i + 10)
+                          | F.lit(i == 2))) for i in range(3)]
+    for part in [*(parts[::-1] if reverse else parts), _closing_beat(spark, "2024-06-01 00:00:00")]:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(beats.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _logged(spark, rows: DataFrame) -> DataFrame:
+    table = live.log_table(spark, work_dir(spark, "ended"), rows.schema)
+    live.start_log(rows, table, work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
+    return table.read().drop("load_id")
+
+
+# later than the last of the month's heartbeats by less than this
+MONTH_SECONDS = 40 * 86400
+
+
+@_register("stream_sessions", f"""{READINGS_SQL}, {_BEATS_SQL},
+  s AS (SELECT *, CAST(sum(CASE WHEN {_SILENCE_SQL} <= {SILENCE} THEN 0 ELSE 1 END)
+    OVER (PARTITION BY sensor_id ORDER BY received_at, seq) AS BIGINT) AS session_no FROM g),
+  n AS (SELECT sensor_id, min(received_at) AS connected_at, max(received_at) AS last_seen,
+    count(*) AS heartbeat_count FROM s GROUP BY sensor_id, session_no)
+  SELECT files, n.* FROM n, (VALUES ('in order'), ('newest first')) f(files)""")
+def stream_sessions(spark, sf_dir):
+    """Sessions of a stream of four files, whose older ones come first, and then last: late, but within the watermark."""
+    return reduce(DataFrame.unionByName, [
+        _logged(spark, live.live_sessions(_beat_stream(spark, sf_dir, reverse), SILENCE, MONTH_SECONDS))
+        .select(F.lit(name).alias("files"), "*")
+        for name, reverse in (("in order", False), ("newest first", True))])
+
+
+@_register("stream_silences", f"""{READINGS_SQL}, {_BEATS_SQL},
+  n AS (SELECT *, lead(received_at) OVER (PARTITION BY sensor_id ORDER BY received_at, seq) AS next_at FROM h)
+  SELECT sensor_id, received_at AS silent_since, received_at + INTERVAL {GAP} SECOND AS noticed_at FROM n
+  WHERE next_at IS NULL OR epoch(next_at) - epoch(received_at) > {GAP}""")
+def stream_silences(spark, sf_dir):
+    """Every silence, also the last one of each sensor, after which no heartbeat comes."""
+    return _logged(spark, live.live_silences(_beat_stream(spark, sf_dir, False), GAP, MONTH_SECONDS))
+
+
+@_register("stream_recent_view_cleared", f"""{READINGS_SQL} SELECT seq, {_READING} FROM v WHERE seq % 3 = 0
+  {_NEWEST.format(order='seq DESC', n=CAPACITY)}""")
+def stream_recent_view_cleared(spark, sf_dir):
+    """A view that held two thirds of the readings, was cleared, and then got the last third."""
+    rows = load_readings(spark, sf_dir)
+    view = RecentViewTable(spark, work_dir(spark, "recent"), CAPACITY)
+    for batch, part in enumerate((1, 2)):
+        view.merge(rows.filter(F.col("seq") % 3 == part), batch, "job")
+    view.clear()
+    view.merge(rows.filter("seq % 3 = 0"), 2, "job")
+    return view.read().drop("pos", "part")
+
+
+@_register("ingest_ahead_of_clock", f"""{READINGS_SQL}
+  SELECT 'ahead' AS kept_in, seq, sensor_id, recorded_at + INTERVAL (CAST(level AS INTEGER)) HOUR AS recorded_at,
+    CAST(level * 3600 AS BIGINT) AS ahead_seconds FROM r WHERE event_type = 'click' AND level % 3 = 0 AND level > 1
+  UNION ALL SELECT 'history', seq, sensor_id,
+    recorded_at + INTERVAL (CAST(CASE WHEN level % 3 = 0 THEN level ELSE 0 END AS INTEGER)) HOUR, NULL
+  FROM r WHERE event_type = 'click'""")
+def ingest_ahead_of_clock(spark, sf_dir):
+    """A third of the devices' messages are dated by up to 99 hours ahead: the history has all, the side table those."""
+    rows = load_readings(spark, sf_dir).filter("event_type = 'click'")
+    wrong = F.when(F.col("level") % 3 == 0, F.col("level")).otherwise(0)
+    dated = rows.withColumn("received_at", F.col("recorded_at")).withColumn(
+        "recorded_at", F.timestamp_seconds(F.unix_seconds("recorded_at") + wrong * 3600))
+    log = dated.select("seq", "received_at", envelopes.encode_message(
+        "reading", envelopes.reading_payload(), F.col("received_at")).alias("value"))
+    path = work_dir(spark, "log")
+    log.write.json(path)
+    tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"))
+    ingest.start_ingest(ingest.read_log_files(spark, path), tables, work_dir(spark, "checkpoint"),
+                        available_now=True).awaitTermination()
+    columns = ["seq", "sensor_id", "recorded_at"]
+    return tables.ahead().select(F.lit("ahead").alias("kept_in"), *columns, "ahead_seconds").unionByName(
+        tables.history.read().select(F.lit("history").alias("kept_in"), *columns, F.lit(None).cast("long").alias("ahead_seconds")))
+
+
 @_register("stream_ingest", f"""{READINGS_SQL}
   SELECT {_READING} FROM r WHERE event_type IN ('click', 'purchase', 'view')""")
 def stream_ingest(spark, sf_dir):

@@ -42,6 +42,8 @@ UPKEEP_BATCHES = 20
 
 # how far ahead of its arrival a reading may be dated before a live view leaves it out
 CLOCK_TOLERANCE_SECONDS = 3600
+# how late a heartbeat may come on a stream
+LATENESS_SECONDS = 600
 
 
 @dataclass(frozen=True)
@@ -99,6 +101,13 @@ QUARANTINE = T.StructType([
     T.StructField("received_at", T.TimestampType(), False),
 ])
 
+# readings dated further ahead of their arrival than a clock may be wrong
+AHEAD = T.StructType([
+    *[READINGS[c] for c in ("seq", "pos", "part", "sensor_id", "temperature", "humidity", "recorded_at")],
+    T.StructField("received_at", T.TimestampType(), False),
+    T.StructField("ahead_seconds", T.LongType(), False),
+])
+
 WRITE_LEDGER = T.StructType([
     T.StructField("job", T.StringType(), False),
     T.StructField("batch_id", T.LongType(), False),

@@ -16,6 +16,7 @@ import re
 import time
 import uuid
 from collections.abc import Callable
+from copy import copy
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,14 @@ class LoadTable:
         self._notes = f"{self.path}__replaced"
         self._lock = f"{self.path}__upkeep"
 
+    def on(self, spark: SparkSession) -> LoadTable:
+        """The same table for another session, as a micro-batch has its own."""
+        if spark is self.spark:
+            return self
+        there = copy(self)
+        there.spark = use_utc(spark)
+        return there
+
     def create(self) -> LoadTable:
         """Creates the empty table; an existing one is left as it is."""
         if not path_exists(self.spark, self.path):

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.quality import valid_filter
+from ..functions.quality import ahead_of_clock, ahead_seconds, valid_filter
 from ..schema import (
+    AHEAD,
     BATCH_BYTES,
     FLUSH_SECONDS,
     HEARTBEATS,
@@ -67,6 +68,7 @@ class TelemetryTables:
         self.heartbeat_table = self._table("heartbeats", HEARTBEATS)
         self.quarantine_table = self._table("quarantine", QUARANTINE)
         self.ledger_table = self._table("write_ledger", WRITE_LEDGER)
+        self.ahead_table = self._table("ahead_of_clock", AHEAD)
 
     def _table(self, name: str, schema) -> LoadTable:
         return LoadTable(self.spark, f"{self.root}/{name}", stored_by_load(schema), merge_at=self.merge_at)
@@ -84,9 +86,13 @@ class TelemetryTables:
     def ledger(self) -> DataFrame:
         return self.ledger_table.read().drop("load_id")
 
+    def ahead(self) -> DataFrame:
+        """Readings dated over an hour ahead of their arrival. The history has them too; live statistics don't."""
+        return self.ahead_table.read().drop("load_id")
+
     def upkeep(self) -> None:
         """Merges the small loads of every table."""
-        for table in (self.history, self.heartbeat_table, self.quarantine_table, self.ledger_table):
+        for table in (self.history, self.heartbeat_table, self.quarantine_table, self.ledger_table, self.ahead_table):
             table.upkeep()
 
 
@@ -104,6 +110,7 @@ def write_batch(tables: TelemetryTables, log: DataFrame, batch_id: int, on_valid
         tables.history.append(readings, load_id, written)
         for rows, table in (
             (decode_heartbeats(parsed), tables.heartbeat_table), (quarantined(parsed), tables.quarantine_table),
+            (readings.filter(ahead_of_clock()).withColumn("ahead_seconds", ahead_seconds()), tables.ahead_table),
         ):
             table.write(rows.withColumn("load_id", F.lit(load_id)))
         if on_valid is not None:

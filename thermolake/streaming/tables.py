@@ -44,8 +44,7 @@ class LiveTable(LoadTable):
     def merge(self, arrived: DataFrame, batch_id: int, job: str | None = None) -> None:
         """Takes in the changed rows of a micro-batch. A job's batches come one after the other, as Spark runs them."""
         job = job or job_of(arrived)
-        table = type(self).__new__(type(self))
-        table.__dict__ = self.__dict__ | {"spark": arrived.sparkSession}
+        table = self.on(arrived.sparkSession)
         table.write(arrived.select(*self.columns).withColumns({
             "job": F.lit(job), "batch": F.lit(batch_id).cast("long"), "load_id": F.lit(f"{job}-{batch_id}")}))
         if (batch_id + 1) % self.upkeep_every == 0:
