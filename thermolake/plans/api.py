@@ -30,6 +30,7 @@ from ..schema import (
     ValidityBounds,
 )
 from ..sources.history import HistoryTable
+from ..sources.summaries import DaySummaries
 
 When = datetime | str | None
 
@@ -83,7 +84,8 @@ class TelemetryApi:
     ``readings`` are raw rows in any order with ``seq`` as arrival order, or the history table itself: then pages and
     daily statistics read only the days they need, and the statistics give the table's size. ``recent`` is a
     materialised recent view, for example the one the streaming job keeps. ``sensors`` lists the known sensor ids, so
-    that a request without one reads that list instead of the history.
+    that a request without one reads that list instead of the history. With ``summaries`` totals, sensor ids and the
+    default sensor come from the days' summaries, and no reading is read for them.
     """
 
     def __init__(
@@ -95,7 +97,9 @@ class TelemetryApi:
         bounds: ValidityBounds = DEFAULT_BOUNDS,
         table: HistoryTable | None = None,
         sensors: DataFrame | None = None,
+        summaries: DaySummaries | None = None,
     ):
+        self.summaries = summaries
         self.table = readings if isinstance(readings, HistoryTable) else table
         self.known_sensors = sensors
         self.pages_of = readings
@@ -113,6 +117,9 @@ class TelemetryApi:
         """One row: the sensor meant when a request names none."""
         if self.known_sensors is not None:
             return inventory.default_sensor(self.known_sensors)
+        if self.summaries is not None:
+            known = self.summaries.table.read()
+            return inventory.default_sensor(*([] if self.recent is None else [self.recent]), known)
         return inventory.default_sensor(*([] if self.recent is None else [self.recent]), self.readings)
 
     def _of(self, df: DataFrame, sensor_id: str | None) -> DataFrame:
@@ -191,6 +198,12 @@ class TelemetryApi:
         """One row: recent-view totals at the top level, the history's under ``database_`` names, with
         ``database_size_mb`` where the history table is known."""
         size = [] if self.table is None else [self.table.size_mb()]
+        if self.summaries is not None:
+            stored = self.summaries.storage_stats()
+            return aggregates.one_row(
+                self.summaries.recent_totals(self.capacity),
+                stored.select(*[F.col(c).alias(f"database_{c}") for c in stored.columns]),
+                views.held_bounds(self._view()), *size)
         return aggregates.one_row(
             aggregates.fleet_totals(self.readings, self.capacity, self.bounds), views.held_bounds(self._view()), *size)
 
@@ -218,9 +231,10 @@ class TelemetryApi:
 
     def sensors(self) -> DataFrame:
         """Ids known to the recent view or the history, sorted. Their number is the row count."""
+        known = self.readings if self.summaries is None else self.summaries.table.read()
         if self.recent is None:
-            return aggregates.sensor_ids(self.readings)
-        return inventory.sensors_union(self.recent, self.readings)
+            return aggregates.sensor_ids(known)
+        return inventory.sensors_union(self.recent, known)
 
     def dashboard(self, sensor_id: str | None = None) -> DataFrame:
         """One row: the current reading of the asked (else the smallest) sensor from the recent view without

@@ -11,6 +11,7 @@ from ..functions.times import as_instant, instant_literal
 from ..schema import CLEANUP_SECONDS, RETENTION_DAYS, RETENTION_LEDGER, stored_by_load
 from ..sources.history import HistoryTable
 from ..sources.loads import LoadTable, once
+from ..sources.summaries import DaySummaries
 
 
 def cutoff_literal(as_of: datetime | str, days: int = RETENTION_DAYS) -> Column:
@@ -44,7 +45,8 @@ def read_retention_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_retention(
-    table: HistoryTable, ledger_path: str, as_of: datetime | str, days: int = RETENTION_DAYS, run_id: str | None = None
+    table: HistoryTable, ledger_path: str, as_of: datetime | str, days: int = RETENTION_DAYS, run_id: str | None = None,
+    summaries: DaySummaries | None = None,
 ) -> int:
     """One cleanup run, which also merges small loads of the history and of the ledger. A failed run is recorded too,
     then raised. A run with the id of an earlier one takes its place in the ledger."""
@@ -54,6 +56,9 @@ def run_retention(
     try:
         deleted = table.delete_older_than(days, as_of)
         table.upkeep()
+        if summaries is not None:
+            summaries.delete_older_than(days, as_of, table)
+            summaries.upkeep()
     except Exception:
         _record(table.spark, ledger_path, run_id, as_of, days, None, "error")
         raise

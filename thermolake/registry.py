@@ -769,8 +769,9 @@ def retention_job(spark, sf_dir):
 
 def _staged_log(spark, sf_dir, files: int = 3) -> DataFrame:
     """The message log as a stream of files, one for each micro-batch."""
-    log_dir = work_dir(spark, "log")
-    log = message_log(spark, sf_dir)
+    log_dir, whole = work_dir(spark, "log"), work_dir(spark, "messages")
+    message_log(spark, sf_dir).write.parquet(whole)  # encoded once
+    log = spark.read.parquet(whole)
     for i in range(files):
         log.filter(F.pmod(F.xxhash64("seq"), F.lit(files)) == i).coalesce(1).write.mode("append").json(log_dir)
     return ingest.read_log_files(spark, log_dir, 1)
@@ -828,6 +829,44 @@ def ingest_upkeep(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+_KEPT_SQL = """k AS (SELECT * FROM r WHERE event_type IN ('click', 'purchase', 'view')
+    AND recorded_at >= TIMESTAMP '2024-01-24 12:00:00'),
+  kv AS (SELECT * FROM v WHERE event_type IN ('click', 'purchase', 'view')
+    AND recorded_at >= TIMESTAMP '2024-01-24 12:00:00')"""
+
+
+def _summarised(spark, sf_dir) -> ingest.TelemetryTables:
+    """Tables that a job of three micro-batches filled, merging summaries as it went, and retention then cut."""
+    tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"), merge_at=2, sketched=True)
+    ingest.start_ingest(_staged_log(spark, sf_dir), tables, work_dir(spark, "checkpoint"), available_now=True,
+                        upkeep_every=3).awaitTermination()
+    retention.run_retention(tables.history, tables.retention_ledger_path, "2024-01-31 12:00:00", KEEP_DAYS,
+                            summaries=tables.summaries)
+    return tables
+
+
+@_register("stats_from_summaries", f"""{READINGS_SQL}, {_KEPT_SQL},
+  n AS (SELECT sensor_id, count(*) AS c FROM kv GROUP BY 1)
+  SELECT count(*) AS total_readings, min(recorded_at) AS oldest_reading, max(recorded_at) AS newest_reading,
+    count(DISTINCT sensor_id) AS unique_sensors, (SELECT count(*) FROM kv) AS accepted,
+    (SELECT count(*) FROM n) AS sensors_in_view,
+    (SELECT CAST(sum(least(c, {CAPACITY})) AS BIGINT) FROM n) AS current_readings, true AS estimate_is_near FROM k""")
+def stats_from_summaries(spark, sf_dir):
+    """Totals of history and recent view from the days' summaries, and whether the sketches' estimate is near."""
+    summaries = _summarised(spark, sf_dir).summaries
+    recent = summaries.recent_totals(CAPACITY).select(
+        F.col("total_readings").alias("accepted"), F.col("unique_sensors").alias("sensors_in_view"), "current_readings")
+    exact = summaries.storage_stats()
+    estimate = summaries.approximate_sensors().select(F.col("unique_sensors").alias("estimated"))
+    near = F.abs(F.col("estimated") - F.col("unique_sensors")) <= F.col("unique_sensors") * 0.05
+    return aggregates.one_row(exact, recent, estimate).withColumn("estimate_is_near", near).drop("estimated")
+
+
+@_register("daily_stats_from_summaries", f"{READINGS_SQL}, {_KEPT_SQL} {_DAILY_SQL} FROM k GROUP BY 1, 2")
+def daily_stats_from_summaries(spark, sf_dir):
+    return _daily(_summarised(spark, sf_dir).summaries.daily_stats())
+
+
 # ---- liveness ---------------------------------------------------------------
 
 _BEATS_SQL = """h AS (SELECT sensor_id, seq, recorded_at AS received_at FROM r WHERE event_type = 'signup'),

@@ -124,6 +124,22 @@ RETENTION_LEDGER = T.StructType([
     T.StructField("status", T.StringType(), False),
 ])
 
+# one row per day, sensor and load
+DAY_SUMMARIES = T.StructType([
+    T.StructField("sensor_id", T.StringType(), False),
+    T.StructField("readings", T.LongType(), False), T.StructField("accepted", T.LongType(), False),
+    T.StructField("oldest", T.TimestampType(), False), T.StructField("newest", T.TimestampType(), False),
+    *[T.StructField(f"{name}_{m}", T.DoubleType(), False)
+      for m in ("temperature", "humidity") for name in ("min", "max", "sum")],
+    T.StructField("recorded_date", T.DateType(), False), T.StructField("load_id", T.StringType(), False),
+])
+
+# one row per day and load: a sketch of its sensor ids
+DAY_SKETCHES = T.StructType([
+    T.StructField("sensors", T.BinaryType(), False),
+    T.StructField("recorded_date", T.DateType(), False), T.StructField("load_id", T.StringType(), False),
+])
+
 
 def stored_by_load(schema: T.StructType) -> T.StructType:
     """A table without days, partitioned by load."""

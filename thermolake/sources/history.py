@@ -98,7 +98,7 @@ class HistoryTable(LoadTable):
             .agg(F.count_if(~expired).alias("kept"), F.count_if(expired).alias("gone")).filter("gone > 0").collect())
         shrunk = [r.load_id for r in touched if r.kept]
         if shrunk:
-            self._replace(folder, shrunk, lambda found: found.filter(~expired))
+            self.replace({folder: shrunk}, lambda found: found.filter(~expired))
         for load in (r.load_id for r in touched if not r.kept):
             delete_path(self.spark, self._at(folder, load))
         for day in past:

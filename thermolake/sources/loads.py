@@ -147,10 +147,8 @@ class LoadTable:
                 return
         try:
             self._delete_replaced()
-            for folder in self.folders() if folders is None else folders:
-                names = self._mergeable(folder, merge_at)
-                if len(names) >= merge_at:
-                    self._replace(folder, names, self.change)
+            found = {f: self._mergeable(f, merge_at) for f in (self.folders() if folders is None else folders)}
+            self.replace({f: names for f, names in found.items() if len(names) >= merge_at}, self.change)
         finally:
             delete_path(self.spark, self._lock)
 
@@ -167,16 +165,20 @@ class LoadTable:
         size = lambda n: fs.getContentSummary(hadoop_path(self.spark, self._at(folder, n))[1]).getLength()
         return [n for n in ended if size(n) < self.small_bytes]
 
-    def _replace(self, folder: str, names: list[str], change: Change | None = None) -> None:
-        """One new load takes the place of ``names``."""
+    def replace(self, loads: dict[str, list[str]], change: Change | None = None) -> None:
+        """In each of the folders one new load takes the place of the named ones. One job for all of them."""
+        if not loads:
+            return
         merged = once()
-        # what those have replaced themselves is still there
-        earlier = {n for (at, m), replaced in self._noted().items() if at == folder and m in names for n in replaced}
-        for name in [*names, *sorted(earlier)]:
-            fs, note = hadoop_path(self.spark, f"{self._notes}/{merged}/{folder or 'all'}/{name}")
-            fs.mkdirs(note)
+        noted = self._noted()
+        for folder, names in loads.items():
+            # what those have replaced themselves is still there
+            earlier = {n for (at, m), replaced in noted.items() if at == folder and m in names for n in replaced}
+            for name in [*names, *sorted(earlier)]:
+                fs, note = hadoop_path(self.spark, f"{self._notes}/{merged}/{folder or 'all'}/{name}")
+                fs.mkdirs(note)
         rows = self.spark.read.schema(self.schema).option("basePath", self.path).parquet(
-            *[self._at(folder, n) for n in names])
+            *[self._at(f, n) for f, names in loads.items() for n in names])
         self.write((change(rows) if change else rows).withColumn("load_id", F.lit(merged)))
 
     def _delete_replaced(self) -> None:

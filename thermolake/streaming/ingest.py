@@ -30,6 +30,7 @@ from ..session import job_of, use_utc
 from ..sources.envelopes import decode_heartbeats, decode_readings, parse_envelopes, quarantined
 from ..sources.history import HistoryTable
 from ..sources.loads import MERGE_AT, LoadTable, once
+from ..sources.summaries import DaySummaries
 
 OnValid = Callable[[DataFrame, int], None]
 
@@ -57,14 +58,16 @@ def from_broker(records: DataFrame) -> DataFrame:
 
 
 class TelemetryTables:
-    """The tables an ingest job fills, below one root folder."""
+    """The tables an ingest job fills, below one root folder. ``sketched`` keeps sketches of each day's sensor ids."""
 
-    def __init__(self, spark: SparkSession, root: str, merge_at: int = MERGE_AT):
+    def __init__(self, spark: SparkSession, root: str, merge_at: int = MERGE_AT, sketched: bool = False):
+        self.sketched = sketched
         self.spark = use_utc(spark)
         self.root = root.rstrip("/")
         self.merge_at = merge_at
         self.retention_ledger_path = f"{self.root}/retention_ledger"
         self.history = HistoryTable(spark, f"{self.root}/readings", merge_at=merge_at).create()
+        self.summaries = DaySummaries(spark, f"{self.root}/summaries", merge_at=merge_at)
         self.heartbeat_table = self._table("heartbeats", HEARTBEATS)
         self.quarantine_table = self._table("quarantine", QUARANTINE)
         self.ledger_table = self._table("write_ledger", WRITE_LEDGER)
@@ -75,7 +78,7 @@ class TelemetryTables:
 
     def on(self, spark: SparkSession) -> TelemetryTables:
         """The same tables for another session, as a micro-batch has its own."""
-        return self if spark is self.spark else TelemetryTables(spark, self.root, self.merge_at)
+        return self if spark is self.spark else TelemetryTables(spark, self.root, self.merge_at, self.sketched)
 
     def heartbeats(self) -> DataFrame:
         return self.heartbeat_table.read().drop("load_id")
@@ -94,6 +97,7 @@ class TelemetryTables:
         """Merges the small loads of every table."""
         for table in (self.history, self.heartbeat_table, self.quarantine_table, self.ledger_table, self.ahead_table):
             table.upkeep()
+        self.summaries.upkeep()
 
 
 def write_batch(tables: TelemetryTables, log: DataFrame, batch_id: int, on_valid: OnValid | None = None,
@@ -103,11 +107,13 @@ def write_batch(tables: TelemetryTables, log: DataFrame, batch_id: int, on_valid
     tables = tables.on(log.sparkSession)
     job = job or job_of(log)
     load_id = f"{job}-{batch_id}"
-    parsed = parse_envelopes(log).persist()
+    parsed, readings = parse_envelopes(log).persist(), None
     try:
-        readings = decode_readings(parsed)
+        # decoded once for all the tables that take readings
+        readings = decode_readings(parsed).persist()
         written = Observation()
         tables.history.append(readings, load_id, written)
+        tables.summaries.add(readings, load_id, tables.sketched)
         for rows, table in (
             (decode_heartbeats(parsed), tables.heartbeat_table), (quarantined(parsed), tables.quarantine_table),
             (readings.filter(ahead_of_clock()).withColumn("ahead_seconds", ahead_seconds()), tables.ahead_table),
@@ -123,6 +129,8 @@ def write_batch(tables: TelemetryTables, log: DataFrame, batch_id: int, on_valid
             failure.add_note(f"the failure could not be recorded: {second}")
         raise
     finally:
+        if readings is not None:
+            readings.unpersist()
         parsed.unpersist()
     if (batch_id + 1) % upkeep_every == 0:
         tables.upkeep()
