@@ -36,9 +36,9 @@ _JOB_LOAD = re.compile(r"(.+)-(\d+)")
 _DAY = re.compile(r"recorded_date=\d{4}-\d\d-\d\d")
 
 
-def write_loads(df: DataFrame, path: str, *partitions: str) -> None:
+def write_loads(df: DataFrame, path: str, *partitions: str, **options: str) -> None:
     """Replaces only the partitions that ``df`` holds; an empty ``df`` changes nothing."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**options)
      .partitionBy(*partitions).parquet(path))
 
 
@@ -82,12 +82,15 @@ class LoadTable:
         arranged = self.arranged(rows.select(*self.schema.names))
         if counted is not None:
             arranged = arranged.observe(counted, F.count(F.lit(1)).alias("rows"))
-        write_loads(arranged, self.path, *self.partitions)
+        write_loads(arranged, self.path, *self.partitions, **self.file_options())
 
     def arranged(self, rows: DataFrame) -> DataFrame:
         """How rows are dealt to files: by size."""
         return rows.hint("rebalance")
 
+    def file_options(self) -> dict[str, str]:
+        return {}
+
     # ---- reading --------------------------------------------------------------
 
     def read(self) -> DataFrame:
