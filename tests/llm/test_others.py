@@ -168,6 +168,29 @@ def test_titles_in_any_case(spark):
         assert now[1] in surrogates.NAMES[script, gender], row
 
 
+def test_numbers_stay_distinct_and_alike_however_written(spark):
+    few = [f"+1 {i // 20 + 10} {i % 20 + 30}" for i in range(400)]
+    same = ["call +1 415 555 0134 or 1 415 555 0134 or 1-415-555-0134", "(415) 555-0134 and 415.555.0134"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*few, *same])], "doc_id long, text string")
+    found = {r.record.doc_id: r.text for r in surrogates.pseudonymise(df).collect()}
+    drawn = [re.sub(r"\D", "", found[i]) for i in range(400)]
+    assert len(set(drawn)) == 400 and not set(drawn) & {re.sub(r"\D", "", t) for t in few}
+    numbers = {re.sub(r"\D", "", part)[-10:] for i in (400, 401)
+               for part in re.split(" or | and |call ", found[i]) if part}
+    assert len(numbers) == 1 and numbers != {"4155550134"}
+    assert re.fullmatch(r"call \+1 \d{3} \d{3} \d{4} or 1 \d{3} \d{3} \d{4} or 1-\d{3}-\d{3}-\d{4}", found[400])
+    assert re.fullmatch(r"\(\d{3}\) \d{3}-\d{4} and \d{3}\.\d{3}\.\d{4}", found[401])
+
+
+def test_names_with_more_words_and_spaces(spark):
+    df = spark.createDataFrame([(0, "Mr  John Smith said"), (1, "Mr Li Wei Chen said"), (2, "Frau  Ada King")],
+                               "doc_id long, text string")
+    found = {r.record.doc_id: r.text for r in surrogates.pseudonymise(df).collect()}
+    assert re.fullmatch(r"Mr  \w+ \w+ said", found[0]) and not re.search("John|Smith", found[0])
+    assert re.fullmatch(r"Mr \w+ \w+ \w+ said", found[1]) and not re.search("Li|Wei|Chen", found[1])
+    assert re.fullmatch(r"Frau  \w+ \w+", found[2]) and not re.search("Ada|King", found[2])
+
+
 def test_surrogates_odd_rows(odd, empty):
     rows = surrogates.pseudonymise(odd).collect()
     assert sorted((str(r.record.doc_id), str(r.text)) for r in rows) == sorted((str(d), str(t)) for d, t in ODD_ROWS)

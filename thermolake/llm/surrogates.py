@@ -1,7 +1,7 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
 Entities are found by one pattern. Each gets a surrogate drawn from a keyed digest of its type and canonical form, so
-the same entity has the same surrogate in every document. Surrogates keep type and format: digits stay digits,
+the same entity has the same surrogate in every document, however a number is written. Surrogates keep type and format: digits stay digits,
 letters keep case and script, punctuation stays, card numbers keep their Luhn validity, names keep title, gender,
 script and number of words, addresses stay addresses.
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 KEY = "replace-this-key"
+# a telephone number without its country code has at most so many digits
+PHONE_DIGITS = 10
 # draws in a row that settle no entity: its form has no free surrogate left
 IDLE_DRAWS = 40
 
@@ -67,9 +69,9 @@ PATTERNS = {
     "ip": r"(?<![\d.\p{L}])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
     "card": r"(?<![\p{L}\d.+\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\d])",
     "ssn": r"(?<![\p{L}\d.\-])\d{3}-\d{2}-\d{4}(?![\p{L}\d\-])",
-    "phone": r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|(?<![\p{L}\d.\-])\d{3})[ .\-]?\d{3}[ .\-]\d{4}(?!\d)"
+    "phone": r"(?<![\p{L}\d.\-])1[ .\-]\d{3}[ .\-]\d{3}[ .\-]\d{4}(?!\d)|(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|(?<![\p{L}\d.\-])\d{3})[ .\-]?\d{3}[ .\-]\d{4}(?!\d)"
              r"|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\p{L}\d.\-])\d{3}-\d{4}(?![\d\-])",
-    "name": _WORD_BEFORE + rf"(?iu:{_TITLES})\.?\s\p{{Lu}}[\p{{L}}'\-]+(?:\s\p{{Lu}}[\p{{L}}'\-]+)?",
+    "name": _WORD_BEFORE + rf"(?iu:{_TITLES})\.?\s{{1,3}}\p{{Lu}}[\p{{L}}'\-]+(?:\s{{1,3}}\p{{Lu}}[\p{{L}}'\-]+){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # what every entity holds: a cheap search that spares most texts the full pattern
@@ -83,10 +85,12 @@ def entity_type(value: Column) -> Column:
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """What two mentions of one entity share: digits of numbers, lower case of the rest, the quoted part of an
+    """What two mentions of one entity share: digits of numbers (of telephones without the country code, which may be
+    left out), lower case of the rest, the quoted part of an
     assigned secret."""
     return (
-        F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(value, r"\D", ""))
+        F.when(kind == "phone", F.right(F.regexp_replace(value, r"\D", ""), F.lit(PHONE_DIGITS)))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(value, r"\D", ""))
         .when(kind == "assigned", F.lower(F.regexp_extract(value, r"[\"']([^\"']*)[\"']$", 1)))
         .when(kind == "name", F.lower(F.regexp_replace(value, r"[.\s]+", " ")))
         .otherwise(F.lower(value)))
@@ -144,10 +148,6 @@ def _email(canon: Column, seed: Column, draw: Column) -> Column:
     return F.concat(_recode(_longer(F.regexp_replace(canon, r"\.[^.]+$", ""), draw), seed), ending)
 
 
-def _phone(canon: Column, seed: Column) -> Column:
-    return _recode(canon, seed)
-
-
 def _syllables(script: str, seed: Column, draw: Column) -> Column:
     """Nothing at the first draw, two syllables at the second, one more at each further one."""
     consonants, vowels = SYLLABLES[script]
@@ -183,7 +183,6 @@ def surrogate(kind: Column, canon: Column, draw: Column, key: str = KEY) -> Colu
         F.when(kind == "email", _email(canon, seed, draw))
         .when(kind == "card", _card(canon, seed))
         .when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
-        .when(kind == "phone", _phone(canon, seed))
         .when(kind == "name", _name(canon, seed, draw))
         .when(kind.isin("assigned", "secret"), _recode(_longer(canon, draw), seed))
         .otherwise(_recode(canon, seed)))
@@ -196,13 +195,14 @@ def _cased(like: Column, text: Column) -> Column:
 def rendered(kind: Column, value: Column, drawn: Column) -> Column:
     """The surrogate ``drawn`` written in the format of ``value``."""
     chars = F.split(value, "")
-    # numbers: the n-th digit takes the n-th drawn digit, whatever stands between; a country code stays
-    code = F.char_length(F.regexp_replace(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])", 0), r"\D", ""))
+    # numbers: the n-th digit takes the n-th drawn digit, whatever stands between, so that what is written is what was
+    # checked for collisions; digits before them are a country code and stay
+    code = F.greatest(F.char_length(F.regexp_replace(value, r"\D", "")) - F.char_length(drawn), F.lit(0))
     digits = F.aggregate(
-        chars, F.struct(F.lit("").alias("out"), F.lit(0).alias("k")),
+        chars, F.struct(F.lit("").alias("out"), (F.lit(1) - code).alias("k")),
         lambda s, c: F.when(c.rlike("[0-9]"), F.struct(
-            F.concat(s["out"], F.when((kind == "phone") & (s["k"] < code), c).otherwise(
-                F.substring(drawn, s["k"] + 1, F.lit(1)))).alias("out"), (s["k"] + 1).alias("k")))
+            F.concat(s["out"], F.when(s["k"] < 1, c).otherwise(F.substring(drawn, s["k"], F.lit(1)))).alias("out"),
+            (s["k"] + 1).alias("k")))
         .otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["k"].alias("k"))), lambda s: s["out"])
     by_letter = F.array_join(F.transform(F.split(drawn, ""), lambda c, i: F.when(
         (F.upper(F.get(chars, i)) == F.get(chars, i)) & (F.lower(F.get(chars, i)) != F.get(chars, i)),
@@ -211,8 +211,8 @@ def rendered(kind: Column, value: Column, drawn: Column) -> Column:
     inside = F.substring(value, quote + 1, F.char_length(value) - quote - 1)
     assigned = F.concat(F.substring(value, F.lit(1), quote), _cased(inside, drawn),
                         F.substring(value, F.char_length(value), F.lit(1)))
-    title = F.regexp_extract(value, r"^(\S+\s)", 1)
-    named = F.concat(title, _cased(F.regexp_replace(value, r"^\S+\s", ""), F.initcap(
+    title = F.regexp_extract(value, r"^(\S+\s+)", 1)
+    named = F.concat(title, _cased(F.regexp_replace(value, r"^\S+\s+", ""), F.initcap(
         F.regexp_replace(drawn, r"^\S+\s", ""))))
     return (
         F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "assigned", assigned)
@@ -226,9 +226,12 @@ def _values(text: Column) -> Column:
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct entities of the corpus: kind, canon."""
-    value = F.explode(_values(F.col(text_col))).alias("value")
-    found = docs.select(value).distinct().withColumn("kind", entity_type(F.col("value")))
-    return found.select("kind", canonical(F.col("kind"), F.col("value")).alias("canon")).distinct()
+    return _entities(docs.select(_values(F.col(text_col)).alias("values")))
+
+
+def _entities(found: DataFrame) -> DataFrame:
+    values = found.select(F.explode("values").alias("value")).distinct().withColumn("kind", entity_type(F.col("value")))
+    return values.select("kind", canonical(F.col("kind"), F.col("value")).alias("canon")).distinct()
 
 
 def draw_surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
@@ -266,15 +269,16 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts stay null. Rows that repeat an id, and rows with a null id, are rewritten each by itself.
     """
-    drawn = draw_surrogates(entities(docs, text_col), key)
-    redrawn = drawn.filter("draw > 0")
     rows = docs.select(F.struct("*").alias("record"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = rows.withColumn("values", _values(F.col("text")))
+    # texts are searched once; what was found is kept beside them
+    found = stored(rows.withColumn("values", _values(F.col("text"))), "mentions")
+    drawn = draw_surrogates(_entities(found), key)
+    redrawn = drawn.filter("draw > 0")
     none = F.lit(None).cast("map<string,int>")
     if redrawn.isEmpty():
         looked_up = found.withColumn("draws", none)
     else:
-        mentions = docs.select(F.col(id_col).alias("id"), F.explode(_values(F.col(text_col))).alias("value")).withColumn(
+        mentions = found.select("id", F.explode("values").alias("value")).withColumn(
             "kind", entity_type(F.col("value")))
         mentions = mentions.select("id", "kind", canonical(F.col("kind"), F.col("value")).alias("canon")).distinct()
         hits = mentions.join(redrawn, ["kind", "canon"]).groupBy("id").agg(F.map_from_entries(F.collect_set(
