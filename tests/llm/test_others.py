@@ -382,6 +382,59 @@ def test_packing_odd_texts(documents, tokenizer, empty):
     assert packing.pack(empty, corpus_pipeline.tokenizer_path()).collect() == []
 
 
+def test_encoder_gives_the_tokenizers_ids(tokenizer):
+    encoder = packing.Encoder(corpus_pipeline.tokenizer_path())
+    assert encoder.fast is not None
+    draw = random.Random(1)
+    parts = ["a", "B", "don't", "'S", "é", "9", "²", "12", ".", "!?", " ", " ", "\n", "\n\n", "\t", "\xa0", "\r\n", "\0",
+             "\x1c", "\x85", "<|", "<|endoftext|>", "漢", "٣", "🙂", "\u200b", "\u0301"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(20_000)]
+    texts += [f"a{chr(c)}1{chr(c)} {chr(c)}.{chr(c)}" for c in range(0x3000)]
+    texts += ["x" * 50_000, " " * 2_000_000 + "a", "\n" * 5000, "." * 50_000]
+    wanted = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, w in zip(texts, wanted, strict=True) if encoder.encode(t).tolist() != w.ids] == []
+
+
+def test_other_tokenizer_files_are_not_taken_for_byte_level_bpe():
+    import json
+
+    with open(corpus_pipeline.tokenizer_path(), encoding="utf-8") as file:
+        spec = json.load(file)
+    assert len(packing.byte_ranks(spec)) == len(spec["model"]["vocab"]) - sum(
+        t["content"] in spec["model"]["vocab"] for t in spec["added_tokens"])
+    assert packing.byte_ranks(spec | {"normalizer": {"type": "Lowercase"}}) is None
+    assert packing.byte_ranks(spec | {"pre_tokenizer": {"type": "Whitespace"}}) is None
+    model = spec["model"]
+    assert packing.byte_ranks(spec | {"model": model | {"merges": model["merges"][::-1]}}) is None
+
+
+def test_related_documents_stand_together(spark, documents):
+    """Copies, and documents of one topic, share a shard far more often than by chance."""
+    rng = np.random.default_rng(8)
+    topics = [[f"{w}{i}" for i in range(80)] for w in ("ruby", "opal", "jade", "onyx", "zinc", "iron", "lead", "gold")]
+    texts = [(n, " ".join(rng.choice(topics[n % 8], 60))) for n in range(400)]
+    texts += [(400 + n, texts[n][1]) for n in range(0, 400, 4)]
+    rows = packing.pack(documents(texts), corpus_pipeline.tokenizer_path(), shard_docs=32).collect()
+    shard = {r.doc_id: r.sequence_id >> 24 for r in rows}
+    copies = [shard[400 + i] == shard[i] for i in range(0, 400, 4)]
+    assert np.mean(copies) > 0.9
+    same = [len({d % 8 for d, s in shard.items() if s == wanted and d < 400}) for wanted in set(shard.values())]
+    assert np.mean(same) < 4
+
+
+def test_packing_one_id_on_a_third_of_the_rows(spark, documents, tokenizer):
+    texts = [(None if n % 3 == 0 else n, "same words again" if n % 3 == 0 else f"text number {n}") for n in range(900)]
+    rows = packing.pack(documents(texts), corpus_pipeline.tokenizer_path(), shard_docs=64).collect()
+    assert sum(r.length for r in rows) == sum(
+        len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts)
+    assert sum(r.doc_id is None for r in rows) >= 300 and sum(r.start == 0 for r in rows) == 900
+
+
+def test_packing_keeps_large_ids_beside_nulls(documents):
+    rows = packing.pack(documents([(None, "a"), (2 ** 62 + 1, "b")]), corpus_pipeline.tokenizer_path()).collect()
+    assert {r.doc_id for r in rows} == {None, 2 ** 62 + 1}
+
+
 def test_packing_odd_rows(odd, tokenizer):
     rows = packing.pack(odd, corpus_pipeline.tokenizer_path()).collect()
     wanted = sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ODD_ROWS)

@@ -1,171 +1,142 @@
 """Retrieval packing: related documents fill a window together.
 
 1. Texts become token ids. Whole windows of a long document stand alone; only the rest, shorter than a window, has
-   to be packed with others.
+   to be packed with others. Each document also gets a small vector of its words: saturated counts, dealt to
+   ``DIMENSIONS`` signed sums by a hash of the id.
 2. Document frequencies are counted over the whole corpus; they are one number per token id, so their size is bound
    by the vocabulary.
-3. Documents are dealt to shards of about ``SHARD_DOCS`` by a hash. Each shard builds a BM25 inverted index over its
-   whole documents. A seed's window is filled by its best unused neighbours; the one that overflows is cut, and its
-   remainder is the seed of the next window. So only the last window of a shard is padded.
+3. Documents are put in an order in which those with common words stand together: a tree halves the vectors again and
+   again along their main direction. The tree is fitted on about ``FIT_DOCS`` documents, whatever the corpus; every
+   document is placed in it. Spark sorts by that place.
+4. Each ``SHARD_DOCS`` documents of that order are a shard of the BM25 inverted index. A seed's window is filled by its
+   best unused neighbours; the one that overflows is cut, and its remainder is the seed of the next window. So only
+   the last window of a shard is padded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import sys
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import n_pieces, stored
 
 WINDOW = 1024
 SHARD_DOCS = 1024
+TASK_DOCS = 4096
 END_ID = 0
 K1, B = 1.2, 0.75
 SEED = 11
-REMEMBERED = 500_000
-
-# white space other than plain spaces and line ends
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-# a single space between two characters that aren't white space never falls inside a token's run
-_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-# letters, then ASCII punctuation without the apostrophe: a pre-tokenizer always parts them
-_LETTERS_THEN_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
-# may be encoded with others, one a line
-_ONE_RUN = re.compile(r" ?\S+")
-LINES = 2000
+DIMENSIONS = 128
+FIT_DOCS = 8192
+TREE_DEPTH = 7
+
+# how byte-level BPE of this kind parts a text (fixed value)
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# runs that the faster encoder's pattern can't take
+_LONG_GAP = re.compile(r"\s{1000}")
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def _plain(text: str) -> bool:
-    """Whether every space stands between two characters that aren't white space."""
-    return not ("  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " "
-                or _OTHER_SPACE.search(text))
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Bytes and id of every token of a tokenizer file, or None unless the file is plain byte-level BPE whose ids are in
+    the order of its merges, so that merging by the smallest id gives the file's own ids."""
+    split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    if (model.get("type") != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel"
+            or split.get("add_prefix_space", True) or not split.get("use_regex", True)
+            or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix",
+                                          "byte_fallback", "ignore_merges"))):
+        return None
+    # printable bytes stand for themselves, the others for the characters from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {
+        chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    special = {t["content"] for t in spec.get("added_tokens") or []}
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+    ids = [vocabulary.get(t, -1) for t in merged]
+    if (any(c not in byte for t in vocabulary for c in t) or ids != sorted(set(ids)) or -1 in ids
+            or len(vocabulary) != len(merged) + 256 or any(vocabulary.get(c, -1) < 0 for c in byte)):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items()}
 
 
-def _parts(word: str) -> list[str]:
-    """Pieces of a word that are encoded by themselves: a line end between two other characters stands alone, and so do
-    punctuation marks after letters."""
-    if "\n" in word and word[0] != "\n" and word[-1] != "\n" and "\n\n" not in word and not _OTHER_SPACE.search(word):
-        lines = word.split("\n")
-        return _parts(lines[0]) + [p for line in lines[1:] for p in ["\n", *_parts(line)]]
-    found = _LETTERS_THEN_MARKS.fullmatch(word)
-    return list(found.groups()) if found else [word]
+class Encoder:
+    """Ids of whole texts, as the tokenizer file gives them. Plain byte-level BPE runs in the faster of two libraries;
+    other files, texts with special strings, and texts with very long gaps in the tokenizer itself."""
 
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-class Memory:
-    """Two generations of known ids: what is asked for again moves on, the rest is forgotten with its generation."""
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        ranks = byte_ranks(spec)
+        self.fast = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
-    def __init__(self):
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is None or any(s in text for s in self.special) or _LONG_GAP.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, "<u4")
 
-    def grow(self) -> None:
-        if len(self.now) > REMEMBERED:
-            self.before, self.now = self.now, {}
 
-    def unknown(self, words: set[str]) -> list[str]:
-        """Those of the words that neither generation knows; the others are in ``now`` afterwards."""
-        new, now, before = [], self.now, self.before
-        for w in words.difference(now):
-            ids = before.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                now[w] = ids
-        return new
+@lru_cache(maxsize=2)
+def encoder_of_worker(path: str) -> Encoder:
+    """A Python worker serves many tasks and keeps its encoder."""
+    return Encoder(path)
 
 
-class Encoder:
-    """Ids of whole texts, for byte-level BPE. Texts are cut at single spaces, and what was met before isn't encoded
-    again. New words are encoded many at a time, one a line."""
+def _signed_slots(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mixed = (terms.astype(np.uint64) + np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    return ((mixed >> np.uint64(1)) % np.uint64(DIMENSIONS)).astype(int), np.where(mixed & np.uint64(1), 1.0, -1.0)
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.first, self.later = Memory(), Memory()  # words at the beginning of a text, and after a space
-        self.parts = Memory()  # what words consist of
-
-    @classmethod
-    def of_worker(cls, path: str) -> Encoder:
-        """The one of this Python worker: it serves many tasks, each of which gets its functions anew."""
-        kept = sys.__dict__.setdefault("_corpus_encoders", {})
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text."""
-        for known in (self.first, self.later, self.parts):
-            known.grow()
-        cut = [t.split(" ") if _plain(t) else _INNER_SPACE.split(t) for t in texts]
-        self._learn(self.first, "", {words[0] for words in cut})
-        later = set()
-        for words in cut:
-            later.update(words[1:])
-        self._learn(self.later, " ", later)
-        first, after = self.first.now, self.later.now.__getitem__
-        return [first[words[0]] + b"".join(map(after, words[1:])) for words in cut]
-
-    def _learn(self, known: Memory, before: str, words: set[str]) -> None:
-        new = known.unknown(words)
-        consists = [_parts(before + w) for w in new]
-        self._encode_parts(self.parts.unknown({p for ps in consists for p in ps}))
-        known, ids = known.now, self.parts.now
-        for word, ps in zip(new, consists, strict=True):
-            known[word] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
-
-    def _encode_parts(self, parts: list[str]) -> None:
-        alone, lines = [], []
-        for p in parts:
-            (lines if _ONE_RUN.fullmatch(p) and "<|" not in p and len(self.newline) == 1 else alone).append(p)
-        pages = [lines[i:i + LINES] for i in range(0, len(lines), LINES)]
-        found = self.tokenizer.encode_batch_fast(["\n".join(page) for page in pages], add_special_tokens=False)
-        for page, encoded in zip(pages, found, strict=True):
-            ids = np.array(encoded.ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.newline[0]).tolist(), len(ids)]
-            if len(ends) != len(page):  # a line that holds the newline's id
-                alone += page
-                continue
-            raw, start = ids.tobytes(), 0
-            for part, end in zip(page, ends, strict=True):
-                self.parts.now[part] = raw[4 * start:4 * end]
-                start = end + 1
-        for part, encoded in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.parts.now[part] = np.array(encoded.ids, "<u4").tobytes()
+def word_vector(terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Unit vector of a document's words."""
+    slot, sign = _signed_slots(terms)
+    sums = np.bincount(slot, weights=sign * counts / (counts + K1), minlength=DIMENSIONS)
+    return (sums / max(np.linalg.norm(sums), 1e-9)).astype("<f4")
 
 
 def _tokenise(path: str, window: int):
     def run(batches):
-        encoder = Encoder.of_worker(path)
+        encoder = encoder_of_worker(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 yield tokens_of(encoder, whole.slice(at, 1000))
 
     def tokens_of(encoder, batch):
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        out = {"doc_tokens": [], "full": [], "rest": [], "terms": [], "counts": []}
-        for raw in encoder.encode(texts):
-            raw += np.array([END_ID], "<u4").tobytes()
-            n = len(raw) // 4
-            whole = n // window * window * 4
-            ids, counts = np.unique(np.frombuffer(raw, "<u4"), return_counts=True)
+        out = {"doc_tokens": [], "full": [], "rest": [], "terms": [], "counts": [], "words": []}
+        for text in batch.column(1):
+            found = np.append(encoder.encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
+            n = len(found)
+            whole = n // window * window
+            ids, counts = np.unique(found, return_counts=True)
             out["doc_tokens"].append(n)
-            out["full"].append([zlib.crc32(raw[i:i + 4 * window]) for i in range(0, whole, 4 * window)])
-            out["rest"].append(raw[whole:])
+            out["full"].append([zlib.crc32(found[i:i + window].tobytes()) for i in range(0, whole, window)])
+            out["rest"].append(found[whole:].tobytes())
             out["terms"].append(ids.astype("<u4").tobytes())
             out["counts"].append(counts.astype("<u4").tobytes())
-        types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+            out["words"].append(word_vector(ids, counts).tobytes())
+        types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays(
             [batch.column(0)] + [pa.array(v, t) for v, t in zip(out.values(), types, strict=True)],
             ["doc_id", *out])
@@ -173,6 +144,40 @@ def _tokenise(path: str, window: int):
     return run
 
 
+def fit_tree(vectors: np.ndarray, depth: int = TREE_DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per level the directions and cuts of its nodes. A node halves its vectors at the median along their main
+    direction, found by power iteration."""
+    levels, parts = [], [vectors.astype(float)]
+    for _ in range(depth):
+        directions, cuts, below = np.zeros((len(parts), DIMENSIONS)), np.zeros(len(parts)), []
+        for i, part in enumerate(parts):
+            if len(part):
+                apart = part - part.mean(axis=0)
+                along = apart[np.argmax((apart ** 2).sum(axis=1))]
+                for _ in range(8):
+                    along = along / max(np.linalg.norm(along), 1e-12)
+                    along = apart.T @ (apart @ along)
+                directions[i] = along / max(np.linalg.norm(along), 1e-12)
+                cuts[i] = np.median(part @ directions[i])
+            right = part @ directions[i] >= cuts[i]
+            below += [part[~right], part[right]]
+        levels.append((directions, cuts))
+        parts = below
+    return levels
+
+
+def place_in_tree(levels: list[tuple[np.ndarray, np.ndarray]], vectors: np.ndarray) -> np.ndarray:
+    """A number that grows from the tree's left end to its right one: the leaf, and in it the position along the
+    direction that made it."""
+    node = np.zeros(len(vectors), int)
+    along = np.zeros(len(vectors))
+    for directions, cuts in levels:
+        along = np.einsum("ij,ij->i", vectors, directions[node])
+        node = 2 * node + (along >= cuts[node])
+    # vectors and directions are of length 1
+    return node + (np.clip(along, -1, 1) + 1) / 2.001
+
+
 def _count_terms(batches):
     total = np.zeros(0, np.int64)
     for batch in batches:
@@ -221,19 +226,15 @@ def _neighbours(index, seed: int, unused: np.ndarray):
     yield from best[scores[best] >= 0]
 
 
-def pack_shard(docs: pd.DataFrame, idf: np.ndarray, mean_length: float, shard: int, n_shards: int,
-               window: int = WINDOW) -> pd.DataFrame:
-    docs = docs.sort_values(["doc_id", "doc_tokens", "rest"], na_position="last").reset_index(drop=True)
+def pack_shard(docs: pd.DataFrame, idf: np.ndarray, mean_length: float, window: int = WINDOW) -> pd.DataFrame:
+    """Pieces of one shard; its sequences are numbered from 0."""
     ids, totals, rests = docs["doc_id"].tolist(), docs["doc_tokens"].tolist(), docs["rest"].tolist()
     out = []
     sequence = 0
 
-    def name():
-        return sequence * n_shards + shard
-
     for doc_id, total, full in zip(ids, totals, docs["full"], strict=True):
         for i, crc in enumerate(full if full is not None else []):
-            out.append((doc_id, i * window, window, int(crc), total, name(), 0))
+            out.append((doc_id, i * window, window, int(crc), total, sequence, 0))
             sequence += 1
 
     index = _inverted_index(docs, idf, mean_length)
@@ -245,7 +246,7 @@ def pack_shard(docs: pd.DataFrame, idf: np.ndarray, mean_length: float, shard: i
         n = min(left, window - offset)
         piece = rests[i][4 * done[i]:4 * (done[i] + n)]
         start = totals[i] - len(rests[i]) // 4 + done[i]
-        out.append((ids[i], start, n, zlib.crc32(piece), totals[i], name(), offset))
+        out.append((ids[i], start, n, zlib.crc32(piece), totals[i], sequence, offset))
         done[i] += n
         return offset + n
 
@@ -278,6 +279,34 @@ def pack_shard(docs: pd.DataFrame, idf: np.ndarray, mean_length: float, shard: i
     return frame.astype({c: "Int64" if c == "doc_id" else "int64" for c in columns})
 
 
+def _pack_runs(idf: np.ndarray, mean_length: float, shard_docs: int, window: int):
+    """Cuts a task's ordered documents into shards and packs each. Sequence ids hold the task's number."""
+
+    def run(frames):
+        task, shard, waiting, n = TaskContext.get().partitionId(), 0, [], 0
+        for frame in frames:
+            while len(frame):
+                taken, frame = frame.iloc[:shard_docs - n], frame.iloc[shard_docs - n:]
+                waiting.append(taken)
+                n += len(taken)
+                if n == shard_docs:
+                    yield packed(waiting, task, shard)
+                    waiting, n, shard = [], 0, shard + 1
+        if n:
+            yield packed(waiting, task, shard)
+
+    def packed(frames, task, shard):
+        docs = pd.concat(frames, ignore_index=True)
+        docs["doc_id"] = docs["doc_id"].astype("Int64").mask(docs["no_id"])
+        pieces = pack_shard(docs, idf, mean_length, window)
+        if pieces["sequence_id"].max() >> 24 or shard >> 16:
+            raise ValueError("too many sequences in a shard, or shards in a task")
+        pieces["sequence_id"] += (task << 40) + (shard << 24)
+        return pieces
+
+    return run
+
+
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
          shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
@@ -288,7 +317,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tokens = stored(rows.mapInArrow(
         _tokenise(tokenizer_path, window),
-        "doc_id long, doc_tokens long, full array<long>, rest binary, terms binary, counts binary"), "tokens")
+        "doc_id long, doc_tokens long, full array<long>, rest binary, terms binary, counts binary, words binary"
+    ).withColumn("row", F.monotonically_increasing_id()), "tokens")
     n_docs, n_tokens = tokens.agg(F.count("*"), F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()
     # at most one row per id of the vocabulary
     found = tokens.select("terms").mapInArrow(_count_terms, "term long, n long").groupBy("term").agg(
@@ -297,10 +327,20 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     frequency[found["term"].to_numpy(dtype=int)] = found["n"].to_numpy(dtype=float)
     idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
     mean_length = max(n_tokens / max(n_docs, 1), 1.0)
-    n_shards = n_pieces(n_docs, shard_docs)
-
-    def pack_group(key, frame):
-        return pack_shard(frame, idf, mean_length, int(key[0]), n_shards, window)
 
-    shard = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "doc_tokens"), F.lit(n_shards))
-    return tokens.withColumn("shard", shard).groupBy("shard").applyInPandas(pack_group, PIECES)
+    # about FIT_DOCS vectors of 512 bytes
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), "row"), F.lit(max(n_docs, 1))) < FIT_DOCS
+    sample = [r[0] for r in tokens.filter(drawn).select("words").collect()]
+    levels = fit_tree(np.frombuffer(b"".join(sample), "<f4").reshape(-1, DIMENSIONS))
+
+    @pandas_udf("double")
+    def place(words: pd.Series) -> pd.Series:
+        return pd.Series(place_in_tree(levels, np.frombuffer(b"".join(words), "<f4").reshape(-1, DIMENSIONS)))
+
+    # the row's number parts equal documents, so any number of them can be dealt to several tasks
+    order = ["place", "doc_id", "row"]
+    return tokens.withColumn("place", place("words")).drop("words").repartitionByRange(
+        n_pieces(n_docs, TASK_DOCS), *order).sortWithinPartitions(*order).drop("place", "row").withColumns({
+            # pandas would turn ids beside nulls into floats
+            "doc_id": F.coalesce("doc_id", F.lit(0)), "no_id": F.isnull("doc_id"),
+        }).mapInPandas(_pack_runs(idf, mean_length, shard_docs, window), PIECES)
