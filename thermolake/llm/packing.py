@@ -37,6 +37,7 @@ SHARD_DOCS = 1024
 TASK_DOCS = 4096
 END_ID = 0
 K1, B = 1.2, 0.75
+DENSE = 16
 SEED = 11
 DIMENSIONS = 128
 FIT_DOCS = 8192
@@ -44,8 +45,9 @@ TREE_DEPTH = 7
 
 # how byte-level BPE of this kind parts a text (fixed value)
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# runs that the faster encoder's pattern can't take
+# gaps of about a million characters are more than the faster encoder's pattern can take
 _LONG_GAP = re.compile(r"\s{1000}")
+LONG_TEXT = 100_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
@@ -89,11 +91,12 @@ class Encoder:
         self.fast = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special) or _LONG_GAP.search(text):
+        if self.fast is None or any(s in text for s in self.special) or (
+                len(text) > LONG_TEXT and _LONG_GAP.search(text)):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
-        return np.array(ids, "<u4")
+        return np.fromiter(ids, "<u4", len(ids))
 
 
 @lru_cache(maxsize=2)
@@ -102,18 +105,22 @@ def encoder_of_worker(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _signed_slots(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _signed_slots(terms: np.ndarray) -> np.ndarray:
+    """Slot of each term, from ``DIMENSIONS`` on for those that count negatively."""
     mixed = (terms.astype(np.uint64) + np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    return ((mixed >> np.uint64(1)) % np.uint64(DIMENSIONS)).astype(int), np.where(mixed & np.uint64(1), 1.0, -1.0)
+    negative = 1 - mixed % np.uint64(2)
+    return ((mixed >> np.uint64(1)) % np.uint64(DIMENSIONS) + negative * np.uint64(DIMENSIONS)).astype(int)
 
 
-def word_vector(terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Unit vector of a document's words."""
-    slot, sign = _signed_slots(terms)
-    sums = np.bincount(slot, weights=sign * counts / (counts + K1), minlength=DIMENSIONS)
-    return (sums / max(np.linalg.norm(sums), 1e-9)).astype("<f4")
+def word_vectors(terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Unit vectors of the words of documents that lie one after another."""
+    width = 2 * DIMENSIONS
+    at = np.repeat(np.arange(len(sizes)) * width, sizes) + _signed_slots(terms)
+    sums = np.bincount(at, weights=counts / (counts + K1), minlength=len(sizes) * width).reshape(len(sizes), 2, -1)
+    vectors = sums[:, 0] - sums[:, 1]
+    return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype("<f4")
 
 
 def _tokenise(path: str, window: int):
@@ -124,18 +131,25 @@ def _tokenise(path: str, window: int):
                 yield tokens_of(encoder, whole.slice(at, 1000))
 
     def tokens_of(encoder, batch):
-        out = {"doc_tokens": [], "full": [], "rest": [], "terms": [], "counts": [], "words": []}
-        for text in batch.column(1):
-            found = np.append(encoder.encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
+        out = {"doc_tokens": [], "full": [], "rest": [], "terms": [], "counts": []}
+        all_terms, all_counts = [], []
+        end = np.array([END_ID], "<u4")
+        for text in batch.column(1).to_pylist():
+            found = np.concatenate([encoder.encode(text or ""), end])
             n = len(found)
             whole = n // window * window
-            ids, counts = np.unique(found, return_counts=True)
+            terms, counts = np.unique(found, return_counts=True)
+            counts = counts.astype("<u4")
             out["doc_tokens"].append(n)
-            out["full"].append([zlib.crc32(found[i:i + window].tobytes()) for i in range(0, whole, window)])
+            out["full"].append([zlib.crc32(found[i:i + window]) for i in range(0, whole, window)])
             out["rest"].append(found[whole:].tobytes())
-            out["terms"].append(ids.astype("<u4").tobytes())
-            out["counts"].append(counts.astype("<u4").tobytes())
-            out["words"].append(word_vector(ids, counts).tobytes())
+            out["terms"].append(terms.tobytes())
+            out["counts"].append(counts.tobytes())
+            all_terms.append(terms)
+            all_counts.append(counts)
+        vectors = word_vectors(np.concatenate(all_terms), np.concatenate(all_counts),
+                               np.array([len(t) for t in all_terms]))
+        out["words"] = [v.tobytes() for v in vectors]
         types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays(
             [batch.column(0)] + [pa.array(v, t) for v, t in zip(out.values(), types, strict=True)],
@@ -190,7 +204,9 @@ def _count_terms(batches):
 
 
 def _inverted_index(docs: pd.DataFrame, idf: np.ndarray, mean_length: float):
-    """Postings sorted by term: documents, BM25 weights, and for every document its list of (start, length)."""
+    """Postings sorted by term: documents, BM25 weights, and for every document its list of (start, length). Terms in
+    one of ``DENSE`` documents or more are rows over all documents instead, which takes at most ``DENSE`` times the
+    room of their postings; for every document its list of such rows."""
     terms = [np.frombuffer(t, "<u4") for t in docs["terms"]]
     sizes = np.array([len(t) for t in terms])
     term = np.concatenate(terms)
@@ -201,18 +217,26 @@ def _inverted_index(docs: pd.DataFrame, idf: np.ndarray, mean_length: float):
     order = np.argsort(term, kind="stable")
     _, local, n_postings = np.unique(term, return_inverse=True, return_counts=True)
     starts = np.cumsum(n_postings) - n_postings
+    often = n_postings * DENSE >= len(docs)
+    row_of = np.cumsum(often) - 1
+    rows = np.zeros((int(often.sum()), len(docs)))
+    dense = often[local]
+    rows[row_of[local[dense]], owner[dense]] = weight[dense]
     bounds = np.cumsum(sizes) - sizes
-    queries = [(starts[local[b:b + s]], n_postings[local[b:b + s]]) for b, s in zip(bounds, sizes, strict=True)]
-    return owner[order], weight[order], queries
+    queries = []
+    for b, s in zip(bounds, sizes, strict=True):
+        asked, common = local[b:b + s], dense[b:b + s]
+        queries.append((starts[asked[~common]], n_postings[asked[~common]], row_of[asked[common]]))
+    return owner[order], weight[order], rows, queries
 
 
 def _neighbours(index, seed: int, unused: np.ndarray):
     """Unused documents from the best score down; documents without a shared term come last, in order."""
-    owner, weight, queries = index
-    starts, sizes = queries[seed]
+    owner, weight, rows, queries = index
+    starts, sizes, common = queries[seed]
     total = int(sizes.sum())
     at = np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    scores = np.bincount(owner[at], weights=weight[at], minlength=len(unused))
+    scores = np.bincount(owner[at], weights=weight[at], minlength=len(unused)) + rows[common].sum(axis=0)
     scores[~unused] = -1.0
     given, most = 0, 16
     while most < len(scores):
