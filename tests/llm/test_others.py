@@ -279,6 +279,13 @@ def test_target_entropy_is_met(spark):
     assert mixing.choose_exponent(totals, max_repetition=1.0) == pytest.approx(1.0)
 
 
+def test_budget_beyond_the_repetition_limit_is_an_error(documents):
+    docs = documents([(3 * n, "five words are in here") for n in range(20)])  # one source
+    assert mixing.mix(docs, budget=150, max_repetition=1.5).count() == 30
+    with pytest.raises(ValueError, match="need more than 1.5 uses"):
+        mixing.mix(docs, budget=1000, max_repetition=1.5)
+
+
 def test_budget_is_kept(spark):
     docs = table(spark, SF, "documents")
     rows = mixing.mix(docs, budget=20_000, max_repetition=3).collect()

@@ -40,7 +40,8 @@ def choose_exponent(totals: DataFrame, max_repetition: float = MAX_REPETITION, t
     so only a few numbers reach the driver, however many sources there are.
 
     Entropy (in nats) falls with the exponent; the largest exponent that reaches the target is taken. Repetition
-    falls as well while the exponent is below 1; the smallest exponent within the limit is taken. If none is, 1.
+    falls as well while the exponent is below 1; the smallest exponent within the limit is taken. If none is, 1, but a
+    budget that no exponent can meet within the limit is an error.
     """
     whole = totals.agg(F.sum("total")).first()[0] or 0
     if not whole:
@@ -72,6 +73,8 @@ def choose_exponent(totals: DataFrame, max_repetition: float = MAX_REPETITION, t
             if good[0]:
                 return low
             if not good[-1]:
+                if budget is not None:
+                    raise ValueError(f"{budget} tokens need more than {max_repetition} uses of {whole} tokens")
                 return high
             at = min(i for i, ok in enumerate(good) if ok)
             low, high = grid[at - 1], grid[at]
