@@ -402,6 +402,21 @@ def test_encoder_gives_the_tokenizers_ids(tokenizer):
     assert [t for t, w in zip(texts, wanted, strict=True) if encoder.encode(t).tolist() != w.ids] == []
 
 
+def test_encoder_makes_no_list_of_numbers(tokenizer, monkeypatch):
+    encoder = packing.Encoder(corpus_pipeline.tokenizer_path())
+    monkeypatch.setattr(packing.np, "fromiter", None)
+    found = encoder.encode("it's  a\n\n b ")
+    assert found.dtype == "<u4" and found.tolist() == tokenizer.encode("it's  a\n\n b ", add_special_tokens=False).ids
+
+
+def test_ids_are_counted():
+    draw = random.Random(2)
+    for n in (1, 2, 50, 1000):
+        ids = np.array(draw.choices([0, 1, 7, 2**32 - 1], k=n), "<u4")
+        found, wanted = packing._counted(ids), np.unique(ids, return_counts=True)
+        assert [f.tolist() for f in found] == [w.tolist() for w in wanted]
+
+
 def test_other_tokenizer_files_are_not_taken_for_byte_level_bpe():
     import json
 

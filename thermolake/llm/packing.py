@@ -43,8 +43,8 @@ DIMENSIONS = 128
 FIT_DOCS = 8192
 TREE_DEPTH = 7
 
-# how byte-level BPE of this kind parts a text (fixed value)
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# how byte-level BPE of this kind parts a text (fixed value); runs that nothing after them can shorten are possessive
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 # gaps of about a million characters are more than the faster encoder's pattern can take
 _LONG_GAP = re.compile(r"\s{1000}")
 LONG_TEXT = 100_000
@@ -86,17 +86,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         ranks = byte_ranks(spec)
-        self.fast = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self.fast = ranks and tiktoken.Encoding(
+            path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=self.special)
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special) or (
                 len(text) > LONG_TEXT and _LONG_GAP.search(text)):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(text)
-        return np.fromiter(ids, "<u4", len(ids))
+            return np.fromiter(ids, "<u4", len(ids))
+        # an array at once, no list of numbers
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
 @lru_cache(maxsize=2)
@@ -123,6 +124,15 @@ def word_vectors(terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np
     return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype("<f4")
 
 
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids of a text and how often each occurs."""
+    ordered = np.sort(ids)
+    ends = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]), len(ordered) - 1)
+    counts = ends + 1
+    counts[1:] -= ends[:-1] + 1
+    return ordered[ends], counts.astype("<u4")
+
+
 def _tokenise(path: str, window: int):
     def run(batches):
         encoder = encoder_of_worker(path)
@@ -138,8 +148,7 @@ def _tokenise(path: str, window: int):
             found = np.concatenate([encoder.encode(text or ""), end])
             n = len(found)
             whole = n // window * window
-            terms, counts = np.unique(found, return_counts=True)
-            counts = counts.astype("<u4")
+            terms, counts = _counted(found)
             out["doc_tokens"].append(n)
             out["full"].append([zlib.crc32(found[i:i + window]) for i in range(0, whole, window)])
             out["rest"].append(found[whole:].tobytes())
