@@ -152,6 +152,28 @@ def test_suffix_dedup_on_tangled_repeats(spark, monkeypatch, most):
     assert removed(df, length=40, k=8) == brute_removal(texts, 40)
 
 
+def test_crowded_classes_make_few_rows(spark, monkeypatch):
+    """A passage in very many surroundings: its strings aren't written out one by one."""
+    monkeypatch.setattr(suffix_dedup, "MAX_SURROUNDINGS", 20)
+    rows = Counter()
+    stored = suffix_dedup.stored
+
+    def counted(df, label):
+        found = stored(df, label)
+        rows[label] += found.count()
+        return found
+
+    monkeypatch.setattr(suffix_dedup, "stored", counted)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = noise(260)
+    texts = [(i, noise(rng.randrange(150, 400)) + passage[rng.randrange(0, 5):] + noise(300)) for i in range(80)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert removed(df) == brute_removal(texts, 200)
+    # 153 strings lie over an anchor
+    assert 0 < rows["parts"] < 30 * rows["pieces"]
+
+
 def test_suffix_dedup_rows_that_share_an_id(odd, empty, documents):
     rows = suffix_dedup.remove_repeats(odd, length=30, k=8).collect()
     assert len(rows) == len(ODD_ROWS)

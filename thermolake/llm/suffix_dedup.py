@@ -10,7 +10,9 @@ strings which may be equal always meet:
 3. One occurrence of every differing surrounding goes to the suffix sort. Classes are dealt to tasks, which sort the
    suffixes of their surroundings by the difference-cover algorithm: sort the sampled triples, recurse on their names,
    merge the remaining suffixes, then compare the prefixes of neighbours.
-4. A class with very many surroundings isn't sorted in one task: its strings are hashed, spread and counted.
+4. A class with very many surroundings isn't sorted in one task. Its strings are parted by their distance from the
+   anchor; those of a part share more bytes, which make smaller classes, and steps 2 to 4 are taken for them. Parts get
+   narrower until they hold one string.
 
 A single suffix array over all bytes would move every suffix through each level's shuffles; this form moves the
 candidates only, and removes the same bytes.
@@ -19,6 +21,7 @@ candidates only, and removes the same bytes.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,10 @@ LENGTH = 200
 K = 48
 # suffixes of about so many bytes are sorted at once, which fits a core's cache
 BATCH_BYTES = 1 << 17
-# classes with more surroundings are counted by hash
+# classes with more surroundings are parted
 MAX_SURROUNDINGS = 4096
+# distances from the anchor in a part; each width divides the one before
+PART_WIDTHS = (32, 4, 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -218,7 +223,8 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _surroundings(length: int, k: int):
-    """(uid, text, places: [(hash, at, crowded)]) to one row per place with its bytes."""
+    """(uid, text, places: [(hash, at, crowded)]) to one row per place with its bytes and the anchor's distance from
+    their start."""
     def run(batches):
         for batch in batches:
             rows = []
@@ -226,15 +232,15 @@ def _surroundings(length: int, k: int):
                 raw = _bytes_of(text)
                 for place in places:
                     low, high = _reach(len(raw), place["at"], length, k)
-                    rows.append((place["hash"], uid, low, raw[low:high], place["crowded"]))
+                    rows.append((place["hash"], uid, low, place["at"] - low, raw[low:high], place["crowded"]))
                 if len(rows) > 20_000:
                     yield made(rows)
                     rows = []
             yield made(rows)
 
     def made(rows):
-        return _records(["hash", "uid", "low", "piece", "crowded"],
-                        [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()], rows)
+        return _records(["hash", "uid", "low", "lead", "piece", "crowded"],
+                        [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()], rows)
 
     return run
 
@@ -263,18 +269,35 @@ def _sort_classes(length: int):
     return run
 
 
-def _strings(length: int):
-    """Rows (hash, uid, low, piece) to one row per string: its digest and its place."""
+def _digest(data: bytes, *salt: int) -> int:
+    found = hashlib.blake2b(data, digest_size=8, salt=b"".join(x.to_bytes(4, "little") for x in salt)).digest()
+    return int.from_bytes(found, "little", signed=True)
+
+
+def _parts(width: int, length: int):
+    """Rows (uid, low, lead, piece) to one row per ``width`` distances from the anchor: the bytes that all strings of
+    the part share make its class, those that any of them covers its surrounding."""
     def run(batches):
         for batch in batches:
             rows = []
-            for _, uid, low, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for i in range(len(piece) - length + 1):
-                    rows.append((hashlib.blake2b(piece[i:i + length], digest_size=16).digest(), uid, low + i))
-                if len(rows) > 50_000:
-                    yield _records(["digest", "uid", "start"], [pa.binary(), pa.int64(), pa.int64()], rows)
+            for uid, low, lead, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                last = len(piece) - length  # strings start at 0 to last, lead less that before the anchor
+                for part in range((lead - last) // width, lead // width + 1):
+                    right = lead - part * width
+                    left = right - width + 1
+                    first, end = max(left, 0), min(right, last) + length
+                    shared = piece[right:max(right, left + length)]
+                    around = piece[first:end]
+                    rows.append((_digest(shared, part, width), _digest(around, lead - first), uid, low + first,
+                                 lead - first, around))
+                if len(rows) > 20_000:
+                    yield made(rows)
                     rows = []
-            yield _records(["digest", "uid", "start"], [pa.binary(), pa.int64(), pa.int64()], rows)
+            yield made(rows)
+
+    def made(rows):
+        return _records(["hash", "around", "uid", "low", "lead", "piece"],
+                        [pa.int64()] * 4 + [pa.int32(), pa.binary()], rows)
 
     return run
 
@@ -300,6 +323,30 @@ def _removal(batches):
                        [pa.int64()] * 4 + [pa.string(), pa.binary()], rows)
 
 
+def _parted(crowded: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """For rows (uid, low, lead, piece) of crowded classes: ranges that are settled, and what is left to sort."""
+    settled, to_sort = [], []
+    for width in PART_WIDTHS:
+        if crowded.isEmpty():
+            break
+        parts = stored(crowded.select("uid", "low", "lead", "piece").mapInArrow(
+            _parts(width, length), "hash long, around long, uid long, low long, lead int, piece binary"), "parts")
+        seen = stored(parts.groupBy("hash", "around").agg(
+            F.count("*").alias("n"), F.min(F.struct("uid", "low", "lead", "piece")).alias("one")), "parts-seen")
+        settled.append(parts.join(seen.filter("n > 1").select("hash", "around"), ["hash", "around"], "left_semi").select(
+            "uid", "low", (F.col("low") + F.octet_length("piece")).alias("high")))
+        ones = stored(seen.join(_crowds(seen), "hash").select("hash", "one.*", "crowded"), "part-pieces")
+        to_sort.append(ones.filter("NOT crowded"))
+        crowded = ones.filter("crowded")
+    return settled, to_sort
+
+
+def _crowds(seen: DataFrame) -> DataFrame:
+    """Classes with different surroundings, and whether these are too many for one task."""
+    return seen.groupBy("hash").agg(F.count("*").alias("m")).filter("m > 1").select(
+        "hash", (F.col("m") > MAX_SURROUNDINGS).alias("crowded"))
+
+
 def covered_ranges(texts: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """(uid, ranges: array of (low, high)) of the documents that hold a repeated string. ``texts`` has unique uid
     and text."""
@@ -311,9 +358,7 @@ def covered_ranges(texts: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     seen = candidates.groupBy("hash", "around").agg(
         F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"))
     seen = stored(seen, "surroundings")
-    crowds = seen.groupBy("hash").agg(F.count("*").alias("m")).filter("m > 1").select(
-        "hash", (F.col("m") > MAX_SURROUNDINGS).alias("crowded"))
-    ones = seen.join(crowds, "hash").select(
+    ones = seen.join(_crowds(seen), "hash").select(
         "one.uid", F.struct("hash", F.col("one.at").alias("at"), "crowded").alias("place"))
     hot = candidates.select("uid").distinct()
     hot_texts = stored(texts.join(hot, "uid", "left_semi"), "repeating-texts")
@@ -325,15 +370,14 @@ def covered_ranges(texts: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     pieces = stored(
         hot_texts.join(ones.groupBy("uid").agg(F.collect_list("place").alias("places")), "uid")
         .select("uid", "text", "places")
-        .mapInArrow(_surroundings(length, k), "hash long, uid long, low long, piece binary, crowded boolean"), "pieces")
-    sorted_out = pieces.filter("NOT crowded").select("hash", "uid", "low", "piece").repartition(
-        "hash").sortWithinPartitions("hash").mapInArrow(_sort_classes(length), "uid long, low long, high long")
-    strings = pieces.filter("crowded").select("hash", "uid", "low", "piece").mapInArrow(
-        _strings(length), "digest binary, uid long, start long").distinct()
-    repeated = strings.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
-    counted = strings.join(repeated, "digest", "left_semi").select(
-        "uid", F.col("start").alias("low"), (F.col("start") + length).alias("high"))
-    every = settled.unionByName(sorted_out).unionByName(counted)
+        .mapInArrow(_surroundings(length, k),
+                    "hash long, uid long, low long, lead int, piece binary, crowded boolean"), "pieces")
+    settled_parts, parts_to_sort = _parted(pieces.filter("crowded"), length)
+    to_sort = reduce(DataFrame.unionByName, [
+        p.select("hash", "uid", "low", "piece") for p in (pieces.filter("NOT crowded"), *parts_to_sort)])
+    sorted_out = to_sort.repartition("hash").sortWithinPartitions("hash").mapInArrow(
+        _sort_classes(length), "uid long, low long, high long")
+    every = reduce(DataFrame.unionByName, [settled, sorted_out, *settled_parts])
     ranges = every.groupBy("uid").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     return hot_texts.join(ranges, "uid").select("uid", "text", "ranges")
 
