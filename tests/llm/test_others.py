@@ -279,6 +279,20 @@ def test_target_entropy_is_met(spark):
     assert mixing.choose_exponent(totals, max_repetition=1.0) == pytest.approx(1.0)
 
 
+def test_a_round_is_one_small_plan(spark, monkeypatch):
+    """The exponents of the grid are rows, not columns of their own."""
+    totals = spark.createDataFrame([("a", 1000, 10), ("b", 100, 10), ("c", 7, 1), ("d", 0, 1)],
+                                   "key string, total long, n_docs long")
+    made = []
+    measures = mixing._measures
+    monkeypatch.setattr(mixing, "_measures", lambda *args: made.append(args) or measures(*args))
+    exponent = mixing.choose_exponent(totals, 1.5)
+    share = [t / 1107 for t in (1000, 100, 7)]
+    repetition = lambda e: max(s ** (e - 1) for s in share) / min(s ** (e - 1) for s in share)
+    assert repetition(exponent) <= 1.5 + 1e-9 < repetition(exponent - 1e-6)
+    assert len(made) == mixing.ROUNDS
+
+
 def test_budget_beyond_the_repetition_limit_is_an_error(documents):
     docs = documents([(3 * n, "five words are in here") for n in range(20)])  # one source
     assert mixing.mix(docs, budget=150, max_repetition=1.5).count() == 30

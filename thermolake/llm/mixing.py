@@ -26,8 +26,8 @@ def source_totals(docs: DataFrame) -> DataFrame:
     return docs.groupBy("key").agg(F.sum("tokens").alias("total"), F.count("*").alias("n_docs"))
 
 
-def _measures(exponent: float, share: Column, want_entropy: bool) -> dict[str, Column]:
-    power = F.pow(share, F.lit(exponent))
+def _measures(exponent: Column, share: Column, want_entropy: bool) -> dict[str, Column]:
+    power = F.pow(share, exponent)
     if want_entropy:
         return {"z": F.sum(power), "x": F.sum(power * F.log(share))}
     # tokens asked from a source over tokens it has, up to the factor that the budget sets
@@ -37,7 +37,8 @@ def _measures(exponent: float, share: Column, want_entropy: bool) -> dict[str, C
 def choose_exponent(totals: DataFrame, max_repetition: float = MAX_REPETITION, target_entropy: float | None = None,
                     budget: int | None = None) -> float:
     """Bisects the exponent on the table of source totals. Every round tests a grid of exponents in one aggregate,
-    so only a few numbers reach the driver, however many sources there are.
+    so only a few numbers reach the driver, however many sources there are. The grid is data, not a column each: the
+    plan is small and every round runs the same generated code.
 
     Entropy (in nats) falls with the exponent; the largest exponent that reaches the target is taken. Repetition
     falls as well while the exponent is below 1; the smallest exponent within the limit is taken. If none is, 1, but a
@@ -51,16 +52,16 @@ def choose_exponent(totals: DataFrame, max_repetition: float = MAX_REPETITION, t
     low, high = 0.0, (8.0 if target_entropy is not None else 1.0)
     for _ in range(ROUNDS):
         grid = [low + (high - low) * i / GRID for i in range(GRID + 1)]
-        found = rows.agg(*[
-            m.alias(f"{n}{i}") for i, e in enumerate(grid)
-            for n, m in _measures(e, share, target_entropy is not None).items()]).first().asDict()
+        tried = rows.select(share.alias("share"), F.posexplode(F.array(*[F.lit(e) for e in grid])).alias("i", "e"))
+        measures = _measures(F.col("e"), F.col("share"), target_entropy is not None)
+        found = {r.i: r for r in tried.groupBy("i").agg(*[m.alias(n) for n, m in measures.items()]).collect()}
         good = []
         for i, e in enumerate(grid):
-            z, x = found[f"z{i}"], found[f"x{i}"]
+            z, x = found[i].z, found[i].x
             if target_entropy is not None:
                 good.append(log(z) - e * x / z >= target_entropy - 1e-12)
             else:
-                repeated = x / found[f"y{i}"] if budget is None else x / z * budget / whole
+                repeated = x / found[i].y if budget is None else x / z * budget / whole
                 good.append(repeated <= max_repetition + 1e-12)
         if target_entropy is not None:  # good, ..., good, bad, ...
             if not good[0]:
