@@ -1,4 +1,5 @@
 import os
+import random
 import subprocess
 import sys
 from datetime import datetime, timedelta, timezone
@@ -199,3 +200,21 @@ def test_sensor_dimension(spark):
     info = inventory.sensor_info(spark, "s", "hall", "hygrometer", "1.0", "2024-01-30 23:00:00")
     assert inventory.sensor_uptime(info, AS_OF).first().uptime_seconds == 3600
     assert info.first().location == "hall"
+
+
+@pytest.mark.parametrize("newest", [True, False])
+def test_large_pages_are_cut_by_counts(spark, monkeypatch, newest):
+    """Ties, missing arrivals and repeated rows: the same rows as those of a sort, and no limit in one task."""
+    monkeypatch.setattr(scans, "PAGE_OF_ONE_TASK", 0)
+    monkeypatch.setattr(scans, "CUT_PIECES", 3)
+    draw = random.Random(3)
+    start = datetime(2024, 1, 1)
+    rows = [(draw.choice([None, -5, *range(40)]), draw.choice([None, 0, 1]), "s", start + timedelta(
+        seconds=draw.choice([0, 0, 1, 100, 86_400 * 40])), 1.0, 2.0) for _ in range(200)]
+    df = spark.createDataFrame(
+        rows, "seq long, pos long, sensor_id string, recorded_at timestamp, temperature double, humidity double")
+    order = scans._newest_first(df) if newest else scans._oldest_first(df)
+    wanted = [tuple(r) for r in df.select("seq", "pos", "recorded_at").orderBy(*order).collect()]
+    for limit in (1, 7, 60, 133, 199, 200, 500):
+        page = scans._page(df, limit, newest)
+        assert [(r.seq, r.pos, r.recorded_at) for r in page.collect()] == wanted[:limit], limit
