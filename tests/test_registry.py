@@ -54,3 +54,21 @@ def test_raw_bounds_reach_the_scan(spark):
     plan = entry_file.queries()["readings_in_range"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     pushed = plan.split("PushedFilters: [")[1].split("]")[0]
     assert "user_id" in pushed and "ts" in pushed
+
+
+def test_staged_log_has_files_by_its_size(spark, monkeypatch):
+    """No task writes a whole micro-batch of a large log, and the files of a batch follow one another."""
+    from pyspark.sql import functions as F
+
+    made = {}
+    work_dir = registry.work_dir
+    monkeypatch.setattr(registry, "work_dir", lambda s, label: made.setdefault(label, work_dir(s, label)))
+    monkeypatch.setattr(registry, "FILE_MESSAGES", 50)
+    registry._staged_log(spark, SF_DIR)
+    files = spark.read.json(made["log"], "seq long").groupBy(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at")).agg(
+        F.min(F.pmod(F.xxhash64("seq"), F.lit(3))).alias("low"), F.max(F.pmod(F.xxhash64("seq"), F.lit(3))).alias("high"))
+    rows = files.orderBy("at").collect()
+    each = spark.read.parquet(made["messages"]).count() // 150
+    assert each > 1 and len(rows) == 3 * each
+    assert [r.low for r in rows] == [r.high for r in rows] == [i for i in range(3) for _ in range(each)]

@@ -767,21 +767,27 @@ def retention_job(spark, sf_dir):
     return table.read().select("seq", *READING_COLUMNS)
 
 
-def _staged_log(spark, sf_dir, files: int = 3) -> DataFrame:
-    """The message log as a stream of files, one for each micro-batch."""
+# messages in a file of the staged log
+FILE_MESSAGES = 200_000
+
+
+def _staged_log(spark, sf_dir, batches: int = 3) -> DataFrame:
+    """The message log as a stream of ``batches`` micro-batches, each of as many files as its size asks for."""
     log_dir, whole = work_dir(spark, "log"), work_dir(spark, "messages")
     message_log(spark, sf_dir).write.parquet(whole)  # encoded once
     log = spark.read.parquet(whole)
-    for i in range(files):
-        log.filter(F.pmod(F.xxhash64("seq"), F.lit(files)) == i).coalesce(1).write.mode("append").json(log_dir)
-    return ingest.read_log_files(spark, log_dir, 1)
+    # round robin over many messages leaves no file out
+    files = max(1, log.count() // (batches * FILE_MESSAGES))
+    for i in range(batches):
+        log.filter(F.pmod(F.xxhash64("seq"), F.lit(batches)) == i).repartition(files).write.mode("append").json(log_dir)
+    return ingest.read_log_files(spark, log_dir, files)
 
 
 def _ingested(spark, sf_dir, jobs: int = 1) -> ingest.TelemetryTables:
     tables = ingest.TelemetryTables(spark, work_dir(spark, "tables"))
+    log = _staged_log(spark, sf_dir)
     for _ in range(jobs):
-        ingest.start_ingest(_staged_log(spark, sf_dir), tables, work_dir(spark, "checkpoint"),
-                            available_now=True).awaitTermination()
+        ingest.start_ingest(log, tables, work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
     return tables
 
 
