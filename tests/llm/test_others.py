@@ -191,6 +191,13 @@ def test_names_with_more_words_and_spaces(spark):
     assert re.fullmatch(r"Frau  \w+ \w+", found[2]) and not re.search("Ada|King", found[2])
 
 
+def test_expressions_of_surrogates_are_not_multiplied(spark, documents):
+    """The driver holds every plan: what is used in several places is computed once and named."""
+    df = documents([(1, "write to a@b.example or call 555-123-4567"), (2, "Mr Smith"), (3, None)])
+    plan = surrogates.pseudonymise(df)._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 60_000
+
+
 def test_surrogates_odd_rows(odd, empty):
     rows = surrogates.pseudonymise(odd).collect()
     assert sorted((str(r.record.doc_id), str(r.text)) for r in rows) == sorted((str(d), str(t)) for d, t in ODD_ROWS)

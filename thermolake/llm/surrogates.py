@@ -96,6 +96,12 @@ def canonical(kind: Column, value: Column) -> Column:
         .otherwise(F.lower(value)))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once and named, not written out wherever it is used: expressions that
+    contain each other several times grow the plan, which the driver holds, by their product."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _draw(seed: Column, *place) -> Column:
     return F.pmod(F.xxhash64(seed, *place), F.lit(1 << 40))
 
@@ -108,15 +114,15 @@ def _recode(text: Column, seed: Column) -> Column:
     """Every letter and digit replaced by another of its class."""
     hexadecimal = text.rlike("^(?=.*[a-f])(?=.*[0-9])[0-9a-f]{16,}$")
 
-    def one(c, i):
-        at = _draw(seed, i)
+    def one(c, at, hexadecimal):
         choice = F.when(hexadecimal, _pick(list("0123456789abcdef"), at))
         for cls, letters in ALPHABETS:
             choice = choice.when(c.rlike(cls), F.substring(F.lit(letters), F.pmod(at, F.lit(len(letters))).cast("int")
                                                            + 1, F.lit(1)))
         return choice.otherwise(c)
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    return _bound(hexadecimal, lambda h: F.array_join(F.transform(F.split(text, ""), lambda c, i: _bound(
+        _draw(seed, i), lambda at: one(c, at, h))), ""))
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -130,11 +136,12 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def _card(canon: Column, seed: Column) -> Column:
-    drawn = _recode(canon, seed)
-    stem = F.char_length(canon) - 1
-    body = F.substring(drawn, F.lit(1), stem)
-    check = F.pmod(10 - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
-    return F.when(F.pmod(_luhn_sum(canon), F.lit(10)) == 0, F.concat(body, check.cast("string"))).otherwise(drawn)
+    def checked(drawn):
+        body = F.substring(drawn, F.lit(1), F.char_length(canon) - 1)
+        check = F.pmod(10 - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
+        return F.when(F.pmod(_luhn_sum(canon), F.lit(10)) == 0, F.concat(body, check.cast("string"))).otherwise(drawn)
+
+    return _bound(_recode(canon, seed), checked)
 
 
 def _longer(text: Column, draw: Column) -> Column:
@@ -177,15 +184,21 @@ def _name(canon: Column, seed: Column, draw: Column) -> Column:
 def surrogate(kind: Column, canon: Column, draw: Column, key: str = KEY) -> Column:
     """Canonical form of the surrogate."""
     inner = F.sha2(F.concat_ws("|", F.lit(key), kind, draw.cast("string"), canon), 256)
-    seed = F.sha2(F.concat(F.lit(key), inner), 256)
-    octets = [F.pmod(_draw(seed, F.lit(i)), F.lit(254)) + 1 for i in range(4)]
-    return (
-        F.when(kind == "email", _email(canon, seed, draw))
-        .when(kind == "card", _card(canon, seed))
-        .when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
-        .when(kind == "name", _name(canon, seed, draw))
-        .when(kind.isin("assigned", "secret"), _recode(_longer(canon, draw), seed))
-        .otherwise(_recode(canon, seed)))
+    entity = F.struct(kind.alias("kind"), canon.alias("canon"), draw.alias("draw"),
+                      F.sha2(F.concat(F.lit(key), inner), 256).alias("seed"))
+
+    def drawn(e):
+        kind, canon, draw, seed = e["kind"], e["canon"], e["draw"], e["seed"]
+        octets = [F.pmod(_draw(seed, F.lit(i)), F.lit(254)) + 1 for i in range(4)]
+        return (
+            F.when(kind == "email", _email(canon, seed, draw))
+            .when(kind == "card", _card(canon, seed))
+            .when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
+            .when(kind == "name", _name(canon, seed, draw))
+            .when(kind.isin("assigned", "secret"), _recode(_longer(canon, draw), seed))
+            .otherwise(_recode(canon, seed)))
+
+    return _bound(entity, drawn)
 
 
 def _cased(like: Column, text: Column) -> Column:
@@ -287,12 +300,14 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         looked_up = found.join(hits, F.col("id").eqNullSafe(F.col("hit_id")), "left")
 
     def replaced(value):
-        # types and canonical forms are computed once per mention and carried along
+        # types, canonical forms and surrogates are computed once per mention and carried along
         known = F.transform(F.array(value), lambda v: F.struct(v.alias("v"), entity_type(v).alias("k")))
         known = F.transform(known, lambda e: F.struct(e["v"].alias("v"), e["k"].alias("k"),
                                                       canonical(e["k"], e["v"]).alias("c")))
-        return F.element_at(F.transform(known, lambda e: rendered(e["k"], e["v"], surrogate(
-            e["k"], e["c"], F.coalesce(F.element_at("draws", F.concat_ws(":", e["k"], e["c"])), F.lit(0)), key))), 1)
+        known = F.transform(known, lambda e: F.struct(e["v"].alias("v"), e["k"].alias("k"), surrogate(
+            e["k"], e["c"], F.coalesce(F.element_at("draws", F.concat_ws(":", e["k"], e["c"])), F.lit(0)), key).alias(
+            "d")))
+        return F.element_at(F.transform(known, lambda e: rendered(e["k"], e["v"], e["d"])), 1)
 
     any_found = F.size("values") > 0
     made = looked_up.withColumn("made", F.when(any_found, F.transform("values", replaced)))
