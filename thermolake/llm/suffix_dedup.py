@@ -21,7 +21,7 @@ candidates only, and removes the same bytes.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,20 +46,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+# a random number for every byte
+_BYTE_VALUES = _mix(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0x100000001B3
+
+
+@lru_cache(maxsize=8)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]).cumprod()
+
+
 def _rolled(values: np.ndarray, width: int) -> np.ndarray:
-    """Polynomial hash of every ``width`` neighbours, by doubling."""
-    base, powers, have = 0x100000001B3, {1: values}, 1
-    while have * 2 <= width:
-        half = powers[have]
-        powers[have * 2] = half[:len(half) - have] * np.uint64(pow(base, have, 1 << 64)) + half[have:]
-        have *= 2
-    n = len(values) - width + 1
-    total, at = np.zeros(n, np.uint64), 0
-    for size in sorted(powers, reverse=True):
-        if width & size:
-            total = total * np.uint64(pow(base, size, 1 << 64)) + powers[size][at:at + n]
-            at += size
-    return _mix(total)
+    """Polynomial hash of every ``width`` neighbours: differences of sums weighed by falling powers of the base, raised
+    again by the place."""
+    n = len(values)
+    size = 1 << max(n - 1, 1 << 12).bit_length()
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _powers(pow(_BASE, -1, 1 << 64), size)[:n], out=total[1:])
+    return _mix((total[width:] - total[:-width]) * _powers(_BASE, size)[width - 1:n])
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -75,7 +79,7 @@ def anchors(raw: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, n
     """Positions and hashes of the anchors of a text: the smallest hash of each window, rightmost among equals."""
     if len(raw) < length:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    hashes = _rolled(_mix(np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)), k)
+    hashes = _rolled(_BYTE_VALUES[np.frombuffer(raw, np.uint8)], k)
     n = len(hashes)
     mirrored = np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64)
     key = (hashes & np.uint64(0xFFFFFFFF00000000)) | mirrored
@@ -100,6 +104,8 @@ def _bytes_of(text) -> bytes:
 
 
 def _anchor_rows(length: int, k: int):
+    salts = [lead.to_bytes(4, "little") for lead in range(length - k + 1)]
+
     def run(batches):
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
@@ -108,16 +114,16 @@ def _anchor_rows(length: int, k: int):
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     raw = _bytes_of(text)
                     places, hashes = anchors(raw, length, k)
-                    uid += [doc] * len(places)
+                    uid.append(np.full(len(places), doc, np.int64))
                     hash_.append(hashes)
                     at.append(places)
                     for p in places.tolist():
                         low, high = _reach(len(raw), p, length, k)
-                        seen = hashlib.blake2b(raw[low:high], digest_size=8, salt=(p - low).to_bytes(4, "little"))
-                        around.append(int.from_bytes(seen.digest(), "little", signed=True))
+                        around.append(hashlib.blake2b(raw[low:high], digest_size=8, salt=salts[p - low]).digest())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hash_) if hash_ else np.empty(0, np.int64)), pa.array(around, pa.int64()),
-                     pa.array(uid, pa.int64()),
+                    [pa.array(np.concatenate(hash_) if hash_ else np.empty(0, np.int64)),
+                     pa.array(np.frombuffer(b"".join(around), "<i8")),
+                     pa.array(np.concatenate(uid) if uid else np.empty(0, np.int64)),
                      pa.array((np.concatenate(at) if at else np.empty(0, np.int64)).astype(np.int32))],
                     ["hash", "around", "uid", "at"])
 
@@ -127,50 +133,63 @@ def _anchor_rows(length: int, k: int):
 # ---- difference cover ---------------------------------------------------------
 
 
-def _names(order: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Rank from 1 of each key, given the order that sorts them; equal keys share a rank."""
+def _names(order: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, int]:
+    """Rank from 1 of each key, given the order that sorts them, and the highest; equal keys share a rank."""
     ordered = key[order]
+    ranks = np.ones(len(key), np.int64)
+    np.cumsum(ordered[1:] != ordered[:-1], out=ranks[1:])
+    ranks[1:] += 1
     rank = np.empty(len(key), np.int64)
-    rank[order] = np.concatenate([[1], 1 + np.cumsum(ordered[1:] != ordered[:-1])])
-    return rank
+    rank[order] = ranks
+    return rank, int(ranks[-1])
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of an array of symbols >= 1, by the difference cover of period three."""
+    """Order of all suffixes of an array of symbols >= 1, by the difference cover of period three.
+
+    What belongs to places 0, 1 and 2 modulo 3 is kept apart, in the order of places, so that most steps read
+    neighbours."""
     n = len(symbols)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: symbols[i:].tolist()), np.int64)
-    s = np.concatenate([symbols.astype(np.int64), np.zeros(3, np.int64)])
-    # sampled suffixes start at 1 or 2 modulo 3; one more keeps the two halves apart
-    ones = np.arange(1, n + (n % 3 == 1), 3)
-    twos = np.arange(2, n, 3)
-    sample = np.concatenate([ones, twos])
+    s = np.zeros(n + 6, np.int64)
+    s[:n] = symbols
+    # sampled suffixes start at 1 or 2 modulo 3; one more keeps the two halves apart. There are as many ones as rest
+    n_rest, n_twos = (n + 2) // 3, n // 3
+    zero, one, two, three, four = (s[i::3] for i in range(5))
     width = int(s.max()) + 1
-    triple = (s[sample] * width + s[sample + 1]) * width + s[sample + 2]
+    triple = np.concatenate([(one[:n_rest] * width + two[:n_rest]) * width + three[:n_rest],
+                             (two[:n_twos] * width + three[:n_twos]) * width + four[:n_twos]])
     order = np.argsort(triple)
-    names = _names(order, triple)
-    if names.max() < len(names):
+    names, highest = _names(order, triple)
+    if highest < len(names):
         order = suffix_array(names)
-    rank = np.zeros(n + 3, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(1, len(order) + 1)
+    rank_one = np.append(rank[:n_rest], 0)
+    rank_two = np.zeros(n_rest + 1, np.int64)
+    rank_two[:n_twos] = rank[n_rest:]
     # the rest is sorted by its first symbol and the rank of the sampled suffix after it
-    rest = np.arange(0, n, 3)
-    wide = len(sample) + 2
-    rest_key = s[rest] * wide + rank[rest + 1]
-    rest = rest[np.argsort(rest_key)]
+    wide = len(order) + 2
+    rest_key = zero[:n_rest] * wide + rank_one[:n_rest]
+    rest = np.argsort(rest_key)
     # merge: where the rest falls among sampled suffixes of either kind
-    in_order = sample[order]
-    in_order = in_order[in_order < n]
-    one, two = in_order[in_order % 3 == 1], in_order[in_order % 3 == 2]
-    before = np.searchsorted(s[one] * wide + rank[one + 1], s[rest] * wide + rank[rest + 1])
-    before += np.searchsorted((s[two] * width + s[two + 1]) * wide + rank[two + 2],
-                              (s[rest] * width + s[rest + 1]) * wide + rank[rest + 2])
+    ones = order[order < n_rest]
+    if n % 3 == 1:
+        ones = ones[ones < n_rest - 1]
+    twos = order[order >= n_rest] - n_rest
+    one_key = one[:n_rest] * wide + rank_two[:n_rest]
+    before = np.searchsorted(one_key[ones], rest_key[rest])
+    two_key = (two[:n_twos] * width + three[:n_twos]) * wide + rank_one[1:n_twos + 1]
+    rest_key = (zero[:n_rest] * width + one[:n_rest]) * wide + rank_two[:n_rest]
+    before += np.searchsorted(two_key[twos], rest_key[rest])
     result = np.empty(n, np.int64)
-    at = np.arange(len(rest)) + before
-    result[at] = rest
+    at = np.arange(n_rest) + before
+    result[at] = rest * 3
     sampled = np.ones(n, bool)
     sampled[at] = False
-    result[sampled] = in_order
+    place = np.where(order < n_rest, order * 3 + 1, (order - n_rest) * 3 + 2)
+    result[sampled] = place[place < n] if n % 3 == 1 else place
     return result
 
 
@@ -181,8 +200,11 @@ def _equal_neighbours(text: np.ndarray, order: np.ndarray, length: int) -> np.nd
     for step in (1, 2, 4):
         eight = eight[:len(eight) - step] | (eight[step:] << np.uint64(8 * step))
     alive = np.arange(1, len(order))
-    for at in [*range(0, length - 8, 8), length - 8]:
-        alive = alive[eight[order[alive - 1] + at] == eight[order[alive] + at]]
+    before, after = order[:-1], order[1:]
+    # neighbours share their first bytes, so the last ones tell them apart soonest
+    for at in [length - 8, *range((length - 1) // 8 * 8 - 8, -1, -8)]:
+        same_here = eight[before + at] == eight[after + at]
+        alive, before, after = alive[same_here], before[same_here], after[same_here]
     same[alive] = True
     return same
 
@@ -193,22 +215,26 @@ def repeated_starts(pieces: list[bytes], places: list[tuple[int, int]], length:
     sizes = np.array([len(p) for p in pieces])
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-    owner = np.repeat(np.arange(len(pieces)), sizes + 1)
-    within = np.arange(len(text)) - starts[owner]
     symbols = text.astype(np.int64) + 2
     symbols[starts + sizes] = 1  # ends
     order = suffix_array(symbols)
-    order = order[within[order] + length <= sizes[owner[order]]]
+    fits = np.arange(len(text)) <= np.repeat(starts + sizes - length, sizes + 1)
+    order = order[fits[order]]
     flagged = np.zeros(len(text), bool)
     if len(order):
         same = _equal_neighbours(text, order, length)
+        grouped = same | np.append(same[1:], False)
+        order, same = order[grouped], same[grouped]
+    if len(order):
         docs = np.unique(np.array([d for d, _ in places]), return_inverse=True)[1]
         position = np.array([p for _, p in places])
-        place = docs[owner[order]] * (1 << 40) + position[owner[order]] + within[order]
+        place = (np.repeat(docs * (1 << 40) + position - starts, sizes + 1) + np.arange(len(text)))[order]
         first = np.flatnonzero(~same)
         differs = np.minimum.reduceat(place, first) != np.maximum.reduceat(place, first)
         flagged[order] = np.repeat(differs, np.diff(np.append(first, len(order))))
-    return [np.flatnonzero(flagged[a:a + n]) for a, n in zip(starts, sizes, strict=True)]
+    hits = np.flatnonzero(flagged)
+    cuts = np.searchsorted(hits, [starts, starts + sizes])
+    return [hits[a:b] - start for a, b, start in zip(*cuts.tolist(), starts.tolist(), strict=True)]
 
 
 def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
